@@ -24,6 +24,6 @@ class Catalogue:
 
 def catalogues() -> list[Catalogue]:
     """All families, in the order of the survey."""
-    from . import documents, graph, retrieval, tables
+    from . import documents, graph, logs, retrieval, tables
 
-    return [tables.catalogue, documents.catalogue, retrieval.catalogue, graph.catalogue]
+    return [tables.catalogue, documents.catalogue, retrieval.catalogue, graph.catalogue, logs.catalogue]

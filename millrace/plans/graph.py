@@ -128,7 +128,7 @@ def _with_vectors(spark, sf_dir):
 
 
 _VECTORS = """v AS (SELECT md5(text || '_' || label) AS id_prop, text, label, CAST(embedding AS DOUBLE[]) AS e FROM (
-  SELECT lower(n_name) AS text, 'NATION' AS label, n_nationkey AS vec_id FROM nation UNION ALL SELECT lower(r_name), 'REGION', r_regionkey + 25 FROM region) JOIN embeddings USING (vec_id))"""
+  SELECT lower(n_name) AS text, 'NATION' AS label, n_nationkey AS vec_id FROM nation UNION ALL SELECT lower(r_name), 'REGION', r_regionkey + 25 FROM region) JOIN (SELECT vec_id, embedding FROM embeddings) USING (vec_id))"""
 _PROBE = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 100)"
 
 
