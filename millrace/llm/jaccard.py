@@ -425,7 +425,7 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(roots, "sig", "left").select("sig", "block", F.coalesce("root", "sig").alias("grp"))
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5, part_sets: int = PART_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Rows link when the Jaccard similarity of their sets is at least ``percent`` per cent. A
@@ -435,7 +435,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     rows = stored(ngram_sets(docs, key, text, size), "jaccard-docs")
     sets_of = rows.where("sig is not null")
-    roots = components(set_links(docs, sets_of, key, text, percent, size)).select(F.col("node").alias("sig"), "root")
+    roots = components(set_links(docs, sets_of, key, text, percent, size, part_sets)).select(F.col("node").alias("sig"), "root")
     least = sets_of.groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
