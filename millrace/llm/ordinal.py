@@ -27,88 +27,144 @@ _tokens = re.compile(r"\w+|[^\w\s]+").findall
 class Fit:
     """Bounds of the sample that the model is fitted on, and of the model."""
 
-    sample_rows: int = 12_000  #: rated rows about, chosen by a hash of the id
+    sample_rows: int = 9_000  #: rated rows about, chosen by a hash of the id
     sample_chars: int = 40_000  #: texts of the sample are at most so long
-    bits: int = 16  #: 2 ** bits weights
-    steps: int = 300
-    rate: float = 0.3
-    ridge: float = 1e-5
+    bits: int = 22  #: tokens are hashed to 2 ** bits slots
+    least_rows: int = 15  #: sampled rows that a slot must occur in to have a weight
+    steps: int = 100
+    ridge: float = 1e-6
 
 
 class Features:
-    """Hashed tokens of a text with damped counts, scaled to length 1, and a few of its shape."""
+    """Hashed tokens and word beginnings of a text with damped counts, and measures of its shape."""
 
     def __init__(self, bits: int):
         self.mask, self.cache = (1 << bits) - 1, {}
 
-    def slot(self, token: str) -> int:
+    def slots(self, token: str) -> tuple[int, ...]:
+        """The slots of a token and of its first four and five characters."""
         at = self.cache.get(token)
         if at is None:
             if len(self.cache) >= 200_000:
                 self.cache.clear()
-            at = zlib.crc32(token.encode()) & self.mask
+            parts = [token, *(f"{token[:n]}~" for n in (4, 5) if len(token) > n)]
+            at = tuple(zlib.crc32(p.encode()) & self.mask for p in parts)
             if len(token) <= 64:
                 self.cache[token] = at
         return at
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> dict[int, float]:
         tokens = _tokens(text.lower()) if text else []
         if not tokens:
-            return np.empty(0, np.int64), np.empty(0)
-        counts, slot, total = Counter(tokens), self.slot, len(tokens)
-        at = np.fromiter((slot(t) for t in counts), np.int64, len(counts))
-        of = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)) / total)
+            return {}
+        counts, slots, total = Counter(tokens), self.slots, len(tokens)
+        sums: dict[int, int] = {}
+        for token, n in counts.items():
+            for at in slots(token):
+                sums[at] = sums.get(at, 0) + n
+        out = {at: 1.0 if n == 1 else 1.0 + math.log(n) / 2 for at, n in sums.items()}
         marks = sum(n for t, n in counts.items() if not t[0].isalnum())
-        shape = {"#marks": marks / total, "#few": 1.0 / (1.0 + math.log1p(total)), "#repeat": 1.0 - len(counts) / total, "#one": 1.0}
-        return np.append(at, [slot(k) for k in shape]), np.append(of, list(shape.values()))
+        shape = {"#marks": marks / total, "#few": 1.0 / (1.0 + math.log1p(total)), "#repeat": 1.0 - len(counts) / total}
+        for name, value in shape.items():
+            out[slots(name)[0]] = value
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
+    """Weights of the slots that have one, shared by all grades, and the thresholds between them."""
+
     bits: int
-    weights: np.ndarray
+    weights: dict[int, float]
     thresholds: np.ndarray
 
+    def tails(self, features: dict[int, float]) -> np.ndarray:
+        """P(grade > k) for each k."""
+        weights = self.weights
+        score = sum(weights[at] * v for at, v in features.items() if at in weights)
+        return _sigmoid(score - self.thresholds)
+
 
 def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit_rows(texts: list[str], grades: list[int], levels: int, how: Fit = Fit()) -> Model:
-    """The model by full-batch Adam on the log-likelihood of the grades."""
+    """The model of greatest likelihood, weights held by a ridge."""
     features = Features(how.bits)
-    rows = [features(t) for t in texts]
-    at = np.concatenate([r[0] for r in rows] or [np.empty(0, np.int64)])
-    of = np.concatenate([r[1] for r in rows] or [np.empty(0)])
-    own = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    y = np.asarray(grades, np.int64)
-    size, gaps = 1 << how.bits, levels - 1
-    # thresholds are a first one and the logs of the gaps after it, so they stay ordered
-    theta = np.zeros(size + gaps)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, how.steps + 1 if len(rows) else 1):
+    rows = []
+    for text in texts:
+        row = features(text)
+        rows.append((np.fromiter(row.keys(), np.int32, len(row)), np.fromiter(row.values(), np.float32, len(row))))
+    at = np.concatenate([r[0] for r in rows] or [np.empty(0, np.int32)])
+    of = np.concatenate([r[1] for r in rows] or [np.empty(0, np.float32)])
+    own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    slots, at, seen = np.unique(at, return_inverse=True, return_counts=True)
+    common = seen >= how.least_rows
+    kept = common[at]
+    slots, at, of, own = slots[common], (np.cumsum(common) - 1)[at[kept]], of[kept], own[kept]
+    y, size, gaps = np.asarray(grades, np.int64), len(slots), levels - 1
+    everyone, edge, n = np.arange(len(rows)), np.zeros((len(rows), 1)), max(1, len(rows))
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean negative log-likelihood with its ridge, and its gradient."""
         z = np.bincount(own, of * theta[at], len(rows))
-        cuts = theta[size] + np.concatenate([[0.0], np.cumsum(np.exp(theta[size + 1 :]))])
-        over = _sigmoid(z[:, None] - cuts[None, :])
-        tail = np.concatenate([np.ones((len(rows), 1)), over, np.zeros((len(rows), 1))], 1)
-        slope = np.concatenate([np.zeros((len(rows), 1)), over * (1 - over), np.zeros((len(rows), 1))], 1)
-        rng = np.arange(len(rows))
-        p = np.maximum(tail[rng, y] - tail[rng, y + 1], 1e-9)
-        dz = -(slope[rng, y] - slope[rng, y + 1]) / p / len(rows)
-        dcut = np.zeros((len(rows), gaps + 2))
-        dcut[rng, y] += slope[rng, y] / p / len(rows)
-        dcut[rng, y + 1] -= slope[rng, y + 1] / p / len(rows)
-        dcut = dcut[:, 1:-1].sum(0)
-        grad = np.empty_like(theta)
-        grad[:size] = np.bincount(at, of * dz[own], size) + how.ridge * theta[:size]
-        grad[size] = dcut.sum()
+        over = _sigmoid(z[:, None] - _cuts(theta, size)[None, :])
+        tail = np.concatenate([edge + 1, over, edge], 1)
+        slope = np.concatenate([edge, over * (1 - over), edge], 1)
+        p = np.maximum(tail[everyone, y] - tail[everyone, y + 1], 1e-12)
+        lower, upper = slope[everyone, y] / p / n, slope[everyone, y + 1] / p / n
+        to_cut = np.zeros((len(rows), gaps + 2))
+        to_cut[everyone, y] += lower
+        to_cut[everyone, y + 1] -= upper
+        to_cut = to_cut[:, 1:-1].sum(0)
+        grad = np.zeros_like(theta)
+        grad[:size] = np.bincount(at, of * (upper - lower)[own], size) + how.ridge * theta[:size]
+        grad[size] = to_cut.sum()
         for k in range(1, gaps):
-            grad[size + k] = dcut[k:].sum() * math.exp(theta[size + k])
-        m = 0.9 * m + 0.1 * grad
-        v = 0.99 * v + 0.01 * grad * grad
-        theta -= how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    cuts = theta[size] + np.concatenate([[0.0], np.cumsum(np.exp(theta[size + 1 :]))])
-    return Model(how.bits, theta[:size].astype(np.float32), cuts)
+            grad[size + k] = to_cut[k:].sum() * math.exp(theta[size + k])
+        return float(-np.log(p).sum() / n + how.ridge / 2 * (theta[:size] @ theta[:size])), grad
+
+    # thresholds are a first one and the logs of the gaps after it, so they stay ordered
+    theta = _least(loss, np.zeros(size + gaps), how.steps) if len(rows) else np.zeros(size + gaps)
+    return Model(how.bits, dict(zip(slots.tolist(), theta[:size].tolist(), strict=True)), _cuts(theta, size))
+
+
+def _least(loss, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """A minimum by L-BFGS with a halving line search."""
+    value, grad = loss(x)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        direction, alphas = -grad, []
+        for s, y, r in reversed(pairs):
+            alphas.append(r * (s @ direction))
+            direction = direction - alphas[-1] * y
+        if pairs:
+            s, y, r = pairs[-1]
+            direction = direction / (r * (y @ y))
+        for (s, y, r), alpha in zip(pairs, reversed(alphas), strict=True):
+            direction = direction + (alpha - r * (y @ direction)) * s
+        slope = grad @ direction
+        if slope >= -1e-12:
+            break
+        size = 1.0 if pairs else min(1.0, 1.0 / np.abs(grad).sum())
+        while True:
+            new_value, new_grad = loss(x + size * direction)
+            if new_value <= value + 1e-4 * size * slope or size < 1e-8:
+                break
+            size /= 2
+        s, y = size * direction, new_grad - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs[-memory + 1 :], (s, y, 1.0 / (s @ y))]
+        done = value - new_value < 1e-7 * max(1.0, abs(value))
+        x, value, grad = x + s, new_value, new_grad
+        if done:
+            break
+    return x
+
+
+def _cuts(theta: np.ndarray, size: int) -> np.ndarray:
+    return theta[size] + np.concatenate([[0.0], np.cumsum(np.exp(theta[size + 1 :]))])
 
 
 def sampled(rated: DataFrame, key: str = "doc_id", how: Fit = Fit()) -> DataFrame:
@@ -143,8 +199,7 @@ def graded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def work(texts):
             for t in texts:
-                at, of = features(t)
-                tails = _sigmoid(float(own.weights[at] @ of) - own.thresholds)
+                tails = own.tails(features(t))
                 yield float(tails.sum()), tails.tolist()
 
         return work

@@ -14,6 +14,8 @@ ENCODING = "byte_bpe_multi_50k.tiktoken"
 COUNTING = "byte_bpe_50k.json"
 #: Toxic documents, others of low quality, others of high quality.
 GRADES = 3
+#: A document is kept from this probability of not being toxic.
+KEPT_TAIL = 0.6
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ordinal.fit(rated, GRADES)
     tails = F.col("tail_probs")
     return ordinal.graded(docs, model).select(
-        "doc_id", "expected_grade", tails[0].alias("prob_above_0"), tails[1].alias("prob_above_1"), (tails[0] >= 0.5).alias("kept"), (tails[0] < 0.5).alias("toxic")
+        "doc_id", "expected_grade", tails[0].alias("prob_above_0"), tails[1].alias("prob_above_1"), (tails[0] >= KEPT_TAIL).alias("kept"), (tails[0] < KEPT_TAIL).alias("toxic")
     )
 
 
