@@ -31,6 +31,7 @@ class Fit:
     sample_chars: int = 40_000  #: texts of the sample are at most so long
     bits: int = 22  #: tokens are hashed to 2 ** bits slots
     least_rows: int = 15  #: sampled rows that a slot must occur in to have a weight
+    slots: int = 500  #: slots that may have a weight, those that tell grades apart best
     steps: int = 100
     ridge: float = 1e-6
 
@@ -100,7 +101,7 @@ def fit_rows(texts: list[str], grades: list[int], levels: int, how: Fit = Fit())
     of = np.concatenate([r[1] for r in rows] or [np.empty(0, np.float32)])
     own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     slots, at, seen = np.unique(at, return_inverse=True, return_counts=True)
-    common = seen >= how.least_rows
+    common = _telling(at, own, np.asarray(grades, np.int64), seen, levels, how)
     kept = common[at]
     slots, at, of, own = slots[common], (np.cumsum(common) - 1)[at[kept]], of[kept], own[kept]
     y, size, gaps = np.asarray(grades, np.int64), len(slots), levels - 1
@@ -130,6 +131,20 @@ def fit_rows(texts: list[str], grades: list[int], levels: int, how: Fit = Fit())
     return Model(how.bits, dict(zip(slots.tolist(), theta[:size].tolist(), strict=True)), _cuts(theta, size))
 
 
+def _telling(at: np.ndarray, own: np.ndarray, grades: np.ndarray, seen: np.ndarray, levels: int, how: Fit) -> np.ndarray:
+    """The slots, in enough rows, whose rows differ most from the others in P(grade > k) for some k."""
+    best = np.zeros(len(seen))
+    for k in range(levels - 1):
+        over = grades > k
+        share = over.mean() if len(over) else 0.0
+        z = (np.bincount(at, over[own], len(seen)) - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+        best = np.maximum(best, np.abs(z))
+    best[seen < how.least_rows] = 0
+    if np.count_nonzero(best) > how.slots:
+        best[best < np.partition(best, -how.slots)[-how.slots]] = 0
+    return best > 0
+
+
 def _least(loss, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     """A minimum by L-BFGS with a halving line search."""
     value, grad = loss(x)
