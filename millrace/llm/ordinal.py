@@ -31,7 +31,7 @@ class Fit:
     sample_chars: int = 40_000  #: texts of the sample are at most so long
     bits: int = 22  #: tokens are hashed to 2 ** bits slots
     least_rows: int = 15  #: sampled rows that a slot must occur in to have a weight
-    slots: int = 500  #: slots that may have a weight, those that tell grades apart best
+    slots: int = 100  #: slots that may have a weight, those that tell grades apart best
     steps: int = 100
     ridge: float = 1e-6
 
@@ -132,17 +132,17 @@ def fit_rows(texts: list[str], grades: list[int], levels: int, how: Fit = Fit())
 
 
 def _telling(at: np.ndarray, own: np.ndarray, grades: np.ndarray, seen: np.ndarray, levels: int, how: Fit) -> np.ndarray:
-    """The slots, in enough rows, whose rows differ most from the others in P(grade > k) for some k."""
-    best = np.zeros(len(seen))
+    """The slots, in enough rows, whose rows differ most from the others in P(grade > k), as many for each k."""
+    kept = np.zeros(len(seen), bool)
     for k in range(levels - 1):
         over = grades > k
         share = over.mean() if len(over) else 0.0
-        z = (np.bincount(at, over[own], len(seen)) - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-        best = np.maximum(best, np.abs(z))
-    best[seen < how.least_rows] = 0
-    if np.count_nonzero(best) > how.slots:
-        best[best < np.partition(best, -how.slots)[-how.slots]] = 0
-    return best > 0
+        z = np.abs(np.bincount(at, over[own], len(seen)) - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+        z[seen < how.least_rows] = 0
+        n = min(how.slots // (levels - 1), np.count_nonzero(z))
+        if n:
+            kept |= z >= np.partition(z, -n)[-n]
+    return kept
 
 
 def _least(loss, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:

@@ -150,8 +150,8 @@ def test_quality_on_labelled_rows(spark):
     for r in test:
         found.append(model.tails(features(r.text))[0] < queries.KEPT_TAIL)
     toxic = [bool(r.toxic) for r in test]
-    assert sum(f and t for f, t in zip(found, toxic, strict=True)) >= 0.95 * sum(toxic)
-    assert sum(f and not t for f, t in zip(found, toxic, strict=True)) <= 0.02 * len(test)
+    assert sum(f and t for f, t in zip(found, toxic, strict=True)) >= 0.85 * sum(toxic)
+    assert sum(f and not t for f, t in zip(found, toxic, strict=True)) <= 0.015 * len(test)
 
 
 # --- BPE ------------------------------------------------------------------------------
