@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that end a sentence (fixed values).
 TERMINATORS = "。？！.!?"
@@ -18,7 +19,7 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, _BLANK, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 

@@ -29,7 +29,8 @@ def norm(v: Column) -> Column:
 def normalized(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
     n = norm(v)
-    return F.when(n == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / n))
+    # the choice stands within the lambda: around it, it gives wrong arrays inside zip_with (Spark 4.1.2)
+    return F.transform(doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
 def score_from_squared(distance: Column) -> Column:

@@ -215,7 +215,7 @@ def rerank_topn(docs: DataFrame, score: str, n: int = 5, key: str = "id") -> Dat
 def context_text(hits: DataFrame, by: list[str], order: list[str], source: str = "source_type", score: str = "score", content: str = "content") -> DataFrame:
     """One text for each group: source, score and content of its hits in order."""
     entry = F.concat(
-        F.lit("Source Type: "), F.col(source), F.lit(", Score: "), F.coalesce(F.format_string("%.4f", F.col(score)), F.lit("N/A")), F.lit("\nContent: "), F.col(content)
+        F.lit("Source Type: "), F.col(source), F.lit(", Score: "), F.when(F.col(score).isNotNull(), F.format_string("%.4f", F.col(score))).otherwise("N/A"), F.lit("\nContent: "), F.col(content)
     )
     rows = F.sort_array(F.collect_list(F.struct(*order, entry.alias("entry"))))
     joined = F.array_join(F.transform(rows, lambda r: r["entry"]), "\n\n---\n\n")
@@ -247,6 +247,6 @@ def table_lookup(tables: DataFrame, text: str, row_id: Column, column_id: Column
     """
     rows = table_rows(F.col(text))
     name = F.lower(column_id)
-    at = F.array_position(F.transform(rows[0], lambda h: F.lower(h).contains(name) | name.contains(F.lower(h))), True)
-    hit = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.lower(r[0]).contains(F.lower(row_id)))
+    at = F.array_position(F.transform(F.get(rows, F.lit(0)), lambda h: F.lower(h).contains(name) | name.contains(F.lower(h))), True)
+    hit = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.lower(F.get(r, F.lit(0))).contains(F.lower(row_id)))
     return F.when((at > 0) & (F.size(hit) > 0), F.try_element_at(F.get(hit, F.lit(0)), at.cast("int")))
