@@ -28,9 +28,9 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = norm(v)
-    # the choice stands within the lambda: around it, it gives wrong arrays inside zip_with (Spark 4.1.2)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    # no aggregate may stand within a lambda here: Spark 4.1.2 then gives wrong sums around it
+    d = doubles(v)
+    return F.zip_with(d, F.array_repeat(norm(v), F.size(d)), lambda x, n: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
 def score_from_squared(distance: Column) -> Column:
