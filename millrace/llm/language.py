@@ -12,13 +12,16 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, emitted
+from .common import append_columns, emitted, stored
 
 UNKNOWN = "und"
+#: Unseen words whose scores a worker keeps; when full, it starts anew.
+CACHED_WORDS = 200_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -26,8 +29,8 @@ _words = re.compile(r"[^\W\d_]+").findall
 class Fit:
     """Bounds of the model and of the sample it is fitted on."""
 
-    sample_rows: int = 20_000  #: labelled rows about, chosen by a hash of the id
-    words: int = 20_000  #: words that the model keeps
+    sample_rows: int = 6_000  #: labelled rows about, chosen by a hash of the id
+    words: int = 40_000  #: words that the model keeps
     grams: int = 20_000  #: n-grams that the model keeps
     longest: int = 4  #: characters of the longest n-grams
 
@@ -86,7 +89,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         share = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 20))
         rows = rows.where(share < F.lit(math.ceil((1 << 20) * how.sample_rows / n)))
     counts = emitted(rows, [text, lang], _unit_rows(how.longest), "lang string, kind string, unit string, n long")
-    counts = counts.groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
+    counts = stored(counts.groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n")), "language-counts")
     totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     langs = tuple(sorted({lang for lang, _ in totals}))
     if not langs:
@@ -107,48 +110,66 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.floor = tuple(0.0 for _ in model.langs)
-        self.cache: dict[str, tuple[float, ...]] = {}
-
-    def word(self, word: str) -> tuple[float, ...]:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= 100_000:
-                self.cache.clear()
-            found = self.unseen(word)
-            if len(word) <= 64:
-                self.cache[word] = found
-        return found
-
-    def unseen(self, word: str) -> tuple[float, ...]:
-        """The mean over places of the longest known n-gram that starts there."""
-        padded, grams, n_places = f" {word} ", self.model.grams, 0
-        total = [0.0] * len(self.model.langs)
-        for i in range(len(padded) - 1):
-            for n in range(min(self.model.longest, len(padded) - i), 0, -1):
-                scores = grams.get(padded[i : i + n])
-                if scores is not None:
-                    n_places += 1
-                    for k, s in enumerate(scores):
-                        total[k] += s
-                    break
-        return tuple(s / n_places for s in total) if n_places else self.floor
+        self.rows = {w: i for i, w in enumerate(model.words)}
+        self.grams = {g: i for i, g in enumerate(model.grams)}
+        width = len(model.langs)
+        self.table = np.zeros((len(self.rows) + CACHED_WORDS, width))
+        self.table[: len(self.rows)] = np.array(list(model.words.values()), float).reshape(len(self.rows), width)
+        self.gram_table = np.array(list(model.grams.values()), float).reshape(len(self.grams), width)
+        self.cached: dict[str, int] = {}
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean, over the places in it, of the longest known n-gram that starts there."""
+        grams, longest = self.grams, self.model.longest
+        flat, counts = [], []
+        for word in words:
+            padded, before = f" {word} ", len(flat)
+            size = len(padded)
+            for i in range(size - 1):
+                for n in range(min(longest, size - i), 0, -1):
+                    at = grams.get(padded[i : i + n])
+                    if at is not None:
+                        flat.append(at)
+                        break
+            counts.append(len(flat) - before)
+        counts = np.array(counts, np.int64)
+        sums = np.concatenate([np.zeros((1, len(self.model.langs))), np.cumsum(self.gram_table[flat], 0)]) if flat else np.zeros((1, len(self.model.langs)))
+        ends = np.cumsum(counts)
+        return (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share (0 to 1) among the languages' likelihoods for each word."""
         words = letters(text)
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        total = [0.0] * len(self.model.langs)
+        rows, cached, known, of, lacking, times = self.rows, self.cached, [], [], [], []
         for word, n in Counter(words).items():
-            for k, s in enumerate(self.word(word)):
-                total[k] += n * s
-        best = max(range(len(total)), key=lambda k: (total[k], -k))
-        shares = [math.exp((s - total[best]) / len(words)) for s in total]
-        return self.model.langs[best], 1.0 / sum(shares)
+            at = rows.get(word)
+            if at is None:
+                at = cached.get(word)
+            if at is None:
+                lacking.append(word)
+                times.append(n)
+            else:
+                known.append(at)
+                of.append(n)
+        total = np.array(of, float) @ self.table[known] if known else np.zeros(len(self.model.langs))
+        for at in range(0, len(lacking), 10_000):
+            some = lacking[at : at + 10_000]
+            scores = self.unseen(some)
+            total = total + np.array(times[at : at + 10_000], float) @ scores
+            self.remember(some, scores)
+        best = int(np.argmax(total))
+        shares = np.exp((total - total[best]) / len(words))
+        return self.model.langs[best], float(1.0 / shares.sum())
+
+    def remember(self, words: list[str], scores: np.ndarray) -> None:
+        first = len(self.rows)
+        if len(self.cached) + len(words) > CACHED_WORDS:
+            self.cached.clear()
+        start = first + len(self.cached)
+        self.table[start : start + len(words)] = scores
+        self.cached.update(zip(words, range(start, start + len(words)), strict=True))
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
