@@ -146,6 +146,19 @@ QUERY_CORE = "MATCH|RETURN|CREATE|MERGE|WITH"
 NO_QUERY_MARKS = ("cannot be improved", "needs to be extended")
 ERROR_WORDS = "hallucinated|schema violation|syntax error"
 NOT_AVAILABLE = "information is not available|context does not contain|cannot be answered from the context|should state that the information is not found"
+#: Names of the rules in the samples (fixed values).
+SOURCES = {
+    "both_cannot": "qwen_and_gemini_cannot_generate",
+    "cannot_unclear": "qwen_cannot_generate_gemini_unclear",
+    "judged_cannot": "gemini_explicitly_cannot_generate_or_qwen_low_quality",
+    "query_suggestion": "gemini_suggestion_for_review",
+    "high_score": "qwen_high_score_by_gemini",
+    "high_score_suggestion": "qwen_high_score_by_gemini_with_minor_gemini_suggestion",
+    "no_answer_confirmed": "qwen_standard_no_answer_confirmed_by_gemini_context_insufficient",
+    "no_answer_suggested": "gemini_suggests_no_answer_due_to_insufficient_context",
+    "low_score_suggestion": "qwen_low_score_with_gemini_suggestion_for_review",
+    "no_answer_disputed": "qwen_no_answer_but_gemini_disagrees_or_context_sufficient_for_review",
+}
 NOTHING_TO_IMPROVE = "No improvement needed."
 
 
@@ -177,14 +190,14 @@ def query_samples(rows: DataFrame) -> DataFrame:
     keyword = F.upper(clean).rlike(QUERY_CORE)
     is_cannot = own == CANNOT
     rule = (
-        F.when(is_cannot & (cannot | (score <= 2)), "qwen_and_gemini_cannot_generate")
+        F.when(is_cannot & (cannot | (score <= 2)), SOURCES["both_cannot"])
         .when(is_cannot & (score >= 4) & upper.contains("MATCH"), F.lit(None))
-        .when(is_cannot, "qwen_cannot_generate_gemini_unclear")
-        .when(score >= 4, "qwen_high_score_by_gemini")
-        .when((F.length(said) > 0) & ~unlike & words, F.when(keyword, "gemini_suggestion_for_review"))
-        .when(cannot | ((score <= 2) & judged.rlike(ERROR_WORDS)), "gemini_explicitly_cannot_generate_or_qwen_low_quality")
+        .when(is_cannot, SOURCES["cannot_unclear"])
+        .when(score >= 4, SOURCES["high_score"])
+        .when((F.length(said) > 0) & ~unlike & words, F.when(keyword, SOURCES["query_suggestion"]))
+        .when(cannot | ((score <= 2) & judged.rlike(ERROR_WORDS)), SOURCES["judged_cannot"])
     )
-    completion = F.when(rule == "qwen_high_score_by_gemini", own).when(rule == "gemini_suggestion_for_review", clean).otherwise(F.lit(CANNOT))
+    completion = F.when(rule == SOURCES["high_score"], own).when(rule == SOURCES["query_suggestion"], clean).otherwise(F.lit(CANNOT))
     return rows.where(F.length("question") > 0).select(
         "interaction_id", F.coalesce(F.nullif("prompt", F.lit("")), "question").alias("prompt"), completion.alias("completion"), own.alias("original"),
         score.alias("score"), rule.alias("source_of_ideal"),
@@ -207,13 +220,13 @@ def answer_samples(rows: DataFrame) -> DataFrame:
     none, enough = answer == NO_ANSWER, F.coalesce("sufficiency", F.lit("Unknown"))
     more = (F.length(said) > 0) & (said != NOTHING_TO_IMPROVE)
     rule = (
-        F.when(none & (enough == "Insufficient") & (overall >= 4), "qwen_standard_no_answer_confirmed_by_gemini_context_insufficient")
-        .when(~none & (enough == "Insufficient") & (complete <= 2) & F.lower(said).rlike(NOT_AVAILABLE), "gemini_suggests_no_answer_due_to_insufficient_context")
-        .when(~none & (overall >= 4) & (faithful >= 4) & (relevant >= 4), F.when(more, "qwen_high_score_by_gemini_with_minor_gemini_suggestion").otherwise("qwen_high_score_by_gemini"))
-        .when((overall < 4) & more & (F.length(said) > 10), "qwen_low_score_with_gemini_suggestion_for_review")
-        .when(none & ((enough == "Sufficient") | ((enough == "Partially Sufficient") & (complete >= 3))) & (overall < 4), "qwen_no_answer_but_gemini_disagrees_or_context_sufficient_for_review")
+        F.when(none & (enough == "Insufficient") & (overall >= 4), SOURCES["no_answer_confirmed"])
+        .when(~none & (enough == "Insufficient") & (complete <= 2) & F.lower(said).rlike(NOT_AVAILABLE), SOURCES["no_answer_suggested"])
+        .when(~none & (overall >= 4) & (faithful >= 4) & (relevant >= 4), F.when(more, SOURCES["high_score_suggestion"]).otherwise(SOURCES["high_score"]))
+        .when((overall < 4) & more & (F.length(said) > 10), SOURCES["low_score_suggestion"])
+        .when(none & ((enough == "Sufficient") | ((enough == "Partially Sufficient") & (complete >= 3))) & (overall < 4), SOURCES["no_answer_disputed"])
     )
-    completion = F.when(rule == "gemini_suggests_no_answer_due_to_insufficient_context", F.lit(NO_ANSWER)).otherwise(answer)
+    completion = F.when(rule == SOURCES["no_answer_suggested"], F.lit(NO_ANSWER)).otherwise(answer)
     return rows.select("interaction_id", "prompt", completion.alias("completion"), answer.alias("original"), overall.alias("score"), rule.alias("source_of_ideal")).where("source_of_ideal is not null")
 
 
