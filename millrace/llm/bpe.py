@@ -11,15 +11,24 @@ twice. What comes out is what merging by rank would give.
 from __future__ import annotations
 
 import base64
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_arrays
 from .token_counts import strict_spaces
 
 #: Entries of a worker's caches: of pieces with their ids, and of adjacent pairs.
-PIECE_CACHE, PAIR_CACHE, CACHED_BYTES = 250_000, 1_000_000, 64
+PIECE_CACHE, PAIR_CACHE, CACHED_CHARS = 200_000, 300_000, 64
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens with their ranks, which are their ids."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
 class BytePairEncoder:
@@ -28,20 +37,19 @@ class BytePairEncoder:
     def __init__(self, path: str):
         import ahocorasick
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = read_ranks(path)
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ids.items():
-            self.automaton.add_word(token, (len(token), rank))
+            self.automaton.add_word(token, (len(token) - 1, rank))
         self.automaton.make_automaton()
         self.prefix: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.memo: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
         self._undo_merges()
 
     def _undo_merges(self) -> None:
@@ -87,63 +95,78 @@ class BytePairEncoder:
                         return True
 
     def adjacent(self, left: int, right: int) -> bool:
-        known = self.memo.get((left, right))
+        """``_adjacent`` by way of the memo."""
+        key = left << 32 | right
+        known = self.memo.get(key)
         if known is None:
             if len(self.memo) >= PAIR_CACHE:
                 self.memo.clear()
-            known = self.memo[left, right] = self._adjacent(left, right)
+            known = self.memo[key] = self._adjacent(left, right)
         return known
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece of Latin-1 characters that stand for its bytes."""
         whole = self.ids.get(piece)
         if whole is not None:
-            return (whole,)
-        longest: list[int] = [-1] * len(piece)
-        for end, (n, rank) in self.automaton.iter(piece):
-            start = end - n + 1
-            if longest[start] < 0 or n > self.length[longest[start]]:
-                longest[start] = rank
+            return [whole]
+        total = len(piece)
+        longest = [-1] * total
+        for end, (back, rank) in self.automaton.iter(piece):
+            longest[end - back] = rank  # matches from one start come in order of their ends
         out: list[int] = []
-        open_at = bytearray(b"\x01") * (len(piece) + 1)
-        at, token, total, length, prefix, memo = 0, longest[0], len(piece), self.length, self.prefix, self.memo
+        open_at = bytearray(b"\x01") * (total + 1)
+        at, token, last = 0, longest[0], -1
+        length, prefix, memo, adjacent = self.length, self.prefix, self.memo, self.adjacent
         while at < total:
             end = at + length[token]
-            last = out[-1] if out else -1
-            if open_at[end] and (last < 0 or (memo[last, token] if (last, token) in memo else self.adjacent(last, token))):
+            if open_at[end]:
+                if last < 0:
+                    fits = True
+                else:
+                    fits = memo.get(last << 32 | token)
+                    if fits is None:
+                        fits = adjacent(last, token)
+            else:
+                fits = False
+            if fits:
                 out.append(token)
-                at = end
-                token = longest[at] if at < total else -1
+                last, at = token, end
+                if at < total:
+                    token = longest[at]
             elif prefix[token] >= 0:
                 token = prefix[token]
             else:
-                open_at[at] = 0
-                if not out:
-                    raise ValueError("the vocabulary lacks single bytes of the text")
-                out.pop()
-                at -= length[last]
-                token = prefix[last]
+                token = -1
                 while token < 0:
                     open_at[at] = 0
+                    if not out:
+                        raise ValueError("the vocabulary lacks single bytes of the text")
                     token = out.pop()
                     at -= length[token]
                     token = prefix[token]
-        return tuple(out)
+                last = out[-1] if out else -1
+        return out
+
+    def packed(self, pieces: list[str]) -> bytes:
+        """Ids of a text, from the pieces that the pattern gives, as native 32-bit integers."""
+        cache = self.pieces
+        lacking = set(pieces).difference(cache)
+        if len(cache) + len(lacking) > PIECE_CACHE:
+            cache.clear()
+            lacking = set(pieces)
+        if not lacking:
+            return b"".join(map(cache.__getitem__, pieces))
+        own = {}
+        for piece in lacking:
+            ids = array("i", self.encode_piece(piece.encode("utf-8").decode("latin-1"))).tobytes()
+            (cache if len(piece) <= CACHED_CHARS and len(cache) < PIECE_CACHE else own)[piece] = ids
+        if own:
+            return b"".join([own[p] if p in own else cache[p] for p in pieces])
+        return b"".join(map(cache.__getitem__, pieces))
 
     def encode(self, pieces: list[str]) -> list[int]:
         """Ids of a text from the pieces that the pattern gives."""
-        out: list[int] = []
-        cache = self.pieces
-        for piece in pieces:
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
-                if len(piece) <= CACHED_BYTES:
-                    if len(cache) >= PIECE_CACHE:
-                        cache.clear()
-                    cache[piece] = ids
-            out += ids
-        return out
+        return array("i", self.packed(pieces)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -172,24 +195,36 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out
         split, codec = regex.compile(strict_spaces(pattern)).findall, encoder(path)
 
         def work(texts):
-            for t in texts:
-                yield (codec.encode(split(t)) if t else [],)
+            parts = [codec.packed(split(t)) if t else b"" for t in texts.to_pylist()]
+            ends = [0]
+            for p in parts:
+                ends.append(ends[-1] + len(p) // 4)
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
         return work
 
-    return append_columns(docs, [text], make, [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return append_arrays(docs, [text], make, [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
 
 def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that an array of ids stands for; a null array gives no bytes."""
 
     def make():
-        codec = encoder(path)
-
-        def work(rows):
-            for row in rows:
-                yield (codec.decode(row or []),)
+        bytes_of = {rank: token for token, rank in read_ranks(path).items()}
+        tokens = pa.array([bytes_of.get(i) for i in range(max(bytes_of) + 1)], pa.large_binary())
+
+        def work(lists):
+            lists = pa.array([row or [] for row in lists.to_pylist()], pa.list_(pa.int32())) if lists.null_count else lists
+            # the bytes of all ids in order; a text's bytes are those between its first id and its last
+            told = tokens.take(lists.flatten())
+            if told.null_count:
+                raise ValueError("an id that the vocabulary lacks")
+            starts = pa.array([0, *lists.value_lengths().to_pylist()], pa.int64()).to_numpy().cumsum()
+            offsets = np.frombuffer(told.buffers()[1], np.int64)[told.offset : told.offset + len(told) + 1][starts]
+            data = told.buffers()[2] or pa.py_buffer(b"")
+            return [pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.copy()), data]).cast(pa.binary())]
 
         return work
 
-    return append_columns(docs, [ids], make, [T.StructField(out, T.BinaryType())])
+    return append_arrays(docs, [ids], make, [T.StructField(out, T.BinaryType())])

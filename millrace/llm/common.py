@@ -62,13 +62,27 @@ def append_columns(
     values (one list per input) to an iterable of tuples of new values. A new column
     replaces a column of ``df`` that has its name.
     """
+
+    def make_arrays():
+        work, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
+
+        def over(*columns):
+            rows = list(work(*(c.to_pylist() for c in columns)))
+            return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+        return over
+
+    return append_arrays(df, inputs, make_arrays, fields)
+
+
+def append_arrays(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list]], fields: list[T.StructField]) -> DataFrame:
+    """As ``append_columns``, for a function from Arrow arrays to a list of Arrow arrays."""
     kept = [f for f in df.schema.fields if f.name.lower() not in {n.name.lower() for n in fields}]
     source = df.select(
         *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(kept)),
         *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(inputs)),
     )
     schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
-    kinds = [to_arrow_type(f.dataType) for f in fields]
     n_kept, n_in = len(kept), len(inputs)
 
     def run(batches):
@@ -76,11 +90,8 @@ def append_columns(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                values = [part.column(n_kept + i).to_pylist() for i in range(n_in)]
-                rows = list(work(*values))
-                made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                columns = [part.column(i) for i in range(n_kept)] + made
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                made = work(*(part.column(n_kept + i) for i in range(n_in)))
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_kept)] + list(made), names=schema.names)
 
     out = source.mapInArrow(run, schema)
     names = [f.name for f in kept] + [f.name for f in fields]
