@@ -134,6 +134,14 @@ def test_warc_least_bytes_and_empty_table(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_keeps_every_record_of_large_files(spark):
+    pages = spark.range(3_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html")).coalesce(1)
+    path = scratch_path(spark, "warc-test")
+    warc.write_warc(pages, path)
+    out = warc.read_warc(spark, path).where("whole").select("page_id").collect()
+    assert sorted(r.page_id for r in out) == list(range(3_000))
+
+
 def test_broken_segments_are_told(spark):
     records = [r for p in ([b"a" * 50_000], [b"b" * 50_000]) for r in warc.page_records(p[0][0], "u", p[0], warc.payload_digest(p[0]), None, False, str(p[0][0]), 16_384)]
     rows = [tuple(x) for d in records for x in warc.parsed_records(d + b"\r\n\r\n")]
