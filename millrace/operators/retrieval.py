@@ -139,9 +139,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     """
     wanted = queries.select(F.col(query_key), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     terms = wanted.select("term").distinct()
+    if terms.count() <= BROADCAST_TERMS:  # beyond that the join is Spark's to choose
+        terms = F.broadcast(terms)
     rows = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    counted = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(terms.limit(MAX_TERMS)), "term")
+    counted = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term")
     counted = counted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -151,8 +153,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     return matched.groupBy(query_key, "id").agg(F.sum(part).alias("score"))
 
 
-#: Distinct terms of the queries at once; more are left out of no query, since queries come in blocks.
-MAX_TERMS = 100_000
+#: Distinct terms of the queries that are broadcast.
+BROADCAST_TERMS = 100_000
 
 
 def ranked(scores: DataFrame, k: int, by: list[str], key: str = "id", score: str = "score") -> DataFrame:

@@ -122,7 +122,7 @@ def _all_hits(spark, sf_dir):
     """Keyword and vector hits of every benchmark item, ten each."""
     corpus = table(spark, sf_dir, "embeddings")
     keys = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    queries = corpus.select(F.col("vec_id").alias("query_id"), "embedding").join(F.broadcast(keys.limit(r.MAX_QUERIES)), "query_id", "left_semi")
+    queries = corpus.select(F.col("vec_id").alias("query_id"), "embedding").join(keys, "query_id", "left_semi")
     near = r.vector_topk_batch(corpus.select("vec_id", "embedding"), queries, 10)
     near = near.select("query_id", F.col("vec_id").alias("id"), "place")
     words = _keyword_hits(spark, sf_dir, 10).select("query_id", "id", "place")
