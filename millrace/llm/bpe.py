@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .common import append_arrays
 from .token_counts import strict_spaces
 
-#: Entries of a worker's caches: of pieces with their ids, and of adjacent pairs.
-PIECE_CACHE, PAIR_CACHE, CACHED_CHARS = 200_000, 300_000, 64
+#: Entries of a worker's caches: of pieces with their ids, of pieces seen once, and of adjacent pairs.
+PIECE_CACHE, SEEN_ONCE, PAIR_CACHE, CACHED_CHARS = 200_000, 300_000, 1_000_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,18 +38,26 @@ class BytePairEncoder:
         import ahocorasick
 
         ranks = read_ranks(path)
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the vocabulary lacks single bytes")
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
+        size = max(ranks.values()) + 1
+        self.length = [0] * size
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ids.items():
             self.automaton.add_word(token, (len(token) - 1, rank))
         self.automaton.make_automaton()
-        self.prefix: dict[int, int] = {}
+        self.prefix = [-1] * size
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.memo: dict[int, bool] = {}
+        #: For each token which tokens may follow it and which may not, as far as it is known.
+        self.memo: list[dict[int, bool]] = [{} for _ in range(size)]
+        self.noted = 0
         self.pieces: dict[str, bytes] = {}
+        self.once: set[int] = set()
         self._undo_merges()
 
     def _undo_merges(self) -> None:
@@ -68,7 +76,6 @@ class BytePairEncoder:
                     self.merged[left, right] = rank
                     break
                 left = self.prefix[left]
-        self.memo.clear()
 
     def _adjacent(self, left: int, right: int) -> bool:
         """Whether BPE keeps two tokens side by side.
@@ -95,13 +102,13 @@ class BytePairEncoder:
                         return True
 
     def adjacent(self, left: int, right: int) -> bool:
-        """``_adjacent`` by way of the memo."""
-        key = left << 32 | right
-        known = self.memo.get(key)
-        if known is None:
-            if len(self.memo) >= PAIR_CACHE:
-                self.memo.clear()
-            known = self.memo[key] = self._adjacent(left, right)
+        """``_adjacent``, noted in the memo of what may follow ``left``."""
+        if self.noted >= PAIR_CACHE:
+            self.noted = 0
+            for after in self.memo:
+                after.clear()
+        self.noted += 1
+        known = self.memo[left][right] = self._adjacent(left, right)
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -113,56 +120,63 @@ class BytePairEncoder:
         longest = [-1] * total
         for end, (back, rank) in self.automaton.iter(piece):
             longest[end - back] = rank  # matches from one start come in order of their ends
-        out: list[int] = []
-        open_at = bytearray(b"\x01") * (total + 1)
-        at, token, last = 0, longest[0], -1
-        length, prefix, memo, adjacent = self.length, self.prefix, self.memo, self.adjacent
-        while at < total:
+        length, prefix, memo = self.length, self.prefix, self.memo
+        token = longest[0]
+        at = length[token]
+        out, last, closed = [token], token, None
+        token = longest[at]
+        while True:
             end = at + length[token]
-            if open_at[end]:
-                if last < 0:
-                    fits = True
-                else:
-                    fits = memo.get(last << 32 | token)
-                    if fits is None:
-                        fits = adjacent(last, token)
-            else:
+            if closed is not None and closed[end]:
                 fits = False
+            elif last >= 0:
+                fits = memo[last].get(token)
+                if fits is None:
+                    fits = self.adjacent(last, token)
+            else:
+                fits = True
             if fits:
                 out.append(token)
+                if end == total:
+                    return out
                 last, at = token, end
-                if at < total:
-                    token = longest[at]
+                token = longest[at]
             elif prefix[token] >= 0:
                 token = prefix[token]
             else:
+                if closed is None:
+                    closed = bytearray(total + 1)
                 token = -1
                 while token < 0:
-                    open_at[at] = 0
-                    if not out:
-                        raise ValueError("the vocabulary lacks single bytes of the text")
+                    closed[at] = 1
                     token = out.pop()
                     at -= length[token]
                     token = prefix[token]
                 last = out[-1] if out else -1
-        return out
 
     def packed(self, pieces: list[str]) -> bytes:
         """Ids of a text, from the pieces that the pattern gives, as native 32-bit integers."""
-        cache = self.pieces
-        lacking = set(pieces).difference(cache)
-        if len(cache) + len(lacking) > PIECE_CACHE:
+        cache, once = self.pieces, self.once
+        if len(cache) >= PIECE_CACHE:
             cache.clear()
-            lacking = set(pieces)
+        lacking = set(pieces).difference(cache)
         if not lacking:
             return b"".join(map(cache.__getitem__, pieces))
-        own = {}
+        if len(once) >= SEEN_ONCE:
+            once.clear()
+        passing, room = [], PIECE_CACHE - len(cache)
         for piece in lacking:
-            ids = array("i", self.encode_piece(piece.encode("utf-8").decode("latin-1"))).tobytes()
-            (cache if len(piece) <= CACHED_CHARS and len(cache) < PIECE_CACHE else own)[piece] = ids
-        if own:
-            return b"".join([own[p] if p in own else cache[p] for p in pieces])
-        return b"".join(map(cache.__getitem__, pieces))
+            cache[piece] = array("i", self.encode_piece(piece.encode("utf-8").decode("latin-1"))).tobytes()
+            seen = hash(piece)
+            if room > 0 and seen in once and len(piece) <= CACHED_CHARS:
+                room -= 1
+            else:  # most pieces never come again, so that one is kept from the second time on
+                once.add(seen)
+                passing.append(piece)
+        out = b"".join(map(cache.__getitem__, pieces))
+        for piece in passing:
+            del cache[piece]
+        return out
 
     def encode(self, pieces: list[str]) -> list[int]:
         """Ids of a text from the pieces that the pattern gives."""
