@@ -19,6 +19,10 @@ from .common import stored
 from .components import components
 
 
+#: Rows that are compared in one call, about; each block pair stays whole.
+BATCH_ROWS = 2_000
+
+
 @dataclass(frozen=True)
 class Hashing:
     tables: int = 4
@@ -133,7 +137,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
         "cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root"), "least_id"
     )
     info = stored(info, "vector-info")
-    ids = info.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # stored, so that the join below is free to split a hot root's rows
+    ids = stored(info.groupBy("root").agg(F.min("least_id").alias("component_id")), "vector-components")
     info = info.join(ids, "root").select("cls", "n_links", "component_id")
     # a hot class has its rows on one side only, which a skewed join splits
     out = rows.select("vec_id", "cls").join(info, "cls", "left")
@@ -150,26 +155,35 @@ def class_links(classes: DataFrame, least: float, how: Hashing) -> DataFrame:
     # buckets with one class give no pair; in the others a class's block is by its hash
     filled = hashed.groupBy("bucket", "width").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     filled = filled.withColumn("blocks", F.ceil(F.col("m") / how.block_rows).cast("int"))
+    total = filled.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
     placed = hashed.join(filled, ["bucket", "width"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # a row goes to the block pairs (i, j), i <= j, that have its block
+    # a row goes to the block pairs (i, j), i <= j, that have its block; many pairs share a task's call
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = placed.select("cls", "bucket", "width", "block", other)
-    spread = spread.select("cls", "bucket", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    pair = F.xxhash64("bucket", "width", F.least("block", "other"), F.greatest("block", "other"))
+    spread = spread.select("cls", "width", "block", pair.alias("pair"))
+    spread = spread.withColumn("batch", F.pmod("pair", F.lit(max(1, int(total) // BATCH_ROWS))))
     with_v = spread.join(classes.select("cls", "v"), "cls")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.drop_duplicates("cls").reset_index(drop=True)
-        x = _unit(own.v.tolist())
-        cos = x @ x.T
-        a, b = np.nonzero(np.triu(cos >= least - 1e-9, 1))
-        names = own.cls.to_numpy()
-        first, second = names[a], names[b]
-        if own.block.nunique() > 1:  # pairs within a block are found where i = j
-            keep = own.block.to_numpy()[a] != own.block.to_numpy()[b]
-            first, second = first[keep], second[keep]
-        return pd.DataFrame({"a": np.where(first < second, first, second), "b": np.where(first < second, second, first)})
-
-    near = with_v.groupBy("bucket", "width", "i", "j").applyInPandas(compared, "a string, b string").distinct()
+        found = []
+        for _, rows in pdf.groupby("width"):
+            rows = rows.sort_values("pair", kind="stable")
+            x, names, block, pair = _unit(rows.v.tolist()), rows.cls.to_numpy(), rows.block.to_numpy(), rows.pair.to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if end - start < 2:
+                    continue
+                own = x[start:end]
+                a, b = np.nonzero(np.triu(own @ own.T >= least - 1e-9, 1))
+                a, b = a + start, b + start
+                if block[start:end].min() != block[start:end].max():  # pairs within a block are found where i = j
+                    across = block[a] != block[b]
+                    a, b = a[across], b[across]
+                found += [(min(p), max(p)) for p in zip(names[a], names[b], strict=True)]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype=object)
+
+    near = with_v.groupBy("batch").applyInPandas(compared, "a string, b string").where("a <> b").distinct()
     va = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"))
     vb = classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"))
     return near.join(va, "a").join(vb, "b").mapInPandas(_verified(least), "a string, b string")
