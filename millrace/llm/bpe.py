@@ -154,6 +154,12 @@ class BytePairEncoder:
                     token = prefix[token]
                 last = out[-1] if out else -1
 
+    def forget(self) -> None:
+        """Give up the caches; the tables stay for the worker's next task."""
+        self.pieces, self.once, self.noted = {}, set(), 0
+        for after in self.memo:
+            after.clear()
+
     def packed(self, pieces: list[str]) -> bytes:
         """Ids of a text, from the pieces that the pattern gives, as native 32-bit integers."""
         cache, once = self.pieces, self.once
@@ -216,6 +222,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
+        work.done = codec.forget  # else idle workers would hold memory that other stages need
         return work
 
     return append_arrays(docs, [text], make, [T.StructField(out, T.ArrayType(T.IntegerType()))])

@@ -76,7 +76,10 @@ def append_columns(
 
 
 def append_arrays(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list]], fields: list[T.StructField]) -> DataFrame:
-    """As ``append_columns``, for a function from Arrow arrays to a list of Arrow arrays."""
+    """As ``append_columns``, for a function from Arrow arrays to a list of Arrow arrays.
+
+    The function may have an attribute ``done`` that is called at a task's end.
+    """
     kept = [f for f in df.schema.fields if f.name.lower() not in {n.name.lower() for n in fields}]
     source = df.select(
         *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(kept)),
@@ -92,6 +95,8 @@ def append_arrays(df: DataFrame, inputs: list[str], make: Callable[[], Callable[
                 part = batch.slice(at, SLICE_ROWS)
                 made = work(*(part.column(n_kept + i) for i in range(n_in)))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_kept)] + list(made), names=schema.names)
+        if done := getattr(work, "done", None):
+            done()
 
     out = source.mapInArrow(run, schema)
     names = [f.name for f in kept] + [f.name for f in fields]
