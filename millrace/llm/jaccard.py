@@ -438,7 +438,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     roots = components(set_links(docs, sets_of, key, text, percent, size, part_sets)).select(F.col("node").alias("sig"), "root")
     least = sets_of.groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that the join below is free to split a hot root's rows
+    ids = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-ids")
     by_sig = named.join(ids, "root").select("sig", "component_id")
     # a hot set has its rows on one side only, which a skewed join splits
     out = rows.join(by_sig, "sig", "left")
