@@ -166,7 +166,8 @@ def _prefix_rows(size: int, percent: int, shared):
     """(gram, sig, need): a prefix's n-grams that aren't frequent, and how many must be shared.
 
     The prefix has n // 12 n-grams beyond those needed, so a linked set shares as many; the
-    least partner has ``percent`` of n, hence ``need``. Frequent n-grams count as shared.
+    least partner has ``percent`` of n, hence ``need``. Frequent n-grams count as shared. A
+    set that needs no more sends (sig, sig, 0) to stay, and its prefix for others to meet.
     """
 
     def make():
@@ -184,8 +185,7 @@ def _prefix_rows(size: int, percent: int, shared):
                 need = max(1, least // 12) - max(0, length - len(cold))
                 if need <= 0:
                     yield sig, sig, 0
-                else:
-                    yield from ((h, sig, need) for h in cold[:length].tolist())
+                yield from ((h, sig, max(0, need)) for h in cold[:length].tolist())
 
         return work
 
@@ -357,7 +357,7 @@ def set_links(docs: DataFrame, sets_of: DataFrame, key: str, text: str, percent:
     prefix = emitted(docs, [text], _prefix_rows(size, percent, shared), "gram long, sig long, need int")
     by_gram = Window.partitionBy("gram")
     met = prefix.withColumn("lo", F.min("sig").over(by_gram)).withColumn("hi", F.max("sig").over(by_gram))
-    met = met.where("need = 0 or lo <> hi").select("sig", "gram", "need").distinct()
+    met = met.where("if(need = 0, gram = sig, lo <> hi)").select("sig", "gram", "need").distinct()
     near = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select("sig")
     near = stored(near, "jaccard-near")
     # their sets, from the texts of one document each

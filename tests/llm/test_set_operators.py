@@ -79,6 +79,19 @@ def test_jaccard_equals_plain_join(spark, seed, part_sets):
     assert all(r.n_shingles == sizes[r.doc_id] and r.component_id == expected[r.doc_id] for r in out)
 
 
+def test_jaccard_meets_sets_whose_frequent_grams_cover_their_need(spark):
+    passage, rows = [f"p{i}" for i in range(69)], []  # 65 shingles that all sets have
+    for pair in range(24):
+        own = [f"o{pair}-{i}" for i in range(15 + 2 * (pair % 4))]
+        more = [f"m{pair}-{i}" for i in range(20 + pair % 5)]
+        rows += [" ".join(passage + own), " ".join(passage + own + more)]
+    docs = list(enumerate(rows))
+    _, expected = plain_components(docs)
+    assert sum(expected[i] != i for i in expected) >= 20
+    out = jaccard.ngram_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == expected
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (None, "only here"), (None, None)]
