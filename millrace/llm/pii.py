@@ -10,8 +10,12 @@ Patterns above a confidence find identifiers that the rules miss.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ class Bootstrap:
 
     rounds: int = 3
     least_seeds: int = 5  #: distinct seeds that a pattern must come before
-    patterns: int = 5_000  #: patterns that are broadcast, the best supported ones
+    patterns: int = 5_000  #: patterns that are broadcast at once; more are matched block by block
     confidence: float = 0.6  #: of a pattern that may find identifiers
 
 
@@ -169,14 +173,18 @@ def _following_rows(shared):
                 for t in texts:
                     if not t:
                         continue
-                    base, rows, reached = {s: (k, e) for k, s, e in base_spans(t)}, set(), 0
+                    base, rows, reached, i = {s: (k, e) for k, s, e in base_spans(t)}, set(), 0, 0
+                    starts = sorted(base)
                     for start, own in _places(t, wanted, tails):
-                        if start < reached:
+                        while i < len(starts) and starts[i] < start:
+                            reached = max(reached, base[starts[i]][1])
+                            i += 1
+                        if start < reached:  # inside a base span, whatever block of patterns is matched
                             continue
                         for p in own:
                             if start in base:
-                                kind, reached = base[start]
-                                rows.add((p, kind, t[start:reached].lower(), 1))
+                                kind, end = base[start]
+                                rows.add((p, kind, t[start:end].lower(), 1))
                             elif found := _loose(t, start, wanted[p]):
                                 rows.add((p, -1, t[start : found[1]].lower(), 1))
                             else:
@@ -203,24 +211,38 @@ def _loose(text: str, start: int, kinds) -> tuple[int, int] | None:
     return None
 
 
+def _blocks(patterns: DataFrame, limit: int) -> Iterator[dict[str, tuple[int, ...]]]:
+    """Rows (pattern, kinds) in blocks of at most ``limit`` patterns, a block at a time on the driver."""
+    rows = patterns.toLocalIterator()
+    while block := {r.pattern: tuple(r.kinds) for r in islice(rows, limit)}:
+        yield block
+
+
 def learned_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> dict[str, tuple[int, ...]]:
-    """Patterns of high confidence with the kinds they introduce, at most ``how.patterns`` of them.
+    """All patterns of high confidence with the kinds they introduce."""
+    good = _good_patterns(docs, text, how)
+    return {r.pattern: tuple(r.kinds) for r in good.collect()} if good is not None else {}
+
+
+def _good_patterns(docs: DataFrame, text: str, how: Bootstrap) -> DataFrame | None:
+    """(pattern, kinds) of high confidence, or None where no pattern has enough seeds.
 
-    All counts are over all rows. Seeds are made distinct before they are counted, so a
-    hot seed or text weighs no more than another.
+    Every pattern of enough seeds is scored; they are matched in blocks of ``how.patterns``,
+    each broadcast alone. All counts are over all rows. Seeds are made distinct before they
+    are counted, so a hot seed or text weighs no more than another.
     """
     spark = docs.sparkSession
     seeds = emitted(docs, [text], _seed_rows, "kind int, pattern string, instance string").distinct()
     support = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= how.least_seeds)
-    best = support.orderBy(F.desc("n"), "pattern", "kind").limit(how.patterns).collect()
-    wanted: dict[str, tuple[int, ...]] = {}
-    for row in best:
-        wanted[row.pattern] = (*wanted.get(row.pattern, ()), row.kind)
-    if not wanted:
-        return {}
-    shared = spark.sparkContext.broadcast(wanted)
-    rows = emitted(docs, [text], _following_rows(shared), "pattern string, kind int, instance string, n long")
-    graph = stored(rows.groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "pii-graph")
+    kinds = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "kind")))
+    wanted = stored(support.groupBy("pattern").agg(F.transform(kinds, lambda x: x["kind"]).alias("kinds")), "pii-wanted")
+    graphs = []
+    for block in _blocks(wanted, how.patterns):
+        rows = emitted(docs, [text], _following_rows(spark.sparkContext.broadcast(block)), "pattern string, kind int, instance string, n long")
+        graphs.append(stored(rows.groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "pii-graph"))
+    if not graphs:
+        return None
+    graph = reduce(DataFrame.unionByName, graphs)
     edges = graph.where("kind >= -1").select("pattern", "kind", "instance")
     plain = graph.where("kind = -2").select("pattern", F.col("n").cast("double").alias("plain"))
     believed = edges.where("kind >= 0").select("instance", F.lit(1.0).alias("belief")).distinct()
@@ -237,49 +259,98 @@ def learned_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Boots
         derived = edges.where("kind = -1").join(scores, "pattern").groupBy("instance").agg((F.lit(1.0) - doubt).alias("belief"))
         seeds_kept = edges.where("kind >= 0").select("instance", F.lit(1.0).alias("belief")).distinct()
         believed = stored(seeds_kept.unionByName(derived).groupBy("instance").agg(F.max("belief").alias("belief")), "pii-beliefs")
-    good = scores.where(F.col("confidence") >= how.confidence).select("pattern").limit(how.patterns).collect()
-    return {row.pattern: wanted[row.pattern] for row in good}
+    return stored(wanted.join(scores.where(F.col("confidence") >= how.confidence), "pattern").select("pattern", "kinds"), "pii-good")
 
 
-def _extended(text: str, base: list[tuple[int, int, int]], patterns: dict[str, tuple[int, ...]], tails: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Spans that patterns find outside the base spans, without overlaps."""
-    taken, out, reached, i = sorted((s, e) for _, s, e in base), [], 0, 0
+def _candidates(text: str, patterns: dict[str, tuple[int, ...]], tails: frozenset[str]) -> list[tuple[int, int, int, int]]:
+    """(start, words of the longest pattern before it, kind or -1, end) of each place that follows a pattern."""
+    out = []
     for start, own in _places(text, patterns, tails):
-        if start >= reached and (found := _loose(text, start, patterns[own[-1]])):
+        kind, end = _loose(text, start, patterns[own[-1]]) or (-1, start)
+        out.append((start, 1 + (" " in own[-1]), kind, end))
+    return out
+
+
+def _longest(candidates: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of candidates of several blocks, at each place the longest pattern's."""
+    return list({c[0]: c for c in sorted(candidates)}.values())
+
+
+def _extended(base: list[tuple[int, int, int]], candidates: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of candidates outside the base spans, without overlaps."""
+    taken, out, reached, i = sorted((s, e) for _, s, e in base), [], 0, 0
+    for start, _, kind, end in candidates:
+        if start >= reached and kind >= 0:
             while i < len(taken) and taken[i][1] <= start:
                 i += 1
-            if i == len(taken) or taken[i][0] >= found[1]:
-                out.append((found[0], start, found[1]))
-                reached = found[1]
+            if i == len(taken) or taken[i][0] >= end:
+                out.append((kind, start, end))
+                reached = end
     return out
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
+CANDIDATES = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("start", "words", "kind", "end")]))
+
+
+def _as_tuples(rows) -> list[tuple[int, int, int, int]]:
+    return [(r["start"], r["words"], r["kind"], r["end"]) for r in rows or []]
+
+
+def _candidate_rows(shared):
+    """Candidates of a block of patterns, with those of the blocks before it."""
+
+    def make():
+        patterns = shared.value
+        tails = _tails(patterns)
+
+        def work(texts, earlier=None):
+            for n, t in enumerate(texts):
+                found = _candidates(t, patterns, tails) if t else []
+                found = _longest([*found, *(_as_tuples(earlier[n]) if earlier is not None else [])])
+                yield ([dict(zip(("start", "words", "kind", "end"), c, strict=True)) for c in found],)
+
+        return work
+
+    return make
+
 
 def personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with base_spans and spans (base and found ones), each by kind and start.
 
     Offsets are code points, ends exclusive. A null or empty text has no spans; repeated
     rows get equal spans and support patterns once; an empty table learns no pattern.
-    Columns named base_spans or spans are replaced, other columns stay.
+    Columns named base_spans or spans are replaced, other columns stay. Patterns are
+    matched block by block; what all blocks but the last find is kept in stored tables.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learned_patterns(docs, text, how))
+    good = _good_patterns(docs, text, how)
+    blocks = _blocks(good, how.patterns) if good is not None else iter(())
+    held, out, block = f"found_{uuid.uuid4().hex}", docs, next(blocks, {})
+    while (after := next(blocks, None)) is not None:
+        inputs = [text, held] if held in out.columns else [text]
+        out = stored(append_columns(out, inputs, _candidate_rows(docs.sparkSession.sparkContext.broadcast(block)), [T.StructField(held, CANDIDATES)]), "pii-found")
+        block = after
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
         patterns = shared.value
         tails = _tails(patterns)
 
-        def work(texts):
-            for t in texts:
+        def work(texts, earlier=None):
+            for n, t in enumerate(texts):
                 base = base_spans(t)
-                found = _extended(t, base, patterns, tails) if t and patterns else []
+                found = _candidates(t, patterns, tails) if t and patterns else []
+                if earlier is not None:
+                    found = _longest([*found, *_as_tuples(earlier[n])])
+                found = _extended(base, found)
                 as_rows = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans]
                 yield as_rows(base), as_rows(sorted(base + found) if found else base)
 
         return work
 
-    return append_columns(docs, [text], make, [T.StructField("base_spans", SPANS), T.StructField("spans", SPANS)])
+    inputs = [text, held] if held in out.columns else [text]
+    return append_columns(out, inputs, make, [T.StructField("base_spans", SPANS), T.StructField("spans", SPANS)]).drop(held)
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:

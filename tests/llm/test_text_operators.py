@@ -265,6 +265,20 @@ def test_patterns_find_unseen_identifiers(spark):
     assert cut[45] == "Other text then Contact mail: [EMAIL] end" and cut[3].startswith("Some words here. Contact mail: [EMAIL] and")
 
 
+def test_patterns_beyond_one_broadcast_are_scored_and_applied(spark):
+    rows = [(i, f"text the user{i}@site.org and the end, the word{i}") for i in range(40)]  # much support, little confidence
+    rows += [(100 + i, f"Please write to desk mail: a{i}@b{i}.org or dial line +1 555 010 {1000 + i} now") for i in range(8)]
+    rows += [(200 + i, f"Please write to desk mail: a{i} (at) b{i} (dot) org or dial line 555 019 {1000 + i} now") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda how: {r.doc_id: [tuple(s) for s in r.spans] for r in pii.personal_data(docs, how=how).collect()}
+    whole = pii.learned_patterns(docs)
+    assert {"mail:", "desk mail:", "line", "dial line"} <= set(whole) and "the" not in whole
+    assert pii.learned_patterns(docs, how=pii.Bootstrap(patterns=1)) == whole
+    found = spans(pii.Bootstrap())
+    assert [s[0] for s in found[200]] == ["email", "phone"]
+    assert spans(pii.Bootstrap(patterns=1)) == found
+
+
 def test_personal_data_odd_cases(spark):
     out = pii.personal_data(odd_docs(spark)).collect()
     assert len(out) == 11 and all([(pii.KINDS.index(s.kind), s.start, s.end) for s in r.base_spans] == plain_spans(r.text) for r in out)
