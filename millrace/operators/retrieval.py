@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,22 +73,23 @@ def vector_topk(corpus: DataFrame, query: list[float], k: int = 5, where: dict |
 def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """The ``k`` nearest rows for each of a stated set of queries: query_key, key, distance, place.
 
-    The corpus passes once against all queries, which travel as one array in a broadcast
-    row; each task keeps its own ``k`` best for each query before anything is shuffled.
-    ``queries`` must be a small set; its size is checked.
+    The corpus passes once for each block of ``MAX_QUERIES`` queries, which travel as one
+    array in a broadcast row; of each slice of the corpus only the ``k`` best for each query
+    are kept before the last ranking. All query vectors pass through the driver.
     """
-    found = queries.select(F.col(query_key).alias("q"), vectors.normalized(F.col(vector)).alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(found) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once; pass them in blocks")
+    found = queries.select(F.col(query_key).alias("q"), vectors.normalized(F.col(vector)).alias("v")).toLocalIterator()
     spec = queries.schema[query_key].dataType.simpleString()
-    listed = corpus.sparkSession.createDataFrame([([(r.q, r.v) for r in found],)], f"qs array<struct<q:{spec},v:array<double>>>")
     units = corpus.select(F.col(key), vectors.normalized(F.col(vector)).alias("u"))
-    pairs = units.join(F.broadcast(listed)).select(key, "u", F.inline("qs")).select(
-        F.col("q").alias(query_key), key, vectors.squared_l2(F.col("u"), F.col("v")).alias("distance")
-    )
     # two steps: the best of each slice of the corpus, then the best of those
     slices = Window.partitionBy(query_key, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("distance", key)
-    best = pairs.withColumn("place", F.row_number().over(slices)).where(F.col("place") <= k)
+    parts = []
+    while (block := list(islice(found, MAX_QUERIES))) or not parts:
+        listed = corpus.sparkSession.createDataFrame([([(r.q, r.v) for r in block],)], f"qs array<struct<q:{spec},v:array<double>>>")
+        pairs = units.join(F.broadcast(listed)).select(key, "u", F.inline("qs")).select(
+            F.col("q").alias(query_key), key, vectors.squared_l2(F.col("u"), F.col("v")).alias("distance")
+        )
+        parts.append(pairs.withColumn("place", F.row_number().over(slices)).where(F.col("place") <= k))
+    best = reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return best.withColumn("place", place).where(F.col("place") <= k)
 

@@ -17,6 +17,18 @@ def test_vectors(spark):
     assert math.isclose(df.select(vectors.squared_l2(vectors.normalized(F.col("z")), vectors.normalized(F.col("b"))).alias("d")).first().d, 1.0)
 
 
+def test_vector_topk_batch_answers_more_queries_than_a_block(spark, monkeypatch):
+    points = [(i, [math.cos(i), math.sin(i)]) for i in range(30)]
+    corpus = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i % 22, v) for i, v in points[:23]], "query_id long, embedding array<double>")  # 0 comes twice
+    ranked = lambda: sorted((r.query_id, r.place, r.vec_id, r.distance) for r in retrieval.vector_topk_batch(corpus, queries, 3).collect())
+    whole = ranked()
+    assert len(whole) == 22 * 3 and all(v == q for q, place, v, _ in whole if place == 1)
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 5)
+    assert ranked() == whole
+    assert retrieval.vector_topk_batch(corpus, queries.limit(0), 3).count() == 0
+
+
 def test_metadata_filters(spark):
     df = spark.range(10).select(F.col("id").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
     n = lambda w: df.where(retrieval.where_column(w)).count()
