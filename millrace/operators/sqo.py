@@ -224,9 +224,9 @@ def compile_query(df: DataFrame, query: dict) -> DataFrame:
     raise QueryError(f"no operation {kind!r}")
 
 
-def shaped_result(df: DataFrame, limit: int = 10_000):
-    """A small result as plain values: a scalar, a record, a list or records; a message if empty."""
-    rows = [r.asDict() for r in df.limit(limit).collect()]
+def shaped_result(df: DataFrame):
+    """A whole result as plain values on the driver: a scalar, a record, a list or records; a message if empty."""
+    rows = [r.asDict() for r in df.collect()]
     if not rows:
         return "the query gave no rows"
     if len(df.columns) == 1:

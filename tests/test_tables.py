@@ -77,6 +77,11 @@ def test_answers(rows):
     assert not ask(operation_type="group_by_aggregate", group_by_columns=[], aggregation_column="zz", aggregation_function="sum")["success"]
 
 
+def test_answers_hold_all_values(spark):
+    answer = sqo.respond(spark.range(10_050), {"operation_type": "get_unique_values", "column_name": "id"})
+    assert answer["success"] and sorted(answer["result"]) == list(range(10_050))
+
+
 def test_filters_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = sqo.apply_filters(df, [{"column": "o_orderdate", "operator": ">", "value": "1998-01-01", "is_date": True}, {"column": "o_orderstatus", "operator": "==", "value": "F"}])[0]
