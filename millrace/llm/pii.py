@@ -141,8 +141,12 @@ def _before(text: str, start: int) -> list[str]:
     """The lexical patterns of the place: the last word, and the last two, before it."""
     if start and not text[start - 1].isspace():
         return []
-    words = _normal(text[max(0, start - 80) : start]).split()
-    words = words[1:] if start > 80 else words  # the first may be cut
+    size, words = 80, []
+    while len(words) < 3:  # of three the first may be cut
+        words = _normal(text[max(0, start - size) : start]).split()
+        if size >= start:
+            break
+        size *= 4
     return [*words[-1:], *([" ".join(words[-2:])] if len(words) > 1 else [])]
 
 
@@ -206,7 +210,7 @@ def _following_rows(shared):
 def _loose(text: str, start: int, kinds) -> tuple[int, int] | None:
     """(kind, end) of the identifier that may begin at a place, for the pattern's kinds."""
     for kind in kinds:
-        if m := _LOOSE[kind].match(text, start, start + 200):
+        if m := _LOOSE[kind].match(text, start):
             return kind, m.end()
     return None
 

@@ -279,6 +279,15 @@ def test_patterns_beyond_one_broadcast_are_scored_and_applied(spark):
     assert spans(pii.Bootstrap(patterns=1)) == found
 
 
+def test_long_identifiers_and_lead_ins_are_whole():
+    name, word = "n" * 250, "w" * 120
+    text = f"mail: {name} (at) host (dot) net end"
+    assert pii._candidates(text, {"mail:": (0,)}, frozenset(["mail:"])) == [(6, 1, 0, len(text) - 4)]
+    text = f"so {word} {word} a@b.org"
+    assert pii._before(text, text.index("a@")) == [word, f"{word} {word}"]
+    assert pii._before("a b", 2) == ["a"] and pii._before("a b", 0) == [] and pii._before("x " * 90, 180) == ["x", "x x"]
+
+
 def test_personal_data_odd_cases(spark):
     out = pii.personal_data(odd_docs(spark)).collect()
     assert len(out) == 11 and all([(pii.KINDS.index(s.kind), s.start, s.end) for s in r.base_spans] == plain_spans(r.text) for r in out)
