@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_arrays
+from .common import Step, append_steps
 from .token_counts import strict_spaces
 
 #: Entries of a worker's caches: of pieces with their ids, of pieces seen once, and of adjacent pairs.
@@ -154,12 +155,6 @@ class BytePairEncoder:
                     token = prefix[token]
                 last = out[-1] if out else -1
 
-    def forget(self) -> None:
-        """Give up the caches; the tables stay for the worker's next task."""
-        self.pieces, self.once, self.noted = {}, set(), 0
-        for after in self.memo:
-            after.clear()
-
     def packed(self, pieces: list[str]) -> bytes:
         """Ids of a text, from the pieces that the pattern gives, as native 32-bit integers."""
         cache, once = self.pieces, self.once
@@ -192,27 +187,14 @@ class BytePairEncoder:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_encoders: dict[str, BytePairEncoder] = {}
-
-
-def encoder(path: str) -> BytePairEncoder:
-    """The vocabulary's encoder, made once for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = BytePairEncoder(path)
-    return _encoders[path]
-
-
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each whole text, without special tokens.
-
-    A null or empty text gives an empty array; repeated rows are encoded alike; an empty
-    table gives an empty one. A column named as ``out`` is replaced, other columns stay.
-    """
+def encode_step(path: str, pattern: str, text: str, out: str) -> Step:
+    """Each task makes its own encoder (in about half a second) and gives it up at its end, so
+    that idle workers hold no memory that other stages need."""
 
     def make():
         import regex
 
-        split, codec = regex.compile(strict_spaces(pattern)).findall, encoder(path)
+        split, codec = regex.compile(strict_spaces(pattern)).findall, BytePairEncoder(path)
 
         def work(texts):
             parts = [codec.packed(split(t)) if t else b"" for t in texts.to_pylist()]
@@ -222,15 +204,12 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
-        work.done = codec.forget  # else idle workers would hold memory that other stages need
         return work
 
-    return append_arrays(docs, [text], make, [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return Step([text], make, [T.StructField(out, T.ArrayType(T.IntegerType()))], arrays=True)
 
 
-def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes that an array of ids stands for; a null array gives no bytes."""
-
+def decode_step(path: str, ids: str, out: str) -> Step:
     def make():
         bytes_of = {rank: token for token, rank in read_ranks(path).items()}
         tokens = pa.array([bytes_of.get(i) for i in range(max(bytes_of) + 1)], pa.large_binary())
@@ -248,4 +227,28 @@ def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded
 
         return work
 
-    return append_arrays(docs, [ids], make, [T.StructField(out, T.BinaryType())])
+    return Step([ids], make, [T.StructField(out, T.BinaryType())], arrays=True)
+
+
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of each whole text, without special tokens.
+
+    A null or empty text gives an empty array; a very long one is encoded whole, in time
+    that grows with its length; repeated rows are encoded alike, and there are no ties,
+    since one sequence of merges is right; an empty table gives an empty one. A column
+    named as ``out`` is replaced, other columns stay.
+    """
+    return append_steps(docs, encode_step(path, pattern, text, out))
+
+
+def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` with the bytes that an array of ids stands for; a null array gives no bytes.
+
+    An id that the vocabulary lacks is an error. A column named as ``out`` is replaced.
+    """
+    return append_steps(docs, decode_step(path, ids, out))
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop: Sequence[str] = ()) -> DataFrame:
+    """As ``bpe_decode`` of ``bpe_encode``, in one pass, without the columns named in ``drop``."""
+    return append_steps(docs, encode_step(path, pattern, text, ids), decode_step(path, ids, decoded), drop=drop)

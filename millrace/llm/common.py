@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +35,15 @@ def scratch_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Scratch folders made within each open ``tidied`` block.
+_open: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -42,7 +53,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped_after(made: DataFrame, *used: DataFrame) -> DataFrame:
+    """``made``, a stored table, once the stored tables it was made from are removed."""
+    for df in used:
+        remove_path(df.sparkSession, df._scratch)
+    return made
+
+
+def joined_by(rows: DataFrame, one_each: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each key, so that a hot key's rows can be split.
+
+    After a sum by key Spark would deal the rows as the sum was dealt, and then can't split a
+    skewed partition; a second key, made of the first, has both sides dealt anew.
+    """
+    deal = f"deal_{uuid.uuid4().hex}"
+    return rows.withColumn(deal, F.xxhash64(key)).join(one_each.withColumn(deal, F.xxhash64(key)), [key, deal], how).drop(deal)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch folders made within the block, in which results must be written."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -50,21 +93,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def append_columns(
-    df: DataFrame,
-    inputs: list[str],
-    make: Callable[[], Callable[..., Iterator[tuple]]],
-    fields: list[T.StructField],
-) -> DataFrame:
-    """``df`` with more columns, computed row by row in Arrow batches.
+def release_memory() -> None:
+    """Give what a finished task held back to the system, since Python workers idle on beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # other C libraries than glibc
+        pass
+
 
-    ``make()`` is called once for each task and gives a function from lists of input
-    values (one list per input) to an iterable of tuples of new values. A new column
-    replaces a column of ``df`` that has its name.
+@dataclass(frozen=True)
+class Step:
+    """New columns, made from others in Arrow batches.
+
+    ``make()`` is called once for each task. It gives a function from lists of input values
+    (one list per input) to an iterable of tuples of new values or, where ``arrays`` is
+    set, from Arrow arrays to a list of Arrow arrays.
     """
 
-    def make_arrays():
-        work, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
+    inputs: list[str]
+    make: Callable[[], Callable]
+    fields: list[T.StructField]
+    arrays: bool = False
+
+    def made(self) -> Callable[..., list[pa.Array]]:
+        work = self.make()
+        if self.arrays:
+            return work
+        kinds = [to_arrow_type(f.dataType) for f in self.fields]
 
         def over(*columns):
             rows = list(work(*(c.to_pylist() for c in columns)))
@@ -72,35 +129,36 @@ def append_columns(
 
         return over
 
-    return append_arrays(df, inputs, make_arrays, fields)
-
 
-def append_arrays(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list]], fields: list[T.StructField]) -> DataFrame:
-    """As ``append_columns``, for a function from Arrow arrays to a list of Arrow arrays.
+def append_steps(df: DataFrame, *steps: Step, drop: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns of the steps, each of which may use those of the steps before, in one pass.
 
-    The function may have an attribute ``done`` that is called at a task's end.
+    A new column replaces one that has its name; columns named in ``drop`` are left out of
+    the result. A column goes to Python once, and only if a step or the result needs it.
     """
-    kept = [f for f in df.schema.fields if f.name.lower() not in {n.name.lower() for n in fields}]
-    source = df.select(
-        *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(kept)),
-        *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(inputs)),
-    )
-    schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
-    n_kept, n_in = len(kept), len(inputs)
+    new = {f.name.lower(): f for step in steps for f in step.fields}
+    out = [f for f in [*(f for f in df.schema.fields if f.name.lower() not in new), *new.values()] if f.name.lower() not in {d.lower() for d in drop}]
+    needed = {f.name.lower() for f in out if f.name.lower() not in new} | {i.lower() for step in steps for i in step.inputs}
+    sent = [f.name for f in df.schema.fields if f.name.lower() in needed]
+    keys, wanted = [n.lower() for n in sent], [f.name.lower() for f in out]
+    source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(out)])
 
     def run(batches):
-        work = make()
+        works = [step.made() for step in steps]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                made = work(*(part.column(n_kept + i) for i in range(n_in)))
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_kept)] + list(made), names=schema.names)
-        if done := getattr(work, "done", None):
-            done()
+                held = dict(zip(keys, part.columns, strict=True))
+                for step, work in zip(steps, works, strict=True):
+                    made = work(*(held[i.lower()] for i in step.inputs))
+                    held |= {f.name.lower(): m for f, m in zip(step.fields, made, strict=True)}
+                yield pa.RecordBatch.from_arrays([held[n] for n in wanted], names=schema.names)
+        del works
+        release_memory()
 
-    out = source.mapInArrow(run, schema)
-    names = [f.name for f in kept] + [f.name for f in fields]
-    return out.select(*(F.col(a).alias(b) for a, b in zip(schema.names, names, strict=True)))
+    made = source.mapInArrow(run, schema)
+    return made.select(*(F.col(a).alias(f.name) for a, f in zip(schema.names, out, strict=True)))
 
 
 def emitted(df: DataFrame, inputs: list[str], make: Callable[[], Callable], schema: str, rows_at_once: int = 20_000) -> DataFrame:
@@ -130,6 +188,8 @@ def emitted(df: DataFrame, inputs: list[str], make: Callable[[], Callable], sche
             held += rest()
         if held:
             yield packed(held)
+        del work, rest, held
+        release_memory()
 
     return df.select(*(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(inputs))).mapInArrow(run, struct)
 

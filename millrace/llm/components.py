@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_path, scratch_path
+from .common import joined_by, remove_path, scratch_path
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of ``edges``; the root is the least node of its component.
 
-    Each step groups edges by a node for the least neighbour only, and joins that back, so
-    a hub's edges are never gathered; steps are written to the shared folder, and the folder
-    of the step before is removed.
+    Each step groups edges by a node for the least neighbour only, and joins that back so
+    that a hub's edges can be split and are never gathered; steps are written to the shared
+    folder, and what the step before wrote is removed.
     """
     spark = edges.sparkSession
     paths: list[str] = []
@@ -32,10 +32,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = joined_by(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u").select("v", "u", "m")
+        linked = joined_by(large, large.groupBy("u").agg(F.min("v").alias("m")), "u").select("v", "u", "m")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v")))
         now = kept(small.where("u <> v").distinct())
         for path in paths[:-1]:

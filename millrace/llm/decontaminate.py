@@ -10,17 +10,19 @@ beyond the limits are removed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, stored
+from .common import Step, append_steps, emitted, stored
 
 #: Words of an item or document once A-Z are lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Items are put into automata of at most so many words, each broadcast by itself.
+#: Items are put into automata of at most so many words (or one item), each broadcast by itself.
 AUTOMATON_WORDS = 100_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _find = re.compile(WORD).finditer
@@ -162,38 +164,85 @@ FIELDS = T.StructType([
 ])
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
+def _digest(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", automaton_words: int = AUTOMATON_WORDS, after: Sequence[Step] = (), drop: Sequence[str] = ()) -> DataFrame:
     """``docs`` with n_words, hit_spans (word offsets, end exclusive) and hit_items (sorted).
 
-    The items are matched block by block, each block's automaton being broadcast alone, so
-    that what workers hold doesn't grow with the number of items; hits of more than one
-    block are kept in stored tables between them. Null or empty texts and items have no
-    words. An item with a null id counts for hits but isn't named; equal ids count as one
-    item. Columns of ``docs`` named like the three new ones are replaced.
+    Items come to the driver in blocks, one at a time, each of at most ``automaton_words``
+    words or one item, and each block's automaton is broadcast alone, so that what workers
+    hold doesn't grow with the number of items. One block is matched in one narrow pass. Of
+    several, each gives only the spans and items of texts that it hits, by the texts'
+    digests; these meet the documents in one join at the end, and no text is written.
+
+    Null or empty texts and items have no words. A very long text is streamed whole; its
+    words are held at once, and so are a very long item's. An item with a null id counts for
+    hits but isn't named; equal ids count as one item, and items that tie are all named.
+    Repeated rows are matched alike. Without documents or items there are no rows or no
+    hits. Columns of ``docs`` named like the three new ones are replaced. ``after`` are
+    steps that follow in the same pass, and columns named in ``drop`` are left out.
     """
-    out, n = docs, 0
-    for n, block in enumerate(_blocks(items, item_id, item_text, automaton_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(shared=shared):
-            machine = SuffixAutomaton(shared.value, window)
-
-            def work(texts, spans_before=None, items_before=None):
-                for i, t in enumerate(texts):
-                    words = words_of(t)
-                    spans, names = machine.match(words)
-                    names.discard(None)
-                    if spans_before is not None:
-                        spans = merged([*spans, *map(tuple, spans_before[i])])
-                        names |= set(items_before[i])
-                    yield len(words), spans, sorted(names)
-
-            return work
-
-        if n:
-            out = stored(out, "benchmark-hits")
-        out = append_columns(out, [text] if not n else [text, "hit_spans", "hit_items"], make, FIELDS.fields)
-    return out
+    blocks = _blocks(items, item_id, item_text, automaton_words)
+    first, more = next(blocks), next(blocks, None)
+    if more is None:
+        return append_steps(docs, Step([text], _matching(docs, first, window), FIELDS.fields), *after, drop=drop)
+    source = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null")
+    found = None
+    for block in chain([first, more], blocks):
+        hits = emitted(source.select("t", _digest(F.col("t")).alias("digest")), ["t", "digest"], _hit_rows(_matching(docs, block, window)), _HITS)
+        hits = stored(hits.distinct(), "benchmark-hits")
+        found = hits if found is None else found.unionByName(hits)
+    own = uuid.uuid4().hex  # no column of the documents is named so
+    held = [f"{name}_{own}" for name in ("digest", "spans", "items")]
+    hit_items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items"))))
+    by_text = found.groupBy(F.col("digest").alias(held[0])).agg(F.flatten(F.collect_list("hit_spans")).alias(held[1]), hit_items.alias(held[2]))
+    joined = docs.withColumn(held[0], _digest(F.col(f"`{text}`"))).join(stored(by_text, "benchmark-texts"), held[0], "left")
+    return append_steps(joined, Step([text, *held[1:]], _merging, FIELDS.fields), *after, drop=[*held, *drop])
+
+
+def _matching(docs: DataFrame, block: list, window: int):
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def make():
+        machine = SuffixAutomaton(shared.value, window)
+
+        def work(texts):
+            for t in texts:
+                words = words_of(t)
+                spans, names = machine.match(words)
+                names.discard(None)
+                yield len(words), spans, sorted(names)
+
+        return work
+
+    return make
+
+
+_HITS = "digest binary, hit_spans array<array<int>>, hit_items array<string>"
+
+
+def _hit_rows(matching):
+    def make():
+        match = matching()
+
+        def work(texts, digests):
+            for digest, (_, spans, names) in zip(digests, match(texts), strict=True):
+                if spans:
+                    yield digest, spans, names
+
+        return work
+
+    return make
+
+
+def _merging():
+    def work(texts, spans, names):
+        for t, own, items in zip(texts, spans, names, strict=True):
+            yield len(words_of(t)), merged([tuple(s) for s in own or []]), items or []
+
+    return work
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,8 +264,8 @@ def contaminated(coverage_percent: int = 5) -> F.Column:
     return (hit_words() > 0) & (hit_words() * 100 >= F.col("n_words") * coverage_percent)
 
 
-def without_spans(docs: DataFrame, text: str = "text", least_words: int = 13) -> DataFrame:
-    """Texts of ``benchmark_hits`` rows with hit spans of ``least_words`` words or more cut out."""
+def cut_step(text: str = "text", least_words: int = 13) -> Step:
+    """Cuts the hit spans of ``least_words`` words or more out of the text."""
 
     def make():
         def work(texts, spans):
@@ -233,4 +282,24 @@ def without_spans(docs: DataFrame, text: str = "text", least_words: int = 13) ->
 
         return work
 
-    return append_columns(docs, [text, "hit_spans"], make, [T.StructField(text, T.StringType())])
+    return Step([text, "hit_spans"], make, [T.StructField(text, T.StringType())])
+
+
+def without_spans(docs: DataFrame, text: str = "text", least_words: int = 13) -> DataFrame:
+    """Rows of ``benchmark_hits`` with the hit spans of ``least_words`` words or more cut out of the text.
+
+    A null text stays null; without such spans a text, whatever its length, stays as it is.
+    """
+    return append_steps(docs, cut_step(text, least_words))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, coverage_percent: int = 5, least_words: int = 13, window: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, without long hit spans, in one pass where one block of items suffices.
+
+    A document whose hit words are at least ``coverage_percent`` of its words goes; of the
+    others, spans of ``least_words`` hit words or more are cut out. Nulls, long texts, ties
+    and the rest are as in ``benchmark_hits``; documents without hits stay as they are, and
+    so do the columns, but for the three that ``benchmark_hits`` names.
+    """
+    hits = benchmark_hits(docs, items, window, text, item_id, item_text, after=[cut_step(text, least_words)], drop=["hit_items"])
+    return hits.where(~contaminated(coverage_percent)).drop("hit_spans", "n_words")

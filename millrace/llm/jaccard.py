@@ -1,26 +1,31 @@
 """N-gram Jaccard join with prefix trees.
 
 Documents become sets of hashed word n-grams; equal sets are one. Two linked sets share
-n-grams among the first few of each under any global order, so sets are grouped into
-blocks by what they share there:
+n-grams among the first few of each under any global order, so only sets that share one
+there are compared:
 
 1. Under the order of the hashes, with n-grams that are frequent in a sample moved to the
    end, a prefix somewhat longer than needed is compared. A set that shares too few n-grams
    with all others' prefixes can't be linked with any and is dropped. Most sets are.
-2. For the others, n-grams are ordered by their exact number of sets, and the sets that
-   share one in the needed prefix are joined into blocks (as connected components).
-3. The sets of a block, in parts of bounded size, go into a prefix tree. A set is compared
-   by one walk, in which sets that begin alike share the overlap counted so far; a subtree
-   is left when the rest of its lengths can't reach the threshold, or when all its sets are
-   connected with the walking one already. Of a large block, first the parts' own members,
-   then representatives of what has been connected are compared, and last all that is still
-   apart, so a group of near copies costs one link for each copy and no list of pairs.
-
-The result is exact but for 64-bit hashes of n-grams and sets.
+2. For the others, n-grams are ordered by their exact number of sets.
+3. Copies are drawn together: each set goes to the room of one n-gram of its prefix, chosen
+   by a hash, and a room's sets, in parts of bounded size, go into a prefix tree. A set is
+   compared by one walk, in which sets that begin alike share the overlap counted so far; a
+   subtree is left when the rest of its lengths can't reach the threshold, or when all its
+   sets are connected with the walking one already. Further rounds take other n-grams and
+   parts, and only rooms with sets that are still apart, so a group of near copies costs a
+   few walks for each copy and no list of pairs. Rounds save pairs; they decide no result.
+4. Of what is then still apart, sets are compared that share an n-gram of their prefixes at
+   places, and with lengths, from which a link is possible: each such set walks the prefix
+   trees of its candidates. Sets that are connected already are no candidates, so that texts
+   which share passages without being near copies cost what they share.
+
+The result is exact but for 64-bit hashes of n-grams; sets are named by 128-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 
 import numpy as np
@@ -28,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, emitted, stored
+from .common import SLICE_ROWS, dropped_after, emitted, joined_by, stored
 from .components import components
 
 _U = np.uint64
@@ -39,8 +44,15 @@ _PIECE = 1 << 18
 SAMPLE_ROWS, SAMPLE_LEAST, FREQUENT = 5_000, 8, 100_000
 #: Sets that a task remembers to have sent already.
 _SEEN = 50_000
-#: Sets of a block that are put into one tree.
-PART_SETS = 96
+#: Sets, and n-grams of sets, that are put into one tree, about.
+PART_SETS, PART_GRAMS = 96, 2_000_000
+#: Sets, and n-grams, that are handed to Python in one call, about.
+BATCH_SETS, BATCH_GRAMS = 1_500, 4_000_000
+#: Rounds in which copies are drawn together before pairs are looked at: at most so many, and
+#: another one only while a round connects one of so many sets that took part.
+ROUNDS, WORTH = 6, 16
+#: Lengths of one band are within this factor.
+BAND = 1.1
 
 
 class _Powers:
@@ -100,10 +112,16 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(_mixed(g).view(np.int64))
 
 
-def signature(grams: np.ndarray) -> int | None:
+def signature(grams: np.ndarray) -> bytes | None:
+    """128 bits that name a set, or None for the empty one."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64)) if len(grams) else None
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
+
+
+def short(sig: bytes | None) -> int | None:
+    """64 bits of a signature, for the first pass, in which a clash costs no result."""
+    return int.from_bytes(sig[:8], "little", signed=True) if sig is not None else None
 
 
 def _split(grams: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +140,9 @@ class _Seen:
     """Remembers the latest sets of a task, so that copies are sent once."""
 
     def __init__(self):
-        self.kept: OrderedDict[int, None] = OrderedDict()
+        self.kept: OrderedDict[bytes, None] = OrderedDict()
 
-    def __call__(self, sig: int) -> bool:
+    def __call__(self, sig: bytes) -> bool:
         if sig in self.kept:
             self.kept.move_to_end(sig)
             return True
@@ -139,7 +157,8 @@ def _set_rows(size: int):
         def work(ids, texts):
             for i, t in zip(ids, texts, strict=True):
                 grams = shingles(t, size)
-                yield i, len(grams), signature(grams)
+                sig = signature(grams)
+                yield i, len(grams), sig, short(sig)
 
         return work
 
@@ -163,7 +182,7 @@ def _gram_rows(size: int):
 
 
 def _prefix_rows(size: int, percent: int, shared):
-    """(gram, sig, need): a prefix's n-grams that aren't frequent, and how many must be shared.
+    """(gram, short sig, need): a prefix's n-grams that aren't frequent, and how many must be shared.
 
     The prefix has n // 12 n-grams beyond those needed, so a linked set shares as many; the
     least partner has ``percent`` of n, hence ``need``. Frequent n-grams count as shared. A
@@ -182,10 +201,10 @@ def _prefix_rows(size: int, percent: int, shared):
                 cold, _ = _split(grams, frequent)
                 least = _least_overlap(n, percent)
                 length = min(n, n - least + max(1, n // 12))
-                need = max(1, least // 12) - max(0, length - len(cold))
+                need, own = max(1, least // 12) - max(0, length - len(cold)), short(sig)
                 if need <= 0:
-                    yield sig, sig, 0
-                yield from ((h, sig, max(0, need)) for h in cold[:length].tolist())
+                    yield own, own, 0
+                yield from ((h, own, max(0, need)) for h in cold[:length].tolist())
 
         return work
 
@@ -202,7 +221,7 @@ def _full_rows(size: int, shared):
                 sig = signature(grams)
                 if sig is not None and not seen(sig):
                     cold, hot = _split(grams, frequent)
-                    yield sig, len(grams), cold, hot
+                    yield sig, short(sig), len(grams), cold, hot
 
         return work
 
@@ -316,26 +335,35 @@ def tree_links(sets: list[np.ndarray], groups: list, probes: list[bool], percent
     return out
 
 
-def _in_parts(percent: int):
+def _walked(percent: int):
+    """Links (a, b), as the sets' groups, found in the rooms of a batch, each of which has a prefix tree of its own."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.concatenate([c, h]).astype(np.int64) for c, h in zip(pdf.cold, pdf.hot, strict=True)]
-        probes = pdf.probe.tolist()
-        sigs = pdf.sig.tolist()
-        links = [(sigs[i], sigs[j]) for i, j in tree_links(sets, pdf.grp.tolist(), probes, percent)]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        links = []
+        for _, room in pdf.groupby("room", sort=False):
+            sets = [np.concatenate([c, h]).astype(np.int64) for c, h in zip(room.cold, room.hot, strict=True)]
+            groups = room.grp.tolist()
+            links += [(groups[i], groups[j]) for i, j in tree_links(sets, groups, room.probe.tolist(), percent)]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=object)
 
     return run
 
 
-def _linked(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links among the rows (keys, sig, grp, probe) that share keys."""
-    return members.join(sets.select("sig", "cold", "hot"), "sig").groupBy(*keys).applyInPandas(_in_parts(percent), "a long, b long")
+def _linked(rooms: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """Links between groups (a, b) within the rooms of rows (room, sig, n, grp, probe), and whether they are many."""
+    rooms = stored(rooms, "jaccard-rooms")
+    rows, grams = rooms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()
+    batches = 1 + max(rows // BATCH_SETS, grams // BATCH_GRAMS)
+    dealt = rooms.drop("n").withColumn("batch", F.pmod("room", F.lit(batches)))
+    found = dealt.join(sets.select("sig", "cold", "hot"), "sig").groupBy("batch").applyInPandas(_walked(percent), "a binary, b binary")
+    found = dropped_after(stored(found, "jaccard-links"), rooms)
+    return found, found.count() * WORTH > rows
 
 
 def ngram_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, sig): the size of a document's set and the hash that names it (null: empty)."""
+    """(doc_id, n_shingles, sig, short): the size of a document's set and the hashes that name it (null: empty)."""
     kind = docs.schema[key].dataType.simpleString()
-    return emitted(docs, [key, text], _set_rows(size), f"doc_id {kind}, n_shingles long, sig long")
+    return emitted(docs, [key, text], _set_rows(size), f"doc_id {kind}, n_shingles long, sig binary, short long")
 
 
 def frequent_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
@@ -349,98 +377,145 @@ def frequent_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return np.array(sorted(r.gram for r in kept), np.int64)
 
 
-def set_links(docs: DataFrame, sets_of: DataFrame, key: str, text: str, percent: int, size: int, part_sets: int = PART_SETS) -> DataFrame:
-    """Links (a, b) of set hashes that connect all sets that are linked, directly or not."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_grams(docs, text, size))
-    # 1: sets that share enough of a prefix with others
+def near_sets(docs: DataFrame, sets_of: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
+    """(sig, n, cold, hot) of the sets that share enough of a prefix with others, frequent n-grams apart."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, text, size))
     prefix = emitted(docs, [text], _prefix_rows(size, percent, shared), "gram long, sig long, need int")
     by_gram = Window.partitionBy("gram")
     met = prefix.withColumn("lo", F.min("sig").over(by_gram)).withColumn("hi", F.max("sig").over(by_gram))
     met = met.where("if(need = 0, gram = sig, lo <> hi)").select("sig", "gram", "need").distinct()
-    near = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select("sig")
+    near = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select(F.col("sig").alias("short"))
     near = stored(near, "jaccard-near")
     # their sets, from the texts of one document each
-    ids = sets_of.join(near, "sig").groupBy("sig").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct()
+    ids = sets_of.join(near, "short").groupBy("sig").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct()
     source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t"))
     texts = source.join(ids, "id", "left_semi").select("t").unionByName(source.where("id is null").select("t"))
-    full = emitted(texts, ["t"], _full_rows(size, shared), "sig long, n int, cold array<bigint>, hot array<bigint>", rows_at_once=SLICE_ROWS)
-    sets = stored(full.join(near, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
-    # 2: blocks by the needed prefix under the exact order
+    full = emitted(texts, ["t"], _full_rows(size, shared), "sig binary, short long, n int, cold array<bigint>, hot array<bigint>", rows_at_once=SLICE_ROWS)
+    return dropped_after(stored(full.join(near, "short", "left_semi").drop("short").dropDuplicates(["sig"]), "jaccard-sets"), near)
+
+
+def needed_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, n, own, taken): of each set's needed prefix, under the order by the number of sets that
+    have an n-gram and frequent n-grams last, how many no other set has, and those others have."""
     grams = sets.select("sig", F.explode("cold").alias("gram"))
-    counted = grams.withColumn("df", F.count(F.lit(1)).over(by_gram)).where("df > 1")
+    counted = grams.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1")
     common = counted.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("common"))
-    n = F.col("n")
-    needed = n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1
-    ordered = F.concat(F.coalesce(F.transform("common", lambda x: x["gram"]), F.array().cast("array<bigint>")), F.col("hot"))
-    own = F.size("cold") - F.coalesce(F.size("common"), F.lit(0))
-    first = sets.select("sig", "n", "cold", "hot").join(common, "sig", "left").select("sig", ordered.alias("ordered"), (needed - own).cast("int").alias("take"))
-    keys = stored(first.where("take > 0").select("sig", F.explode(F.slice("ordered", F.lit(1), F.col("take"))).alias("gram")), "jaccard-keys")
-    hubs = keys.groupBy("gram").agg(F.min("sig").alias("hub"), F.max("sig").alias("hi")).where("hub <> hi").select("gram", "hub")
-    blocks = components(keys.join(hubs, "gram").where("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct())
-    blocks = stored(blocks.select(F.col("node").alias("sig"), F.col("root").alias("block")), "jaccard-blocks")
-    # 3: prefix trees
-    def parts(members: DataFrame, salt: int) -> DataFrame:
-        sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-        part = F.pmod(F.xxhash64(F.lit(salt), "sig"), F.ceil(F.col("m") / part_sets)).cast("int")
-        return members.join(sizes, "block").select("block", part.alias("part"), "sig", "m", F.col("sig").alias("grp"), F.lit(False).alias("probe"))
-
-    members = parts(blocks, 0)
-    links = stored(_linked(members.drop("m"), sets, ["block", "part"], percent), "jaccard-links")
-    large = stored(members.where(F.col("m") > part_sets).select("sig", "block"), "jaccard-large")
-    before = large.count()
-    if not before:
-        return links
-    salt = 0
-    while True:  # representatives of the large blocks
-        salt += 1
-        rooted = stored(_rooted(large, links), "jaccard-rooted")
-        heads = rooted.select(F.col("grp").alias("sig"), "block").distinct()
-        count = heads.count()
-        heads = parts(heads, salt)
-        found = stored(_linked(heads.where("m > 1").drop("m"), sets, ["block", "part"], percent), "jaccard-links")
-        if not found.head(1):
-            break
-        links = links.unionByName(found)
-        if count > before // 2:
-            rooted = stored(_rooted(large, links), "jaccard-rooted")
+    n, none = F.col("n"), F.array().cast("array<bigint>")
+    ordered = F.concat(F.coalesce(F.transform("common", lambda x: x["gram"]), none), F.col("hot"))
+    own = (F.size("cold") - F.when(F.col("common").isNull(), 0).otherwise(F.size("common"))).cast("int")
+    take = (n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1).cast("int") - own
+    taken = F.when(take > 0, F.slice(ordered, F.lit(1), take)).otherwise(none)
+    first = sets.select("sig", "n", "cold", "hot").join(common, "sig", "left").select("sig", "n", own.alias("own"), taken.alias("taken"))
+    return first.where(F.size("taken") > 0)
+
+
+def _merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (sig, grp) once the links between groups are followed; a group is named by its least set."""
+    roots = components(links).select(F.col("node").alias("grp"), "root")
+    out = grouped.join(roots, "grp", "left").select("sig", F.coalesce("root", "grp").alias("grp"))
+    return dropped_after(stored(out, "jaccard-groups"), grouped, links)
+
+
+def _drawn_together(first: DataFrame, turn: int, part_sets: int) -> DataFrame:
+    """Rooms of the sets that chose the same n-gram of their prefixes and aren't all connected."""
+    chosen = F.array_min(F.transform("taken", lambda g: F.struct(F.xxhash64(F.lit(turn), g).alias("h"), g.alias("g"))))["g"]
+    members = first.select("sig", "n", "grp", chosen.alias("gram"))
+    sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("long")).alias("w"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    sizes = sizes.where("lo <> hi").select("gram", F.greatest(F.ceil(F.col("m") / part_sets), F.ceil(F.col("w") / PART_GRAMS)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(turn), "sig"), F.col("parts"))
+    return joined_by(members, sizes, "gram").select(F.xxhash64("gram", part).alias("room"), "sig", "n", "grp", F.lit(False).alias("probe"))
+
+
+def candidate_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, ga, b, nb, gb), a not shorter, of sets that aren't connected and may link by their prefixes.
+
+    The first n-gram that two linked sets share stands so early in both that the rest can
+    still hold the overlap they need; pairs meet by (n-gram, band of the shorter length).
+    Of each n-gram's sets, those of the largest group are never paired with each other.
+    """
+    placed = first.select("sig", "n", "grp", F.posexplode("taken").alias("i", "gram"), "own").withColumn("pos", F.col("own") + F.col("i")).drop("i", "own")
+    by_group = placed.groupBy("gram", "grp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by_group.groupBy("gram").agg(F.max_by("grp", F.struct("m", "grp")).alias("major"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("gram", "major")
+    placed = stored(joined_by(placed, mixed, "gram").withColumn("minor", F.col("grp") != F.col("major")).drop("major"), "jaccard-placed")
+
+    def overlap(n, m):  # that two sets of such lengths need
+        return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+    def band(n):
+        return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
+
+    n, pos = F.col("n"), F.col("pos")
+    least = F.ceil(n * F.lit(percent) / F.lit(100))
+    index = placed.where(n - pos >= overlap(n, n)).select("gram", band(n).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("sig", "n", "grp", "pos", "minor")))
+    probe = placed.withColumn("band", F.explode(F.sequence(band(least), band(n))))
+    probe = probe.where(n - pos >= overlap(n, F.greatest(least, F.floor(F.pow(F.lit(BAND), F.col("band"))) - 1)))
+    na, nb = n, F.col("n_b")
+    may = ((na > nb) | ((na == nb) & (F.col("sig") > F.col("sig_b")))) & (F.lit(100) * nb >= F.lit(percent) * na) & (F.col("grp") != F.col("grp_b"))
+    may = may & (na - pos >= overlap(na, nb)) & (nb - F.col("pos_b") >= overlap(na, nb))
+    ways = ((probe.where("minor"), index), (probe.where("not minor"), index.where("minor_b")))
+    met = [a.join(b, ["gram", "band"]).where(may).select("sig", "n", "grp", "sig_b", "n_b", "grp_b") for a, b in ways]
+    return dropped_after(stored(met[0].unionByName(met[1]).distinct(), "jaccard-pairs"), placed)
+
+
+def _visits(pairs: DataFrame, part_sets: int) -> DataFrame:
+    """Rooms in which a set walks the tree of its candidates, or of a part of them."""
+    degree = pairs.groupBy("sig").agg(F.greatest(F.ceil(F.count(F.lit(1)) / part_sets), F.ceil(F.sum(F.col("n_b").cast("long")) / PART_GRAMS)).cast("int").alias("parts"))
+    room = lambda part: F.xxhash64(F.lit("visit"), "sig", part).alias("room")
+    hosts = joined_by(pairs, degree, "sig").select(room(F.pmod(F.xxhash64("sig_b"), F.col("parts")).cast("int")), F.col("sig_b").alias("sig"), F.col("n_b").alias("n"), F.col("grp_b").alias("grp"), F.lit(False).alias("probe"))
+    guests = pairs.select("sig", "n", "grp").distinct().join(degree, "sig").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return hosts.unionByName(guests.select(room(F.col("part").cast("int")), "sig", "n", "grp", F.lit(True).alias("probe")))
+
+
+def set_groups(sets: DataFrame, percent: int, part_sets: int = PART_SETS) -> DataFrame:
+    """(sig, grp) of the sets of ``near_sets`` that may link with any; the sets that are linked, directly or not, have one grp."""
+    first = stored(needed_prefixes(sets, percent), "jaccard-first")
+    grouped = stored(first.select("sig", F.col("sig").alias("grp")), "jaccard-groups")
+    for turn in range(ROUNDS):
+        links, many = _linked(_drawn_together(first.join(grouped, "sig"), turn, part_sets), sets, percent)
+        grouped = _merged(grouped, links)
+        if not many:
             break
-        before = count
-    # what is still apart: all sets outside a block's largest group against the whole block
-    groups = rooted.groupBy("block", "grp").agg(F.count(F.lit(1)).alias("m"))
-    largest = groups.groupBy("block").agg(F.max_by("grp", F.struct("m", "grp")).alias("largest"), F.count(F.lit(1)).alias("groups"), F.sum("m").alias("m"), F.max("m").alias("most")).where("groups > 1")
-    apart = rooted.join(largest, "block").withColumn("minor", F.col("grp") != F.col("largest"))
-    half = part_sets // 2
-    n_minor, n_all = F.ceil((F.col("m") - F.col("most")) / half).cast("int"), F.ceil(F.col("m") / half).cast("int")
-    bucket = lambda count: F.pmod(F.xxhash64(F.lit(-1), "sig"), count).cast("int")
-    walkers = apart.where("minor").select("block", bucket(n_minor).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "sig", "grp", F.lit(True).alias("probe"))
-    rooms = apart.select("block", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), bucket(n_all).alias("j"), "sig", "grp", F.lit(False).alias("probe"))
-    rest = stored(_linked(walkers.unionByName(rooms), sets, ["block", "i", "j"], percent), "jaccard-links")
-    return links.unionByName(rest)
-
-
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(sig, block, grp): what each set is connected with so far, named by its least set."""
-    roots = components(links).select(F.col("node").alias("sig"), "root")
-    return members.join(roots, "sig", "left").select("sig", "block", F.coalesce("root", "sig").alias("grp"))
+    pairs = candidate_pairs(first.join(grouped, "sig"), percent)
+    links, _ = _linked(_visits(pairs, part_sets), sets, percent)
+    return dropped_after(_merged(grouped, links), first, pairs)
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5, part_sets: int = PART_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
-    Rows link when the Jaccard similarity of their sets is at least ``percent`` per cent. A
-    null text, or one without words, has an empty set and links with nothing. Repeated rows
-    have one component and stay rows; a null id can't name a component unless all its ids
-    are null; an empty table gives an empty result; other columns are not read.
+    Rows link when the Jaccard similarity of their sets is at least ``percent`` per cent, a
+    tie at the threshold included. A null text, or one without words, has an empty set and
+    links with nothing. A very long text is one set like any other, which a tree of its own
+    may hold. Repeated rows have one component and stay rows; a null id can't name a
+    component unless all its ids are null; an empty table gives an empty result; other
+    columns, whatever their names, are not read.
     """
     rows = stored(ngram_sets(docs, key, text, size), "jaccard-docs")
     sets_of = rows.where("sig is not null")
-    roots = components(set_links(docs, sets_of, key, text, percent, size, part_sets)).select(F.col("node").alias("sig"), "root")
+    sets = near_sets(docs, sets_of, key, text, percent, size)
+    groups = dropped_after(set_groups(sets, percent, part_sets), sets)
     least = sets_of.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    named = least.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
-    # stored, so that the join below is free to split a hot root's rows
-    ids = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-ids")
-    by_sig = named.join(ids, "root").select("sig", "component_id")
-    # a hot set has its rows on one side only, which a skewed join splits
-    out = rows.join(by_sig, "sig", "left")
+    named = stored(least.join(groups, "sig", "left").select("sig", F.coalesce("grp", "sig").alias("grp"), "least"), "jaccard-named")
+    ids = named.groupBy("grp").agg(F.min("least").alias("component_id"))
+    out = rows.join(joined_by(named, ids, "grp").select("sig", "component_id"), "sig", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5, part_sets: int = PART_SETS) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates as ``ngram_components`` has them.
+
+    The row with the least id stays, null ids being the greatest; of different texts under
+    that id, the one whose digest is least. Rows that agree in id and text are one document,
+    of which the row with the least hash stays; an empty text and a null one agree. Texts
+    without words are near duplicates of nothing. All columns are kept; an empty table stays
+    empty; texts of any length are compared whole.
+    """
+    own, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = F.struct(own.isNull().alias("none"), own.alias("id"), F.substring(F.unhex(F.sha2(body.cast("binary"), 256)), 1, 16).alias("digest"))
+    found = ngram_components(docs.select(named.alias("key"), F.col(f"`{text}`").alias("text")), "key", "text", percent, size, part_sets)
+    held = f"key_{uuid.uuid4().hex}"
+    firsts = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(held)).agg(F.count(F.lit(1)).alias("copies")), "jaccard-firsts")
+    rows, columns = docs.withColumn(held, named), [F.col(f"`{c}`") for c in docs.columns]
+    once = rows.join(firsts.where("copies = 1"), held, "left_semi").select(columns)
+    repeated = rows.join(firsts.where("copies > 1"), held, "left_semi").groupBy(held).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return once.unionByName(repeated.select("row.*"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, emitted, stored
+from .common import Step, append_steps, emitted, remove_path, stored
 
 UNKNOWN = "und"
 #: Unseen words whose scores a worker keeps; when full, it starts anew.
@@ -27,82 +27,85 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the model and of the sample it is fitted on."""
+    """The sample that the model is fitted on, of which it keeps all words and n-grams."""
 
     sample_rows: int = 6_000  #: labelled rows about, chosen by a hash of the id
-    words: int = 40_000  #: words that the model keeps
-    grams: int = 20_000  #: n-grams that the model keeps
     longest: int = 4  #: characters of the longest n-grams
 
 
 def letters(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+    """The runs of letters of a text, in lower case; other digits than decimal ones are no letters."""
+    words = _words(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for part in words for w in ("".join(c if c.isalpha() else " " for c in part)).split()]
 
 
-def grams_of(word: str, longest: int):
-    padded = f" {word} "
-    for n in range(1, longest + 1):
-        for i in range(len(padded) - n + 1):
-            yield padded[i : i + n]
+def _word_rows():
+    """Counts of (lang, word), gathered within each task before they leave it."""
 
+    class Work:
+        def __init__(self):
+            self.counts = Counter()
 
-def _unit_rows(longest: int):
-    """Counts of (lang, kind, unit), gathered within each task before they leave it."""
+        def __call__(self, texts, langs):
+            for text, lang in zip(texts, langs, strict=True):
+                for word, n in Counter(letters(text)).items():
+                    self.counts[lang, word] += n
+            if len(self.counts) > 200_000:
+                yield from self.rest()
 
-    def make():
-        class Work:
-            def __init__(self):
-                self.counts = Counter()
-
-            def __call__(self, texts, langs):
-                for text, lang in zip(texts, langs, strict=True):
-                    for word, n in Counter(letters(text)).items():
-                        self.counts[lang, "w", word] += n
-                        for g in grams_of(word, longest):
-                            self.counts[lang, "g", g] += n
-                if len(self.counts) > 200_000:
-                    yield from self.rest()
-
-            def rest(self):
-                out = [(*k, n) for k, n in self.counts.items()]
-                self.counts.clear()
-                return out
-
-        return Work()
+        def rest(self):
+            out = [(*k, n) for k, n in self.counts.items()]
+            self.counts.clear()
+            return out
 
-    return make
+    return Work()
 
 
 @dataclass(frozen=True)
 class Model:
+    """Log frequencies of words and n-grams, a row of the arrays for each and a column for each language."""
+
     langs: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: list[str]
+    word_logs: np.ndarray
+    grams: list[str]
+    gram_logs: np.ndarray
     longest: int
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", how: Fit = Fit()) -> Model:
-    """The model from rows with a text and a language; of many rows a hashed sample is used."""
+    """The model from rows with a text and a language; of many rows a hashed sample is used.
+
+    What comes to the driver are the sample's words and n-grams with a count for each language.
+    """
     rows = labelled.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
     n = rows.select(F.lit(1)).count()
     if n > how.sample_rows:
         share = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 20))
         rows = rows.where(share < F.lit(math.ceil((1 << 20) * how.sample_rows / n)))
-    counts = emitted(rows, [text, lang], _unit_rows(how.longest), "lang string, kind string, unit string, n long")
-    counts = stored(counts.groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n")), "language-counts")
-    totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    langs = tuple(sorted({lang for lang, _ in totals}))
+    counts = emitted(rows, [text, lang], _word_rows, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "language-counts")
+    langs = tuple(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    padded = F.concat(F.lit(" "), F.col("unit"), F.lit(" "))
+    size = F.lit(how.longest)
+    starts = F.explode(F.sequence(F.lit(1), F.length("unit") + 2)).alias("at")
+    cuts = counts.select("lang", "n", padded.alias("word"), starts).select("lang", "n", "word", "at", F.explode(F.sequence(F.lit(1), F.least(size, F.length("word") - F.col("at") + 1))).alias("size"))
+    grams = cuts.select("lang", F.expr("substring(word, at, size)").alias("unit"), "n").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    tables = [_log_table(t, langs) for t in (counts, grams)]
+    remove_path(counts.sparkSession, counts._scratch)
+    return Model(langs, *tables[0], *tables[1], how.longest)
+
+
+def _log_table(counts: DataFrame, langs: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
+    """The units in order, and the logs of their frequencies in each language."""
     if not langs:
-        return Model((), {}, {}, how.longest)
-    share = F.lit(0.0)
-    for (name, kind), total in totals.items():
-        share = F.when((F.col("lang") == name) & (F.col("kind") == kind), F.col("n") / F.lit(float(total))).otherwise(share)
-    ranked = counts.withColumn("share", share).groupBy("kind", "unit").agg(F.max("share").alias("most"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    tables = {}
-    for kind, size in (("w", how.words), ("g", how.grams)):
-        kept = ranked.where(F.col("kind") == kind).orderBy(F.desc("most"), "unit").limit(size).collect()
-        tables[kind] = {r.unit: tuple(math.log((r.by.get(x, 0) + 0.1) / (totals.get((x, kind), 0) + 1.0)) for x in langs) for r in kept}
-    return Model(langs, tables["w"], tables["g"], how.longest)
+        return [], np.empty((0, 0))
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    got = counts.groupBy("unit").agg(*by).orderBy("unit").toArrow()
+    n = np.stack([got.column(f"n{i}").to_numpy() for i in range(len(langs))], 1).astype(float)
+    return got.column("unit").to_pylist(), np.log((n + 0.1) / (n.sum(0) + 1.0))
 
 
 class Scorer:
@@ -112,10 +115,8 @@ class Scorer:
         self.model = model
         self.rows = {w: i for i, w in enumerate(model.words)}
         self.grams = {g: i for i, g in enumerate(model.grams)}
-        width = len(model.langs)
-        self.table = np.zeros((len(self.rows) + CACHED_WORDS, width))
-        self.table[: len(self.rows)] = np.array(list(model.words.values()), float).reshape(len(self.rows), width)
-        self.gram_table = np.array(list(model.grams.values()), float).reshape(len(self.grams), width)
+        self.table = np.concatenate([model.word_logs, np.zeros((CACHED_WORDS, len(model.langs)))])
+        self.gram_table = model.gram_logs
         self.cached: dict[str, int] = {}
 
     def unseen(self, words: list[str]) -> np.ndarray:
@@ -179,8 +180,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from the text alone.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if
-    no language was learned; ties go to the language that sorts first; repeated rows are
-    judged alike; columns named lang_pred or score are replaced.
+    no language was learned; a very long text is judged by all its words; ties go to the
+    language that sorts first; repeated rows are judged alike; an empty table gives an empty
+    one; columns named lang_pred or score are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return work
 
-    return append_columns(docs, [text], make, FIELDS)
+    return append_steps(docs, Step([text], make, FIELDS))
 
 
 def held_out(key: str = "doc_id") -> F.Column:

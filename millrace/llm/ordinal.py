@@ -12,28 +12,28 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import Step, append_steps, emitted
 
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the sample that the model is fitted on, and of the model."""
+    """Bounds of the sample that the model is fitted on, and how it is fitted."""
 
     sample_rows: int = 9_000  #: rated rows about, chosen by a hash of the id
-    sample_chars: int = 40_000  #: texts of the sample are at most so long
     bits: int = 22  #: tokens are hashed to 2 ** bits slots
-    least_rows: int = 15  #: sampled rows that a slot must occur in to have a weight
-    slots: int = 100  #: slots that may have a weight, those that tell grades apart best
+    least_rows: int = 15  #: sampled rows that a slot must occur in to be tested
+    error: float = 0.05  #: chance that a slot without effect passes the test, all tested slots together
     steps: int = 100
-    ridge: float = 1e-6
+    ridge: float = 1e-4
 
 
 class Features:
@@ -93,10 +93,12 @@ def _sigmoid(z):
 def fit_rows(texts: list[str], grades: list[int], levels: int, how: Fit = Fit()) -> Model:
     """The model of greatest likelihood, weights held by a ridge."""
     features = Features(how.bits)
-    rows = []
-    for text in texts:
-        row = features(text)
-        rows.append((np.fromiter(row.keys(), np.int32, len(row)), np.fromiter(row.values(), np.float32, len(row))))
+    rows = [features(text) for text in texts]
+    return fit_features([(np.fromiter(r.keys(), np.int32, len(r)), np.fromiter(r.values(), np.float32, len(r))) for r in rows], grades, levels, how)
+
+
+def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], levels: int, how: Fit = Fit()) -> Model:
+    """As ``fit_rows``, from each text's slots and their values."""
     at = np.concatenate([r[0] for r in rows] or [np.empty(0, np.int32)])
     of = np.concatenate([r[1] for r in rows] or [np.empty(0, np.float32)])
     own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
@@ -105,43 +107,56 @@ def fit_rows(texts: list[str], grades: list[int], levels: int, how: Fit = Fit())
     kept = common[at]
     slots, at, of, own = slots[common], (np.cumsum(common) - 1)[at[kept]], of[kept], own[kept]
     y, size, gaps = np.asarray(grades, np.int64), len(slots), levels - 1
-    everyone, edge, n = np.arange(len(rows)), np.zeros((len(rows), 1)), max(1, len(rows))
+    loss = likelihood(at, of, own, y, size, levels, how.ridge)
+    # thresholds are a first one and the logs of the gaps after it, so they stay ordered
+    theta = _least(loss, np.zeros(size + gaps), how.steps) if len(rows) else np.zeros(size + gaps)
+    return Model(how.bits, dict(zip(slots.tolist(), theta[:size].tolist(), strict=True)), _cuts(theta, size))
+
+
+def likelihood(at: np.ndarray, of: np.ndarray, own: np.ndarray, y: np.ndarray, size: int, levels: int, ridge: float):
+    """The function to make least: of weights, a first threshold and the logs of the gaps between thresholds.
+
+    Entry i says that slot ``at[i]`` has the value ``of[i]`` in row ``own[i]``, whose grade is ``y[own[i]]``.
+    """
+    gaps, rows = levels - 1, len(y)
+    everyone, edge, n = np.arange(rows), np.zeros((rows, 1)), max(1, rows)
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         """The mean negative log-likelihood with its ridge, and its gradient."""
-        z = np.bincount(own, of * theta[at], len(rows))
+        z = np.bincount(own, of * theta[at], rows)
         over = _sigmoid(z[:, None] - _cuts(theta, size)[None, :])
         tail = np.concatenate([edge + 1, over, edge], 1)
         slope = np.concatenate([edge, over * (1 - over), edge], 1)
         p = np.maximum(tail[everyone, y] - tail[everyone, y + 1], 1e-12)
         lower, upper = slope[everyone, y] / p / n, slope[everyone, y + 1] / p / n
-        to_cut = np.zeros((len(rows), gaps + 2))
+        to_cut = np.zeros((rows, gaps + 2))
         to_cut[everyone, y] += lower
         to_cut[everyone, y + 1] -= upper
         to_cut = to_cut[:, 1:-1].sum(0)
         grad = np.zeros_like(theta)
-        grad[:size] = np.bincount(at, of * (upper - lower)[own], size) + how.ridge * theta[:size]
+        grad[:size] = np.bincount(at, of * (upper - lower)[own], size) + ridge * theta[:size]
         grad[size] = to_cut.sum()
         for k in range(1, gaps):
             grad[size + k] = to_cut[k:].sum() * math.exp(theta[size + k])
-        return float(-np.log(p).sum() / n + how.ridge / 2 * (theta[:size] @ theta[:size])), grad
+        return float(-np.log(p).sum() / n + ridge / 2 * (theta[:size] @ theta[:size])), grad
 
-    # thresholds are a first one and the logs of the gaps after it, so they stay ordered
-    theta = _least(loss, np.zeros(size + gaps), how.steps) if len(rows) else np.zeros(size + gaps)
-    return Model(how.bits, dict(zip(slots.tolist(), theta[:size].tolist(), strict=True)), _cuts(theta, size))
+    return loss
 
 
 def _telling(at: np.ndarray, own: np.ndarray, grades: np.ndarray, seen: np.ndarray, levels: int, how: Fit) -> np.ndarray:
-    """The slots, in enough rows, whose rows differ most from the others in P(grade > k), as many for each k."""
-    kept = np.zeros(len(seen), bool)
+    """The slots, however many, whose rows differ from the others in P(grade > k) for some k.
+
+    The test's level is ``how.error`` for all tested slots together, by Bonferroni.
+    """
+    kept, tested = np.zeros(len(seen), bool), seen >= how.least_rows
+    if not tested.any():
+        return kept
+    cut = NormalDist().inv_cdf(1 - how.error / 2 / np.count_nonzero(tested))
     for k in range(levels - 1):
         over = grades > k
-        share = over.mean() if len(over) else 0.0
+        share = over.mean()
         z = np.abs(np.bincount(at, over[own], len(seen)) - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-        z[seen < how.least_rows] = 0
-        n = min(how.slots // (levels - 1), np.count_nonzero(z))
-        if n:
-            kept |= z >= np.partition(z, -n)[-n]
+        kept |= tested & (z >= cut)
     return kept
 
 
@@ -189,12 +204,30 @@ def sampled(rated: DataFrame, key: str = "doc_id", how: Fit = Fit()) -> DataFram
     return rated.where(F.col(f"`{key}`").isNotNull() & (share < F.lit(math.ceil((1 << 20) * min(1.0, how.sample_rows / max(1, n))))))
 
 
+def _feature_rows(bits: int):
+    def make():
+        features = Features(bits)
+
+        def work(texts, grades):
+            for t, g in zip(texts, grades, strict=True):
+                row = features(t)
+                yield g, list(row), list(row.values())
+
+        return work
+
+    return make
+
+
 def fit(rated: DataFrame, levels: int, text: str = "text", grade: str = "grade", how: Fit = Fit()) -> Model:
-    """The model from rows with a text and a grade from 0 to ``levels`` - 1, at most twice ``how.sample_rows``."""
+    """The model from rows with a text and a grade from 0 to ``levels`` - 1, at most twice ``how.sample_rows``.
+
+    What comes to the driver are the rows' hashed words, not their texts.
+    """
     t, g = F.col(f"`{text}`"), F.col(f"`{grade}`")
-    rows = rated.where(t.isNotNull() & g.isNotNull() & (g >= 0) & (g < levels) & (F.length(t) <= how.sample_chars))
-    got = rows.select(t.alias("t"), g.cast("int").alias("g")).limit(2 * how.sample_rows).collect()
-    return fit_rows([r.t for r in got], [r.g for r in got], levels, how)
+    rows = rated.where(t.isNotNull() & g.isNotNull() & (g >= 0) & (g < levels)).select(t.alias("t"), g.cast("int").alias("g")).limit(2 * how.sample_rows)
+    got = emitted(rows, ["t", "g"], _feature_rows(how.bits), "g int, at array<int>, of array<float>").toArrow()
+    arrays = [[x.values.to_numpy() for x in got.column(name)] for name in ("at", "of")]
+    return fit_features(list(zip(*arrays, strict=True)), got.column("g").to_pylist(), levels, how)
 
 
 FIELDS = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probs", T.ArrayType(T.DoubleType()))]
@@ -203,8 +236,9 @@ FIELDS = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_p
 def graded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with expected_grade and tail_probs (P(grade > k) for each k).
 
-    A null or empty text is scored by the thresholds alone; repeated rows score alike; an
-    empty table gives an empty one; columns named like the new ones are replaced.
+    A null or empty text is scored by the thresholds alone; a very long one by all its
+    words; repeated rows and texts with the same words tie; an empty table gives an empty
+    one; columns named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -219,4 +253,4 @@ def graded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return work
 
-    return append_columns(docs, [text], make, FIELDS)
+    return append_steps(docs, Step([text], make, FIELDS))

@@ -1,27 +1,29 @@
 """Personal data by rules, extended by bootstrapped lexical patterns.
 
-Base spans (e-mail addresses, IP addresses, card and phone numbers) are the seeds. The
-words before seeds give patterns; Spark counts how often each pattern is followed by what,
-and scores the graph of patterns and instances in rounds: a pattern is as good as the
-share of its instances that are known, an instance as good as its patterns together.
-Patterns above a confidence find identifiers that the rules miss.
+Base spans (e-mail addresses, IP addresses, card and phone numbers) are the seeds. Mentions
+are base spans and stretches of a looser shape of the same kinds. The lexical patterns of a
+mention are up to three words before it, two words after it, or a word on each side. Spark
+scores the graph of patterns and instances in rounds: a pattern is as good as the belief in
+its instances over all that stands in its place, an instance as good as its good patterns
+together. Instances that are believed in induce new patterns in the next round. Patterns
+above a confidence find identifiers that the rules miss.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from itertools import islice
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, emitted, stored
+from .common import Step, append_steps, dropped_after, emitted, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,10 +38,11 @@ _DIGIT = re.compile("[0-9]")
 class Bootstrap:
     """Parameters of the extension by patterns."""
 
-    rounds: int = 3
-    least_seeds: int = 5  #: distinct seeds that a pattern must come before
-    patterns: int = 5_000  #: patterns that are broadcast at once; more are matched block by block
+    rounds: int = 4
+    least_known: int = 5  #: distinct known instances that a pattern must stand beside
     confidence: float = 0.6  #: of a pattern that may find identifiers
+    counted: int = 1_000_000  #: patterns whose other words are counted in one pass over the texts, 8 bytes each
+    broadcast: int = 200_000  #: good patterns up to which they are broadcast, 8 bytes each; more are joined
 
 
 def _emails(text: str):
@@ -103,265 +106,351 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-#: What may follow a pattern as an identifier of its kind although the rules don't take it.
-_LOOSE = (
-    re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)*"),
-    re.compile(r"[0-9]+(?:[.:][0-9]+){3,}|[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}"),
-    re.compile(r"[0-9](?:[ -]?[0-9]){11,18}"),
-    re.compile(r"[(]?[0-9](?:[ ().-]{0,2}[0-9]){6,14}"),
-)
-_TOKEN = re.compile(r"[^\s]+")
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)*")
+_ADDRESS = re.compile(r"[0-9A-Fa-f.:]+")
+_ADDRESS_SHAPE = re.compile(r"[0-9]+(?:[.:][0-9]+){3,}|[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}")
+_CALL = re.compile(r"[(]?[0-9](?:[ ().-]{0,2}[0-9])*")
+_TOKEN = re.compile(r"\S+")
+#: The words before and after a place that its patterns have.
+SHAPES = ((1, 0), (2, 0), (3, 0), (0, 2), (1, 1))
+_BEFORE, _AFTER = max(a for a, _ in SHAPES), max(b for _, b in SHAPES)
 
 
-def _normal(text: str) -> str:
-    return _DIGIT.sub("0", text).lower()
+def _loose_emails(text: str):
+    end = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        if start < end:
+            continue
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (host := _HOST.match(text, m.end())):
+            end = host.end()
+            yield start, end
 
 
-def _tails(patterns) -> frozenset[str]:
-    return frozenset(p.rpartition(" ")[2] for p in patterns)
+def _loose_spans(text: str):
+    """(kind, start, end) of stretches that look like identifiers, by kind and start, in linear time."""
+    if "@" in text or "(at)" in text or "[at]" in text:
+        yield from ((0, *s) for s in _loose_emails(text))
+    if _DIGIT.search(text) is None:
+        return
+    for m in _ADDRESS.finditer(text):
+        if m.end() - m.start() >= 5 and _ADDRESS_SHAPE.fullmatch(m[0]):
+            yield 1, *m.span()
+    for m in _CARD.finditer(text):
+        if 12 <= len(_DIGIT.findall(m[0])) <= 19:
+            yield 2, *m.span()
+    for m in _CALL.finditer(text):
+        if 7 <= len(_DIGIT.findall(m[0])) <= 15:
+            yield 3, *m.span()
+
+
+def loose_mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the looser stretches that begin where a word does and meet no base span."""
+    taken = sorted((s, e) for _, s, e in base)
+    reach = [0]  # the furthest end of the base spans up to each one
+    for _, e in taken:
+        reach.append(max(reach[-1], e))
+    out = []
+    for kind, start, end in _loose_spans(text):
+        if (not start or text[start - 1].isspace()) and reach[bisect_left(taken, (end,))] <= start:
+            out.append((kind, start, end))
+    return out
 
 
-def _places(text: str, patterns, tails: frozenset[str]) -> list[tuple[int, list[str]]]:
-    """(start, patterns before it) of each word that follows a pattern."""
-    words = _normal(text).split()
-    hits = [i for i, w in enumerate(words, 1) if w in tails]
-    out, starts = [], None
-    for i in hits:
-        if i == len(words):
-            break
-        own = [p for p in (words[i - 1], f"{words[i - 2]} {words[i - 1]}" if i > 1 else "") if p in patterns]
-        if own:
-            if starts is None:
-                starts = [m.start() for m in _TOKEN.finditer(text)]
-            out.append((starts[i], own))
-    return out
+def _normal(text: str) -> str:
+    return _DIGIT.sub("0", text).lower()
 
 
-def _before(text: str, start: int) -> list[str]:
-    """The lexical patterns of the place: the last word, and the last two, before it."""
+def _words_back(text: str, start: int) -> list[str]:
+    """The last words before a place, with digits as 0; none if it doesn't begin a word."""
     if start and not text[start - 1].isspace():
         return []
-    size, words = 80, []
-    while len(words) < 3:  # of three the first may be cut
+    size = 120
+    while True:
         words = _normal(text[max(0, start - size) : start]).split()
-        if size >= start:
-            break
+        if len(words) > _BEFORE or size >= start:  # of one more than needed the first may be cut
+            return words[-_BEFORE:]
+        size *= 4
+
+
+def _words_on(text: str, end: int) -> list[str]:
+    """The first words after a place, but for what is joined to its end."""
+    size = 120
+    while True:
+        part = text[end : end + size]
+        words = _normal(part).split()[0 if part[:1].isspace() else 1 :]
+        if len(words) > _AFTER or end + size >= len(text):
+            return words[:_AFTER]
         size *= 4
-    return [*words[-1:], *([" ".join(words[-2:])] if len(words) > 1 else [])]
 
 
-def _seed_rows():
+_MASK, _MULT = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _word_code(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _mixed(code, word):
+    """One step of a pattern's name, for ints of 64 bits or arrays of them."""
+    if isinstance(word, np.ndarray):
+        code = code * np.uint64(_MULT) + word
+        return code ^ (code >> np.uint64(29))
+    code = (code * _MULT + word) & _MASK
+    return code ^ (code >> 29)
+
+
+def _signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
+def pattern_name(before: list[str], after: list[str]) -> int:
+    """64 bits that name the pattern of these words."""
+    code = 4 * len(before) + len(after) + 1
+    for w in [*before, *after]:
+        code = _mixed(code, _word_code(w))
+    return _signed(code)
+
+
+def patterns_at(text: str, start: int, end: int) -> list[tuple[int, str]]:
+    """(name, words with _ in the place) of each pattern that a place has."""
+    back, on = _words_back(text, start), _words_on(text, end)
+    sides = [(back[len(back) - a :] if a else [], on[:b]) for a, b in SHAPES if a <= len(back) and b <= len(on)]
+    return [(pattern_name(x, y), " ".join([*x, "_", *y])) for x, y in sides]
+
+
+def _mention_rows():
     def work(texts):
         for t in texts:
-            rows = set()
-            for kind, start, end in base_spans(t):
-                for p in _before(t, start):
-                    rows.add((kind, p, t[start:end].lower()))
+            if not t:
+                continue
+            base, rows = base_spans(t), set()
+            for known, spans in ((True, base), (False, loose_mentions(t, base))):
+                for kind, start, end in spans:
+                    for name, words in patterns_at(t, start, end):
+                        rows.add((kind, t[start:end].lower(), known, name, words))
             yield from rows
 
     return work
 
 
-def _following_rows(shared):
-    """Rows (pattern, kind or -1, instance) of what follows the patterns; words that are no identifiers are pre-counted."""
+def other_words(text: str, wanted: np.ndarray, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, word) for each word that stands in the place of a wanted pattern and is no mention's."""
+    words = _normal(text).split()
+    for w in words:
+        if w not in codes:
+            codes[w] = _word_code(w)
+    w = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    n, names, places = len(w), [], []
+    for a, b in SHAPES:
+        if n <= a + b:
+            continue
+        code = np.full(n - a - b, 4 * a + b + 1, np.uint64)
+        for j in [*range(a), *range(a + 1, a + 1 + b)]:
+            code = _mixed(code, w[j : j + n - a - b])
+        at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+        hit = np.flatnonzero(wanted[at] == code)
+        names.append(code[hit])
+        places.append(hit + a)
+    if not any(map(len, names)):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    name, place = np.concatenate(names), np.concatenate(places)
+    base = base_spans(text)
+    if spans := base + loose_mentions(text, base):
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        starts, ends, taken = [s for s, _ in tokens], [e for _, e in tokens], np.zeros(n, bool)
+        for _, start, end in spans:
+            taken[bisect_right(ends, start) : bisect_left(starts, end)] = True
+        name, place = name[~taken[place]], place[~taken[place]]
+    return name, w[place]
+
+
+def _other_rows(shared):
+    """Rows (pattern, word), each once for a stretch of texts."""
 
     def make():
-        wanted = shared.value
-        tails = _tails(wanted)
+        wanted = np.sort(shared.value.view(np.uint64))
 
         class Work:
             def __init__(self):
-                self.plain = Counter()
+                self.codes, self.found, self.size = {}, [], 0
 
             def __call__(self, texts):
                 for t in texts:
                     if not t:
                         continue
-                    base, rows, reached, i = {s: (k, e) for k, s, e in base_spans(t)}, set(), 0, 0
-                    starts = sorted(base)
-                    for start, own in _places(t, wanted, tails):
-                        while i < len(starts) and starts[i] < start:
-                            reached = max(reached, base[starts[i]][1])
-                            i += 1
-                        if start < reached:  # inside a base span, whatever block of patterns is matched
-                            continue
-                        for p in own:
-                            if start in base:
-                                kind, end = base[start]
-                                rows.add((p, kind, t[start:end].lower(), 1))
-                            elif found := _loose(t, start, wanted[p]):
-                                rows.add((p, -1, t[start : found[1]].lower(), 1))
-                            else:
-                                self.plain[p] += 1
-                    yield from rows
-                if len(self.plain) > 20_000:
-                    yield from self.rest()
+                    if len(self.codes) > 200_000:
+                        self.codes.clear()
+                    self.found.append(np.stack(other_words(t, wanted, self.codes)))
+                    self.size += self.found[-1].shape[1]
+                    if self.size > 1_000_000:
+                        self.shrink()
+                        if self.size > 300_000:
+                            yield from self.rest()
+
+            def shrink(self):
+                name, word = np.concatenate(self.found, 1)
+                _, once = np.unique(_mixed(name, word), return_index=True)
+                self.found = [np.stack([name[once], word[once]])]
+                self.size = len(once)
 
             def rest(self):
-                out = [(p, -2, "", n) for p, n in self.plain.items()]
-                self.plain.clear()
-                return out
+                if self.found:
+                    self.shrink()
+                rows = [tuple(r) for f in self.found for r in f.view(np.int64).T.tolist()]
+                self.found, self.size = [], 0
+                return rows
 
         return Work()
 
     return make
 
 
-def _loose(text: str, start: int, kinds) -> tuple[int, int] | None:
-    """(kind, end) of the identifier that may begin at a place, for the pattern's kinds."""
-    for kind in kinds:
-        if m := _LOOSE[kind].match(text, start):
-            return kind, m.end()
-    return None
-
-
-def _blocks(patterns: DataFrame, limit: int) -> Iterator[dict[str, tuple[int, ...]]]:
-    """Rows (pattern, kinds) in blocks of at most ``limit`` patterns, a block at a time on the driver."""
-    rows = patterns.toLocalIterator()
-    while block := {r.pattern: tuple(r.kinds) for r in islice(rows, limit)}:
-        yield block
-
-
-def learned_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> dict[str, tuple[int, ...]]:
-    """All patterns of high confidence with the kinds they introduce."""
-    good = _good_patterns(docs, text, how)
-    return {r.pattern: tuple(r.kinds) for r in good.collect()} if good is not None else {}
+def _name_blocks(names: DataFrame, limit: int) -> Iterator[np.ndarray]:
+    """The names in blocks of about ``limit``, by their own bits."""
+    blocks = 1 + names.count() // limit
+    for i in range(blocks):
+        got = names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).toArrow().column("name")
+        if len(got):
+            yield got.to_numpy()
 
 
-def _good_patterns(docs: DataFrame, text: str, how: Bootstrap) -> DataFrame | None:
-    """(pattern, kinds) of high confidence, or None where no pattern has enough seeds.
+def good_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame | None:
+    """(kind, name, pattern, confidence) of the patterns that may find identifiers, or None without any.
 
-    Every pattern of enough seeds is scored; they are matched in blocks of ``how.patterns``,
-    each broadcast alone. All counts are over all rows. Seeds are made distinct before they
-    are counted, so a hot seed or text weighs no more than another.
+    All counts are over all rows, of distinct instances and distinct other words, so that
+    copies of a text weigh no more than one. The texts are read once for the mentions and
+    once for each ``how.counted`` patterns that enough instances have; the rounds are joins
+    of what was gathered there.
     """
     spark = docs.sparkSession
-    seeds = emitted(docs, [text], _seed_rows, "kind int, pattern string, instance string").distinct()
-    support = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= how.least_seeds)
-    kinds = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "kind")))
-    wanted = stored(support.groupBy("pattern").agg(F.transform(kinds, lambda x: x["kind"]).alias("kinds")), "pii-wanted")
-    graphs = []
-    for block in _blocks(wanted, how.patterns):
-        rows = emitted(docs, [text], _following_rows(spark.sparkContext.broadcast(block)), "pattern string, kind int, instance string, n long")
-        graphs.append(stored(rows.groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "pii-graph"))
-    if not graphs:
+    rows = emitted(docs, [text], _mention_rows, "kind int, instance string, base boolean, name long, pattern string")
+    rows = stored(rows.groupBy("kind", "name", "instance").agg(F.max("base").alias("base"), F.min("pattern").alias("pattern")), "pii-mentions")
+    support = rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if("base").alias("seeds"), F.min("pattern").alias("pattern"))
+    support = stored(support.where(F.col("n") >= how.least_known), "pii-support")
+    if not support.where(F.col("seeds") >= how.least_known).head(1):  # else no pattern could ever be believed
         return None
-    graph = reduce(DataFrame.unionByName, graphs)
-    edges = graph.where("kind >= -1").select("pattern", "kind", "instance")
-    plain = graph.where("kind = -2").select("pattern", F.col("n").cast("double").alias("plain"))
-    believed = edges.where("kind >= 0").select("instance", F.lit(1.0).alias("belief")).distinct()
-    scores = None
+    names = stored(support.select("name").distinct(), "pii-names")
+    others = None
+    for block in _name_blocks(names, how.counted):
+        found = emitted(docs, [text], _other_rows(spark.sparkContext.broadcast(block)), "name long, word long")
+        found = stored(found.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("others")), "pii-others")
+        others = found if others is None else others.unionByName(found)
+    edges = stored(rows.join(names, "name").select("kind", "name", "instance", "base"), "pii-edges")
+    total = edges.select("name", "instance").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("instances"))
+    total = total.join(others, "name", "left").select("name", (F.col("instances") + F.coalesce("others", F.lit(0))).cast("double").alias("total"))
+    support = stored(support.join(total, "name").select("kind", "name", "pattern", "total"), "pii-patterns")
+    seeds = edges.where("base").select("kind", "instance").distinct().withColumn("belief", F.lit(1.0))
+    believed, before, good = seeds, None, None
     for _ in range(how.rounds):
-        known = edges.join(believed, "instance", "left").groupBy("pattern").agg(
-            F.sum(F.coalesce("belief", F.lit(0.0))).alias("known"), F.count(F.lit(1)).cast("double").alias("all")
-        )
-        scores = stored(
-            known.join(plain, "pattern", "left").select("pattern", (F.col("known") / (F.col("all") + F.coalesce("plain", F.lit(0.0)))).alias("confidence")),
-            "pii-scores",
-        )
+        known = edges.join(believed, ["kind", "instance"]).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("belief").alias("s"))
+        scored = known.where(F.col("n") >= how.least_known).join(support, ["kind", "name"]).withColumn("confidence", F.col("s") / F.col("total"))
+        good = stored(scored.where(F.col("confidence") >= how.confidence).select("kind", "name", "pattern", "confidence"), "pii-good")
+        now = tuple(good.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("kind", "name"))).first())
+        if not now[0] or now == before:
+            break
+        before = now
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), F.lit(1.0) - F.col("confidence")))))
-        derived = edges.where("kind = -1").join(scores, "pattern").groupBy("instance").agg((F.lit(1.0) - doubt).alias("belief"))
-        seeds_kept = edges.where("kind >= 0").select("instance", F.lit(1.0).alias("belief")).distinct()
-        believed = stored(seeds_kept.unionByName(derived).groupBy("instance").agg(F.max("belief").alias("belief")), "pii-beliefs")
-    return stored(wanted.join(scores.where(F.col("confidence") >= how.confidence), "pattern").select("pattern", "kinds"), "pii-good")
-
-
-def _candidates(text: str, patterns: dict[str, tuple[int, ...]], tails: frozenset[str]) -> list[tuple[int, int, int, int]]:
-    """(start, words of the longest pattern before it, kind or -1, end) of each place that follows a pattern."""
-    out = []
-    for start, own in _places(text, patterns, tails):
-        kind, end = _loose(text, start, patterns[own[-1]]) or (-1, start)
-        out.append((start, 1 + (" " in own[-1]), kind, end))
-    return out
-
-
-def _longest(candidates: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Of candidates of several blocks, at each place the longest pattern's."""
-    return list({c[0]: c for c in sorted(candidates)}.values())
-
-
-def _extended(base: list[tuple[int, int, int]], candidates: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of candidates outside the base spans, without overlaps."""
-    taken, out, reached, i = sorted((s, e) for _, s, e in base), [], 0, 0
-    for start, _, kind, end in candidates:
-        if start >= reached and kind >= 0:
-            while i < len(taken) and taken[i][1] <= start:
-                i += 1
-            if i == len(taken) or taken[i][0] >= end:
-                out.append((kind, start, end))
-                reached = end
+        new = edges.where("not base").join(good, ["kind", "name"]).groupBy("kind", "instance").agg((F.lit(1.0) - doubt).alias("belief"))
+        believed = stored(seeds.unionByName(new).groupBy("kind", "instance").agg(F.max("belief").alias("belief")), "pii-beliefs")
+    return dropped_after(good, rows, names, edges, support)
+
+
+def _extended(base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans that meet no base span those without overlaps, from the left; of one place the longest, then the first kind."""
+    out, reached = [], 0
+    for kind, start, end in sorted(set(found), key=lambda s: (s[1], -s[2], s[0])):
+        if start >= reached:
+            out.append((kind, start, end))
+            reached = end
     return out
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_NEW = [T.StructField("base_spans", SPANS), T.StructField("spans", SPANS)]
 
-CANDIDATES = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("start", "words", "kind", "end")]))
 
+def _both(base, found):
+    as_rows = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans]
+    return as_rows(base), as_rows(sorted(base + _extended(base, found)) if found else base)
 
-def _as_tuples(rows) -> list[tuple[int, int, int, int]]:
-    return [(r["start"], r["words"], r["kind"], r["end"]) for r in rows or []]
 
-
-def _candidate_rows(shared):
-    """Candidates of a block of patterns, with those of the blocks before it."""
+def _finding(shared):
+    """Base spans, and all spans by the good patterns, of texts."""
 
     def make():
-        patterns = shared.value
-        tails = _tails(patterns)
+        good = {kind: frozenset(names.tolist()) for kind, names in (shared.value if shared else {}).items()}
 
-        def work(texts, earlier=None):
-            for n, t in enumerate(texts):
-                found = _candidates(t, patterns, tails) if t else []
-                found = _longest([*found, *(_as_tuples(earlier[n]) if earlier is not None else [])])
-                yield ([dict(zip(("start", "words", "kind", "end"), c, strict=True)) for c in found],)
+        def work(texts):
+            for t in texts:
+                base = base_spans(t)
+                loose = loose_mentions(t, base) if t and good else []
+                yield _both(base, [m for m in loose if m[0] in good and any(n in good[m[0]] for n, _ in patterns_at(t, *m[1:]))])
 
         return work
 
     return make
 
 
-def personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
-    """``docs`` with base_spans and spans (base and found ones), each by kind and start.
+def _digest(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
-    Offsets are code points, ends exclusive. A null or empty text has no spans; repeated
-    rows get equal spans and support patterns once; an empty table learns no pattern.
-    Columns named base_spans or spans are replaced, other columns stay. Patterns are
-    matched block by block; what all blocks but the last find is kept in stored tables.
-    """
-    good = _good_patterns(docs, text, how)
-    blocks = _blocks(good, how.patterns) if good is not None else iter(())
-    held, out, block = f"found_{uuid.uuid4().hex}", docs, next(blocks, {})
-    while (after := next(blocks, None)) is not None:
-        inputs = [text, held] if held in out.columns else [text]
-        out = stored(append_columns(out, inputs, _candidate_rows(docs.sparkSession.sparkContext.broadcast(block)), [T.StructField(held, CANDIDATES)]), "pii-found")
-        block = after
-    shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def make():
-        patterns = shared.value
-        tails = _tails(patterns)
+def _place_rows():
+    def work(texts, digests):
+        for t, digest in zip(texts, digests, strict=True):
+            for kind, start, end in loose_mentions(t, base_spans(t)) if t else ():
+                for name, _ in patterns_at(t, start, end):
+                    yield digest, kind, start, end, name
 
-        def work(texts, earlier=None):
-            for n, t in enumerate(texts):
-                base = base_spans(t)
-                found = _candidates(t, patterns, tails) if t and patterns else []
-                if earlier is not None:
-                    found = _longest([*found, *_as_tuples(earlier[n])])
-                found = _extended(base, found)
-                as_rows = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans]
-                yield as_rows(base), as_rows(sorted(base + found) if found else base)
+    return work
+
+
+def _joined(docs: DataFrame, good: DataFrame, text: str, after: Sequence[Step], drop: Sequence[str]) -> DataFrame:
+    """As ``_finding``, for good patterns that are too many for a broadcast: places meet them in a join by name."""
+    source = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null")
+    places = emitted(source.select("t", _digest(F.col("t")).alias("digest")), ["t", "digest"], _place_rows, "digest binary, kind int, start int, end int, name long")
+    hits = places.distinct().join(good.select("kind", "name"), ["kind", "name"]).select("digest", F.struct("kind", "start", "end").alias("span")).distinct()
+    held = [f"{name}_{uuid.uuid4().hex}" for name in ("digest", "found")]
+    by_text = stored(hits.groupBy(F.col("digest").alias(held[0])).agg(F.collect_list("span").alias(held[1])), "pii-found")
+    joined = docs.withColumn(held[0], _digest(F.col(f"`{text}`"))).join(by_text, held[0], "left")
+
+    def make():
+        def work(texts, found):
+            for t, own in zip(texts, found, strict=True):
+                yield _both(base_spans(t), [(s["kind"], s["start"], s["end"]) for s in own or []])
 
         return work
 
-    inputs = [text, held] if held in out.columns else [text]
-    return append_columns(out, inputs, make, [T.StructField("base_spans", SPANS), T.StructField("spans", SPANS)]).drop(held)
+    return append_steps(joined, Step([text, held[1]], make, _NEW), *after, drop=[*held, *drop])
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``personal_data`` with spans replaced by their kind in brackets.
+def personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap(), after: Sequence[Step] = (), drop: Sequence[str] = ()) -> DataFrame:
+    """``docs`` with base_spans and spans (base and found ones), each by kind and start.
 
-    Where spans of several kinds overlap, the whole stretch gets the first one's kind.
+    Offsets are code points, ends exclusive. A null or empty text has no spans; a very long
+    one is read whole, and so are long identifiers and words beside them. Of overlapping
+    found spans the one that starts first stays, then the longest, then the kind listed
+    first. Repeated rows get equal spans and support patterns once; an empty table learns
+    no pattern. Columns named base_spans or spans are replaced, other columns stay.
+    ``after`` are steps that follow in the same pass, and columns named in ``drop`` are
+    left out.
     """
+    good = good_patterns(docs, text, how)
+    if good is not None and good.count() > how.broadcast:
+        return _joined(docs, good, text, after, drop)
+    names: dict[int, list[int]] = {}
+    for r in good.select("kind", "name").collect() if good is not None else ():
+        names.setdefault(r.kind, []).append(r.name)
+    shared = docs.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in names.items()}) if names else None
+    return append_steps(docs, Step([text], _finding(shared), _NEW), *after, drop=drop)
+
+
+def redact_step(text: str = "text") -> Step:
+    """Replaces spans by their kind in brackets."""
 
     def make():
         def work(texts, spans):
@@ -380,7 +469,24 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return work
 
-    return append_columns(docs, [text, "spans"], make, [T.StructField(text, T.StringType())])
+    return Step([text, "spans"], make, [T.StructField(text, T.StringType())])
+
+
+def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of ``personal_data`` with spans replaced by their kind in brackets.
+
+    Where spans of several kinds overlap, the whole stretch gets the first one's kind; null
+    texts stay null, and texts without spans, whatever their length, stay as they are.
+    """
+    return append_steps(docs, redact_step(text))
+
+
+def without_personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
+    """``docs`` with what ``personal_data`` finds replaced as by ``redacted``, in one pass where patterns are broadcast.
+
+    Columns named base_spans or spans are left out.
+    """
+    return personal_data(docs, text, how, [redact_step(text)], ["base_spans", "spans"])
 
 
 def joined_spans(column: str) -> F.Column:

@@ -14,8 +14,8 @@ ENCODING = "byte_bpe_multi_50k.tiktoken"
 COUNTING = "byte_bpe_50k.json"
 #: Toxic documents, others of low quality, others of high quality.
 GRADES = 3
-#: A document is kept from this probability of not being toxic.
-KEPT_TAIL = 0.6
+#: A document is toxic below this probability of a better grade, and kept from that of the best grade.
+NOT_TOXIC, KEPT = 0.6, 0.6
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), drop=["text"])
     return hits.select(
         "doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
@@ -45,14 +45,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ordinal.fit(rated, GRADES)
     tails = F.col("tail_probs")
     return ordinal.graded(docs, model).select(
-        "doc_id", "expected_grade", tails[0].alias("prob_above_0"), tails[1].alias("prob_above_1"), (tails[0] >= KEPT_TAIL).alias("kept"), (tails[0] < KEPT_TAIL).alias("toxic")
+        "doc_id", "expected_grade", tails[0].alias("prob_above_0"), tails[1].alias("prob_above_1"), (tails[1] >= KEPT).alias("kept"), (tails[0] < NOT_TOXIC).alias("toxic")
     )
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(ENCODING)
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.bpe_decode(encoded, path).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.bpe_round_trip(docs, path, public_tokenizers.PATTERN, drop=["text"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -81,11 +81,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=["text"])
     counts = [F.size(pii.of_kind("base_spans", kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select(
-        "doc_id", *counts, F.sha2(pii.joined_spans("base_spans").cast("binary"), 256).alias("base_sha256"), pii.joined_spans("spans").alias("spans")
-    )
+        "doc_id", *counts, F.sha2(pii.joined_spans("base_spans").cast("binary"), 256).alias("base_sha256"), pii.joined_spans("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("personal"),
+    )
 
 
 def queries() -> dict:

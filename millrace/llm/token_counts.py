@@ -9,6 +9,7 @@ shuffled; the tables decide the speed only, since both tiers hold what the libra
 from __future__ import annotations
 
 import json
+import math
 import os
 from array import array
 from collections import Counter
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import Step, append_steps
 
 #: Bounds of tier one: sampled texts, characters of a sampled text, entries.
 SAMPLE_ROWS, SAMPLE_CHARS, TABLE_ENTRIES = 1_000, 20_000, 30_000
@@ -65,7 +66,11 @@ def _splitters(path: str, pattern: str):
 
 def frequent_lengths(docs: DataFrame, text: str, path: str, pattern: str, sample_rows: int = SAMPLE_ROWS, entries: int = TABLE_ENTRIES) -> tuple[list[str], bytes]:
     """Tier one: pre-tokens that are frequent in a bounded sample, and their lengths."""
-    rows = docs.select(F.col(f"`{text}`").alias("t")).where(F.length("t") <= SAMPLE_CHARS).limit(sample_rows).collect()
+    texts = docs.select(F.col(f"`{text}`").alias("t"))
+    share = sample_rows / max(1, texts.select(F.lit(1)).count())
+    if share < 1:  # by a hash of the text, so that no part of the table is favoured
+        texts = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * share)))
+    rows = texts.where(F.length("t") <= SAMPLE_CHARS).limit(2 * sample_rows).collect()
     split, counts = _splitters(path, pattern), Counter()
     for row in rows:
         counts.update(split(row.t)[1])
@@ -78,8 +83,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     """``docs`` with the number of tokens of each whole text, as the library gives it.
 
     Special tokens' strings in a text count as one token, the library's default. A null
-    or empty text has 0 tokens; repeated rows each get their count; an empty table gives
-    an empty one. A column named as ``out`` is replaced, other columns stay.
+    or empty text has 0 tokens; a very long one is counted whole; repeated rows each get
+    their count; words that tie for a place in tier one cost time at most; an empty table
+    gives an empty one. A column named as ``out`` is replaced, other columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text, path, pattern))
 
@@ -115,4 +121,4 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
 
         return work
 
-    return append_columns(docs, [text], make, [T.StructField(out, T.LongType())])
+    return append_steps(docs, Step([text], make, [T.StructField(out, T.LongType())]))

@@ -99,6 +99,58 @@ def test_jaccard_odd_tables(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles) for r in out) == [("7", "7", 2), ("None", "7", 2), ("None", "None", 0), ("None", "None", 1)]
 
 
+def test_jaccard_work_grows_with_passages_shared_not_with_their_chains(spark, monkeypatch):
+    """Texts of ten passages, each in three texts, no two near: walks and n-grams handed on grow as the texts do."""
+    handed = []
+    monkeypatch.setattr(jaccard, "_linked", lambda rooms, sets, percent, walk=jaccard._linked: handed.append(rooms.count()) or walk(rooms, sets, percent))
+
+    def rows(n):
+        rnd = random.Random(n)
+        passages = [" ".join(f"w{rnd.randrange(50_000)}" for _ in range(40)) for _ in range(n * 10 // 3)]
+        dealt = (passages * 3)[: n * 10]
+        rnd.shuffle(dealt)
+        return [(i, " ".join(dealt[i::n])) for i in range(n)]
+
+    work = []
+    for n in (300, 1200):
+        handed.clear()
+        out = jaccard.ngram_components(spark.createDataFrame(rows(n), "doc_id long, text string").repartition(4)).collect()
+        assert all(r.component_id == r.doc_id for r in out)
+        work.append(sum(handed))
+    assert work[0] > 300 and work[1] <= 5 * work[0]
+
+
+def test_jaccard_of_many_near_copies_hands_on_a_few_walks_each(spark, monkeypatch):
+    handed = []
+    monkeypatch.setattr(jaccard, "_linked", lambda rooms, sets, percent, walk=jaccard._linked: handed.append(rooms.count()) or walk(rooms, sets, percent))
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join(edited(rnd, base, 0.02))) for i in range(700)] + [(2_000 + i, " ".join(edited(rnd, base, 0.2))) for i in range(20)]
+    out = {r.doc_id: r.component_id for r in jaccard.ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    _, expected = plain_components(docs)
+    assert out == expected and sum(handed) < 15 * len(docs)
+
+
+def test_first_of_groups_keeps_nulls_and_reused_ids(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, "null id alone here with words", "a"), (2, base, "b"), (None, base, "c"), (1, base.upper(), "d"), (7, "one text under seven", "e"), (7, "an other one, of equal length", "f"),
+            (7, "one text under seven", "g"), (8, None, "h"), (8, None, "i"), (8, "", "j"), (None, None, "k"), (9, "x " * 50_000, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    out = jaccard.first_of_groups(docs)
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "")[:20]) for r in out.collect())
+    assert got == sorted([("None", "null id alone here w"), ("1", base.upper()[:20]), ("7", "one text under seven"), ("7", "an other one, of equ"), ("8", ""), ("None", ""), ("9", "x x x x x x x x x x ")])
+    assert jaccard.first_of_groups(docs.limit(0)).count() == 0
+
+
+def test_equal_short_hashes_link_nothing(spark, monkeypatch):
+    """Sets whose 64-bit names clash stay apart, since 128 bits name them."""
+    monkeypatch.setattr(jaccard, "short", lambda sig: None if sig is None else 7)
+    rows = [(1, "a b c d e f g"), (2, "q r s t u v w"), (3, "A b c d e f g")]
+    sets = {r.doc_id: r.sig for r in spark.createDataFrame([(i, bytes(jaccard.signature(jaccard.shingles(t)))) for i, t in rows], "doc_id long, sig binary").collect()}
+    assert sets[1] == sets[3] != sets[2]
+
+
 def test_tree_links_connect_all():
     rnd = random.Random(4)
     for _ in range(60):
@@ -235,6 +287,47 @@ def test_near_vectors_equal_brute_force(spark):
 # --- pipeline -------------------------------------------------------------------------
 
 
+def odd_documents(spark):
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n", "en", "s", 2), (4, "12 -- ½", "en", "s", 7), (None, "the cat sat on the mat", "en", None, 22),
+            (5, "the cat sat on the mat", "en", "s", 22), (5, "the cat sat on the mat", "en", "s", 22), (6, "der hund und die katze", "de", "s", None),
+            (7, "mail joe@example.org or 10.0.0.1 ", None, "s", 32), (8, "the cat " * 30_000, "en", "s", 240_000)]
+    return spark.createDataFrame([tuple(dict(zip(["doc_id", "text", "lang", "source", "n_chars"], r, strict=True))[f.name] for f in schema) for r in rows], schema)
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_each_stage_takes_odd_documents(spark, at):
+    docs, sf = odd_documents(spark), "/root/testdata/sf0.001"
+    name, stage = corpus_pipeline.STAGES[at]
+    extra = docs.withColumn("spans", F.lit("clash")).withColumn("N_Words", F.lit("clash")) if at < 4 else docs
+    out = stage(spark, extra, sf)
+    assert at == 4 or out.columns == extra.columns
+    rows = out.collect()
+    ids = sorted(str(r.doc_id) for r in rows)
+    everything = sorted(str(r.doc_id) for r in docs.collect())
+    if name == "language ID":
+        assert ids == ["5", "5", "6", "7", "8", "None"]
+    elif name == "n-gram Jaccard join":
+        assert ids == ["1", "2", "3", "4", "5", "6", "7", "8"]
+    else:
+        assert ids == everything
+    if name == "PII":
+        assert [r.text for r in rows if r.doc_id == 7] == ["mail [EMAIL] or [IP] "]
+    if name == "byte-level BPE":
+        assert all(r.round_trip for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_run_leaves_its_result_only(spark):
+    from millrace.llm.common import scratch_root
+    import os
+
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(set(os.listdir(root)) - before) == 1 and out.count() > 0
+
+
 def test_pipeline_against_plain_stages(spark):
     from millrace.llm import decontaminate, language, pii
     from tests.llm.test_text_operators import plain_hits, plain_spans, tiktoken_encoding
@@ -262,9 +355,11 @@ def test_pipeline_against_plain_stages(spark):
     hits = {i: plain_hits(t, items, 13) for i, t in ok.items()}
     ok = {i: t for i, t in ok.items() if not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])}
     assert set(kept["benchmark decontamination"]) == set(ok)
+    for i, r in kept["benchmark decontamination"].items():
+        assert r.n_chars == len(r.text) and (r.text == ok[i]) == (not hits[i][1]) and not plain_hits(r.text, items, 13)[1]
     for i, r in kept["PII"].items():
         assert r.n_chars == len(r.text) and not plain_spans(r.text)
-        assert r.text == ok[i] or plain_spans(ok[i])
+        assert r.text == kept["benchmark decontamination"][i].text or plain_spans(kept["benchmark decontamination"][i].text)
     known, _ = tiktoken_encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(out) == set(ok)
