@@ -75,6 +75,23 @@ def joined_by(rows: DataFrame, one_each: DataFrame, key: str, how: str = "inner"
     return rows.withColumn(deal, F.xxhash64(key)).join(one_each.withColumn(deal, F.xxhash64(key)), [key, deal], how).drop(deal)
 
 
+#: Bits of the tables that tell what is surely not among keys: 262,144 rows of 16 bytes at most, whatever the input.
+MAYBE_BITS = 1 << 24
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag`` that is false where the key is null or surely not in ``keys``' column of that name.
+
+    One bit is kept for each hash of a key, in a table of fixed size that is broadcast, so
+    that most rows can be told without a shuffle; the others still need an exact look.
+    """
+    word, place, bits = (f"{name}_{uuid.uuid4().hex}" for name in ("word", "place", "bits"))
+    at = F.pmod(F.xxhash64(key), F.lit(MAYBE_BITS))
+    table = keys.where(F.col(key).isNotNull()).select(at.alias(place)).groupBy(F.floor(F.col(place) / 64).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, int({place} % 64)))").alias(bits))
+    out = rows.withColumn(place, F.when(F.col(key).isNotNull(), at)).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(table), word, "left")
+    return out.withColumn(flag, F.expr(f"coalesce(shiftright({bits}, int({place} % 64)) & 1, 0) = 1")).drop(word, place, bits)
+
+
 @contextmanager
 def tidied(spark: SparkSession) -> Iterator[None]:
     """Removes the scratch folders made within the block, in which results must be written."""

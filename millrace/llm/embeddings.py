@@ -3,7 +3,9 @@
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; the
 nearest signed axis is its hash. Two rotations make a bucket's code; several tables and
 multiprobing, with the axes next nearest, bring close vectors together in some bucket.
-Pairs that share a bucket are verified by their cosine in double precision.
+Pairs that share a bucket are verified by their cosine in double precision, each in the
+first bucket that it shares; what leaves a comparison are numbers of links and the links
+that span what is connected, never a list of pairs.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped_after, joined_by, stored
 from .components import components
 
-
 #: Rows that are compared in one call, about; each block pair stays whole.
 BATCH_ROWS = 2_000
+#: Pairs whose shared buckets are looked up at once.
+_PAIRS = 20_000
 
 
 @dataclass(frozen=True)
@@ -29,7 +32,7 @@ class Hashing:
     rotations: int = 2  #: rotations whose axes make one code
     probes: int = 3  #: buckets of a vector in each table
     seed: int = 20_240
-    block_rows: int = 100  #: rows of a bucket that are compared at once
+    block_rows: int = 512  #: rows of a bucket that are compared at once
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,34 +81,21 @@ def _unit(vectors: list) -> np.ndarray:
 
 
 def _bucket_rows(how: Hashing):
+    """(cls, codes): the buckets of a class in order, whose numbers tell table and dimensions, too."""
+
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at : at + 2048]
-                for _, own in part.groupby(part.v.map(len)):
-                    codes = probe_codes(_unit(own.v.tolist()), how)
-                    n, width = len(own), own.v.iloc[0].size
-                    table = np.broadcast_to(np.arange(how.tables)[None, :, None], codes.shape)
-                    frame = pd.DataFrame({"cls": np.repeat(own.cls.to_numpy(), codes[0].size), "bucket": (codes * how.tables + table).reshape(-1), "width": np.int32(width)})
-                    yield frame.drop_duplicates()
-
-    return run
-
-
-def _verified(least: float):
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                part = pdf.iloc[at : at + 4096]
-                for _, own in part.groupby(part.va.map(len)):
-                    cos = np.einsum("ij,ij->i", _unit(own.va.tolist()), _unit(own.vb.tolist()))
-                    yield own.loc[cos >= least, ["a", "b"]]
+                for size, own in part.groupby(part.v.map(len)):
+                    codes = (probe_codes(_unit(own.v.tolist()), how) * how.tables + np.arange(how.tables)[None, :, None]) * (1 << 16) + size % (1 << 16)
+                    yield pd.DataFrame({"cls": own.cls.to_numpy(), "codes": [np.unique(c) for c in codes.reshape(len(own), -1)]})
 
     return run
 
 
 def vector_classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, cls, v): cls names the class of equal vectors; null for vectors that link with nothing."""
+    """(vec_id, cls, v): cls names the class of equal vectors in 128 bits; null for vectors that link with nothing."""
     v = F.col(f"`{vector}`").cast("array<double>")
     sound = F.size(v) > 0
     for bad in (lambda x: x.isNull(), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))):
@@ -113,7 +103,8 @@ def vector_classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     sound = F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are equal; adding 0.0 makes them one
     v = F.transform(v, lambda x: x + F.lit(0.0))
-    return vectors.select(F.col(f"`{key}`").alias("vec_id"), F.when(sound, F.sha2(F.array_join(v.cast("array<string>"), ","), 256)).alias("cls"), F.when(sound, v).alias("v"))
+    words = [F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(seed), v)), 16, "0")) for seed in (1, 2)]
+    return vectors.select(F.col(f"`{key}`").alias("vec_id"), F.when(sound, F.concat(*words)).alias("cls"), F.when(sound, v).alias("v"))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding", how: Hashing = Hashing()) -> DataFrame:
@@ -121,25 +112,24 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
 
     Equal vectors are one class, hashed and compared once and linked with each other.
     Within a bucket, classes are compared in blocks of ``how.block_rows``, so a hot bucket
-    becomes many tasks. Null and zero vectors, and those with null or non-finite
-    components, link with nothing. Repeated rows are rows of one class. Rows with a null id
-    count as links but can't be a component's id unless all its ids are null. Other columns
-    are not read.
+    becomes many tasks. Vectors of different lengths never link; very long ones are compared
+    whole; a cosine that ties with ``least`` links. Null and zero vectors, and those with
+    null or non-finite components, link with nothing. Repeated rows are rows of one class.
+    Rows with a null id count as links but can't be a component's id unless all its ids are
+    null. An empty table gives an empty result; other columns, whatever their names, are not
+    read.
     """
     rows = stored(vector_classes(vectors, key, vector), "vectors")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "vector-classes")
-    pairs = stored(class_links(classes, least, how), "vector-links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select("cls", "n", "least_id")
-    linked = both.join(sizes.select(F.col("cls").alias("b"), "n"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
-    roots = components(pairs).select(F.col("node").alias("cls"), "root")
-    info = sizes.join(linked, "cls", "left").join(roots, "cls", "left").select(
+    found = class_links(classes, least, how)
+    others = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
+    roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("cls"), "root")
+    info = classes.select("cls", "n", "least_id").join(others, "cls", "left").join(roots, "cls", "left").select(
         "cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root"), "least_id"
     )
-    info = stored(info, "vector-info")
-    # stored, so that the join below is free to split a hot root's rows
-    ids = stored(info.groupBy("root").agg(F.min("least_id").alias("component_id")), "vector-components")
-    info = info.join(ids, "root").select("cls", "n_links", "component_id")
+    info = dropped_after(stored(info, "vector-info"), found, classes)
+    ids = info.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    info = joined_by(info, ids, "root").select("cls", "n_links", "component_id")
     # a hot class has its rows on one side only, which a skewed join splits
     out = rows.select("vec_id", "cls").join(info, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
@@ -148,42 +138,73 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
     )
 
 
+def linked_pairs(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of rows whose cosine is at least ``least``, alike however the rows are blocked."""
+    cos = unit @ unit.T
+    a, b = np.nonzero(np.triu(cos >= least - 1e-9, 1))
+    near = np.flatnonzero(cos[a, b] < least + 1e-9)  # sums in another order might differ
+    keep = np.ones(len(a), bool)
+    keep[near] = np.einsum("ij,ij->i", unit[a[near]], unit[b[near]]) >= least
+    return a[keep], b[keep]
+
+
+def _first_shared(codes: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether ``bucket`` is the least that the rows of each pair share; codes are rows in order, padded with -1."""
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), _PAIRS):
+        x, y = codes[a[at : at + _PAIRS]], codes[b[at : at + _PAIRS]]
+        earlier = (x >= 0) & (x < bucket)
+        out[at : at + _PAIRS] = ~((x[:, :, None] == y[:, None, :]) & earlier[:, :, None]).any((1, 2))
+    return out
+
+
+def _compared(least: float):
+    """For each block pair of a batch (a, null, n): vectors that a class links with, and (a, b, null): spanning links."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, bucket), rows in pdf.groupby(["pair", "bucket"], sort=False):
+            if len(rows) < 2:
+                continue
+            names, block, n = rows.cls.to_numpy(), rows.block.to_numpy(), rows.n.to_numpy()
+            codes = np.full((len(rows), max(map(len, rows.codes))), -1, np.int64)
+            for i, own in enumerate(rows.codes):
+                codes[i, : len(own)] = own
+            a, b = linked_pairs(_unit(rows.v.tolist()), least)
+            if block.min() != block.max():  # pairs within a block are found where it meets itself
+                across = block[a] != block[b]
+                a, b = a[across], b[across]
+            first = _first_shared(codes, a, b, bucket)
+            a, b = a[first], b[first]
+            links = np.bincount(a, n[b], len(rows)) + np.bincount(b, n[a], len(rows))
+            out += [(names[i], None, int(links[i])) for i in np.flatnonzero(links)]
+            parent = list(range(len(rows)))
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                while parent[j] != j:
+                    parent[j] = j = parent[parent[j]]
+                if i != j:
+                    parent[i] = j
+                    out.append((names[i], names[j], None))
+        return pd.DataFrame(out, columns=["a", "b", "n"], dtype=object)
+
+    return run
+
+
 def class_links(classes: DataFrame, least: float, how: Hashing) -> DataFrame:
-    """Pairs (a < b) of classes (cls, v) that share a bucket and have a cosine of at least ``least``."""
-    hashed = classes.select("cls", "v").mapInPandas(_bucket_rows(how), "cls string, bucket long, width int")
-    hashed = stored(hashed, "vector-buckets")
+    """Rows (a, null, n) of classes (cls, n, v) with numbers of vectors they link with, to be summed, and
+    (a, b, null) of links that connect what is linked, among those that share a bucket."""
+    hashed = stored(classes.select("cls", "v").mapInPandas(_bucket_rows(how), "cls binary, codes array<long>"), "vector-buckets")
     # buckets with one class give no pair; in the others a class's block is by its hash
-    filled = hashed.groupBy("bucket", "width").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    filled = filled.withColumn("blocks", F.ceil(F.col("m") / how.block_rows).cast("int"))
-    total = filled.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
-    placed = hashed.join(filled, ["bucket", "width"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    spots = hashed.select("cls", F.explode("codes").alias("bucket"))
+    filled = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / how.block_rows).cast("int"))
+    placed = joined_by(spots, filled, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # a row goes to the block pairs (i, j), i <= j, that have its block; many pairs share a task's call
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("cls", "bucket", "width", "block", other)
-    pair = F.xxhash64("bucket", "width", F.least("block", "other"), F.greatest("block", "other"))
-    spread = spread.select("cls", "width", "block", pair.alias("pair"))
-    spread = spread.withColumn("batch", F.pmod("pair", F.lit(max(1, int(total) // BATCH_ROWS))))
-    with_v = spread.join(classes.select("cls", "v"), "cls")
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, rows in pdf.groupby("width"):
-            rows = rows.sort_values("pair", kind="stable")
-            x, names, block, pair = _unit(rows.v.tolist()), rows.cls.to_numpy(), rows.block.to_numpy(), rows.pair.to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if end - start < 2:
-                    continue
-                own = x[start:end]
-                a, b = np.nonzero(np.triu(own @ own.T >= least - 1e-9, 1))
-                a, b = a + start, b + start
-                if block[start:end].min() != block[start:end].max():  # pairs within a block are found where i = j
-                    across = block[a] != block[b]
-                    a, b = a[across], b[across]
-                found += [(min(p), max(p)) for p in zip(names[a], names[b], strict=True)]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype=object)
-
-    near = with_v.groupBy("batch").applyInPandas(compared, "a string, b string").where("a <> b").distinct()
-    va = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"))
-    vb = classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"))
-    return near.join(va, "a").join(vb, "b").mapInPandas(_verified(least), "a string, b string")
+    spread = placed.select("cls", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    spread = stored(spread.select("cls", "bucket", "block", pair.alias("pair")), "vector-spread")
+    batches = 1 + spread.count() // BATCH_ROWS
+    whole = classes.select("cls", "n", "v").join(hashed, "cls")
+    dealt = spread.withColumn("batch", F.pmod("pair", F.lit(batches))).join(whole, "cls")
+    return dropped_after(stored(dealt.groupBy("batch").applyInPandas(_compared(least), "a binary, b binary, n long"), "vector-links"), hashed, spread)

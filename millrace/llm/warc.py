@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import maybe_among, release_memory, remove_path, stored
+
 #: Bytes of a record's block, of an HTTP chunk, and records of a file.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 16_384, 4_096, 1_024
-_END = "\r\n\r\n"
+#: Longer URLs aren't written, so that records stay far below 16 MB.
+URL_CHARS = 65_536
+_END = b"\r\n\r\n"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -55,23 +59,39 @@ def unchunked(body: bytes) -> bytes:
 
 def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode("utf-8") + _END.encode() + block
+    return "\r\n".join(lines).encode("utf-8") + _END + block
 
 
 def _header_text(value: object) -> str:
     return re.sub(r"[\r\n]+", " ", str(value))
 
 
-def page_records(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, nonce: str, segment_bytes: int) -> list[bytes]:
-    """The records of one page, without the blank lines that end them."""
-    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, nonce)}>"
-    named = [("WARC-Target-URI", _header_text(url))] if url is not None else []
+def _uri(header: str, url) -> list[tuple[str, object]]:
+    return [(header, _header_text(url))] if url is not None and len(url) <= URL_CHARS else []
+
+
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def page_records(page_id, url, payload: bytes, digest: str, refers_to, refers_url, revisit: bool, copy: int | None, copies: bool, segment_bytes: int) -> list[bytes]:
+    """The records of one page, without the blank lines that end them.
+
+    Records are named by page id, digest and segment number, so that writing a page again
+    gives the same ones; a page whose id and payload are repeated has a number of its own,
+    and revisits then name it by its page id and URI alone.
+    """
+    name = f"{page_id}/{digest}" + ("" if copy is None else f"/{copy}")
+    own = record_id(name)
+    named = _uri("WARC-Target-URI", url)
     named += [("WARC-Date", "2024-01-01T00:00:00Z"), ("X-Page-Id", "" if page_id is None else page_id)]
     digests = [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = [("Content-Type", "application/http; msgtype=response")]
     if revisit:
         profile = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", refers_to)]
+        profile += [] if copies else [("WARC-Refers-To", record_id(f"{refers_to}/{digest}"))]
+        profile += [*_uri("WARC-Refers-To-Target-URI", refers_url), ("WARC-Refers-To-Date", "2024-01-01T00:00:00Z")]
         return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *named, *digests, *profile, *kind], head)]
     block = head + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -80,47 +100,68 @@ def page_records(page_id, url, payload: bytes, digest: str, refers_to, revisit:
     out = [_record([("WARC-Type", "response"), ("WARC-Record-ID", own), *named, *digests, ("WARC-Segment-Number", 1), *kind], parts[0])]
     for i, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] if i == len(parts) else []
-        each = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{nonce}#{i}')}>"
-        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", each), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", i), *total], part))
+        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{name}#{i}")), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", i), *total], part))
     return out
 
 
+def gzip_member(record: bytes) -> bytes:
+    """A record with the blank lines that end it, as a gzip member of its own."""
+    return gzip.compress(record + _END, mtime=0)
+
+
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str | None = "url", html: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write the rows of ``pages`` as gzipped WARC files under ``path``, by Spark's own writer.
+    """Write the rows of ``pages`` as WARC files under ``path``, by Spark's own writer, each record a gzip member.
 
     Of equal payloads of at least ``least_bytes`` bytes the row with the largest id is the
-    response. Rows that share id and payload with it are responses, too; so are rows with
-    null ids if no id is known for their payload. Only groups of two or more meet the
-    pages in a join, in which a hot payload is on one side once and can be split.
+    response. Rows that share id and payload with it tie and are responses, too; so are rows
+    with null ids if no id is known for their payload. A null or empty html is a payload of
+    no bytes; a very long one becomes as many segments as it needs. Repeated urls are
+    headers like any other; a null one, or one of over 65,536 characters, is left out; an empty table gives an archive without
+    records; other columns, whatever their names, are not read.
+
+    A table of bits of fixed size tells most payloads that are not repeated; those are
+    written where they are read. The others meet their groups in a join by digest, in which
+    a hot payload is on one side once and can be split.
     """
     body = F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(
         F.col(f"`{key}`").alias("page_id"),
         (F.col(f"`{url}`") if url and url in pages.columns else F.lit(None)).cast("string").alias("url"),
         body.alias("payload"),
-        F.sha1(body).alias("hex"),
+        F.unhex(F.sha1(body)).alias("sha1"),
+    )
+    by_page = rows.groupBy("sha1", "page_id").agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("url"), F.max(F.octet_length("payload")).alias("size"))
+    groups = by_page.groupBy("sha1").agg(
+        F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.sum("n").alias("n"), (F.sum("n") > F.count(F.lit(1))).alias("copies"), F.max("size").alias("size")
     )
-    repeated = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "hex").groupBy("hex")
-    repeated = repeated.agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    marked = rows.join(repeated, "hex", "left")
+    enough = F.col("size") >= least_bytes
+    groups = stored(groups.where("n > 1").select("sha1", F.when(enough, F.col("refers_to")).alias("refers_to"), F.when(enough, F.col("refers_url")).alias("refers_url"), "copies"), "warc-groups")
+    flagged = maybe_among(rows, "sha1", groups, "maybe")
+    names = ["page_id", "url", "payload", "sha1", "refers_to", "refers_url", "copies"]
+    nothing = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in ("refers_to", "refers_url", "copies")]
+    alone = flagged.where("not maybe").select(*names[:4], *nothing)
+    marked = alone.unionByName(flagged.where("maybe").select(*names[:4]).join(groups, "sha1", "left").select(names))
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    nonce = F.concat_ws("/", F.monotonically_increasing_id().cast("string"), F.expr("uuid()"))
-    marked = marked.select("page_id", "url", "payload", "hex", "refers_to", revisit.alias("revisit"), nonce.alias("nonce"))
+    copy = F.when(F.col("copies"), F.monotonically_increasing_id())
+    marked = marked.select("page_id", "url", "payload", "sha1", "refers_to", "refers_url", revisit.alias("revisit"), copy.alias("copy"), F.coalesce("copies", F.lit(False)).alias("copies"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64).to_pydict()
                 out = []
-                for page_id, u, payload, hexed, refers_to, again, own in zip(*part.values(), strict=True):
-                    digest = base64.b32encode(bytes.fromhex(hexed)).decode("ascii")
-                    out += page_records(page_id, u, payload, digest, refers_to, again, own, segment_bytes)
+                for page_id, u, payload, sha1, *rest in zip(*part.values(), strict=True):
+                    digest = base64.b32encode(sha1).decode("ascii")
+                    # a member's last byte is 0, the highest of its size's four; the line separator puts it back
+                    out += [gzip_member(r)[:-1] for r in page_records(page_id, u, payload, digest, *rest, segment_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        release_memory()
 
     records = marked.mapInArrow(run, "record binary")
-    # the blank lines that end a record are the writer's line separator; bytes pass through the cast unchanged
+    # bytes pass through the cast unchanged
     writer = records.select(F.col("record").cast("string").alias("value")).write
-    writer.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    remove_path(pages.sparkSession, groups._scratch)
 
 
 RECORD = T.StructType([
@@ -134,7 +175,7 @@ def parsed_records(data: bytes):
     """(origin, segment or 0 if there is but one, total, type, page id, digest, length, refers to, block) of a file's records."""
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
+        end = data.find(_END, at)
         if end < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {}
@@ -155,7 +196,7 @@ def parsed_records(data: bytes):
 
 
 def warc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under ``path``, one row each."""
+    """The records of the WARC files under ``path``, one row each; files may be gzipped or plain."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):
@@ -197,7 +238,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A response's payload is decoded and hashed anew; ``whole`` is false where its segments,
     chunks or digest don't agree, and the payload is then null. A revisit has no payload of
-    its own; its size and digest are those its record gives. No files give no rows.
+    its own; its size and digest are those its record gives, as the format has it. Pages
+    without an id, repeated ones and very long payloads come back as they were written; no
+    files give no rows.
     """
     whole = reassembled(warc_records(spark, path))
     fields = T.StructType([
@@ -213,7 +256,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for r in batch.slice(at, 64).to_pylist():
                     row = {"page_id": int(r["page_id"]) if r["page_id"] else None, "record_type": r["warc_type"], "payload": None, "payload_bytes": r["length"], "payload_digest": r["digest"], "refers_to": int(r["refers_to"]) if r["refers_to"] else None, "whole": r["whole"]}
                     if r["warc_type"] == "response" and r["whole"]:
-                        head, _, body = r["block"].partition(b"\r\n\r\n")
+                        head, _, body = r["block"].partition(_END)
                         try:
                             payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                         except ValueError:

@@ -189,6 +189,38 @@ def test_warc_round_trip(spark):
     assert warc.warc_records(spark, path).where("segment > 1").count() > 4
 
 
+def test_warc_files_are_standard(spark):
+    """One gzip member for each record; revisits name the record they repeat; names are the same each time."""
+    import glob
+    import zlib
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 3 else f"page {i} " * 3_000) for i in range(30)], "page_id long, url string, html string")
+    seen = []
+    for parts in (1, 4):
+        path = scratch_path(spark, "warc-test")
+        warc.write_warc(pages.repartition(parts), path)
+        members = []
+        for name in glob.glob(f"{path.removeprefix('file:')}/part-*"):
+            data = open(name, "rb").read()
+            while data:
+                one = zlib.decompressobj(31)
+                members.append(one.decompress(data))
+                assert one.eof
+                data = one.unused_data
+        assert len(members) == warc.warc_records(spark, path).count() > 30
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.count(b"WARC/1.1\r\n") == 1 and m.endswith(b"\r\n\r\n") for m in members)
+        headers = [dict(line.split(": ", 1) for line in m.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for m in members]
+        ids = {h["WARC-Record-ID"]: h for h in headers}
+        assert len(ids) == len(headers)
+        revisits = [h for h in headers if h["WARC-Type"] == "revisit"]
+        assert len(revisits) == 19
+        for h in revisits:
+            first = ids[h["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["X-Page-Id"] == "29" and first["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+        seen.append(sorted(members))
+    assert seen[0] == seen[1]
+
+
 def test_warc_least_bytes_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     path = scratch_path(spark, "warc-test")
@@ -208,7 +240,7 @@ def test_warc_keeps_every_record_of_large_files(spark):
 
 
 def test_broken_segments_are_told(spark):
-    records = [r for p in ([b"a" * 50_000], [b"b" * 50_000]) for r in warc.page_records(p[0][0], "u", p[0], warc.payload_digest(p[0]), None, False, str(p[0][0]), 16_384)]
+    records = [r for p in ([b"a" * 50_000], [b"b" * 50_000]) for r in warc.page_records(p[0][0], "u", p[0], warc.payload_digest(p[0]), None, None, False, None, False, 16_384)]
     rows = [tuple(x) for d in records for x in warc.parsed_records(d + b"\r\n\r\n")]
     del rows[1]  # a continuation is lost
     random.Random(1).shuffle(rows)
@@ -259,6 +291,31 @@ def test_hadamard_is_a_rotation():
     assert np.allclose(embeddings.hadamard(embeddings.hadamard(x)), x)
 
 
+@pytest.mark.parametrize("size", [64, 768])
+def test_pairs_at_the_threshold_share_a_bucket(size):
+    rng = np.random.default_rng(size)
+    x, y = rng.normal(size=(2, 1_000, size))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.sqrt((y * y).sum(1))[:, None]
+    how = embeddings.Hashing()
+    a, b = embeddings.probe_codes(x, how), embeddings.probe_codes(y, how)
+    met = (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3))
+    assert met.mean() >= 0.98
+
+
+def test_large_groups_of_near_vectors_emit_no_pairs(spark):
+    """500 different vectors all near each other: every link is counted, and what leaves the comparison stays small."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16) + rng.normal(size=(500, 16)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for rows in (512, 64):
+        how = embeddings.Hashing(block_rows=rows)
+        assert {(r.n_links, r.component_id) for r in embeddings.near_vectors(df, how=how).collect()} == {(499, 0)}
+    classes = embeddings.vector_classes(df, "vec_id", "embedding").selectExpr("cls", "1 as n", "v")
+    assert embeddings.class_links(classes, 0.95, embeddings.Hashing()).count() < 500 * 12 * 2
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 20))
