@@ -9,9 +9,10 @@ used is left out and reported, as the language asks.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spellings of the predicates (fixed values of the language).
@@ -133,7 +134,21 @@ def apply_filters(df: DataFrame, filters: list[dict] | None) -> tuple[DataFrame,
     return (df.where(reduce(lambda a, b: a & b, columns)) if columns else df), skipped
 
 
-#: Aggregates by name; the sum of nothing is 0, and deviations are those of a sample.
+def _skew(c: Column) -> Column:
+    """A sample's skewness; null below three values, 0 where all are equal."""
+    n = F.count(c).cast("double")
+    own = F.when(F.max(c) == F.min(c), F.lit(0.0)).otherwise(F.skewness(c))
+    return F.when(n >= 3, own * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def _kurt(c: Column) -> Column:
+    """A sample's excess kurtosis; null below four values, 0 where all are equal."""
+    n = F.count(c).cast("double")
+    own = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)
+    return F.when(n >= 4, F.when(F.max(c) == F.min(c), F.lit(0.0)).otherwise(own))
+
+
+#: Aggregates by name, for numbers; the sum of nothing is 0, and deviations are those of a sample.
 AGGREGATES = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
     "mean": F.avg,
@@ -149,6 +164,13 @@ AGGREGATES = {
     "prod": F.product,
     "size": lambda c: F.count(F.lit(1)),
     "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
+    "skew": _skew,
+    "kurt": _kurt,
+    "kurtosis": _kurt,
+    "quantile": F.median,
+    "product": F.product,
+    "any": lambda c: F.coalesce(F.max(c.cast("boolean")), F.lit(False)),
+    "all": lambda c: F.coalesce(F.min(c.cast("boolean")), F.lit(True)),
 }
 
 
@@ -195,32 +217,49 @@ def top_rows(df: DataFrame, columns: list[str] | str, by: str, order: str = "des
 
 
 def sql_query(df: DataFrame, text: str) -> DataFrame:
-    """A Spark SQL statement over the table ``df``; group_concat is read as string_agg."""
+    """A Spark SQL statement over the table ``df``; group_concat is read as string_agg.
+
+    The table is a named subquery of this statement alone, so that no view of the user's is
+    replaced and statements in several threads don't meet.
+    """
     if not text:
         raise QueryError("there is no statement")
-    text = re.sub(r"\bgroup_concat\s*\(", "string_agg(", text, flags=re.I)
-    view = "df"
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(text)
+    text = re.sub(r"\bgroup_concat\s*\(", "string_agg(", text.strip().rstrip(";"), flags=re.I)
+    view = f"df_{uuid.uuid4().hex}"
+    own = f"df AS (SELECT * FROM {view})"
+    if started := re.match(r"with(\s+recursive)?\s", text, flags=re.I):
+        text = f"{started[0]}{own}, {text[started.end() :]}"
+    else:
+        text = f"WITH {own} {text}"
+    df.createTempView(view)
+    try:
+        return df.sparkSession.sql(text)
+    finally:  # the plan holds the table by now
+        df.sparkSession.catalog.dropTempView(view)
 
 
 def compile_query(df: DataFrame, query: dict) -> DataFrame:
     """The plan of a structured query object over ``df``."""
-    kept, _ = apply_filters(df, query.get("filters"))
+    return _compiled(df, query)[0]
+
+
+def _compiled(df: DataFrame, query: dict) -> tuple[DataFrame, list[str]]:
+    """The plan, and a message for each filter that was left out."""
+    kept, skipped = apply_filters(df, query.get("filters"))
     kind, options = query.get("operation_type"), query.get("options") or {}
     if kind == "get_unique_values":
-        return unique_values(kept, query.get("column_name"), options.get("drop_na", False))
+        return unique_values(kept, query.get("column_name"), options.get("drop_na", False)), skipped
     if kind == "group_by_aggregate":
         keys, column, function = (query.get(k) for k in ("group_by_columns", "aggregation_column", "aggregation_function"))
         if keys is None or column is None or function is None:
             raise QueryError("group_by_aggregate needs group_by_columns, aggregation_column and aggregation_function")
-        return group_aggregate(kept, keys, column, function, options.get("output_column_name"))
+        return group_aggregate(kept, keys, column, function, options.get("output_column_name")), skipped
     if kind == "find_top_n_rows":
         if not query.get("select_columns") or not query.get("condition_column"):
             raise QueryError("find_top_n_rows needs select_columns and condition_column")
-        return top_rows(kept, query["select_columns"], query["condition_column"], query.get("sort_order", "descending"), query.get("n_rows", 1), query.get("tie_columns"))
+        return top_rows(kept, query["select_columns"], query["condition_column"], query.get("sort_order", "descending"), query.get("n_rows", 1), query.get("tie_columns")), skipped
     if kind == "direct_sql_query":
-        return sql_query(kept, query.get("sql_query"))
+        return sql_query(kept, query.get("sql_query")), skipped
     raise QueryError(f"no operation {kind!r}")
 
 
@@ -236,10 +275,21 @@ def shaped_result(df: DataFrame):
 
 
 def respond(df: DataFrame, query: dict) -> dict:
-    """success, result, error and error_details of a query; every failure is an answer, not an exception."""
+    """success, result, error, error_details and skipped filters of a query; every failure is an answer, not an exception."""
     try:
-        return {"success": True, "result": shaped_result(compile_query(df, query)), "error": None, "error_details": None}
+        plan, skipped = _compiled(df, query)
+        return {"success": True, "result": shaped_result(plan), "error": None, "error_details": None, "skipped_filters": skipped}
     except QueryError as why:
-        return {"success": False, "result": None, "error": str(why), "error_details": type(why).__name__}
+        return {"success": False, "result": None, "error": str(why), "error_details": type(why).__name__, "skipped_filters": []}
     except Exception as why:  # the engine's own errors are part of the answer, too
-        return {"success": False, "result": None, "error": "the query failed", "error_details": str(why)[:500]}
+        return {"success": False, "result": None, "error": "the query failed", "error_details": str(why)[:500], "skipped_filters": []}
+
+
+def respond_sheet(spark: SparkSession, path: str, query: dict) -> dict:
+    """``respond`` over a sheet of an Excel file: the query's ``sheet_name`` (a name, or a number from 0), else the default one."""
+    from ..sources import files
+
+    try:
+        return respond(files.read_excel(spark, path, query.get("sheet_name") or files.DEFAULT_SHEET), query)
+    except (FileNotFoundError, ValueError) as why:
+        return {"success": False, "result": None, "error": str(why), "error_details": type(why).__name__, "skipped_filters": []}

@@ -80,10 +80,11 @@ _query("sqo_unique_dropna", _with_nulls, f"SELECT DISTINCT status FROM (SELECT {
 _GROUPED = {
     "sum": "sum(l_extendedprice)", "mean": "avg(l_extendedprice)", "count": "count(l_extendedprice)", "min": "min(l_extendedprice)", "max": "max(l_extendedprice)",
     "nunique": "count(DISTINCT l_extendedprice)", "std": "stddev_samp(l_extendedprice)", "var": "var_samp(l_extendedprice)", "median": "median(l_extendedprice)", "size": "count(*)",
-    "sem": "stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice))",
+    "sem": "stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice))", "skew": "skewness(l_extendedprice)", "kurt": "kurtosis(l_extendedprice)", "quantile": "quantile_cont(l_extendedprice, 0.5)",
+    "any": "bool_or(l_extendedprice <> 0)", "all": "bool_and(l_extendedprice <> 0)",
 }
 for _name, _sql in _GROUPED.items():
-    _whole = _name in ("count", "nunique", "size")
+    _whole = _name in ("count", "nunique", "size", "any", "all")
     _digits = 2 if _name in ("sum", "var") else 6
 
     def _run(spark, sf_dir, name=_name, whole=_whole, digits=_digits):

@@ -82,6 +82,61 @@ def test_answers_hold_all_values(spark):
     assert answer["success"] and sorted(answer["result"]) == list(range(10_050))
 
 
+def test_reducers_are_those_of_the_data_frame_library(spark):
+    import math
+
+    import pandas as pd
+
+    rows = [("a", x) for x in (1.0, 2.0, 2.5, 9.0, 0.0)] + [("b", 3.0)] * 4 + [("c", 1.0), ("c", 2.0), ("c", None)] + [("d", None)]
+    local = pd.DataFrame(rows, columns=["k", "n"]).groupby("k").n
+    df = spark.createDataFrame(rows, "k string, n double")
+    for name in ("skew", "quantile", "any", "all", "prod", "sem", "std", "median", "nunique"):
+        expected = local.agg(name).to_dict()
+        got = {r.k: r.n for r in sqo.group_aggregate(df, "k", "n", name).collect()}
+        for k, v in expected.items():
+            if name == "prod" and k == "d":
+                continue
+            assert got[k] is None if v != v else math.isclose(got[k], v, abs_tol=1e-9), (name, k)
+    for name in ("kurt", "skew"):
+        for k in "abcd":
+            v = local.get_group(k).agg(name)
+            got = sqo.group_aggregate(df.where(f"k = '{k}'"), [], "n", name).first()[name]
+            assert got is None if v != v else math.isclose(got, v, abs_tol=1e-9), (name, k)
+
+
+def test_statements_leave_views_alone(spark, rows):
+    spark.range(3).createOrReplaceTempView("df")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert sqo.sql_query(rows, "WITH x AS (SELECT n FROM df) SELECT count(*) AS c FROM x;").first().c == 4
+    assert sqo.sql_query(rows, "SELECT df.n FROM df WHERE df.n = 3").first().n == 3
+    assert spark.table("df").count() == 3 and {t.name for t in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("df")
+
+
+def test_skipped_filters_are_answered(rows):
+    answer = sqo.respond(rows, {"operation_type": "get_unique_values", "column_name": "n", "filters": [{"column": "zz", "operator": "=="}, {"column": "n", "operator": ">", "value": 3}]})
+    assert answer["success"] and answer["result"] == 5.0 and len(answer["skipped_filters"]) == 1 and "zz" in answer["skipped_filters"][0]
+
+
+def test_answers_from_a_sheet(spark, tmp_path):
+    from tests.test_documents import zipped
+
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>' if v != "" else ""
+    sheet = lambda rows: f"<worksheet {s}><sheetData>" + "".join(f'<row r="{i}">' + "".join(cell(f"{c}{i}", v) for c, v in zip("ABC", r, strict=False)) + "</row>" for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    data = zipped(
+        xl__workbook_xml=f'<workbook {s}><sheets><sheet name="Sheet1"/><sheet name="More"/></sheets></workbook>',
+        xl__worksheets__sheet1_xml=sheet([["name", "price", "n"], ["a", "1.5", "2"], ["b", "", "3"]]), xl__worksheets__sheet2_xml=sheet([["x", "x", ""], ["1", "2", "z"]]),
+    )
+    path = tmp_path / "book.xlsx"
+    path.write_bytes(data)
+    ask = lambda **q: sqo.respond_sheet(spark, str(path), q)
+    assert ask(operation_type="group_by_aggregate", group_by_columns=[], aggregation_column="n", aggregation_function="sum")["result"] == 5
+    assert ask(operation_type="find_top_n_rows", select_columns=["name", "price"], condition_column="price", n_rows=2)["result"] == [{"name": "a", "price": 1.5}, {"name": "b", "price": None}]
+    assert ask(operation_type="direct_sql_query", sql_query="SELECT * FROM df", sheet_name="More")["result"] == {"x": 1, "x.1": 2, "Unnamed: 2": "z"}
+    assert not ask(operation_type="get_unique_values", column_name="n", sheet_name="None")["success"]
+
+
 def test_filters_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = sqo.apply_filters(df, [{"column": "o_orderdate", "operator": ">", "value": "1998-01-01", "is_date": True}, {"column": "o_orderstatus", "operator": "==", "value": "F"}])[0]
