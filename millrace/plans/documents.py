@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -142,9 +143,12 @@ def metadata_flatten(spark, sf_dir):
 
 
 def _html(spark, sf_dir):
-    """Pages, each with a table, code and a quotation more than it had."""
-    extra = "<table><caption>c</caption><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><pre><code class='language-py'>x = 1</code></pre><blockquote>q</blockquote><hr></article>"
-    return table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</article>"), F.lit(extra)).alias("content"))
+    """Pages, each with a table of its own values, code and a quotation more than it had."""
+    table_html = F.concat(
+        F.lit("<table><caption> page "), "page_id", F.lit("</caption><thead><tr><th>name</th><th> value </th></tr></thead><tbody><tr><td>id</td><td><b>"), "page_id",
+        F.lit("</b></td></tr><tr><td>url</td><td>"), "url", F.lit("</td></tr></tbody></table><pre><code class='language-py'>x = 1</code></pre><blockquote>q</blockquote><hr></article>"),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</article>"), table_html).alias("content"))
 
 
 @catalogue.add("html_elements")
@@ -153,19 +157,21 @@ def html_elements(spark, sf_dir):
     return rows.groupBy("page_id", "element_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@catalogue.add("html_tables", "SELECT page_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' AS markdown, 'c' AS caption FROM pages WHERE html LIKE '%</article>%'")
+@catalogue.add("html_tables", "SELECT page_id, '| name | value |' || chr(10) || '| --- | --- |' || chr(10) || '| id | ' || page_id || ' |' || chr(10) || '| url | ' || url || ' |' AS markdown, 'page ' || page_id AS caption FROM pages WHERE html LIKE '%</article>%'")
 def html_tables(spark, sf_dir):
     rows = parsers.parsed(_html(spark, sf_dir).withColumn("file_type", F.lit(".html")), "page_id", "content", "file_type")
     return rows.where("element_type = 'table'").select("page_id", F.col("markdown_representation").alias("markdown"), "caption")
 
 
-@catalogue.add("markdown_elements", f"""WITH {_LINES} SELECT doc_id, count(*) FILTER (level IS NOT NULL AND length({_STRIP.format('text')}) > 0) AS titles FROM el GROUP BY doc_id""")
+@catalogue.add("markdown_elements", f"""WITH {_LINES}, t AS (SELECT doc_id, idx, level, regexp_replace({_STRIP.format('text')}, '\s*#*$', '') AS said FROM el WHERE level IS NOT NULL AND length({_STRIP.format('text')}) > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS place, level, md5(said) AS text_md5 FROM t""")
 def markdown_elements(spark, sf_dir):
-    """Documents whose titles are written as Markdown headings, read back by the Markdown scan."""
+    """Documents whose titles are written as Markdown headings: each title, in order, as the Markdown scan reads it back."""
     text = F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(0))), F.when(F.col("level").isNotNull(), F.lit(" ")).otherwise(F.lit("")), "text")
     rows = _elements(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("content"))
-    found = parsers.parsed(rows.withColumn("file_type", F.lit(".md")), "doc_id", "content", "file_type")
-    return found.groupBy("doc_id").agg(F.count_if(F.col("element_type") == "title").alias("titles"))
+    found = parsers.parsed(rows.withColumn("file_type", F.lit(".md")), "doc_id", "content", "file_type").where("element_type = 'title'")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
+    return found.select("doc_id", place.cast("long").alias("place"), "level", F.md5("text").alias("text_md5"))
 
 
 @catalogue.add("text_elements", f"SELECT doc_id, md5({_STRIP.format('text')}) AS text_md5 FROM documents")

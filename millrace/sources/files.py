@@ -29,6 +29,37 @@ def latest_file(spark: SparkSession, pattern: str) -> DataFrame:
     return found.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).where("path is not null")
 
 
+#: The sheet that is read where a query names none (fixed value).
+DEFAULT_SHEET = "Sheet1"
+
+
+def read_excel(spark: SparkSession, path: str, sheet: str | int = DEFAULT_SHEET) -> DataFrame:
+    """One sheet of an Excel file as a table: the first row names the columns, blank cells are null.
+
+    ``sheet`` is a name or a place from 0. A column whose cells are all numbers is double (or
+    long, where all are whole). A workbook is one file of bounded size, so that one task reads it.
+    """
+    from . import parsers
+
+    found = spark.read.format("binaryFile").load(path).select("content").head()
+    if found is None:
+        raise FileNotFoundError(path)
+    header, rows = parsers.sheet_cells(bytes(found.content), sheet)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in header]
+    kinds, values = [], []
+    for cells in columns:
+        numbers = [parsers.number_or_none(c) for c in cells if c is not None]
+        if numbers and None not in numbers:
+            whole = all(n == int(n) for n in numbers) and not any("." in c or "e" in c.lower() for c in cells if c is not None)
+            kinds.append(T.LongType() if whole else T.DoubleType())
+            values.append([None if c is None else int(float(c)) if whole else float(c) for c in cells])
+        else:
+            kinds.append(T.StringType())
+            values.append(list(cells))
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(header, kinds, strict=True)])
+    return spark.createDataFrame(list(zip(*values, strict=True)) if rows else [], schema)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of a schema; blank and malformed lines are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -47,8 +78,14 @@ def question_list(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """CSV with a header, as one file for each partition."""
-    df.write.mode("overwrite").option("header", "true").csv(folder)
+    """CSV with a header, as one file for each partition, each with the mark that tells spreadsheets its encoding (utf-8-sig)."""
+    first, rest = df.columns[0], [F.col(f"`{c}`") for c in df.columns[1:]]
+    df.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *rest).write.mode("overwrite").option("header", "true").csv(folder)
+
+
+def write_json_lines(df: DataFrame, folder: str, mode: str = "append") -> None:
+    """Rows as JSON lines, nulls included, as one file for each partition."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(folder)
 
 
 def append_log(df: DataFrame, folder: str, stamp: Column) -> None:
@@ -56,6 +93,11 @@ def append_log(df: DataFrame, folder: str, stamp: Column) -> None:
     df.withColumn("date", F.date_format(stamp, "yyyyMMdd")).write.mode("append").partitionBy("date").json(folder)
 
 
+def write_log_batch(df: DataFrame, folder: str, stamp: Column, epoch: int) -> None:
+    """Records as JSON lines in one folder for each UTC day within the batch's own; a batch that comes again replaces itself."""
+    df.withColumn("date", F.date_format(stamp, "yyyyMMdd")).write.mode("overwrite").partitionBy("date").json(f"{folder}/epoch={epoch}")
+
+
 def write_vectors(df: DataFrame, folder: str, partition: str | None = None) -> None:
     """Append vectors with flat metadata as Parquet."""
     writer = df.write.mode("append")

@@ -30,12 +30,13 @@ def _squeezed(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def pipe_table(rows: list[list[str]]) -> str:
-    """Rows as a Markdown table, the first one being the header."""
+def pipe_table(rows: list[list[str]], spaced: bool = False) -> str:
+    """Rows as a Markdown table, the first one being the header; with spaces in the separator if they are asked for."""
     width = max(map(len, rows))
     filled = [[c.replace("|", "\\|") for c in r] + [""] * (width - len(r)) for r in rows]
     lines = ["| " + " | ".join(r) + " |" for r in filled]
-    return "\n".join([lines[0], "|" + "|".join(["---"] * width) + "|", *lines[1:]])
+    rule = ["---"] * width
+    return "\n".join([lines[0], "| " + " | ".join(rule) + " |" if spaced else "|" + "|".join(rule) + "|", *lines[1:]])
 
 
 def text_elements(content: str) -> Iterator[dict]:
@@ -95,7 +96,9 @@ def markdown_elements(content: str) -> Iterator[dict]:
 
 
 #: Tags that hold nothing to read (fixed values).
-IGNORED = frozenset("script style nav footer aside header form noscript button input select textarea iframe svg canvas template".split())
+IGNORED = {"script", "style", "nav", "footer", "header", "aside", "form", "meta", "link", "button", "input", "noscript", "iframe", "canvas", "svg", "path"}
+#: Tags that hold blocks, so that text before and after them stays apart (fixed values).
+CONTAINERS = {"div", "section", "article", "main", "body", "figure", "figcaption", "details", "summary"}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol table pre blockquote hr".split())
 
@@ -143,8 +146,8 @@ class _Tree(HTMLParser):
         self.root = self.at = _Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _BLOCKS:  # a block ends an open paragraph, and with it what is open inside
-            self._end("p", ("li", "td", "th", "div", "section", "article", "blockquote"))
+        if tag in _BLOCKS or tag in CONTAINERS:  # a block ends an open paragraph, and with it what is open inside
+            self._end("p", ("li", "td", "th", "blockquote", *CONTAINERS))
         if tag in ("li", "td", "th", "tr"):
             self._end(tag, ("ul", "ol", "table"))
         node = _Node(tag, dict(attrs), self.at)
@@ -195,7 +198,7 @@ def _blocks(node: _Node) -> Iterator[dict]:
         elif child.tag in _BLOCKS:
             yield from flush()
             yield from _block(child)
-        elif any(c for c in child.all(tuple(_BLOCKS))) or child.tag in ("div", "section"):
+        elif any(c for c in child.all(tuple(_BLOCKS))) or child.tag in CONTAINERS:
             yield from flush()
             stack.append(_Node("br", {}, None))
             stack += reversed(child.children)
@@ -216,8 +219,9 @@ def _block(node: _Node) -> Iterator[dict]:
         yield from _items(node, 0)
     elif tag == "table":
         rows, caption = _table_rows(node), node.find("caption")
-        if rows:
-            yield {"element_type": "table", "markdown_representation": pipe_table(rows), "caption": _squeezed(caption.text()) if caption else None}
+        said = (_squeezed(caption.text()) or None) if caption else None
+        if rows or said:
+            yield {"element_type": "table", "markdown_representation": pipe_table(rows, spaced=True) if rows else "", "caption": said}
     elif tag == "pre":
         code = node.find("code")
         classes = ((code.attrs.get("class") if code else "") or node.attrs.get("class") or "").split()
@@ -249,37 +253,103 @@ def _table_rows(table: _Node) -> list[list[str]]:
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+_DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}docPr"
+
+
 def docx_elements(content: bytes) -> Iterator[dict]:
-    """Titles, list items, paragraphs, tables and page breaks of a Word file."""
+    """Headers, titles, list items with their numbers, paragraphs, code, tables, images, page breaks and footers of a Word file."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
-    said = lambda e: "".join(t.text or "" for t in e.iter(f"{_WORD}t")).strip()
+        names = sorted(z.namelist())
+        part = lambda name: ElementTree.fromstring(z.read(name))
+        body = part("word/document.xml").find(f"{_WORD}body")
+        formats = _number_formats(part("word/numbering.xml")) if "word/numbering.xml" in names else {}
+        edges = {kind: [part(n) for n in names if re.fullmatch(rf"word/{kind}\d*\.xml", n)] for kind in ("header", "footer")}
+    yield from _edge_elements("header", edges["header"])
+    counts: dict[tuple[str, int], int] = {}
+    code: list[str] = []
     for e in body if body is not None else ():
+        name, text = _style(e), "" if e.tag == f"{_WORD}tbl" else _said(e)
+        if code and not (e.tag == f"{_WORD}p" and _CODE_STYLE.match(name)):
+            yield {"element_type": "code_block", "code": "\n".join(code)}
+            code.clear()
         if e.tag == f"{_WORD}tbl":
-            rows = [[said(c) for c in r.findall(f"{_WORD}tc")] for r in e.iter(f"{_WORD}tr")]
+            rows = [[_said(c) for c in r.findall(f"{_WORD}tc")] for r in e.findall(f"{_WORD}tr")]
             if rows:
-                yield {"element_type": "table", "markdown_representation": pipe_table(rows)}
+                yield {"element_type": "table", "markdown_representation": pipe_table(rows), "caption": "Table"}
         elif e.tag == f"{_WORD}p":
             if any(b.get(f"{_WORD}type") == "page" for b in e.iter(f"{_WORD}br")):
                 yield {"element_type": "page_break"}
-            style = e.find(f"{_WORD}pPr/{_WORD}pStyle")
-            name, text = (style.get(f"{_WORD}val") or "") if style is not None else "", said(e)
-            if not text:
-                continue
-            if m := re.match(r"(?:Heading|heading|Title)\s*(\d*)", name):
+            for image in e.iter(_DRAWING):
+                yield {"element_type": "image", "text": image.get("descr") or image.get("title") or image.get("name") or "Image"}
+            if _CODE_STYLE.match(name):
+                code.append("".join(t.text or "" for t in e.iter(f"{_WORD}t")))
+            elif text and (m := re.match(r"(?:Heading|heading|Title)\s*(\d*)", name)):
                 yield {"element_type": "title", "text": text, "level": int(m[1] or 1)}
-            elif e.find(f"{_WORD}pPr/{_WORD}numPr") is not None or name.startswith("List"):
-                depth = e.find(f"{_WORD}pPr/{_WORD}numPr/{_WORD}ilvl")
-                yield {"element_type": "list_item", "text": text, "level": int(depth.get(f"{_WORD}val")) if depth is not None else 0}
-            else:
+            elif text and (e.find(f"{_WORD}pPr/{_WORD}numPr") is not None or name.startswith("List")):
+                yield _word_item(e, name, text, formats, counts)
+            elif text:
                 yield {"element_type": "narrative_text", "text": text}
+    if code:
+        yield {"element_type": "code_block", "code": "\n".join(code)}
+    yield from _edge_elements("footer", edges["footer"])
+
+
+_CODE_STYLE = re.compile(r"(?i)(?:html ?preformatted|source ?code|code|plain ?text|macro ?text)")
+
+
+def _said(e) -> str:
+    return "".join(t.text or "" for t in e.iter(f"{_WORD}t")).strip()
+
+
+def _style(e) -> str:
+    style = e.find(f"{_WORD}pPr/{_WORD}pStyle")
+    return (style.get(f"{_WORD}val") or "") if style is not None else ""
+
+
+def _edge_elements(kind: str, parts: list) -> Iterator[dict]:
+    """One element for each different header or footer with a text."""
+    seen = set()
+    for e in parts:
+        text = " ".join(filter(None, (_said(p) for p in e.iter(f"{_WORD}p"))))
+        if text and text not in seen:
+            seen.add(text)
+            yield {"element_type": kind, "text": text}
+
+
+def _number_formats(numbering) -> dict[tuple[str, int], tuple[bool, int]]:
+    """(list, level) to whether it is numbered, and from which number."""
+    levels = {}
+    for a in numbering.iter(f"{_WORD}abstractNum"):
+        for level in a.iter(f"{_WORD}lvl"):
+            kind, start = level.find(f"{_WORD}numFmt"), level.find(f"{_WORD}start")
+            numbered = kind is not None and kind.get(f"{_WORD}val") not in ("bullet", "none")
+            levels[a.get(f"{_WORD}abstractNumId"), int(level.get(f"{_WORD}ilvl") or 0)] = (numbered, int(start.get(f"{_WORD}val")) if start is not None else 1)
+    out = {}
+    for n in numbering.iter(f"{_WORD}num"):
+        abstract = n.find(f"{_WORD}abstractNumId")
+        out |= {(n.get(f"{_WORD}numId"), lvl): v for (i, lvl), v in levels.items() if abstract is not None and i == abstract.get(f"{_WORD}val")}
+    return out
+
+
+def _word_item(e, style: str, text: str, formats: dict, counts: dict) -> dict:
+    """A list item with its level and, in a numbered list, its number; a higher level starts the lower ones anew."""
+    mark = e.find(f"{_WORD}pPr/{_WORD}numPr")
+    depth = mark.find(f"{_WORD}ilvl") if mark is not None else None
+    which = mark.find(f"{_WORD}numId") if mark is not None else None
+    level = int(depth.get(f"{_WORD}val")) if depth is not None else 0
+    number = which.get(f"{_WORD}val") if which is not None else ""
+    ordered, start = formats.get((number, level), (style.startswith("ListNumber"), 1))
+    for key in [k for k in counts if k[0] == number and k[1] > level]:
+        del counts[key]
+    counts[number, level] = counts.get((number, level), start - 1) + 1
+    return {"element_type": "list_item", "text": text, "level": level, "ordered": ordered, "item_number": str(counts[number, level]) if ordered else None}
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def xlsx_elements(content: bytes) -> Iterator[dict]:
-    """A table for each block of rows between blank rows, sheet by sheet (page_number from 1)."""
+def _sheet_rows(content: bytes) -> Iterator[tuple[int, str | None, list[tuple[int, list[str]]]]]:
+    """(place from 1, name, rows as (number, cells)) of each sheet; blank cells are empty texts."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = [
@@ -288,7 +358,7 @@ def xlsx_elements(content: bytes) -> Iterator[dict]:
         titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         for page, name in enumerate(sheets, 1):
-            block, last = [], 0
+            rows, last = [], 0
             for row in ElementTree.fromstring(z.read(name)).iter(f"{_SHEET}row"):
                 cells: list[str] = []
                 for c in row.findall(f"{_SHEET}c"):
@@ -299,19 +369,54 @@ def xlsx_elements(content: bytes) -> Iterator[dict]:
                     text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if kind == "inlineStr" else v.text if v is not None else ""
                     cells += [""] * (at - len(cells))
                     cells[at - 1] = (shared[int(text)] if kind == "s" and text else text or "").strip()
-                number = int(row.get("r") or last + 1)
-                if block and (number > last + 1 or not any(cells)):
-                    yield _sheet_table(block, titles, page)
-                    block = []
-                if any(cells):
-                    block.append(cells)
-                last = number
-            if block:
-                yield _sheet_table(block, titles, page)
-
-
-def _sheet_table(block: list[list[str]], titles: list, page: int) -> dict:
-    caption = f"Sheet: {titles[page - 1]}" if page <= len(titles) else None
+                last = int(row.get("r") or last + 1)
+                rows.append((last, cells))
+            yield page, titles[page - 1] if page <= len(titles) else None, rows
+
+
+def xlsx_elements(content: bytes) -> Iterator[dict]:
+    """A table for each block of rows between blank rows, sheet by sheet (page_number from 1)."""
+    for page, title, rows in _sheet_rows(content):
+        block, last = [], 0
+        for number, cells in rows:
+            if block and (number > last + 1 or not any(cells)):
+                yield _sheet_table(block, title, page)
+                block = []
+            if any(cells):
+                block.append(cells)
+            last = number
+        if block:
+            yield _sheet_table(block, title, page)
+
+
+def sheet_cells(content: bytes, sheet: str | int) -> tuple[list[str], list[tuple[str | None, ...]]]:
+    """The header and the rows of a sheet, named or by place from 0; a ValueError if there is none.
+
+    Columns without a name are called Unnamed: n, repeated names get .1, .2 and so on.
+    """
+    for page, title, rows in _sheet_rows(content):
+        if sheet in (title, page - 1):
+            table = [cells for _, cells in rows if any(cells)]
+            width = max(map(len, table), default=0)
+            filled = [[c or None for c in cells] + [None] * (width - len(cells)) for cells in table]
+            header, seen = [], {}
+            for i, name in enumerate(filled[0] if filled else []):
+                name = name or f"Unnamed: {i}"
+                seen[name] = seen.get(name, -1) + 1
+                header.append(f"{name}.{seen[name]}" if seen[name] else name)
+            return header, [tuple(r) for r in filled[1:]]
+    raise ValueError(f"no sheet {sheet!r}")
+
+
+def number_or_none(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def _sheet_table(block: list[list[str]], title: str | None, page: int) -> dict:
+    caption = f"Sheet: {title}" if title else None
     return {"element_type": "table", "markdown_representation": pipe_table(block), "caption": caption, "page_number": page}
 
 
@@ -340,20 +445,21 @@ def register(extension: str, parser, takes_bytes: bool = False) -> None:
 def elements_of(extension: str | None, content: bytes | str | None, registry: dict) -> list[dict]:
     """A file's elements, or one that says why there are none."""
     parser, takes_bytes = registry.get((extension or "").lower(), (None, False))
+    nothing = [{"element_type": "narrative_text", "text": f"[Content Not Parsed: {extension}]"}]
     if parser is None or content is None:
-        return [{"element_type": "narrative_text", "text": f"[Content Not Parsed: {extension}]"}]
+        return nothing
     try:
         if takes_bytes:
             data = content if isinstance(content, bytes) else content.encode("utf-8")
         else:
             data = content.decode("utf-8", "replace") if isinstance(content, bytes) else content
-        return list(parser(data))
+        return list(parser(data)) or nothing
     except Exception as why:  # one bad file must not end the job
         return [{"element_type": "narrative_text", "text": f"[Critical Parsing Exception: {type(why).__name__}: {why}]"}]
 
 
 def parsed(files: DataFrame, key: str, content: str, extension: str) -> DataFrame:
-    """(key, idx, element fields) of each file; a file without elements gives no row."""
+    """(key, idx, element fields) of each file; a file without elements gives one row that says so."""
     registry = dict(REGISTRY)
     schema = T.StructType([T.StructField(key, files.schema[key].dataType), T.StructField("idx", T.IntegerType()), *ELEMENT.fields])
 

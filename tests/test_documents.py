@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 from millrace.operators import chunking
@@ -36,8 +37,8 @@ def test_normalized_text(spark):
 
 @pytest.mark.parametrize(("f", "text", "expected"), [
     (tx.without_fence, "```json\n{}\n```", "{}"), (tx.without_fence, "plain", "plain"), (tx.salvaged_json, "x {a {b} c} y", "{a {b} c}"), (tx.salvaged_json, "none", None),
-    (tx.without_thoughts, "<think>a</think> b <THINK x>c</think>d", "b d"), (tx.without_thoughts, "a <think>open", "a"), (tx.without_lead_in, "Sure, of course, go", "go"),
-    (tx.last_question, "one?\n好的，two?", "one?"), (tx.last_question, "请问您 where", "请问您 where"), (tx.last_question, "nothing.", tx.DEFAULT_QUESTION), (tx.last_question, None, tx.DEFAULT_QUESTION),
+    (tx.without_thoughts, "<think>a</think> b <THINK x>c</think>d", "b d"), (tx.without_thoughts, "a <think>open", "a"), (tx.without_lead_in, "Sure, go", "Sure, go"), (tx.without_lead_in, " 好的，  当然，go ", "当然，go"), (tx.without_lead_in, "这里有一些建议：\n1. a", "1. a"), (tx.without_lead_in, "", tx.DEFAULT_SUGGESTION), (tx.without_lead_in, None, tx.DEFAULT_SUGGESTION),
+    (tx.last_question, "one?\n好的，two?", "one?"), (tx.last_question, " 好的，two? ", "好的，two?"), (tx.last_question, "好的，" + "long " * 20 + "?", tx.DEFAULT_QUESTION), (tx.last_question, "请问您 where", "请问您 where"), (tx.last_question, "nothing.", tx.DEFAULT_QUESTION), (tx.last_question, None, tx.DEFAULT_QUESTION),
     (tx.extension, "/a/b.TXT", ".txt"), (tx.base_name, "/a/b.TXT", "b.TXT"), (lambda c: tx.preview(c, 3), "abcd", "abc..."), (lambda c: tx.preview(c, 4), "abcd", "abcd"),
 ])
 def test_small_functions(spark, f, text, expected):
@@ -94,8 +95,12 @@ def test_html():
     got = list(parsers.html_elements(page))
     assert kinds(got) == ["narrative_text", "title", "narrative_text", "narrative_text", "list_item", "list_item", "list_item", "table", "code_block", "narrative_text", "page_break", "narrative_text"]
     assert got[0]["text"] == "loose bold" and got[1]["level"] == 2 and (got[5]["text"], got[5]["level"], got[5]["item_number"]) == ("n", 1, "3")
-    assert got[7]["markdown_representation"] == "| h1 | h2 |\n|---|---|\n| g |  |\n| 1\\|2 |  |" and got[7]["caption"] == "cap"
+    assert got[7]["markdown_representation"] == "| h1 | h2 |\n| --- | --- |\n| g |  |\n| 1\\|2 |  |" and got[7]["caption"] == "cap"
     assert (got[8]["code"], got[8]["language"]) == ("  ls", "sh") and got[-1]["text"] == "end & done"
+    select = list(parsers.html_elements("<body><select><option>kept</option></select><meta name=a><svg><path>no</path></svg><figure>a<figcaption>b</figcaption></figure>c<details><summary>d</summary>e</details></body>"))
+    assert [e["text"] for e in select] == ["kept", "a", "b", "c", "d", "e"]
+    empty = list(parsers.html_elements("<table><caption>only</caption></table><table></table>"))
+    assert [(e["caption"], e["markdown_representation"]) for e in empty] == [("only", "")]
     assert list(parsers.html_elements("")) == [] and kinds(parsers.html_elements("just text")) == ["narrative_text"]
 
 
@@ -124,6 +129,26 @@ def test_word_file():
     assert [(e["element_type"], e.get("level")) for e in got] == [("title", 2), ("list_item", 1), ("narrative_text", None), ("page_break", None), ("table", None)]
 
 
+def test_word_file_with_all_its_parts():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+    p = lambda style, text: f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t xml:space="preserve">{text}</w:t></w:r></w:p>'
+    item = lambda n, level, text: p(f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{n}"/></w:numPr>', text)
+    code = '<w:pStyle w:val="HTMLPreformatted"/>'
+    body = item(1, 0, "one") + item(1, 1, "sub") + item(1, 1, "sub two") + item(1, 0, "two") + item(1, 1, "again") + item(2, 0, "dot") + p(code, "x = 1") + p(code, "  y") + p("", "text")
+    body += '<w:p><w:r><w:drawing><wp:inline><wp:docPr id="1" name="Picture 1" descr="a cat"/></wp:inline></w:drawing></w:r></w:p>' + p(code, "end")
+    levels = lambda i, fmt: f'<w:abstractNum w:abstractNumId="{i}">' + "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="{1 + 2 * k}"/><w:numFmt w:val="{fmt}"/></w:lvl>' for k in (0, 1)) + "</w:abstractNum>"
+    numbers = levels(7, "decimal") + levels(8, "bullet") + '<w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="8"/></w:num>'
+    edge = lambda kind, text: f"<w:{kind} {w}>{p('', text)}</w:{kind}>"
+    data = zipped(
+        word__document_xml=f"<w:document {w}><w:body>{body}</w:body></w:document>", word__numbering_xml=f"<w:numbering {w}>{numbers}</w:numbering>",
+        word__header1_xml=edge("hdr", "top"), word__header2_xml=edge("hdr", "top"), word__footer1_xml=edge("ftr", "bottom"),
+    )
+    got = list(parsers.docx_elements(data))
+    assert kinds(got) == ["header", *["list_item"] * 6, "code_block", "narrative_text", "image", "code_block", "footer"]
+    assert [(e["level"], e["ordered"], e["item_number"]) for e in got[1:7]] == [(0, True, "1"), (1, True, "3"), (1, True, "4"), (0, True, "2"), (1, True, "3"), (0, False, None)]
+    assert got[7]["code"] == "x = 1\n  y" and got[9]["text"] == "a cat" and (got[0]["text"], got[-1]["text"]) == ("top", "bottom")
+
+
 def test_spreadsheet_blocks():
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     cell = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
@@ -134,9 +159,10 @@ def test_spreadsheet_blocks():
 
 
 def test_unknown_and_broken_files_give_one_element(spark):
-    df = spark.createDataFrame([(1, bytearray(b"x"), ".zip"), (2, bytearray(b"no zip"), ".docx"), (3, bytearray(b"hi"), ".TXT"), (4, None, ".txt")], "k int, c binary, e string")
+    df = spark.createDataFrame([(1, bytearray(b"x"), ".zip"), (2, bytearray(b"no zip"), ".docx"), (3, bytearray(b"hi"), ".TXT"), (4, None, ".txt"), (5, bytearray(b" "), ".txt"), (6, bytearray(b"<script>x</script>"), ".html")], "k int, c binary, e string")
     out = {r.k: r.text for r in parsers.parsed(df, "k", "c", "e").collect()}
     assert out[1].startswith("[Content Not Parsed") and out[2].startswith("[Critical Parsing Exception") and out[3] == "hi" and out[4].startswith("[Content Not Parsed")
+    assert len(out) == 6 and out[5] == "[Content Not Parsed: .txt]" and out[6] == "[Content Not Parsed: .html]"  # one in, one out
 
 
 def test_directory_scan_and_lists(spark, tmp_path):
@@ -157,5 +183,32 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 4 and (tmp_path / "log" / "date=20240101").is_dir()
     files.write_csv(rows, str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 2
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbfid,") for f in (tmp_path / "csv").glob("part-*"))
+    for _ in range(2):  # the batch comes twice
+        files.write_log_batch(rows, str(tmp_path / "batches"), F.col("t"), 3)
+    assert spark.read.json(str(tmp_path / "batches")).count() == 2
+    files.write_json_lines(rows.withColumn("none", F.lit(None).cast("string")), str(tmp_path / "lines"))
+    assert {tuple(r) for r in files.read_json_lines(spark, str(tmp_path / "lines"), T._parse_datatype_string("id int, none string")).collect()} == {(1, None), (2, None)}
     files.write_vectors(rows, str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v")).count() == 2
+
+
+def test_cached_requests_follow_a_plain_cache(spark, tmp_path):
+    from millrace.streaming import ingest
+
+    rnd = random.Random(2)
+    rows = sorted((1_000 + rnd.randrange(5_000), rnd.choice("abc")) for _ in range(200))
+    rows = [(t + i * 0, k) for i, (t, k) in enumerate(rows)]
+    df = spark.createDataFrame([(k, t) for t, k in rows], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    for part, (low, high) in enumerate([(0, 2_500), (2_500, 4_000), (4_000, 9_000)]):  # three micro-batches
+        df.where((F.col("ts").cast("long") >= low) & (F.col("ts").cast("long") < high)).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = ingest.cached_requests(stream, "key", "ts", 300).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    out.trigger(availableNow=True).start().awaitTermination(300)
+    made, expected = {}, []
+    for t, k in rows:
+        hit = k in made and t < made[k] + 300
+        made[k] = made[k] if hit else t
+        expected.append((k, t, hit))
+    got = [(r.key, r.s, r.hit) for r in spark.read.parquet(str(tmp_path / "out")).select("key", F.col("at").cast("long").alias("s"), "hit").collect()]
+    assert sorted(got) == sorted(expected)
