@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +42,9 @@ def score_from_squared(distance: Column) -> Column:
 def score_from_distance(distance: Column) -> Column:
     """1 / (1 + d), and 0.5 where there is no distance."""
     return F.coalesce(1 / (1 + distance), F.lit(0.5))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero rows stay."""
+    size = np.sqrt((x * x).sum(1))
+    return x / np.where(size == 0, 1.0, size)[:, None]

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from heapq import nsmallest
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
+from ..scratch import written
 
 #: BM25 and rank-fusion constants (fixed values).
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -73,28 +82,63 @@ def vector_topk(corpus: DataFrame, query: list[float], k: int = 5, where: dict |
 def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """The ``k`` nearest rows for each of a stated set of queries: query_key, key, distance, place.
 
-    The corpus passes once for each block of ``MAX_QUERIES`` queries, which travel as one
-    array in a broadcast row; of each slice of the corpus only the ``k`` best for each query
-    are kept before the last ranking. All query vectors pass through the driver.
+    The corpus passes once for each block of ``MAX_QUERIES`` queries, which are broadcast as
+    one matrix; a task keeps only the ``k`` best for each query, of equal distances (to 12
+    digits) those with the least keys, so that what is shuffled are k rows for each query
+    and task. All query vectors pass through the driver, a block at a time. Rows without a
+    vector, or with one of another length than the queries', are never near.
     """
-    found = queries.select(F.col(query_key).alias("q"), vectors.normalized(F.col(vector)).alias("v")).toLocalIterator()
-    spec = queries.schema[query_key].dataType.simpleString()
-    units = corpus.select(F.col(key), vectors.normalized(F.col(vector)).alias("u"))
-    # two steps: the best of each slice of the corpus, then the best of those
-    slices = Window.partitionBy(query_key, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("distance", key)
-    parts = []
+    found = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator()
+    spec = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, corpus.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    rows, parts = corpus.select(F.col(key), F.col(vector).cast("array<double>").alias("v")), []
     while (block := list(islice(found, MAX_QUERIES))) or not parts:
-        listed = corpus.sparkSession.createDataFrame([([(r.q, r.v) for r in block],)], f"qs array<struct<q:{spec},v:array<double>>>")
-        pairs = units.join(F.broadcast(listed)).select(key, "u", F.inline("qs")).select(
-            F.col("q").alias(query_key), key, vectors.squared_l2(F.col("u"), F.col("v")).alias("distance")
-        )
-        parts.append(pairs.withColumn("place", F.row_number().over(slices)).where(F.col("place") <= k))
+        by_size: dict[int, list] = {}
+        for r in block:
+            by_size.setdefault(len(r.v), []).append((r.q, r.v))
+        shared = corpus.sparkSession.sparkContext.broadcast({n: ([q for q, _ in own], vectors.unit_rows(np.array([v for _, v in own]))) for n, own in by_size.items()})
+        parts.append(rows.mapInArrow(_nearest(shared, k, [to_arrow_type(f.dataType) for f in spec]), spec))
     best = reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
-MAX_QUERIES = 1_000
+def _nearest(shared, k: int, kinds: list):
+    """A task's k best (query, key, distance) for each query of the block."""
+
+    def run(batches):
+        held = {n: [] for n in shared.value}
+        for batch in batches:
+            keys, column = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+            for n, (_, unit) in shared.value.items():
+                own = np.flatnonzero(sizes == n)
+                for at in range(0, len(own), SLICE):
+                    some = pa.array(own[at : at + SLICE])
+                    x = pc.list_flatten(column.take(some)).to_numpy(zero_copy_only=False).reshape(-1, n)
+                    u = vectors.unit_rows(x)
+                    d = np.round((u * u).sum(1)[:, None] + (unit * unit).sum(1)[None, :] - 2 * (u @ unit.T), 12)
+                    held[n] = _kept_best(held[n], keys.take(some).to_pylist(), np.maximum(d, 0.0), k)
+        for n, (asked, _) in shared.value.items():
+            rows = [(q, key, d) for q, best in zip(asked, held[n], strict=False) for d, key in best]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["q", "key", "distance"])
+
+    return run
+
+
+def _kept_best(best: list, keys: list, d: np.ndarray, k: int) -> list:
+    """For each query the k least (distance, key), of those held and a slice's."""
+    best = best or [[] for _ in range(d.shape[1])]
+    bound = np.array([own[-1][0] if len(own) == k else np.inf for own in best])
+    kth = np.partition(d, min(k, len(d)) - 1, 0)[min(k, len(d)) - 1]
+    for i in np.flatnonzero(d.min(0) <= bound):
+        near = np.flatnonzero(d[:, i] <= min(kth[i], bound[i]))
+        best[i] = nsmallest(k, [*best[i], *((float(d[j, i]), keys[j]) for j in near)])
+    return best
+
+
+#: Queries of one block, and corpus rows that are compared with them at once.
+MAX_QUERIES, SLICE = 1_000, 1_024
 
 
 # --- keywords -------------------------------------------------------------------------
@@ -132,27 +176,44 @@ class Bm25Index:
     def read(cls, spark, path: str) -> Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")))
 
+    def search(self, queries: DataFrame, query_key: str = "query_id", query_text: str = "text") -> DataFrame:
+        """(query_key, id, score) as ``bm25_scores`` gives it, from the index: no document's text is read."""
+        wanted, terms = _wanted(queries, query_key, query_text)
+        stats = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        counted = self.postings.join(terms, "term").join(self.lengths, "id")
+        return _scored(counted, self.terms.join(terms, "term"), stats, wanted, query_key)
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "text") -> DataFrame:
-    """(query_key, id, score) of every document that shares a term with a query.
 
-    Only the queries' terms are counted in the documents: texts are split and counted row
-    by row, without a shuffle of postings; the shuffle is of matching (term, document) rows.
-    """
+def _wanted(queries: DataFrame, query_key: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """The queries' (query_key, term), and all their terms, which are broadcast up to a number."""
     wanted = queries.select(F.col(query_key), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     terms = wanted.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:  # beyond that the join is Spark's to choose
-        terms = F.broadcast(terms)
-    rows = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    counted = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term")
-    counted = counted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return wanted, F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def _scored(counted: DataFrame, df: DataFrame, stats: DataFrame, wanted: DataFrame, query_key: str) -> DataFrame:
+    """Scores from (id, dl, term, tf), (term, df), one row (n, avgdl) and (query_key, term)."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    matched = counted.join(weights, "term").join(wanted, "term")
-    return matched.groupBy(query_key, "id").agg(F.sum(part).alias("score"))
+    return counted.join(weights, "term").join(wanted, "term").groupBy(query_key, "id").agg(F.sum(part).alias("score"))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "text") -> DataFrame:
+    """(query_key, id, score) of every document that shares a term with a query.
+
+    The texts are read and split once. Only the queries' terms are counted, and those counts
+    are written to the shared folder, while the corpus's size and mean length are observed
+    in passing; the scores are made of the counts alone.
+    """
+    wanted, terms = _wanted(queries, query_key, query_text)
+    seen = Observation()
+    rows = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
+    rows = rows.select("id", "words", F.size("words").alias("dl")).observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    counted = rows.select("id", "dl", F.explode("words").alias("term")).join(terms, "term")
+    counted = written(counted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-counts")
+    stats = docs.sparkSession.createDataFrame([(seen.get["n"], seen.get["avgdl"])], "n long, avgdl double")
+    return _scored(counted, counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, wanted, query_key)
 
 
 #: Distinct terms of the queries that are broadcast.
@@ -196,7 +257,7 @@ def hydrated(hits: DataFrame, store: DataFrame, key: str = "id", missing: str |
 def parents(chunks: DataFrame, parent: str = "parent_id", text: str = "chunk_text", order: str = "chunk_number", meta: list[str] = ()) -> DataFrame:
     """Parent documents: sorted chunk texts joined by blank lines, and the first chunk's metadata.
 
-    A group is the chunks of one document.
+    A group is the chunks of one document, which a task holds at once.
     """
     return chunks.groupBy(parent).agg(
         F.array_join(F.sort_array(F.collect_list(text)), "\n\n").alias("parent_text"), *(F.min_by(m, order).alias(m) for m in meta)
@@ -227,7 +288,10 @@ def context_text(hits: DataFrame, by: list[str], order: list[str], source: str =
 
 
 def summary_context(docs: DataFrame, by: list[str], order: str, name: str = "filename", summary: str = "summary", text: str = "content") -> DataFrame:
-    """Summaries, or the first 500 characters of the text, as 《name》: summary, joined by blank lines."""
+    """Summaries, or the first 500 characters of the text, as 《name》: summary, joined by blank lines.
+
+    A group is the documents that were found for one question, some few.
+    """
     own = F.coalesce(F.nullif(F.trim(F.col(summary)), F.lit("")), F.nullif(F.trim(F.substring(F.col(text), 1, 500)), F.lit("")))
     rows = F.sort_array(F.collect_list(F.when(own.isNotNull(), F.struct(order, F.concat(F.lit("《"), F.col(name), F.lit("》: "), own).alias("entry")))))
     return docs.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["entry"]), "\n\n").alias("context"))
@@ -244,6 +308,109 @@ def table_rows(text: Column) -> Column:
     return F.transform(lines, lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), "^\\||\\|$", ""), "\\|"), lambda cell: F.trim(cell)))
 
 
+#: Answers and reasons of the dispatch (fixed values).
+TABLE_ANSWER = "根据查找到的表格信息，'{row}'的'{column}'是'{value}'。"
+NO_ROW = "在表格的'{key}'列中未能找到与'{row}'相关的行。"
+NO_INSTRUCTION = "模型未能从问题中生成有效的表格查询指令。"
+BAD_TABLE = "处理表格数据时遇到代码错误: {why}"
+FEW_COLUMNS = "Table for QA must have at least two columns after processing."
+NO_COLUMN = "Column '{column}' not found in table."
+NO_DOCUMENTS = "知识库中未能找到任何与您问题相关的信息。"
+NO_SUMMARIES = "虽然检索到了相关文档，但无法从中提炼出与您问题直接相关的核心信息。"
+DOCUMENT_SAYS = "根据文档《{name}》的信息："
+NO_NAME = "未知文档"
+
+
+def table_cells(text: str) -> list[list[str]]:
+    """Rows of a Markdown table as trimmed cells, the header first, separators left out."""
+    lines = [line.strip() for line in text.split("\n")]
+    return [[c.strip() for c in re.sub(r"^\||\|$", "", line).split("|")] for line in lines if "|" in line and not re.match(SEPARATOR, line)]
+
+
+def table_answer(text: str, row: str | None, column: str | None) -> tuple[str | None, str | None]:
+    """(answer, None) from a Markdown table, or (None, why there is none).
+
+    The row is the first whose key cell the pattern ``row`` finds, the column the first whose
+    name holds ``column`` or is held by it; both ignore case.
+    """
+    if row is None or column is None:
+        return None, NO_INSTRUCTION
+    cells = table_cells(text or "")
+    header = cells[0] if cells else []
+    if len(header) < 2:
+        return None, BAD_TABLE.format(why=FEW_COLUMNS)
+    name = column.lower()
+    at = next((i for i, h in enumerate(header) if name in h.lower() or h.lower() in name), None)
+    if at is None:
+        return None, BAD_TABLE.format(why=NO_COLUMN.format(column=column))
+    try:
+        finds = re.compile(row, re.I).search
+    except re.error as bad:
+        return None, BAD_TABLE.format(why=bad)
+    hit = next((r for r in cells[1:] if finds(r[0])), None)
+    if hit is None:
+        return None, NO_ROW.format(key=header[0], row=row)
+    return TABLE_ANSWER.format(row=hit[0], column=header[at], value=hit[at] if at < len(hit) else ""), None
+
+
+@F.pandas_udf(T.StructType([T.StructField("answer", T.StringType()), T.StructField("reason", T.StringType())]))
+def _table_answers(text: pd.Series, row: pd.Series, column: pd.Series) -> pd.DataFrame:
+    none = lambda x: None if x is None or x != x else x
+    return pd.DataFrame([table_answer(none(t), none(r), none(c)) for t, r, c in zip(text, row, column, strict=True)], columns=["answer", "reason"], dtype=object)
+
+
+def first_table(hits: DataFrame, by: list[str], place: str = "place", kind: str = "paragraph_type") -> DataFrame:
+    """Of each question's hits the first that is a table, by place."""
+    rest = [c for c in hits.columns if c not in by]
+    first = hits.where(F.col(kind) == "table").groupBy(*by).agg(F.min_by(F.struct(*rest), F.col(place)).alias("hit"))
+    return first.select(*by, "hit.*")
+
+
+def dispatched(questions: DataFrame, hits: DataFrame, by: list[str], n: int = 5, name: str = "filename") -> DataFrame:
+    """Each question's route, answer, failure reason and context.
+
+    ``questions`` have the keys ``by``, row_identifier and column_identifier (what a model
+    makes of the question, null if nothing); ``hits`` have the keys, place, paragraph_type,
+    content, a file's name and a summary (null if the model finds nothing to say). The first
+    hit that is a table is looked up; if there is none, or it doesn't answer, the context is
+    made of the summaries of the first ``n`` hits. A question without hits says so. The hits
+    are read twice, so they are written once to the shared folder.
+    """
+    hits = written(hits.select(*by, "place", "paragraph_type", "content", name, "summary"), "dispatch-hits")
+    tables = first_table(hits, by).select(*by, F.col("content").alias("table_text"))
+    found = questions.join(tables, by, "left").withColumn("found", _table_answers("table_text", "row_identifier", "column_identifier"))
+    answer = F.when(F.col("table_text").isNotNull(), F.col("found.answer"))
+    why = F.when(F.col("table_text").isNotNull(), F.col("found.reason"))
+    said = F.concat(F.replace(F.lit(DOCUMENT_SAYS), F.lit("{name}"), F.coalesce(name, F.lit(NO_NAME))), F.col("summary"))
+    entries = F.sort_array(F.collect_list(F.when(F.length("summary") > 0, F.struct("place", said.alias("entry")))))
+    texts = hits.where(F.col("place") <= n).groupBy(*by).agg(F.array_join(F.transform(entries, lambda e: e["entry"]), "\n\n").alias("text"), F.lit(True).alias("any"))
+    general = F.when(F.col("any").isNull(), NO_DOCUMENTS).when(F.length("text") == 0, NO_SUMMARIES)
+    out = found.select(*by, answer.alias("answer"), why.alias("why")).join(texts, by, "left")
+    is_table = F.col("answer").isNotNull()
+    return out.select(
+        *by, F.when(is_table, "table").otherwise("documents").alias("route"), "answer", F.when(~is_table, F.coalesce(general, "why")).alias("reason"),
+        F.when(~is_table & general.isNull(), F.col("text")).alias("context"),
+    )
+
+
+#: Parts of the answer that a tool gives an agent (fixed values).
+TOOL_ANSWER, TOOL_NOTHING, TOOL_SNIPPETS = "RAG Answer: ", "RAG service processed successfully but found no specific answer.", "\n\n\nSupporting Context Snippets (Top 2):"
+
+
+def tool_answer(answer: Column, hits: Column, snippets: int = 2, chars: int = 100) -> Column:
+    """A tool's text: the answer, and the first hits' source, score with two decimals and clipped content.
+
+    ``hits`` is an array of structs with source_type, score and content.
+    """
+    entry = lambda h: F.concat(
+        F.lit("  - Source: "), F.coalesce(h["source_type"], F.lit("N/A")), F.lit(", Score: "), F.when(h["score"].isNotNull(), F.format_string("%.2f", h["score"])).otherwise("N/A"),
+        F.lit(", Content: "), F.substring(F.coalesce(h["content"], F.lit("N/A")), 1, chars), F.lit("..."),
+    )
+    lines = F.array_join(F.transform(F.slice(hits, 1, snippets), entry), "\n")
+    shown = F.when(F.size(hits) > 0, F.concat(F.lit(TOOL_SNIPPETS + "\n"), lines)).otherwise(F.lit(""))
+    return F.when(answer.isNull(), F.lit(TOOL_NOTHING)).otherwise(F.concat(F.lit(TOOL_ANSWER), F.trim(answer), shown))
+
+
 def table_lookup(tables: DataFrame, text: str, row_id: Column, column_id: Column) -> Column:
     """The cell of the first row whose key contains ``row_id``, in the column that matches ``column_id``.
 

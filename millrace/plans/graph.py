@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graph as g
+from ..scratch import written
 from ..session import table
 from . import Catalogue
 
@@ -151,7 +152,9 @@ f AS (
 SELECT id, content, round(score, 6) AS score, strategy FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY strategy, score DESC, content) = 1""")
 def kg_retrieve(spark, sf_dir):
     nation, region = _nation(spark, sf_dir)
-    out = g.retrieve(_edges(spark, sf_dir), _with_vectors(spark, sf_dir), ("ASIA", "region"), "IN_REGION", (nation, "NATION"), (region, "REGION"), _probe(spark, sf_dir))
+    # both are read by each strategy; written once, their texts are normalised once
+    edges, nodes = written(_edges(spark, sf_dir), "kg-edges"), written(_with_vectors(spark, sf_dir), "kg-nodes")
+    out = g.retrieve(edges, nodes, ("ASIA", "region"), "IN_REGION", (nation, "NATION"), (region, "REGION"), _probe(spark, sf_dir))
     return out.withColumn("score", F.round("score", 6))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import models, vectors
 from ..operators import retrieval as r
+from ..scratch import scratch_folder
 from ..session import table
 from . import Catalogue
 
@@ -41,10 +42,10 @@ def vector_topk_batch(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
 
 
-@catalogue.add("l2_normalize", f"WITH {_SQL_VECTORS} SELECT vec_id, round(u[1], 6) AS first, round(u[64], 6) AS last FROM u")
+@catalogue.add("l2_normalize", f"WITH {_SQL_VECTORS} SELECT vec_id, unnest(range(64)) AS place, round(unnest(u), 6) AS value FROM u")
 def l2_normalize(spark, sf_dir):
-    u = table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalized(F.col("embedding")).alias("u"))
-    return u.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
+    u = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.normalized(F.col("embedding"))).alias("place", "value"))
+    return u.select("vec_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 @catalogue.add("vector_stats", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, NOT list_bool_or([x <> 0 for x in embedding]) AS is_zero, list_bool_or([isnan(x) for x in embedding]) AS has_nan FROM embeddings")
@@ -56,14 +57,12 @@ def vector_stats(spark, sf_dir):
     )
 
 
-@catalogue.add("score_from_distance", f"WITH {_SQL_VECTORS} SELECT query_id, vec_id, round(CASE WHEN {_D2} > 2 THEN 0 ELSE 1 - {_D2} / 2 END, 6) AS cosine_score, round(1 / (1 + sqrt({_D2})), 6) AS inverse_score FROM u, q")
+@catalogue.add("score_from_distance", f"WITH {_SQL_VECTORS} SELECT vec_id, round(CASE WHEN {_D2} > 2 THEN 0 ELSE 1 - {_D2} / 2 END, 6) AS cosine_score, round(1 / (1 + sqrt({_D2})), 6) AS inverse_score FROM u, (SELECT v FROM q WHERE query_id = 0)")
 def score_from_distance(spark, sf_dir):
-    corpus = table(spark, sf_dir, "embeddings")
-    n = 1 + corpus.count() // 100
-    queries = corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), vectors.normalized(F.col("embedding")).alias("v"))
-    pairs = corpus.select("vec_id", vectors.normalized(F.col("embedding")).alias("u")).crossJoin(F.broadcast(queries) if n <= r.MAX_QUERIES else queries)
-    d = vectors.squared_l2(F.col("u"), F.col("v"))
-    return pairs.select("query_id", "vec_id", F.round(vectors.score_from_squared(d), 6).alias("cosine_score"), F.round(vectors.score_from_distance(F.sqrt(d)), 6).alias("inverse_score"))
+    q = F.lit([float(x) for x in _probe(spark, sf_dir)]).cast("array<double>")
+    d = vectors.squared_l2(vectors.normalized(F.col("embedding")), vectors.normalized(q))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", d.alias("d"))
+    return rows.select("vec_id", F.round(vectors.score_from_squared(F.col("d")), 6).alias("cosine_score"), F.round(vectors.score_from_distance(F.sqrt("d")), 6).alias("inverse_score"))
 
 
 _BM25 = f"""
@@ -88,10 +87,20 @@ def _keyword_hits(spark, sf_dir, k):
     return r.ranked(scores, k, ["query_id"])
 
 
-@catalogue.add("bm25_index", f"WITH {_BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
+@catalogue.add("bm25_index", f"WITH {_BM25} SELECT term, doc_id AS id, tf, CAST(dl AS BIGINT) AS dl, df FROM p JOIN f USING (term)")
 def bm25_index(spark, sf_dir):
+    """Every posting, with its document's length and its term's number of documents."""
     index = r.Bm25Index.build(table(spark, sf_dir, "documents"))
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index.postings.join(index.lengths, "id").join(index.terms, "term").select("term", "id", "tf", "dl", "df")
+
+
+@catalogue.add("bm25_index_search", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM b WHERE place <= 5")
+def bm25_index_search(spark, sf_dir):
+    """The same hits as the scan's, from a written index."""
+    folder = scratch_folder(spark, "bm25-index")
+    r.Bm25Index.build(table(spark, sf_dir, "documents")).write(folder)
+    scores = r.Bm25Index.read(spark, folder).search(_queries(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return r.ranked(scores, 5, ["query_id"]).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @catalogue.add("bm25_topk", f"WITH {_BM25} SELECT id, round(score, 6) AS score, place FROM b WHERE query_id = 0 AND place <= 10")
@@ -133,9 +142,9 @@ def _fused(spark, sf_dir):
     return r.rrf(_all_hits(spark, sf_dir), by=["query_id"])
 
 
-@catalogue.add("union_sources", f"WITH {_FUSED} SELECT source_type, count(*) AS n FROM h GROUP BY source_type")
+@catalogue.add("union_sources", f"WITH {_FUSED} SELECT source_type, query_id, id, CAST(place AS BIGINT) AS place FROM h")
 def union_sources(spark, sf_dir):
-    return _all_hits(spark, sf_dir).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    return _all_hits(spark, sf_dir).select("source_type", "query_id", "id", F.col("place").cast("long").alias("place"))
 
 
 @catalogue.add("rrf_fusion", f"WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused")
@@ -171,13 +180,13 @@ def get_texts_by_ids(spark, sf_dir):
 
 
 def _parents(spark, sf_dir):
-    """Documents as chunks whose parent is their source and language."""
+    """Documents as chunks, twenty to a parent."""
     docs = table(spark, sf_dir, "documents")
-    chunks = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.pmod("doc_id", F.lit(50))).alias("parent_id"), F.md5("text").alias("chunk_text"), F.col("doc_id").alias("chunk_number"), "lang")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 20).cast("long").alias("parent_id"), F.md5("text").alias("chunk_text"), F.col("doc_id").alias("chunk_number"), "lang")
     return chunks, r.parents(chunks, meta=["lang"])
 
 
-_PARENTS = "SELECT source || '/' || (doc_id % 50) AS parent_id, string_agg(md5(text), chr(10) || chr(10) ORDER BY md5(text)) AS parent_text, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1"
+_PARENTS = "SELECT doc_id // 20 AS parent_id, string_agg(md5(text), chr(10) || chr(10) ORDER BY md5(text)) AS parent_text, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1"
 
 
 @catalogue.add("parent_assembly", f"SELECT parent_id, md5(parent_text) AS text_md5, lang FROM ({_PARENTS})")
@@ -185,7 +194,7 @@ def parent_assembly(spark, sf_dir):
     return _parents(spark, sf_dir)[1].select("parent_id", F.md5("parent_text").alias("text_md5"), "lang")
 
 
-@catalogue.add("small_to_big", f"""WITH {_FUSED}, best AS (SELECT source || '/' || (doc_id % 50) AS parent_id, max(round(score, 9)) AS score FROM fused JOIN documents ON doc_id = id WHERE query_id = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
+@catalogue.add("small_to_big", f"""WITH {_FUSED}, best AS (SELECT doc_id // 20 AS parent_id, max(round(score, 9)) AS score FROM fused JOIN documents ON doc_id = id WHERE query_id = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
 SELECT parent_id, score, md5(parent_text) AS text_md5 FROM best JOIN ({_PARENTS}) USING (parent_id)""")
 def small_to_big(spark, sf_dir):
     chunks, docs = _parents(spark, sf_dir)
@@ -208,10 +217,13 @@ def context_assembly(spark, sf_dir):
     return r.context_text(hits, ["query_id"], ["place"]).select("query_id", F.md5("context").alias("context_md5"))
 
 
-@catalogue.add("summary_context", "SELECT source, md5(string_agg('《' || lang || '》: ' || trim(substr(text, 1, 500)), chr(10) || chr(10) ORDER BY doc_id)) AS context_md5 FROM documents GROUP BY source")
+@catalogue.add("summary_context", f"""WITH {_FUSED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM fused QUALIFY place <= 3)
+SELECT query_id, md5(string_agg('《' || lang || '》: ' || trim(substr(text, 1, 500)), chr(10) || chr(10) ORDER BY place)) AS context_md5 FROM best JOIN documents ON doc_id = id GROUP BY query_id""")
 def summary_context(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("summary", F.lit(None).cast("string"))
-    return r.summary_context(docs, ["source"], "doc_id", name="lang", text="text").select("source", F.md5("context").alias("context_md5"))
+    """The summaries of each question's three best documents."""
+    best = r.ranked(_fused(spark, sf_dir).withColumn("score", F.round("score", 9)), 3, ["query_id"])
+    docs = best.join(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id").withColumn("summary", F.lit(None).cast("string"))
+    return r.summary_context(docs, ["query_id"], "place", name="lang", text="text").select("query_id", F.md5("context").alias("context_md5"))
 
 
 @catalogue.add("request_cache_key")
@@ -247,10 +259,52 @@ def table_lookup(spark, sf_dir):
     return tables.select("table_id", "wanted", r.table_lookup(tables, "text", F.col("wanted"), F.lit("Brand name")).alias("answer"))
 
 
-@catalogue.add("first_table_hit", "SELECT source, min(doc_id) AS id FROM documents WHERE text LIKE '%,%' GROUP BY source")
+# Documents of two sources stand for tables: a row for the document's own size.
+_DISPATCH = f"""{_FUSED}, best AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM fused QUALIFY place <= 5),
+hits AS (SELECT best.*, source, lang, n_chars, CASE WHEN source IN ('src0', 'src1') THEN 'table' ELSE 'narrative_text' END AS kind, substr(trim(text), 1, 20) AS summary FROM best JOIN documents ON doc_id = id),
+tables AS (SELECT query_id, arg_min(id, place) AS id, arg_min(n_chars, place) AS n_chars FROM hits WHERE kind = 'table' GROUP BY query_id)"""
+
+
+def _dispatch_hits(spark, sf_dir):
+    best = r.ranked(_fused(spark, sf_dir).withColumn("score", F.round("score", 9)), 5, ["query_id"])
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    content = F.concat(F.lit("| key | size |\n| --- | :-- |\n| other | 1 |\n| D"), "id", F.lit(" | "), "n_chars", F.lit(" |"))
+    kind = F.when(F.col("source").isin("src0", "src1"), "table").otherwise("narrative_text")
+    return best.join(docs, "id").select("query_id", "id", "place", kind.alias("paragraph_type"), content.alias("content"), F.col("lang").alias("filename"), F.substring(F.trim("text"), 1, 20).alias("summary"))
+
+
+@catalogue.add("first_table_hit", f"WITH {_DISPATCH} SELECT query_id, id FROM tables")
 def first_table_hit(spark, sf_dir):
-    kinds = table(spark, sf_dir, "documents").withColumn("paragraph_type", F.when(F.col("text").contains(","), "table").otherwise("text"))
-    return kinds.where("paragraph_type = 'table'").groupBy("source").agg(F.min("doc_id").alias("id"))
+    return r.first_table(_dispatch_hits(spark, sf_dir), ["query_id"]).select("query_id", "id")
+
+
+@catalogue.add("retrieval_dispatch", f"""WITH {_DISPATCH}, texts AS (SELECT query_id, string_agg('根据文档《' || lang || '》的信息：' || summary, chr(10) || chr(10) ORDER BY place) AS context FROM hits GROUP BY query_id),
+a AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 <> 0 AND t.id IS NOT NULL THEN '根据查找到的表格信息，''D' || t.id || '''的''size''是''' || n_chars || '''。' END AS answer, t.id IS NOT NULL AS has_table FROM benchmark LEFT JOIN tables t ON t.query_id = item_id)
+SELECT query_id, CASE WHEN answer IS NULL THEN 'documents' ELSE 'table' END AS route, answer, CASE WHEN answer IS NULL THEN CASE WHEN context IS NULL THEN '知识库中未能找到任何与您问题相关的信息。' WHEN has_table THEN '在表格的''key''列中未能找到与''absent''相关的行。' END END AS reason, CASE WHEN answer IS NULL THEN context END AS context
+FROM a LEFT JOIN texts USING (query_id)""")
+def retrieval_dispatch(spark, sf_dir):
+    """A third of the questions ask the table for a row that it lacks, and go on to the documents."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "absent").otherwise("^d[0-9]+$").alias("row_identifier"), F.lit("File Size").alias("column_identifier")
+    )
+    return r.dispatched(asked, _dispatch_hits(spark, sf_dir), ["query_id"])
+
+
+@catalogue.add("tool_answer", f"""WITH {_DISPATCH} SELECT query_id, 'RAG Answer: ' || query_id || repeat(chr(10), 3) || 'Supporting Context Snippets (Top 2):' || chr(10) || string_agg('  - Source: ' || lang || ', Score: ' || printf('%.2f', 1.0::DOUBLE / place) || ', Content: ' || summary || '...', chr(10) ORDER BY place) AS said
+FROM hits WHERE place <= 2 GROUP BY query_id""")
+def tool_answer(spark, sf_dir):
+    hits = _dispatch_hits(spark, sf_dir)
+    one = F.struct("place", F.col("filename").alias("source_type"), (1 / F.col("place")).alias("score"), F.col("summary").alias("content"))
+    grouped = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("hits"))
+    return grouped.select("query_id", r.tool_answer(F.concat(F.lit(" "), F.col("query_id").cast("string")), F.col("hits")).alias("said"))
+
+
+@catalogue.add("embed_texts", "SELECT item_id, CAST(length(text) AS DOUBLE) AS size, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es FROM benchmark")
+def embed_texts(spark, sf_dir):
+    """A registered embedding function over texts, in batches."""
+    models.register_embedder("letters", lambda texts: [[len(t), t.count("e")] for t in texts])
+    rows = table(spark, sf_dir, "benchmark").select("item_id", models.embedded(F.col("text"), "letters", 7).alias("v"))
+    return rows.select("item_id", F.col("v")[0].cast("double").alias("size"), F.col("v")[1].cast("double").alias("es"))
 
 
 @catalogue.add("hybrid_top5", f"""WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM fused) WHERE place <= 5""")

@@ -29,6 +29,93 @@ def test_vector_topk_batch_answers_more_queries_than_a_block(spark, monkeypatch)
     assert retrieval.vector_topk_batch(corpus, queries.limit(0), 3).count() == 0
 
 
+def test_vector_topk_batch_equals_sorting(spark):
+    import random
+
+    rnd = random.Random(4)
+    points = [(i, [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(400)] + [(400, None), (401, [1.0])]  # many ties
+    corpus = spark.createDataFrame(points, "vec_id int, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(str(i), v) for i, v in points[:9]], "query_id string, embedding array<float>")
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]
+    d = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(unit(a), unit(b), strict=True)), 9)
+    out = retrieval.vector_topk_batch(corpus, queries, 4)
+    got = {(r.query_id, r.place): (r.vec_id, round(r.distance, 9)) for r in out.collect()}
+    assert out.schema["vec_id"].dataType.simpleString() == "int"
+    for i, v in points[:9]:
+        best = sorted((d(v, w), j) for j, w in points[:400])[:4]
+        assert [got[str(i), p] for p in (1, 2, 3, 4)] == [(j, x) for x, j in best]
+
+
+def test_index_search_equals_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 7}" for j in range(i % 5 + 1))) for i in range(40)] + [(90, " ")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "w1 w2 w2"), (1, "w0"), (2, "zz")], "query_id long, text string")
+    retrieval.Bm25Index.build(docs).write(str(tmp_path / "i"))
+    rows = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
+    scan = rows(retrieval.bm25_scores(docs, q))
+    assert scan and rows(retrieval.Bm25Index.read(spark, str(tmp_path / "i")).search(q)) == scan
+
+
+TABLE = "| Name | Unit Price |\n|:--|--:|\n| apple pie | 3 |\n| pear | 4 |"
+
+
+@pytest.mark.parametrize(("text", "row", "column", "expected"), [
+    (TABLE, "PEAR", "price", "根据查找到的表格信息，'pear'的'Unit Price'是'4'。"), (TABLE, "^a.*e$", "the unit price of it", "根据查找到的表格信息，'apple pie'的'Unit Price'是'3'。"),
+    (TABLE, "plum", "price", "在表格的'Name'列中未能找到与'plum'相关的行。"), (TABLE, None, "price", "模型未能从问题中生成有效的表格查询指令。"),
+    (TABLE, "pear", "weight", "处理表格数据时遇到代码错误: Column 'weight' not found in table."), ("| a |\n|--|\n| b |", "b", "a", "处理表格数据时遇到代码错误: Table for QA must have at least two columns after processing."),
+    ("", "b", "a", "处理表格数据时遇到代码错误: Table for QA must have at least two columns after processing."),
+])
+def test_table_answers(text, row, column, expected):
+    answer, reason = retrieval.table_answer(text, row, column)
+    assert (answer or reason) == expected and (answer is None) != (reason is None)
+
+
+def test_bad_patterns_are_reasons():
+    assert retrieval.table_answer(TABLE, "(", "price")[1].startswith("处理表格数据时遇到代码错误: ")
+
+
+def test_dispatch(spark):
+    asked = spark.createDataFrame([(0, "pear", "price"), (1, "plum", "price"), (2, None, None), (3, "pear", "price"), (4, "x", "y"), (5, "pear", "price")], "q int, row_identifier string, column_identifier string")
+    hits = [(0, 2, "table", TABLE, "f.md", "s0"), (0, 1, "text", "t", "g", "s1"), (0, 3, "table", "| a | price |\n|-|-|\n| pear | 9 |", "f", None), (1, 1, "table", TABLE, None, "only"), (1, 2, "text", "t", "g", "more"),
+            (2, 1, "text", "t", "g", "said"), (3, 1, "text", "t", "g", None), (5, 1, "text", "t", "g", ""), (5, 6, "text", "t", "g", "beyond the fifth")]
+    df = spark.createDataFrame(hits, "q int, place int, paragraph_type string, content string, filename string, summary string")
+    got = {r.q: (r.route, r.answer, r.reason, r.context) for r in retrieval.dispatched(asked, df, ["q"]).collect()}
+    assert got[0] == ("table", "根据查找到的表格信息，'pear'的'Unit Price'是'4'。", None, None)
+    assert got[1] == ("documents", None, "在表格的'Name'列中未能找到与'plum'相关的行。", "根据文档《未知文档》的信息：only\n\n根据文档《g》的信息：more")
+    assert got[2] == ("documents", None, None, "根据文档《g》的信息：said")
+    assert got[3] == got[5] == ("documents", None, retrieval.NO_SUMMARIES, None) and got[4] == ("documents", None, retrieval.NO_DOCUMENTS, None)
+
+
+def test_tool_answer(spark):
+    hit = "array<struct<source_type:string,score:double,content:string>>"
+    rows = [(" yes ", [("v", 0.126, "c" * 120), (None, None, None), ("x", 1.0, "third")]), ("no hits", []), (None, [("v", 1.0, "c")])]
+    got = [r.t for r in spark.createDataFrame(rows, f"a string, h {hit}").select(retrieval.tool_answer(F.col("a"), F.col("h")).alias("t")).collect()]
+    assert got[0] == "RAG Answer: yes\n\n\nSupporting Context Snippets (Top 2):\n  - Source: v, Score: 0.13, Content: " + "c" * 100 + "...\n  - Source: N/A, Score: N/A, Content: N/A..."
+    assert got[1] == "RAG Answer: no hits" and got[2] == "RAG service processed successfully but found no specific answer."
+
+
+def test_models_are_columns(spark):
+    from millrace.functions import models
+
+    sizes = []
+
+    def encode(texts):
+        if "bad" in texts:
+            raise RuntimeError("model")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    models.register_embedder("test", encode)
+    models.register_reranker("test", lambda pairs: [len(set(q) & set(t)) for q, t in pairs])
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None), (4, "bad")], "i int, t string").coalesce(1).sortWithinPartitions("i")
+    assert {r.i: r.v for r in df.select("i", models.embedded(F.col("t"), "test", 2).alias("v")).collect()} == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: None, 4: []}
+    assert [r.s for r in df.select(models.reranked(F.lit("ab"), F.col("t"), "test").alias("s")).collect()] == [1.0, 1.0, None, 2.0]
+    assert models._called(lambda part: sizes.append(len(part)) or [[0.0]] * len(part), list("abcde"), 2, []) == [[0.0]] * 5 and sizes == [2, 2, 1]
+
+
+def test_context_documents(spark):
+    df = spark.createDataFrame([(1, ["a"], ["d"]), (2, [], ["d"]), (3, None, ["d"]), (4, None, None)], "i int, top array<string>, debug array<string>")
+    assert {r.i: r.c for r in df.select("i", logs.context_documents(F.col("top"), F.col("debug")).alias("c")).collect()} == {1: ["a"], 2: ["d"], 3: ["d"], 4: None}
+
+
 def test_metadata_filters(spark):
     df = spark.range(10).select(F.col("id").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
     n = lambda w: df.where(retrieval.where_column(w)).count()
