@@ -80,6 +80,8 @@ FILLERS = ("好的，", "首先，", "因此，", "所以，", "根据这个原
 FILLER_PARTS = ("我需要生成一个", "可能的澄清问题是", "澄清问题应该是", "接下来，")
 #: Beginnings that make a line a question without its mark (fixed values).
 OPENERS = ("请问您", "您对", "您具体指的是")
+#: A whole text below this length that ends as a question is one (fixed value).
+SHORT_QUESTION = 70
 DEFAULT_QUESTION = "抱歉，我不太理解您的意思，请您再具体说明一下。"
 
 
@@ -98,7 +100,7 @@ def _has(c: Column, parts: tuple[str, ...]) -> Column:
 
 
 def last_question(c: Column) -> Column:
-    """The last line that is a question and no thought, else the last such sentence, else a default."""
+    """The last line that is a question and no thought, else the last such sentence, else a short whole question, else a default."""
     asks = lambda s: s.endswith("？") | s.endswith("?")
     lines = F.transform(F.split(stripped(F.coalesce(c, F.lit(""))), "\\r?\\n"), stripped)
     good = F.filter(lines, lambda s: (asks(s) & ~_starts(s, FILLERS) & ~_has(s, FILLER_PARTS)) | (~asks(s) & _starts(s, OPENERS)))
@@ -106,7 +108,9 @@ def last_question(c: Column) -> Column:
     openers = ("请问您", "您是想", "您具体指的是", "关于您提到的")
     more = F.filter(parts, lambda s: (asks(s) | _starts(s, openers)) & ~_starts(s, FILLERS[:2]) & ~_has(s, FILLER_PARTS[:2]))
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    return F.coalesce(last(good), last(more), F.lit(DEFAULT_QUESTION))
+    whole = stripped(c)
+    short = F.when((F.length(whole) < SHORT_QUESTION) & asks(whole), whole)
+    return F.coalesce(last(good), last(more), short, F.lit(DEFAULT_QUESTION))
 
 
 def chat_turns(c: Column) -> Column:
@@ -121,14 +125,15 @@ def chat_turns(c: Column) -> Column:
     )
 
 
-#: Polite beginnings of suggestions (fixed values).
-POLITE = ("当然，", "当然可以，", "好的，", "没问题，", "sure, ", "certainly, ", "of course, ", "here is a suggestion: ")
+#: Beginnings of suggestions that are cut off, and the suggestion where there is none (fixed values).
+LEAD_INS = ("好的，", "当然，", "这里有一些建议：")
+DEFAULT_SUGGESTION = "您可以尝试换个问法，或检查相关文档是否已在知识库中。"
 
 
 def without_lead_in(c: Column) -> Column:
-    """The text without polite beginnings."""
-    heads = "|".join(POLITE)
-    return stripped(F.regexp_replace(c, f"(?i)^(?:\\s*(?:{heads}))+", ""))
+    """The text without one such beginning; a default where there is no text."""
+    cut = F.regexp_replace(stripped(c), f"^({'|'.join(LEAD_INS)})\\s*", "")
+    return F.when(F.length(c) > 0, cut).otherwise(F.lit(DEFAULT_SUGGESTION))
 
 
 def first_truthy(*columns: Column, default: str = "") -> Column:

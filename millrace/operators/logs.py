@@ -142,10 +142,10 @@ CANNOT = "无法生成Cypher查询."
 CANNOT_MARK = "无法生成Cypher查询"
 NO_ANSWER = "根据目前提供的资料，我无法找到关于您问题的明确信息。"
 QUERY_WORDS = ("MATCH ", "RETURN ", "CREATE ", "MERGE ", "WITH ", "OPTIONAL MATCH ")
-QUERY_CORE = "MATCH|RETURN|CREATE|MERGE|WITH"
+QUERY_CORE = ("MATCH", "RETURN", "CREATE", "MERGE", "WITH")
 NO_QUERY_MARKS = ("cannot be improved", "needs to be extended")
-ERROR_WORDS = "hallucinated|schema violation|syntax error"
-NOT_AVAILABLE = "information is not available|context does not contain|cannot be answered from the context|should state that the information is not found"
+ERROR_WORDS = ("hallucinated", "schema violation", "syntax error")
+NOT_AVAILABLE = ("information is not available", "context does not contain", "cannot be answered from the context", "should state that the information is not found")
 #: Names of the rules in the samples (fixed values).
 SOURCES = {
     "both_cannot": "qwen_and_gemini_cannot_generate",
@@ -187,7 +187,7 @@ def query_samples(rows: DataFrame) -> DataFrame:
         unlike = unlike | F.lower(said).contains(m)
     fenced = tx.stripped(F.regexp_replace(F.regexp_replace(said, "^```|```$", ""), "^\\s*(?i:cypher)", ""))
     clean = F.when(said.startswith("```") & said.endswith("```"), fenced).when(said.startswith("`") & said.endswith("`"), tx.stripped(F.regexp_replace(said, "^`|`$", ""))).otherwise(said)
-    keyword = F.upper(clean).rlike(QUERY_CORE)
+    keyword = F.upper(clean).rlike("|".join(QUERY_CORE))
     is_cannot = own == CANNOT
     rule = (
         F.when(is_cannot & (cannot | (score <= 2)), SOURCES["both_cannot"])
@@ -195,7 +195,7 @@ def query_samples(rows: DataFrame) -> DataFrame:
         .when(is_cannot, SOURCES["cannot_unclear"])
         .when(score >= 4, SOURCES["high_score"])
         .when((F.length(said) > 0) & ~unlike & words, F.when(keyword, SOURCES["query_suggestion"]))
-        .when(cannot | ((score <= 2) & judged.rlike(ERROR_WORDS)), SOURCES["judged_cannot"])
+        .when(cannot | ((score <= 2) & judged.rlike("|".join(ERROR_WORDS))), SOURCES["judged_cannot"])
     )
     completion = F.when(rule == SOURCES["high_score"], own).when(rule == SOURCES["query_suggestion"], clean).otherwise(F.lit(CANNOT))
     return rows.where(F.length("question") > 0).select(
@@ -221,7 +221,7 @@ def answer_samples(rows: DataFrame) -> DataFrame:
     more = (F.length(said) > 0) & (said != NOTHING_TO_IMPROVE)
     rule = (
         F.when(none & (enough == "Insufficient") & (overall >= 4), SOURCES["no_answer_confirmed"])
-        .when(~none & (enough == "Insufficient") & (complete <= 2) & F.lower(said).rlike(NOT_AVAILABLE), SOURCES["no_answer_suggested"])
+        .when(~none & (enough == "Insufficient") & (complete <= 2) & F.lower(said).rlike("|".join(NOT_AVAILABLE)), SOURCES["no_answer_suggested"])
         .when(~none & (overall >= 4) & (faithful >= 4) & (relevant >= 4), F.when(more, SOURCES["high_score_suggestion"]).otherwise(SOURCES["high_score"]))
         .when((overall < 4) & more & (F.length(said) > 10), SOURCES["low_score_suggestion"])
         .when(none & ((enough == "Sufficient") | ((enough == "Partially Sufficient") & (complete >= 3))) & (overall < 4), SOURCES["no_answer_disputed"])
@@ -230,6 +230,11 @@ def answer_samples(rows: DataFrame) -> DataFrame:
     return rows.select("interaction_id", "prompt", completion.alias("completion"), answer.alias("original"), overall.alias("score"), rule.alias("source_of_ideal")).where("source_of_ideal is not null")
 
 
+def context_documents(top: Column, debug: Column) -> Column:
+    """The context of an answer's log: the record's own field, or, where that is null or empty, its debug information's."""
+    return F.when(F.size(top) > 0, top).otherwise(debug)
+
+
 def with_evaluations(logs: DataFrame, evaluations: DataFrame, key: str = "interaction_id", ref: str = "original_interaction_id_ref") -> DataFrame:
     """Logs joined with their evaluations; logs without one are left out."""
     return logs.join(evaluations.withColumnRenamed(ref, key), key)

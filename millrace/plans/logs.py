@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions import text as tx
 from ..operators import logs, tasks
+from ..scratch import scratch_folder
 from ..session import table
 from ..sources import files
 from ..streaming import ingest
@@ -188,16 +187,23 @@ def strip_think(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.without_thoughts(said).alias("text"))
 
 
-@catalogue.add("strip_lead_in", "SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS text FROM conversations")
+# One beginning is cut off, whatever its kind; a second one, or one within the text, stays; no text gives the default.
+@catalogue.add("strip_lead_in", f"SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN '{tx.DEFAULT_SUGGESTION}' WHEN turn % 4 = 3 THEN '当然，' || trim(text, ' ' || chr(10)) ELSE trim(text, ' ' || chr(10)) END AS text FROM conversations")
 def strip_lead_in(spark, sf_dir):
-    said = F.concat(F.lit("好的，Sure, "), F.trim("text"))
+    heads = F.array(*map(F.lit, ("好的，", "当然， ", "这里有一些建议：", "好的，当然，")))
+    said = F.when(F.col("conv_id") % 7 != 0, F.concat(F.get(heads, (F.col("turn") % 4).cast("int")), tx.stripped(F.col("text"))))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.without_lead_in(said).alias("text"))
 
 
-@catalogue.add("last_question", f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'q' || conv_id || '?' WHEN 1 THEN 'Well. s' || conv_id || '?' ELSE '{tx.DEFAULT_QUESTION}' END AS question FROM conversations")
+@catalogue.add("last_question", f"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'q' || conv_id || '?' WHEN 1 THEN 'Well. s' || conv_id || '?' WHEN 2 THEN '好的，s' || conv_id || '?' ELSE '{tx.DEFAULT_QUESTION}' END AS question FROM conversations")
 def last_question(spark, sf_dir):
-    c, k = F.col("conv_id").cast("string"), F.col("turn") % 3
-    said = F.when(k == 0, F.concat(F.lit("好的，what?\nq"), c, F.lit("?\n好的，now?"))).when(k == 1, F.concat(F.lit("Well. s"), c, F.lit("? Then on."))).otherwise(F.lit("no question"))
+    c, k = F.col("conv_id").cast("string"), F.col("turn") % 4
+    said = (
+        F.when(k == 0, F.concat(F.lit("好的，what?\nq"), c, F.lit("?\n好的，now?")))
+        .when(k == 1, F.concat(F.lit("Well. s"), c, F.lit("? Then on.")))
+        .when(k == 2, F.concat(F.lit(" 好的，s"), c, F.lit("?")))  # a thought by its beginning, but short and a question as a whole
+        .otherwise(F.concat(F.lit("好的，"), F.repeat(F.lit("long "), 20), F.lit("?")))
+    )
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.last_question(said).alias("question"))
 
 
@@ -289,47 +295,64 @@ def _stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(query, name: str, spark):
-    query.awaitTermination(300)
-    return spark.table(name)
+def _drained(out, mode: str, spark, folder: str, schema):
+    """What a stream that runs until its files are read leaves in a folder that all executors share."""
+
+    def put(batch, epoch: int) -> None:  # in complete mode the last batch has all
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/epoch={epoch}")
+
+    out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination(300)
+    return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 @catalogue.add("stream_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Daily counts by a stream that runs until its files are read."""
-    out = ingest.windowed_counts(_stream(spark, sf_dir), "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName("stream_windows")
-    rows = _drained(out.trigger(availableNow=True).start(), "stream_windows", spark)
+    counts = ingest.windowed_counts(_stream(spark, sf_dir), "ts", "event_type")
+    rows = _drained(counts, "complete", spark, scratch_folder(spark, "stream"), counts.schema)
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def _shared_folder(spark) -> str:
-    """A new folder below the one that the cluster shares; a temporary one in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        import uuid
+# A user's request of a kind of event is served for five days; each entry begins with a miss.
+_CACHE_DAYS = 5
 
-        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="millrace-")
 
+@catalogue.add("result_cache", f"""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts FROM events), m(key, made) AS (
+  SELECT key, min(ts) FROM e GROUP BY key UNION ALL SELECT m.key, (SELECT min(ts) FROM e WHERE e.key = m.key AND e.ts >= m.made + INTERVAL {_CACHE_DAYS} DAY) FROM m WHERE m.made IS NOT NULL)
+SELECT e.key, count(*) AS requests, count(*) - any_value(misses) AS hits FROM e JOIN (SELECT key, count(made) AS misses FROM m GROUP BY key) USING (key) GROUP BY e.key""")
+def result_cache(spark, sf_dir):
+    """Requests by user and kind of event, and how many a cache whose entries expire serves."""
+    rows = _stream(spark, sf_dir).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), "ts")
+    served = ingest.cached_requests(rows, "key", "ts", _CACHE_DAYS * 86_400)
+    out = _drained(served, "append", spark, scratch_folder(spark, "stream"), served.schema)
+    return out.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))
 
-@catalogue.add("stream_log_append", "SELECT strftime(ts, '%Y%m%d') AS date, count(*) AS n FROM events GROUP BY 1")
+
+@catalogue.add("stream_log_append", "SELECT strftime(ts, '%Y%m%d') AS date, event_id, event_type FROM events")
 def stream_log_append(spark, sf_dir):
-    folder = _shared_folder(spark)
+    folder = scratch_folder(spark, "stream")
     ingest.log_stream(_stream(spark, sf_dir).select("event_id", "ts", "event_type"), f"{folder}/log", f"{folder}/state", "ts").awaitTermination(300)
-    return spark.read.json(f"{folder}/log").groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.json(f"{folder}/log").select(F.col("date").cast("string").alias("date"), "event_id", "event_type")
+
+
+@catalogue.add("context_fallback", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role ELSE 'debug' END AS source FROM conversations WHERE turn % 3 <> 2")
+def context_fallback(spark, sf_dir):
+    """The context of a log: its own field, or that of its debug information; without both it is left out."""
+    top = F.when(F.col("turn") % 3 == 0, F.array("role")).when(F.col("turn") % 3 == 1, F.array().cast("array<string>"))
+    debug = F.when(F.col("turn") % 3 != 2, F.array(F.lit("debug")))
+    rows = table(spark, sf_dir, "conversations").withColumn("context", logs.context_documents(top, debug))
+    return rows.where(F.size("context") > 0).select("conv_id", "turn", F.col("context")[0].alias("source"))
 
 
-@catalogue.add("stream_ingest", "SELECT count(*) AS n FROM (SELECT 1 FROM benchmark WHERE length(trim(text)) > 0)")
+@catalogue.add("stream_ingest", "SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM benchmark WHERE length(trim(text)) > 0")
 def stream_ingest(spark, sf_dir):
     """Benchmark items written as text files, taken in by the file stream."""
-    folder = _shared_folder(spark)
+    folder = scratch_folder(spark, "stream")
     texts = table(spark, sf_dir, "benchmark").select(F.regexp_replace("text", "\\s+", " ").alias("value"))
     texts.write.option("lineSep", "\n\n").text(f"{folder}/in")
     ingest.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination(300)
     said = F.explode(F.split("text", "\n\n"))
-    return spark.read.parquet(f"{folder}/out").select(said.alias("line")).where("length(trim(line)) > 0").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{folder}/out").select(said.alias("line")).select(F.trim("line").alias("line")).where("length(line) > 0")
 
 
 @catalogue.add("stream_due_timer", "SELECT event_id AS id, 'reminder' AS job FROM events WHERE event_id % 50 = 0 AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
@@ -338,5 +361,5 @@ def stream_due_timer(spark, sf_dir):
         F.when(F.col("event_id") % 50 == 0, F.col("event_id")).otherwise(-1).alias("id"), F.lit("reminder").alias("job"),
         F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("run_at"), F.col("ts").alias("seen_at"),
     )
-    out = ingest.due_timers(jobs).writeStream.outputMode("append").format("memory").queryName("stream_due_timer")
-    return _drained(out.trigger(availableNow=True).start(), "stream_due_timer", spark).select("id", "job")
+    fired = ingest.due_timers(jobs)
+    return _drained(fired, "append", spark, scratch_folder(spark, "stream"), fired.schema).select("id", "job")

@@ -29,10 +29,10 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> Strea
 
 
 def log_stream(rows: DataFrame, out: str, checkpoint: str, stamp: str) -> StreamingQuery:
-    """Append records to JSON lines in one folder for each UTC day."""
+    """Records as JSON lines in one folder for each batch and UTC day; a batch that is put again counts once."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        files.append_log(batch, out, F.col(stamp))
+        files.write_log_batch(batch, out, F.col(stamp), epoch)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,7 +47,38 @@ def first_seen(rows: DataFrame, stamp: str, keys: list[str], late: str = "1 hour
     return rows.withWatermark(stamp, late).dropDuplicatesWithinWatermark(keys)
 
 
-def due_timers(tasks: DataFrame, stamp: str = "run_at", key: str = "id") -> DataFrame:
+def cached_requests(requests: DataFrame, key: str, stamp: str, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """Requests (key, stamp, hit): whether a result for the key, kept for ``seconds`` after it was made, still served.
+
+    A request without a live entry is a miss and makes one. An entry's state is dropped by a
+    timer once event time has passed its end, so that what is kept are the keys of one
+    period. Requests of a batch are taken in the order of their stamps.
+    """
+    span = seconds * 1000
+    keyed = requests.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("at")).withWatermark("at", late)
+
+    def work(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        made = state.get[0] if state.exists else None
+        stamps = sorted(int(t.timestamp() * 1000) for rows in batches for t in rows["at"])
+        hits = []
+        for t in stamps:
+            hits.append(made is not None and t < made + span)
+            made = made if hits[-1] else t
+        if made is not None:
+            if made + span > state.getCurrentWatermarkMs():
+                state.update((made,))
+                state.setTimeoutTimestamp(made + span)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame({"key": [keys[0]] * len(stamps), "at": pd.to_datetime(stamps, unit="ms"), "hit": hits})
+
+    return keyed.groupBy("key").applyInPandasWithState(work, "key string, at timestamp, hit boolean", "made long", "append", "EventTimeTimeout")
+
+
+def due_timers(tasks: DataFrame, stamp: str = "run_at", key: str = "id", seen: str = "seen_at") -> DataFrame:
     """Jobs (id, job, run_at) once event time has passed their time; a later row of a job replaces it, a null time cancels it."""
 
     def work(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -72,5 +103,5 @@ def due_timers(tasks: DataFrame, stamp: str = "run_at", key: str = "id") -> Data
             else:
                 state.setTimeoutTimestamp(when)
 
-    grouped = tasks.withWatermark("seen_at", "0 seconds").groupBy(key, "job")
+    grouped = tasks.withWatermark(seen, "0 seconds").groupBy(key, "job")
     return grouped.applyInPandasWithState(work, "id long, job string, fired_for timestamp", "run_at long", "append", "EventTimeTimeout")
