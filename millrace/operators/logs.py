@@ -245,6 +245,21 @@ def analysis_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "eval_results_", "analysis_"), "\\.jsonl$", ".csv")
 
 
+def day_stamp(c: Column) -> Column:
+    """A time as the eight digits that daily files are named by."""
+    return F.date_format(c, "yyyyMMdd")
+
+
+def iso_stamp(c: Column) -> Column:
+    """A time as ISO text in UTC, to the microsecond."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def digits_of(c: Column) -> Column:
+    """The digits of a file's name, which tell its day."""
+    return F.regexp_replace(c, "\\D", "")
+
+
 def expanded_queries(original: DataFrame, more: DataFrame, key: str = "query_id") -> DataFrame:
     """A query and its expansions, each text once, the original first: rows (key, place, text)."""
     rows = original.select(key, F.lit(-1).alias("place"), "text").unionByName(more.select(key, "place", tx.stripped(F.col("text")).alias("text")))

@@ -254,6 +254,23 @@ def hydrated(hits: DataFrame, store: DataFrame, key: str = "id", missing: str |
     return out.withColumn("content", F.coalesce("content", F.lit(missing))) if missing is not None else out
 
 
+def reattached(chunks: DataFrame, known: DataFrame, size: int, text: str = "chunk_text", vector: str = "embedding", order: str | None = None) -> DataFrame:
+    """Chunks with the vector that is known for their text; without one a vector of ``size`` zeros.
+
+    Of several vectors of one text the first by ``order`` counts. Texts meet by their digests.
+    """
+    own = known.where(F.col(text).isNotNull() & F.col(vector).isNotNull()).groupBy(F.md5(text).alias("_text"))
+    by_text = own.agg((F.min_by(vector, order) if order else F.min(vector)).alias("_vector"))
+    zeros = F.array_repeat(F.lit(0.0), size).cast(known.schema[vector].dataType)
+    joined = chunks.drop(vector).withColumn("_text", F.md5(text)).join(by_text, "_text", "left")
+    return joined.withColumn(vector, F.coalesce("_vector", zeros)).drop("_text", "_vector")
+
+
+def fallback_sorted(docs: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
+    """The ``k`` best where no reranker answers: by the score they have, those without one last."""
+    return docs.orderBy(F.col(score).desc_nulls_last(), key).limit(k)
+
+
 def parents(chunks: DataFrame, parent: str = "parent_id", text: str = "chunk_text", order: str = "chunk_number", meta: list[str] = ()) -> DataFrame:
     """Parent documents: sorted chunk texts joined by blank lines, and the first chunk's metadata.
 

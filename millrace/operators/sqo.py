@@ -184,10 +184,18 @@ def _known(df: DataFrame, names: list[str]) -> None:
             raise QueryError(f"no column {name!r}; there are {df.columns}")
 
 
-def unique_values(df: DataFrame, column: str, drop_na: bool = False) -> DataFrame:
-    """Distinct values of a column, with a null among them unless ``drop_na``."""
-    _known(df, [column])
-    out = df.select(F.col(f"`{column}`")).distinct()
+def unique_values(df: DataFrame, column: str, drop_na: bool = False, order: str | None = None) -> DataFrame:
+    """Distinct values of a column, with a null among them unless ``drop_na``.
+
+    Rows of a table have no order of their own; where a column ``order`` numbers them, the
+    values come as they are first seen.
+    """
+    _known(df, [column, *([order] if order else [])])
+    c = F.col(f"`{column}`")
+    if order:
+        seen = df.groupBy(c).agg(F.min(f"`{order}`").alias("_seen")).orderBy("_seen").drop("_seen")
+        return seen.dropna() if drop_na else seen
+    out = df.select(c).distinct()
     return out.dropna() if drop_na else out
 
 
@@ -248,7 +256,7 @@ def _compiled(df: DataFrame, query: dict) -> tuple[DataFrame, list[str]]:
     kept, skipped = apply_filters(df, query.get("filters"))
     kind, options = query.get("operation_type"), query.get("options") or {}
     if kind == "get_unique_values":
-        return unique_values(kept, query.get("column_name"), options.get("drop_na", False)), skipped
+        return unique_values(kept, query.get("column_name"), options.get("drop_na", False), query.get("order_column")), skipped
     if kind == "group_by_aggregate":
         keys, column, function = (query.get(k) for k in ("group_by_columns", "aggregation_column", "aggregation_function"))
         if keys is None or column is None or function is None:

@@ -207,6 +207,29 @@ def last_question(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.last_question(said).alias("question"))
 
 
+@catalogue.add("file_stamps", "SELECT event_id, strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS iso, strftime(ts, '%Y%m%d') || event_id AS digits, 'analysis_' || event_id || '.csv' AS name FROM events")
+def file_stamps(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    day, i = logs.day_stamp(F.col("ts")), F.col("event_id").cast("string")
+    return rows.select("event_id", day.alias("day"), logs.iso_stamp(F.col("ts")).alias("iso"), logs.digits_of(F.concat(F.lit("log-"), day, F.lit("_"), i, F.lit(".jsonl"))).alias("digits"),
+                       logs.analysis_name(F.concat(F.lit("eval_results_"), i, F.lit(".jsonl"))).alias("name"))
+
+
+@catalogue.add("first_truthy", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 1 THEN text ELSE 'none' END AS said FROM conversations")
+def first_truthy(spark, sf_dir):
+    k = F.col("turn") % 3
+    first, second = F.when(k == 0, F.col("role")).when(k == 1, F.lit("")), F.when(k == 1, F.col("text")).when(k == 2, F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.first_truthy(first, second, default="none").alias("said"))
+
+
+@catalogue.add("stream_first_seen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, 1 AS one FROM events) GROUP BY ALL")
+def stream_first_seen(spark, sf_dir):
+    """Each user's kinds of events, once each as long as the watermark reaches back over all of them."""
+    found = ingest.first_seen(_stream(spark, sf_dir).select("ts", "user_id", "event_type"), "ts", ["user_id", "event_type"], "400 days")
+    out = _drained(found, "append", spark, scratch_folder(spark, "stream"), found.schema)
+    return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @catalogue.add("chat_parse", "SELECT conv_id, turn, 'system' AS role, 'be brief' AS content FROM conversations UNION ALL SELECT conv_id, turn, role, trim(text, ' ' || chr(10)) FROM conversations")
 def chat_parse(spark, sf_dir):
     said = F.concat(F.lit("<|im_start|>system\nbe brief<|im_end|>\n<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))

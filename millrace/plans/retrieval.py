@@ -226,18 +226,25 @@ def summary_context(spark, sf_dir):
     return r.summary_context(docs, ["query_id"], "place", name="lang", text="text").select("query_id", F.md5("context").alias("context_md5"))
 
 
-@catalogue.add("request_cache_key")
+@catalogue.add("request_cache_key", "SELECT item_id, md5('{\"item_id\":' || item_id || ',\"text\":' || to_json(text) || '}') AS cache_key FROM benchmark")
 def request_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.to_json(F.struct("item_id", "text"))).alias("cache_key"))
 
 
-@catalogue.add("embed_reattach", "SELECT doc_id, round(coalesce(e[1], 0), 6) AS first, e IS NULL AS missing FROM documents LEFT JOIN (SELECT text, arg_min(embedding, vec_id) AS e FROM embeddings JOIN documents ON doc_id = vec_id GROUP BY text) USING (text)")
+@catalogue.add("embed_reattach", """WITH known AS (SELECT text, arg_min(embedding, vec_id) AS e FROM embeddings JOIN documents ON doc_id = vec_id GROUP BY text)
+SELECT doc_id, round(coalesce(CAST(e[1] AS DOUBLE), 0), 6) AS first, round(coalesce(list_sum([CAST(x AS DOUBLE) * x for x in e]), 0), 5) AS square FROM documents LEFT JOIN known USING (text)""")
 def embed_reattach(spark, sf_dir):
     docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    by_text = known.join(docs.select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("h")), "vec_id").groupBy("h").agg(F.min_by("embedding", "vec_id").alias("e"))
-    out = docs.select("doc_id", F.md5("text").alias("h")).join(by_text, "h", "left")
-    vector = F.coalesce("e", F.array_repeat(F.lit(0.0).cast("float"), 64))
-    return out.select("doc_id", F.round(vector[0].cast("double"), 6).alias("first"), F.col("e").isNull().alias("missing"))
+    known = known.join(docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk_text")), "vec_id")
+    out = r.reattached(docs.select("doc_id", F.col("text").alias("chunk_text")), known, 64, order="vec_id")
+    v = F.col("embedding")
+    return out.select("doc_id", F.round(v[0].cast("double"), 6).alias("first"), F.round(vectors.dot(v, v), 5).alias("square"))
+
+
+@catalogue.add("fallback_sort", "SELECT doc_id AS id, score FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS score FROM documents) ORDER BY score DESC NULLS LAST, id LIMIT 600")
+def fallback_sort(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).alias("score"))
+    return r.fallback_sorted(docs, 600)
 
 
 _MD = "'| part | brand | size |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || p_name || ' | ' || p_brand || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey)"

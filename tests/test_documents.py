@@ -35,6 +35,29 @@ def test_normalized_text(spark):
     assert one(spark, tx.normalized_text(F.col("t")), t=" A  b\n") == "a b" and one(spark, tx.normalized_text(F.col("t")), t=None) is None
 
 
+def test_normalized_documents_equal_plain_ones(spark):
+    import hashlib
+    import unicodedata
+
+    from millrace.plans import documents
+
+    got = {r.doc_id: r.text_md5 for r in documents.normalize_text(spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        plain = re.sub(r"\s+", " ", unicodedata.normalize("NFKD", r.text).lower().strip())
+        assert got[r.doc_id] == hashlib.md5(plain.encode()).hexdigest()
+
+
+def test_latest_file(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("b.txt", "a.txt", "c.txt", "z.log")):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1_000 + 100 * (i % 3), 1_000 + 100 * (i % 3)))
+    os.utime(tmp_path / "a.txt", (1_200, 1_200))
+    latest = lambda pattern: [r.path.rsplit("/", 1)[1] for r in files.latest_file(spark, str(tmp_path / pattern)).collect()]
+    assert latest("*.txt") == ["c.txt"] and latest("a*") == ["a.txt"]
+
+
 @pytest.mark.parametrize(("f", "text", "expected"), [
     (tx.without_fence, "```json\n{}\n```", "{}"), (tx.without_fence, "plain", "plain"), (tx.salvaged_json, "x {a {b} c} y", "{a {b} c}"), (tx.salvaged_json, "none", None),
     (tx.without_thoughts, "<think>a</think> b <THINK x>c</think>d", "b d"), (tx.without_thoughts, "a <think>open", "a"), (tx.without_lead_in, "Sure, go", "Sure, go"), (tx.without_lead_in, " 好的，  当然，go ", "当然，go"), (tx.without_lead_in, "这里有一些建议：\n1. a", "1. a"), (tx.without_lead_in, "", tx.DEFAULT_SUGGESTION), (tx.without_lead_in, None, tx.DEFAULT_SUGGESTION),

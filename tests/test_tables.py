@@ -64,6 +64,7 @@ def test_top_rows_have_nulls_last(rows):
 def test_unique_values(rows):
     assert {r.k for r in sqo.unique_values(rows, "k").collect()} == {"a", "b", None}
     assert {r.k for r in sqo.unique_values(rows, "k", True).collect()} == {"a", "b"}
+    assert [r.k for r in sqo.unique_values(rows.where("t is not null"), "k", order="t").collect()] == ["a", None]
 
 
 def test_answers(rows):
