@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, dropped_after, emitted, joined_by, stored
+from .common import SLICE_ROWS, dropped_after, emitted, joined_by, maybe_among, stored
 from .components import components
 
 _U = np.uint64
@@ -221,7 +221,7 @@ def _full_rows(size: int, shared):
                 sig = signature(grams)
                 if sig is not None and not seen(sig):
                     cold, hot = _split(grams, frequent)
-                    yield sig, short(sig), len(grams), cold, hot
+                    yield sig, len(grams), cold, hot
 
         return work
 
@@ -355,7 +355,8 @@ def _linked(rooms: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     rows, grams = rooms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()
     batches = 1 + max(rows // BATCH_SETS, grams // BATCH_GRAMS)
     dealt = rooms.drop("n").withColumn("batch", F.pmod("room", F.lit(batches)))
-    found = dealt.join(sets.select("sig", "cold", "hot"), "sig").groupBy("batch").applyInPandas(_walked(percent), "a binary, b binary")
+    present = maybe_among(sets.select("sig", "cold", "hot"), "sig", rooms, "maybe").where("maybe").drop("maybe")
+    found = dealt.join(present, "sig").groupBy("batch").applyInPandas(_walked(percent), "a binary, b binary")
     found = dropped_after(stored(found, "jaccard-links"), rooms)
     return found, found.count() * WORTH > rows
 
@@ -378,20 +379,19 @@ def frequent_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def near_sets(docs: DataFrame, sets_of: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
-    """(sig, n, cold, hot) of the sets that share enough of a prefix with others, frequent n-grams apart."""
+    """(sig, n, cold, hot) of the sets that share enough of a prefix with others, and perhaps of a few more, frequent n-grams apart."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, text, size))
     prefix = emitted(docs, [text], _prefix_rows(size, percent, shared), "gram long, sig long, need int")
     by_gram = Window.partitionBy("gram")
     met = prefix.withColumn("lo", F.min("sig").over(by_gram)).withColumn("hi", F.max("sig").over(by_gram))
     met = met.where("if(need = 0, gram = sig, lo <> hi)").select("sig", "gram", "need").distinct()
     near = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select(F.col("sig").alias("short"))
-    near = stored(near, "jaccard-near")
-    # their sets, from the texts of one document each
-    ids = sets_of.join(near, "short").groupBy("sig").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct()
+    # their sets, from the texts of one document each; a few more do no harm, so that no text need be shuffled
+    ids = stored(sets_of.join(near, "short").groupBy("sig").agg(F.min("doc_id").alias("id")).where("id is not null").select("id"), "jaccard-near")
     source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    texts = source.join(ids, "id", "left_semi").select("t").unionByName(source.where("id is null").select("t"))
-    full = emitted(texts, ["t"], _full_rows(size, shared), "sig binary, short long, n int, cold array<bigint>, hot array<bigint>", rows_at_once=SLICE_ROWS)
-    return dropped_after(stored(full.join(near, "short", "left_semi").drop("short").dropDuplicates(["sig"]), "jaccard-sets"), near)
+    texts = maybe_among(source, "id", ids, "maybe").where("maybe or id is null")
+    full = emitted(texts, ["t"], _full_rows(size, shared), "sig binary, n int, cold array<bigint>, hot array<bigint>", rows_at_once=SLICE_ROWS)
+    return dropped_after(stored(full.dropDuplicates(["sig"]), "jaccard-sets"), ids)
 
 
 def needed_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -402,10 +402,10 @@ def needed_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     common = counted.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("common"))
     n, none = F.col("n"), F.array().cast("array<bigint>")
     ordered = F.concat(F.coalesce(F.transform("common", lambda x: x["gram"]), none), F.col("hot"))
-    own = (F.size("cold") - F.when(F.col("common").isNull(), 0).otherwise(F.size("common"))).cast("int")
+    own = (F.col("n_cold") - F.when(F.col("common").isNull(), 0).otherwise(F.size("common"))).cast("int")
     take = (n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1).cast("int") - own
     taken = F.when(take > 0, F.slice(ordered, F.lit(1), take)).otherwise(none)
-    first = sets.select("sig", "n", "cold", "hot").join(common, "sig", "left").select("sig", "n", own.alias("own"), taken.alias("taken"))
+    first = sets.select("sig", "n", F.size("cold").alias("n_cold"), "hot").join(common, "sig", "left").select("sig", "n", own.alias("own"), taken.alias("taken"))
     return first.where(F.size("taken") > 0)
 
 
