@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -16,31 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..scratch import scratch_folder
+
 #: Rows that a Python stage works on at a time; bounds the Python objects alive at once.
 SLICE_ROWS = 256
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the session has none, a temporary folder serves, but only in local mode.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 #: Scratch folders made within each open ``tidied`` block.
 _open: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder's name below the folder that driver and executors share."""
+    path = scratch_folder(spark, label)
     for made in _open:
         made.append(path)
     return path

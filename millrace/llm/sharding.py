@@ -97,9 +97,10 @@ def hash_tree_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", tex
     """Shard, slot and the shard after growth by one for each row of ``docs``.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. A null text has size 1
-    and the CRC-32 of no bytes (0); rows with a null id go by the empty key; repeated rows
-    share a shard and get slots of their own; an empty table gives an empty result; other
-    columns of ``docs`` are not read.
+    and the CRC-32 of no bytes (0), an empty one the same; a very long one is measured
+    whole; rows with a null id go by the empty key; repeated rows share a shard and get
+    slots of their own, and rows that tie by id are numbered in any order; an empty table
+    gives an empty result; other columns of ``docs``, whatever their names, are not read.
     """
     doc_id, body = F.col(f"`{key}`"), F.col(f"`{text}`")
     placed = docs.select(

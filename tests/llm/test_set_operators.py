@@ -376,10 +376,9 @@ def test_each_stage_takes_odd_documents(spark, at):
 
 
 def test_run_leaves_its_result_only(spark):
-    from millrace.llm.common import scratch_root
     import os
 
-    root = scratch_root(spark).removeprefix("file:")
+    root = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
     before = set(os.listdir(root))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert len(set(os.listdir(root)) - before) == 1 and out.count() > 0

@@ -301,6 +301,34 @@ def test_bpe_equals_tiktoken(name):
         assert list(codec.encode_piece(piece.decode("latin-1"))) == known._encode_single_piece(piece)
 
 
+def test_bpe_task_gives_its_memory_back():
+    """What a worker process holds after a task's end is near to what it held before, so that idle workers stay small."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+import pyarrow as pa, numpy, pandas, regex, public_tokenizers
+import pyarrow.parquet as pq
+from millrace.llm import bpe, common, queries
+held = lambda: int(re.search(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).slice(0, 3000).combine_chunks()
+common.release_memory()
+before = held()
+work = bpe.encode_step(public_tokenizers.path(queries.ENCODING), public_tokenizers.PATTERN, "text", "ids").made()
+for at in range(0, len(texts), 256):
+    work(texts.slice(at, 256))
+most = held()
+del work
+common.release_memory()
+print(before, most, held())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200, env=os.environ, check=True).stdout
+    before, most, after = map(float, out.split())
+    assert most - before > 30 and after - before < 60
+
+
 def test_bpe_rows(spark):
     path = public_tokenizers.path(queries.ENCODING)
     known, _ = tiktoken_encoding(path)
