@@ -46,7 +46,9 @@ def test_vector_topk_batch_equals_sorting(spark):
         assert [got[str(i), p] for p in (1, 2, 3, 4)] == [(j, x) for x, j in best]
 
 
-def test_index_search_equals_the_scan(spark, tmp_path):
+@pytest.mark.parametrize("limit", [100_000, 0])  # terms broadcast, and not
+def test_index_search_equals_the_scan(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", limit)
     docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 7}" for j in range(i % 5 + 1))) for i in range(40)] + [(90, " ")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "w1 w2 w2"), (1, "w0"), (2, "zz")], "query_id long, text string")
     retrieval.Bm25Index.build(docs).write(str(tmp_path / "i"))
