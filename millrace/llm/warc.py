@@ -16,6 +16,7 @@ import hashlib
 import itertools
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -106,7 +107,26 @@ def page_records(page_id, url, payload: bytes, digest: str, refers_to, refers_ur
 
 def gzip_member(record: bytes) -> bytes:
     """A record with the blank lines that end it, as a gzip member of its own."""
-    return gzip.compress(record + _END, mtime=0)
+    return gzip.compress(record + _END, 6, mtime=0)
+
+
+def unzipped(data: bytes, step: int = 8_192) -> bytes:
+    """The content of all gzip members of a file, or the file's own where it isn't gzipped.
+
+    Members are fed in small steps, since what one leaves over is copied each time.
+    """
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = view[at : at + step]
+            if not part:
+                raise ValueError("the file ends within a gzip member")
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+    return b"".join(out)
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str | None = "url", html: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -202,8 +222,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                rows = parsed_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+                rows = parsed_records(unzipped(content.as_py()))
                 while some := list(itertools.islice(rows, 256)):
                     yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r, strict=True)) for r in some], schema=_ARROW)
 

@@ -1,6 +1,7 @@
 """WARC, Jaccard join, sharding and embeddings against plain versions; the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 from collections import Counter
@@ -239,6 +240,14 @@ def test_warc_keeps_every_record_of_large_files(spark):
     assert sorted(r.page_id for r in out) == list(range(3_000))
 
 
+def test_unzipped_members():
+    parts = [b"a" * n for n in (0, 1, 9_000, 300_000)] + [random.Random(1).randbytes(50_000)]
+    data = b"".join(gzip.compress(p) for p in parts)
+    assert warc.unzipped(data) == warc.unzipped(data, 7) == b"".join(parts) and warc.unzipped(b"WARC/1.1") == b"WARC/1.1"
+    with pytest.raises(ValueError):
+        warc.unzipped(data[:-3])
+
+
 def test_broken_segments_are_told(spark):
     records = [r for p in ([b"a" * 50_000], [b"b" * 50_000]) for r in warc.page_records(p[0][0], "u", p[0], warc.payload_digest(p[0]), None, None, False, None, False, 16_384)]
     rows = [tuple(x) for d in records for x in warc.parsed_records(d + b"\r\n\r\n")]
