@@ -237,8 +237,8 @@ def _mention_rows():
     return work
 
 
-def other_words(text: str, wanted: np.ndarray, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(pattern, word) for each word that stands in the place of a wanted pattern and is no mention's."""
+def other_words(text: str, wanted: np.ndarray, closed: np.ndarray, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, word) for each word that stands in the place of a wanted pattern that isn't closed, and is no mention's."""
     words = _normal(text).split()
     for w in words:
         if w not in codes:
@@ -252,7 +252,7 @@ def other_words(text: str, wanted: np.ndarray, codes: dict[str, int]) -> tuple[n
         for j in [*range(a), *range(a + 1, a + 1 + b)]:
             code = _mixed(code, w[j : j + n - a - b])
         at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-        hit = np.flatnonzero(wanted[at] == code)
+        hit = np.flatnonzero((wanted[at] == code) & ~closed[at])
         names.append(code[hit])
         places.append(hit + a)
     if not any(map(len, names)):
@@ -269,14 +269,20 @@ def other_words(text: str, wanted: np.ndarray, codes: dict[str, int]) -> tuple[n
 
 
 def _other_rows(shared):
-    """Rows (pattern, word), each once for a stretch of texts."""
+    """Rows (pattern, word), each once for a stretch of texts, and (pattern, null) of patterns that have too many.
+
+    A pattern comes with the number of other words beyond which it can never be good; once
+    a task has seen more of them, it closes the pattern and sends that alone.
+    """
 
     def make():
-        wanted = np.sort(shared.value.view(np.uint64))
+        names, limits = shared.value
+        order = np.argsort(names.view(np.uint64))
+        wanted, limits = names.view(np.uint64)[order], limits[order]
 
         class Work:
             def __init__(self):
-                self.codes, self.found, self.size = {}, [], 0
+                self.codes, self.found, self.size, self.closed = {}, [], 0, np.zeros(len(wanted), bool)
 
             def __call__(self, texts):
                 for t in texts:
@@ -284,38 +290,46 @@ def _other_rows(shared):
                         continue
                     if len(self.codes) > 200_000:
                         self.codes.clear()
-                    self.found.append(np.stack(other_words(t, wanted, self.codes)))
+                    self.found.append(np.stack(other_words(t, wanted, self.closed, self.codes)))
                     self.size += self.found[-1].shape[1]
-                    if self.size > 1_000_000:
+                    if self.size > 200_000:
                         self.shrink()
-                        if self.size > 300_000:
-                            yield from self.rest()
+                        if self.size > 100_000:
+                            yield from self.pairs()
 
             def shrink(self):
                 name, word = np.concatenate(self.found, 1)
                 _, once = np.unique(_mixed(name, word), return_index=True)
-                self.found = [np.stack([name[once], word[once]])]
-                self.size = len(once)
-
-            def rest(self):
+                name, word = name[once], word[once]
+                own, n = np.unique(name, return_counts=True)
+                at = np.searchsorted(wanted, own)
+                self.closed[at[n > limits[at]]] = True
+                still = ~self.closed[np.searchsorted(wanted, name)]
+                self.found = [np.stack([name[still], word[still]])]
+                self.size = np.count_nonzero(still)
+
+            def pairs(self):
                 if self.found:
                     self.shrink()
                 rows = [tuple(r) for f in self.found for r in f.view(np.int64).T.tolist()]
                 self.found, self.size = [], 0
                 return rows
 
+            def rest(self):
+                return [*self.pairs(), *((n, None) for n in wanted[self.closed].view(np.int64).tolist())]
+
         return Work()
 
     return make
 
 
-def _name_blocks(names: DataFrame, limit: int) -> Iterator[np.ndarray]:
-    """The names in blocks of about ``limit``, by their own bits."""
+def _name_blocks(names: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (name, most) in blocks of about ``limit``, by the names' own bits."""
     blocks = 1 + names.count() // limit
     for i in range(blocks):
-        got = names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).toArrow().column("name")
+        got = names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).toArrow()
         if len(got):
-            yield got.to_numpy()
+            yield got.column("name").to_numpy(), got.column("most").to_numpy()
 
 
 def good_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame | None:
@@ -323,8 +337,9 @@ def good_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstra
 
     All counts are over all rows, of distinct instances and distinct other words, so that
     copies of a text weigh no more than one. The texts are read once for the mentions and
-    once for each ``how.counted`` patterns that enough instances have; the rounds are joins
-    of what was gathered there.
+    once for each ``how.counted`` patterns that enough instances have; of a pattern that has
+    too many other words ever to be good only that is kept. The rounds are joins of what was
+    gathered there.
     """
     spark = docs.sparkSession
     rows = emitted(docs, [text], _mention_rows, "kind int, instance string, base boolean, name long, pattern string")
@@ -333,15 +348,18 @@ def good_patterns(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstra
     support = stored(support.where(F.col("n") >= how.least_known), "pii-support")
     if not support.where(F.col("seeds") >= how.least_known).head(1):  # else no pattern could ever be believed
         return None
-    names = stored(support.select("name").distinct(), "pii-names")
+    edges = stored(rows.join(support.select("name").distinct(), "name").select("kind", "name", "instance", "base"), "pii-edges")
+    instances = edges.select("name", "instance").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("instances"))
+    # with more other words than this, not even belief in all instances of a kind would do
+    most = F.floor(F.col("n") / how.confidence - F.col("instances") + 1e-9)
+    names = stored(support.groupBy("name").agg(F.max("n").alias("n")).join(instances, "name").select("name", "instances", F.greatest(most, F.lit(-1)).alias("most")), "pii-names")
     others = None
-    for block in _name_blocks(names, how.counted):
-        found = emitted(docs, [text], _other_rows(spark.sparkContext.broadcast(block)), "name long, word long")
-        found = stored(found.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("others")), "pii-others")
+    for block in _name_blocks(names.select("name", "most"), how.counted):
+        found = emitted(docs, [text], _other_rows(spark.sparkContext.broadcast(block)), "name long, word long").distinct()
+        found = found.groupBy("name").agg(F.when(F.max(F.col("word").isNull()), F.lit(float("inf"))).otherwise(F.count("word").cast("double")).alias("others"))
+        found = stored(found, "pii-others")
         others = found if others is None else others.unionByName(found)
-    edges = stored(rows.join(names, "name").select("kind", "name", "instance", "base"), "pii-edges")
-    total = edges.select("name", "instance").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("instances"))
-    total = total.join(others, "name", "left").select("name", (F.col("instances") + F.coalesce("others", F.lit(0))).cast("double").alias("total"))
+    total = names.join(others, "name", "left").select("name", (F.col("instances") + F.coalesce("others", F.lit(0.0))).alias("total"))
     support = stored(support.join(total, "name").select("kind", "name", "pattern", "total"), "pii-patterns")
     seeds = edges.where("base").select("kind", "instance").distinct().withColumn("belief", F.lit(1.0))
     believed, before, good = seeds, None, None
