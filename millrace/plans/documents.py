@@ -163,7 +163,7 @@ def html_tables(spark, sf_dir):
     return rows.where("element_type = 'table'").select("page_id", F.col("markdown_representation").alias("markdown"), "caption")
 
 
-@catalogue.add("markdown_elements", f"""WITH {_LINES}, t AS (SELECT doc_id, idx, level, regexp_replace({_STRIP.format('text')}, '\s*#*$', '') AS said FROM el WHERE level IS NOT NULL AND length({_STRIP.format('text')}) > 0)
+@catalogue.add("markdown_elements", f"""WITH {_LINES}, t AS (SELECT doc_id, idx, level, regexp_replace({_STRIP.format('text')}, '\\s*#*$', '') AS said FROM el WHERE level IS NOT NULL AND length({_STRIP.format('text')}) > 0)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS place, level, md5(said) AS text_md5 FROM t""")
 def markdown_elements(spark, sf_dir):
     """Documents whose titles are written as Markdown headings: each title, in order, as the Markdown scan reads it back."""
