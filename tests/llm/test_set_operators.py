@@ -394,7 +394,7 @@ def test_run_leaves_its_result_only(spark):
 
 
 def test_pipeline_against_plain_stages(spark):
-    from millrace.llm import decontaminate, language, pii
+    from millrace.llm import language
     from tests.llm.test_text_operators import plain_hits, plain_spans, tiktoken_encoding
     import public_tokenizers
 
