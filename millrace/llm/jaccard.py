@@ -513,9 +513,12 @@ def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     own, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = F.struct(own.isNull().alias("none"), own.alias("id"), F.substring(F.unhex(F.sha2(body.cast("binary"), 256)), 1, 16).alias("digest"))
     found = ngram_components(docs.select(named.alias("key"), F.col(f"`{text}`").alias("text")), "key", "text", percent, size, part_sets)
-    held = f"key_{uuid.uuid4().hex}"
-    firsts = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(held)).agg(F.count(F.lit(1)).alias("copies")), "jaccard-firsts")
-    rows, columns = docs.withColumn(held, named), [F.col(f"`{c}`") for c in docs.columns]
-    once = rows.join(firsts.where("copies = 1"), held, "left_semi").select(columns)
-    repeated = rows.join(firsts.where("copies > 1"), held, "left_semi").groupBy(held).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    held, flag = f"key_{uuid.uuid4().hex}", f"maybe_{uuid.uuid4().hex}"
+    # keys that go or are repeated; only rows that may have one are shuffled, the others stay as they are
+    keys = found.groupBy(F.col("doc_id").alias(held)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    keys = stored(keys.where("not first or copies > 1").select(held, "first"), "jaccard-keys")
+    rows, columns = maybe_among(docs.withColumn(held, named), held, keys, flag), [F.col(f"`{c}`") for c in docs.columns]
+    unsure = rows.where(F.col(flag))
+    once = rows.where(~F.col(flag)).select(columns).unionByName(unsure.join(keys, held, "left_anti").select(columns))
+    repeated = unsure.join(keys.where("first"), held, "left_semi").groupBy(held).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
     return once.unionByName(repeated.select("row.*"))
