@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, jaccard, language, ordinal, pii, sharding, token_counts, warc
+from . import bpe, decontaminate, divergence, embeddings, jaccard, language, ordinal, pii, sharding, token_counts, warc
 from .common import scratch_path, table
 from .sql import ORACLES
 
@@ -89,8 +89,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict:
-    own = (op1_language, op2_decontamination, op3_warc, op4_quality, op5_bpe, op6_jaccard, op7_shards, op8_embeddings, op9_token_counts, op10_pii)
+    own = (op1_language, op2_decontamination, op3_warc, op4_quality, op5_bpe, op6_jaccard, op7_shards, op8_embeddings, op9_token_counts, op10_pii, op12_divergence)
     return {f.__name__: f for f in own}
 
 

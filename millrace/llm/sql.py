@@ -116,4 +116,43 @@ SELECT v.vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, least(v.vec_i
 FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op6_jaccard": OP6, "op7_shards": OP7, "op8_embeddings": OP8}
+OP12 = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+    row_number() OVER () AS k
+  FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, k, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+wide AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, v.v
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p FROM wide),
+whole AS (SELECT lang, term, sum(n) AS n, v FROM wide GROUP BY lang, term, v),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM whole),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, x, md5(substr(h, 2 * x + 1, 800)) AS m FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399)) AS x FROM d)),
+r AS (SELECT k, x FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+s AS (SELECT k, x, sum(CASE WHEN before IS NULL OR x > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY x) AS run FROM (SELECT k, x, lag(x) OVER (PARTITION BY k ORDER BY x) AS before FROM r)),
+runs AS (SELECT k, min(x) AS a, max(x) + 400 AS b FROM s GROUP BY k, run),
+cuts AS (SELECT k, count(*) AS n, sum(b - a) AS removed, list(b ORDER BY a) AS b, list(a ORDER BY a) AS a FROM runs GROUP BY k)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string([substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1])) FOR z IN list_zip(list_prepend(0, b), list_append(a, len(h) // 2))], '') END)) AS kept_sha256
+FROM d LEFT JOIN cuts USING (k)
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op6_jaccard": OP6, "op7_shards": OP7, "op8_embeddings": OP8, "op12_divergence": OP12}
