@@ -52,14 +52,15 @@ def dropped_after(made: DataFrame, *used: DataFrame) -> DataFrame:
     return made
 
 
-def joined_by(rows: DataFrame, one_each: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table of one row for each key, so that a hot key's rows can be split.
+def joined_by(rows: DataFrame, one_each: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each key (of one column or more), so that a hot key's rows can be split.
 
     After a sum by key Spark would deal the rows as the sum was dealt, and then can't split a
     skewed partition; a second key, made of the first, has both sides dealt anew.
     """
     deal = f"deal_{uuid.uuid4().hex}"
-    return rows.withColumn(deal, F.xxhash64(key)).join(one_each.withColumn(deal, F.xxhash64(key)), [key, deal], how).drop(deal)
+    keys = [key] if isinstance(key, str) else key
+    return rows.withColumn(deal, F.xxhash64(*keys)).join(one_each.withColumn(deal, F.xxhash64(*keys)), [*keys, deal], how).drop(deal)
 
 
 #: Bits of the tables that tell what is surely not among keys: 262,144 rows of 16 bytes at most, whatever the input.

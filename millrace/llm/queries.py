@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, embeddings, jaccard, language, ordinal, pii, sharding, token_counts, warc
+from . import bpe, decontaminate, divergence, embeddings, jaccard, language, ordinal, pii, repeats, sharding, token_counts, warc
 from .common import scratch_path, table
 from .sql import ORACLES
 
@@ -93,8 +93,16 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs.withColumn("n_bytes", n_bytes), min_bytes=400, drop=["text"]).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict:
-    own = (op1_language, op2_decontamination, op3_warc, op4_quality, op5_bpe, op6_jaccard, op7_shards, op8_embeddings, op9_token_counts, op10_pii, op12_divergence)
+    own = (op1_language, op2_decontamination, op3_warc, op4_quality, op5_bpe, op6_jaccard, op7_shards, op8_embeddings, op9_token_counts, op10_pii, op12_divergence, op13_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
