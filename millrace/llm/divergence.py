@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Terms: runs of ASCII letters and of characters beyond ASCII.
-TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are runs of ASCII letters and of characters beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A share is 1 + floor(SCALE * (count + SMOOTH) / (total + SMOOTH * kept terms)).
 SCALE, SMOOTH = 1_000_000_000, 2
@@ -38,7 +38,7 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     The term null stands for the document itself, so that each source has a row. A text's
     words are sorted, null first, so that each first occurrence can be told without a shuffle.
     """
-    found = F.regexp_extract_all(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER), F.lit(TERMS), F.lit(0))
+    found = F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER), BETWEEN), "")
     names = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
     words = docs.select(*names, F.sort_array(F.concat(F.array(F.lit(None).cast("string")), found)).alias("w"))
     told = F.expr("transform(w, (term, i) -> struct(term, if(i = 0, 0, 1) as one, if(i <= 1 or term <> w[i - 1], 1, 0) as first))")

@@ -145,7 +145,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 
 OP13 = """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT k, x, md5(substr(h, 2 * x + 1, 800)) AS m FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399)) AS x FROM d)),
+parts AS (SELECT k, o, len(h) // 2 - 399 - o AS n, substr(h, 2 * o + 1, 2 * 2447) AS h FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399, 2048)) AS o FROM d)),
+w AS (SELECT k, o + x AS x, md5(substr(h, 2 * x + 1, 800)) AS m FROM (SELECT k, o, h, unnest(range(0, least(n, 2048))) AS x FROM parts)),
 r AS (SELECT k, x FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
 s AS (SELECT k, x, sum(CASE WHEN before IS NULL OR x > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY x) AS run FROM (SELECT k, x, lag(x) OVER (PARTITION BY k ORDER BY x) AS before FROM r)),
 runs AS (SELECT k, min(x) AS a, max(x) + 400 AS b FROM s GROUP BY k, run),
