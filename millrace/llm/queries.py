@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, embeddings, jaccard, language, ordinal, pii, repeats, sharding, token_counts, warc
+from . import alignment, bpe, decontaminate, divergence, embeddings, jaccard, language, ordinal, pii, repeats, sharding, token_counts, warc
 from .common import scratch_path, table
 from .sql import ORACLES
 
 ENCODING = "byte_bpe_multi_50k.tiktoken"
 COUNTING = "byte_bpe_50k.json"
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Toxic documents, others of low quality, others of high quality.
 GRADES = 3
 #: A document is toxic below this probability of a better grade, and kept from that of the best grade.
@@ -89,6 +90,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, paths = table(spark, sf_dir, "documents").select("doc_id", "text"), map(public_tokenizers.path, (ALIGNED_A, ALIGNED_B))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return alignment.align_tokenizers(docs, *paths, public_tokenizers.PATTERN, drop=["text"]).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -102,7 +111,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language, op2_decontamination, op3_warc, op4_quality, op5_bpe, op6_jaccard, op7_shards, op8_embeddings, op9_token_counts, op10_pii, op12_divergence, op13_suffix_dedup)
+    own = (op1_language, op2_decontamination, op3_warc, op4_quality, op5_bpe, op6_jaccard, op7_shards, op8_embeddings, op9_token_counts, op10_pii, op11_alignment, op12_divergence, op13_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
