@@ -143,13 +143,13 @@ MAX_QUERIES, SLICE = 1_000, 1_024
 
 # --- keywords -------------------------------------------------------------------------
 
-#: A token is a run of letters or digits, or of any character beyond ASCII.
-TOKEN = "[a-z0-9\\x{80}-\\x{10FFFF}]+"
+#: A token is a run of letters or digits, or of any character beyond ASCII; these characters stand between.
+BETWEEN = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens of a text, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 class Bm25Index:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import models, vectors
+from ..operators import keywords
 from ..operators import retrieval as r
 from ..scratch import scratch_folder
 from ..session import table
@@ -83,8 +84,7 @@ def _queries(spark, sf_dir):
 
 
 def _keyword_hits(spark, sf_dir, k):
-    scores = r.bm25_scores(table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return r.ranked(scores, k, ["query_id"])
+    return keywords.block_search(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), k)
 
 
 @catalogue.add("bm25_index", f"WITH {_BM25} SELECT term, doc_id AS id, tf, CAST(dl AS BIGINT) AS dl, df FROM p JOIN f USING (term)")
@@ -98,16 +98,15 @@ def bm25_index(spark, sf_dir):
 def bm25_index_search(spark, sf_dir):
     """The same hits as the scan's, from a written index."""
     folder = scratch_folder(spark, "bm25-index")
-    r.Bm25Index.build(table(spark, sf_dir, "documents")).write(folder)
-    scores = r.Bm25Index.read(spark, folder).search(_queries(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return r.ranked(scores, 5, ["query_id"]).select("query_id", "id", F.round("score", 6).alias("score"))
+    keywords.BlockIndex.build(table(spark, sf_dir, "documents")).write(folder)
+    hits = keywords.BlockIndex.read(spark, folder).search(_queries(spark, sf_dir), 5)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @catalogue.add("bm25_topk", f"WITH {_BM25} SELECT id, round(score, 6) AS score, place FROM b WHERE query_id = 0 AND place <= 10")
 def bm25_topk(spark, sf_dir):
     one = _queries(spark, sf_dir).where("query_id = 0")
-    scores = r.bm25_scores(table(spark, sf_dir, "documents"), one).withColumn("score", F.round("score", 9))
-    return r.ranked(scores, 10, ["query_id"]).select("id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+    return keywords.block_search(table(spark, sf_dir, "documents"), one, 10).select("id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @catalogue.add("bm25_topk_batch", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, place FROM b WHERE place <= 5")
@@ -115,6 +114,35 @@ def bm25_topk_batch(spark, sf_dir):
     return _keyword_hits(spark, sf_dir, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
+@catalogue.add("bm25_scores", f"WITH {_BM25} SELECT query_id, count(*) AS n, round(sum(score), 4) AS total FROM s GROUP BY query_id")
+def bm25_scores(spark, sf_dir):
+    """Scores of all documents that share a term with a question, by question."""
+    scores = r.bm25_scores(table(spark, sf_dir, "documents"), _queries(spark, sf_dir))
+    return scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@catalogue.add("bm25_filtered", f"WITH {_BM25} SELECT query_id, id, round(round(score, 9), 6) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM s JOIN documents ON doc_id = id WHERE lang = 'de' AND n_chars >= 200) WHERE place <= 5")
+def bm25_filtered(spark, sf_dir):
+    """The best documents of those that a metadata filter leaves, by the whole corpus's statistics."""
+    docs = table(spark, sf_dir, "documents")
+    allowed = docs.where(r.where_column({"$and": [{"lang": "de"}, {"n_chars": {"$gte": 200}}]})).select(F.col("doc_id").alias("id"))
+    hits = keywords.block_search(docs, _queries(spark, sf_dir), 5, allowed=allowed)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@catalogue.add("bm25_padded", rf"""WITH {_BM25}, x AS (SELECT item_id AS query_id, '7' || item_id || 'q ' || coalesce(regexp_extract(text, '^\S+'), '') AS text FROM benchmark),
+xq AS (SELECT DISTINCT query_id, unnest({_TOK}) AS term FROM x),
+xs AS (SELECT query_id, doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM xq JOIN p USING (term) JOIN f USING (term), stats GROUP BY ALL),
+spare AS (SELECT doc_id AS id FROM t ORDER BY 1 LIMIT 600),
+xa AS (SELECT query_id, id, score FROM xs UNION ALL SELECT query_id, spare.id, 0 FROM x, spare WHERE NOT EXISTS (FROM xs WHERE xs.query_id = x.query_id AND xs.id = spare.id))
+SELECT query_id, id, round(round(score, 9), 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM xa) WHERE place <= 300""")
+def bm25_padded(spark, sf_dir):
+    """Questions of one word, filled up to 300 hits with documents of score 0."""
+    asked = _queries(spark, sf_dir).select("query_id", F.concat(F.lit("7"), "query_id", F.lit("q "), F.regexp_extract("text", r"^\S+", 0)).alias("text"))
+    hits = keywords.block_search(table(spark, sf_dir, "documents"), asked, 300, pad=True)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 # A query's vector is that of the embedding with its id.
 _FUSED = f"""
 {_BM25}, u AS (SELECT vec_id, {_UNIT} AS u FROM embeddings),
