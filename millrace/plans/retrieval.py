@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import models, vectors
 from ..operators import keywords
 from ..operators import retrieval as r
+from ..operators import vector_index
 from ..scratch import scratch_folder
 from ..session import table
 from . import Catalogue
@@ -43,6 +44,31 @@ def vector_topk_batch(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
 
 
+def _vector_index(spark, sf_dir):
+    """A written index of the embeddings, and a hundredth of them as queries."""
+    corpus, folder = table(spark, sf_dir, "embeddings"), scratch_folder(spark, "vector-index")
+    vector_index.VectorIndex.build(corpus, keep=["label"]).write(folder)
+    queries = corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.VectorIndex.read(spark, folder), corpus, queries
+
+
+@catalogue.add("vector_index_search")
+def vector_index_search(spark, sf_dir):
+    """Near rows by the index, and whether the scan of all rows has them among its ten, too."""
+    index, corpus, queries = _vector_index(spark, sf_dir)
+    true = r.vector_topk_batch(corpus.select("vec_id", "embedding"), queries, 10).select("query_id", "vec_id", F.lit(True).alias("true"))
+    found = index.search(queries, 10).join(true, ["query_id", "vec_id"], "left")
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"), F.coalesce("true", F.lit(False)).alias("among_ten"))
+
+
+@catalogue.add("vector_index_all_cells", f"WITH {_SQL_VECTORS} SELECT query_id, vec_id, round({_D2}, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, vec_id) AS place FROM u, q WHERE label IN (1, 2) QUALIFY place <= 5")
+def vector_index_all_cells(spark, sf_dir):
+    """A filtered search that reads every cell with a short list as long as the filtered table must be the exact one."""
+    index, corpus, queries = _vector_index(spark, sf_dir)
+    found = index.search(queries, 5, {"label": {"$in": [1, 2]}}, probes=len(index.model.centres), short=corpus.count())
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
+
+
 @catalogue.add("l2_normalize", f"WITH {_SQL_VECTORS} SELECT vec_id, unnest(range(64)) AS place, round(unnest(u), 6) AS value FROM u")
 def l2_normalize(spark, sf_dir):
     u = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.normalized(F.col("embedding"))).alias("place", "value"))
