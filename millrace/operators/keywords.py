@@ -132,7 +132,8 @@ class BlockIndex:
         ids = self.documents().select("id") if allowed is None else self.documents().join(allowed.select("id").distinct(), "id").select("id")
         spare = ids.orderBy("id").limit(2 * k)  # of which the hits take k at most
         lacking = keys.join(hits.groupBy(query_key).agg(F.count(F.lit(1)).alias("have")), query_key, "left").where(F.coalesce("have", F.lit(0)) < k)
-        more = lacking.select(query_key).join(F.broadcast(spare)).join(hits.select(query_key, "id"), [query_key, "id"], "left_anti")
+        had = hits.select(F.col(query_key).alias("had_query"), F.col("id").alias("had_id"))
+        more = lacking.select(query_key).join(F.broadcast(spare)).join(had, (F.col(query_key) == F.col("had_query")) & F.col("id").eqNullSafe(F.col("had_id")), "left_anti")
         both = hits.select(query_key, "id", "score").unionByName(more.withColumn("score", F.lit(0.0)))
         return _best(both, k, query_key)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import models, vectors
 from ..operators import keywords
 from ..operators import retrieval as r
+from ..operators import segmentation
 from ..operators import vector_index
 from ..scratch import scratch_folder
 from ..session import table
@@ -169,6 +170,23 @@ def bm25_padded(spark, sf_dir):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
+@catalogue.add("segment_words")
+def segment_words(spark, sf_dir):
+    """Benchmark items without their spaces, cut by the words of all documents, and how many words are found again."""
+    counts = table(spark, sf_dir, "documents").select(F.explode(r.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cut = segmentation.segmenter(spark, segmentation.from_words(counts), search=False, runs=segmentation.SPACED)
+    true = r.tokens(F.col("text"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", true.alias("words"), cut(F.array_join(true, "")).alias("found"))
+
+    def ends(words):  # where words end, in characters
+        sizes = F.transform(words, F.length)
+        return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b))
+
+    some = rows.where(F.size("words") > 0)
+    right = F.size(F.array_intersect(ends(F.col("words")), ends(F.col("found")))).cast("long")
+    return some.select("item_id", F.size("words").cast("long").alias("n_words"), F.size("found").cast("long").alias("n_found"), right.alias("n_right"), F.md5(F.array_join("found", " ")).alias("found_md5"))
+
+
 # A query's vector is that of the embedding with its id.
 _FUSED = f"""
 {_BM25}, u AS (SELECT vec_id, {_UNIT} AS u FROM embeddings),
