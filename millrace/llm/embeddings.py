@@ -77,6 +77,7 @@ def probe_codes(unit: np.ndarray, how: Hashing) -> np.ndarray:
 
 def _unit(vectors: list) -> np.ndarray:
     x = np.asarray(np.stack(vectors), np.float64)
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large or small components would leave the doubles' range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 

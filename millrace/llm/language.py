@@ -76,11 +76,11 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", how: Fit = Fit()) -> Model:
-    """The model from rows with a text and a language; of many rows a hashed sample is used.
+    """The model from rows with a key, a text and a language; of many rows a sample by the key's hash is used.
 
     What comes to the driver are the sample's words and n-grams with a count for each language.
     """
-    rows = labelled.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
+    rows = labelled.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
     n = rows.select(F.lit(1)).count()
     if n > how.sample_rows:
         share = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 20))

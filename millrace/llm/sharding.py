@@ -111,7 +111,8 @@ def hash_tree_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", tex
         shard_of(doc_id, fleet(shards, shards)).cast("int").alias("shard"),
         shard_of(doc_id, fleet(shards + 1, shards)).cast("int").alias("grown_shard"),
     )
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 14, 8)
+    # rows without an id go to a shard as one, but are numbered in groups by their texts
+    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), "text_crc32"))), 14, 8)
     group = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(slot_groups(docs, shards)))
     slotted = with_slots(placed, "shard", "doc_id", group)
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

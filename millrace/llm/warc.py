@@ -27,8 +27,8 @@ from .common import maybe_among, release_memory, remove_path, stored
 
 #: Bytes of a record's block, of an HTTP chunk, and records of a file.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 16_384, 4_096, 1_024
-#: Longer URLs aren't written, so that records stay far below 16 MB.
-URL_CHARS = 65_536
+#: Bytes of a gzip member at most, so that the highest byte of its size is 0; a longer record is several members.
+MEMBER_BYTES = (1 << 24) - 1
 _END = b"\r\n\r\n"
 
 
@@ -68,7 +68,7 @@ def _header_text(value: object) -> str:
 
 
 def _uri(header: str, url) -> list[tuple[str, object]]:
-    return [(header, _header_text(url))] if url is not None and len(url) <= URL_CHARS else []
+    return [(header, _header_text(url))] if url is not None else []
 
 
 def record_id(name: str) -> str:
@@ -106,8 +106,9 @@ def page_records(page_id, url, payload: bytes, digest: str, refers_to, refers_ur
 
 
 def gzip_member(record: bytes) -> bytes:
-    """A record with the blank lines that end it, as a gzip member of its own."""
-    return gzip.compress(record + _END, 6, mtime=0)
+    """A record with the blank lines that end it, as a gzip member of its own (of 16 MB or more as several)."""
+    data = record + _END
+    return b"".join([gzip.compress(data[i : i + MEMBER_BYTES], 6, mtime=0) for i in range(0, len(data), MEMBER_BYTES)])
 
 
 def unzipped(data: bytes, step: int = 8_192) -> bytes:
