@@ -8,12 +8,15 @@ used is left out and reported, as the language asks.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import re
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spellings of the predicates (fixed values of the language).
 SPELLINGS = {
@@ -41,13 +44,45 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def _predicate(c: Column, op: str, value) -> Column:
-    """Nulls pass 'ne' and 'not_in', and fail the other comparisons."""
+def _kind(kind: T.DataType) -> str:
+    """Values of one kind can be compared with each other."""
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return "number"
+    return "text" if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)) else "time" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "other"
+
+
+def _comparable(kind: str, value) -> bool:
+    """Whether a value is of a column's kind; a text that is a date is of the kind of times."""
+    if isinstance(value, (bool, int, float, decimal.Decimal)):
+        return kind == "number"
+    if isinstance(value, str):
+        return kind == "text" or kind == "time" and _date_value(value) is not None
+    return kind in ("time", "other") if isinstance(value, datetime.date) else kind == "other"
+
+
+def _predicate(c: Column, op: str, value, kind: T.DataType) -> Column:
+    """Nulls pass 'ne' and 'not_in', and fail the other comparisons.
+
+    A value of another kind than the column's equals nothing and differs from everything; it
+    has no order with the column, so that such a filter can't be used.
+    """
     many = list(value) if isinstance(value, (list, tuple)) else None
     if op in ("in", "not_in", "between") and many is None:
         raise QueryError("the value must be a list")
     if op == "between" and len(many) != 2:
         raise QueryError("between takes two bounds")
+    own = _kind(kind)
+    if op in ("in", "not_in"):
+        many = [v for v in many if v is None or _comparable(own, v)]
+        # a null in the list stands for nulls, as it does where a list holds one
+        nothing, many = None in many, [v for v in many if v is not None]
+        member = F.coalesce(c.isin(many), F.lit(False)) if many else F.lit(False)
+        member = member | c.isNull() if nothing else member
+        return member if op == "in" else ~member
+    if op in ("eq", "ne") and not _comparable(own, value):
+        return F.lit(op == "ne")
+    if op in ("gt", "ge", "lt", "le", "between") and not all(_comparable(own, v) for v in (many if op == "between" else [value])):
+        raise QueryError(f"{value!r} has no order with values of type {kind.simpleString()}")
     makers = {
         "eq": lambda: c == F.lit(value),
         "ne": lambda: ~c.eqNullSafe(F.lit(value)),
@@ -57,8 +92,6 @@ def _predicate(c: Column, op: str, value) -> Column:
         "le": lambda: c <= F.lit(value),
         "contains": lambda: _text(c).rlike(f"(?i){value}"),
         "not_contains": lambda: ~_text(c).rlike(f"(?i){value}"),
-        "in": lambda: c.isin(many),
-        "not_in": lambda: F.coalesce(~c.isin(many), F.lit(True)),
         "between": lambda: c.between(F.lit(min(many)), F.lit(max(many))),
         "null": c.isNull,
         "not_null": c.isNotNull,
@@ -68,8 +101,6 @@ def _predicate(c: Column, op: str, value) -> Column:
 
 def _date_value(value):
     """The bound as a timestamp column, or None where it isn't a date."""
-    import datetime
-
     import pandas as pd
 
     if isinstance(value, (datetime.date, datetime.datetime)):
@@ -93,6 +124,8 @@ def filter_column(df: DataFrame, spec: dict) -> Column:
     if spec.get("is_date") and op not in ("null", "not_null"):
         if "contains" in op:
             raise QueryError("dates have no 'contains'")
+        if isinstance(df.schema[name].dataType, T.NumericType):
+            raise QueryError(f"{name!r} has numbers, which are no dates")
         if dict(df.dtypes)[name] != "timestamp_ntz":  # such a column is left bare, so that the filter reaches the scan
             c = F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
         got = [_date_value(v) for v in value] if isinstance(value, (list, tuple)) else _date_value(value)
@@ -109,7 +142,7 @@ def filter_column(df: DataFrame, spec: dict) -> Column:
             re.compile(str(value))
         except re.error as bad:
             raise QueryError(f"{value!r} is no pattern") from bad
-    return _predicate(c, op, value)
+    return _predicate(c, op, value, df.schema[name].dataType)
 
 
 def _ntz(moment) -> Column:
@@ -199,13 +232,28 @@ def unique_values(df: DataFrame, column: str, drop_na: bool = False, order: str
     return out.dropna() if drop_na else out
 
 
-def group_aggregate(df: DataFrame, keys: list[str] | str, column: str, function: str, name: str | None = None) -> DataFrame:
-    """One aggregate for each group, ordered by the keys; rows with a null key are left out."""
+def _aggregate(df: DataFrame, column: str, function: str, order: str | None) -> Column:
+    """An aggregate by name; texts are true unless they are empty, and ``order`` tells which row comes first."""
+    c = F.col(f"`{column}`")
+    if function in ("any", "all") and _kind(df.schema[column].dataType) == "text":
+        c = F.length(c) > 0
+    if function in ("first", "last") and order:
+        _known(df, [order])
+        at = F.when(c.isNotNull(), F.col(f"`{order}`"))
+        return F.min_by(c, at) if function == "first" else F.max_by(c, at)
+    return AGGREGATES[function](c)
+
+
+def group_aggregate(df: DataFrame, keys: list[str] | str, column: str, function: str, name: str | None = None, order: str | None = None) -> DataFrame:
+    """One aggregate for each group, ordered by the keys; rows with a null key are left out.
+
+    Rows of a table have no order of their own; ``first`` and ``last`` go by a column ``order`` where there is one.
+    """
     keys = _listed(keys)
     _known(df, [*keys, column])
     if function not in AGGREGATES:
         raise QueryError(f"no aggregate {function!r}; there are {sorted(AGGREGATES)}")
-    value = AGGREGATES[function](F.col(f"`{column}`"))
+    value = _aggregate(df, column, function, order)
     if not keys:
         return df.agg(value.alias(name or function))
     return df.dropna(subset=keys).groupBy(*keys).agg(value.alias(name or column)).orderBy(*keys)
@@ -261,7 +309,7 @@ def _compiled(df: DataFrame, query: dict) -> tuple[DataFrame, list[str]]:
         keys, column, function = (query.get(k) for k in ("group_by_columns", "aggregation_column", "aggregation_function"))
         if keys is None or column is None or function is None:
             raise QueryError("group_by_aggregate needs group_by_columns, aggregation_column and aggregation_function")
-        return group_aggregate(kept, keys, column, function, options.get("output_column_name")), skipped
+        return group_aggregate(kept, keys, column, function, options.get("output_column_name"), query.get("order_column")), skipped
     if kind == "find_top_n_rows":
         if not query.get("select_columns") or not query.get("condition_column"):
             raise QueryError("find_top_n_rows needs select_columns and condition_column")

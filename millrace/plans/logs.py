@@ -324,7 +324,7 @@ def _drained(out, mode: str, spark, folder: str, schema):
     def put(batch, epoch: int) -> None:  # in complete mode the last batch has all
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/epoch={epoch}")
 
-    out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination(300)
+    out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
@@ -354,7 +354,7 @@ def result_cache(spark, sf_dir):
 @catalogue.add("stream_log_append", "SELECT strftime(ts, '%Y%m%d') AS date, event_id, event_type FROM events")
 def stream_log_append(spark, sf_dir):
     folder = scratch_folder(spark, "stream")
-    ingest.log_stream(_stream(spark, sf_dir).select("event_id", "ts", "event_type"), f"{folder}/log", f"{folder}/state", "ts").awaitTermination(300)
+    ingest.log_stream(_stream(spark, sf_dir).select("event_id", "ts", "event_type"), f"{folder}/log", f"{folder}/state", "ts").awaitTermination()
     return spark.read.json(f"{folder}/log").select(F.col("date").cast("string").alias("date"), "event_id", "event_type")
 
 
@@ -373,7 +373,7 @@ def stream_ingest(spark, sf_dir):
     folder = scratch_folder(spark, "stream")
     texts = table(spark, sf_dir, "benchmark").select(F.regexp_replace("text", "\\s+", " ").alias("value"))
     texts.write.option("lineSep", "\n\n").text(f"{folder}/in")
-    ingest.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination(300)
+    ingest.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
     said = F.explode(F.split("text", "\n\n"))
     return spark.read.parquet(f"{folder}/out").select(said.alias("line")).select(F.trim("line").alias("line")).where("length(line) > 0")
 

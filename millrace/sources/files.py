@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..scratch import written
 
 #: Extensions that are taken in (fixed values).
 EXTENSIONS = (".txt", ".md", ".docx", ".pdf", ".xlsx", ".html", ".htm")
@@ -36,28 +38,49 @@ DEFAULT_SHEET = "Sheet1"
 def read_excel(spark: SparkSession, path: str, sheet: str | int = DEFAULT_SHEET) -> DataFrame:
     """One sheet of an Excel file as a table: the first row names the columns, blank cells are null.
 
-    ``sheet`` is a name or a place from 0. A column whose cells are all numbers is double (or
-    long, where all are whole). A workbook is one file of bounded size, so that one task reads it.
+    ``sheet`` is a name or a place from 0. A column whose cells are all numbers, texts of digits among them, is double (or
+    long, where all are whole), one of dates a timestamp without zone, one of truth values
+    boolean, any other text. An executor reads the file and writes its cells to the shared folder; the
+    driver gets the header and the columns' kinds only.
     """
     from . import parsers
 
-    found = spark.read.format("binaryFile").load(path).select("content").head()
-    if found is None:
-        raise FileNotFoundError(path)
-    header, rows = parsers.sheet_cells(bytes(found.content), sheet)
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in header]
-    kinds, values = [], []
-    for cells in columns:
-        numbers = [parsers.number_or_none(c) for c in cells if c is not None]
-        if numbers and None not in numbers:
-            whole = all(n == int(n) for n in numbers) and not any("." in c or "e" in c.lower() for c in cells if c is not None)
-            kinds.append(T.LongType() if whole else T.DoubleType())
-            values.append([None if c is None else int(float(c)) if whole else float(c) for c in cells])
-        else:
-            kinds.append(T.StringType())
-            values.append(list(cells))
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(header, kinds, strict=True)])
-    return spark.createDataFrame(list(zip(*values, strict=True)) if rows else [], schema)
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def cells(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                number, texts, kinds = 0, [], []
+                for row in parsers.sheet_cells(content.as_py(), sheet):
+                    texts.append([text or None for text, _ in row])
+                    kinds.append([("n" if kind == "s" and parsers.number_or_none(text) is not None else kind) if text else None for text, kind in row])
+                    if len(texts) == SHEET_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(texts)), pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.string()))], names=["number", "cells", "kinds"])
+                        number, texts, kinds = number + len(texts), [], []
+                yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(texts)), pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.string()))], names=["number", "cells", "kinds"])
+
+    try:
+        rows = written(files.mapInArrow(cells, "number long, cells array<string>, kinds array<string>"), "sheet")
+    except Exception as why:  # an executor's own error comes in Spark's
+        if "no sheet" in str(why):
+            raise ValueError(f"no sheet {sheet!r}") from None
+        if "PATH_NOT_FOUND" in str(why):
+            raise FileNotFoundError(path) from None
+        raise
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    head = rows.where("number = 0").first()
+    names = parsers.column_names([*(head.cells if head else []), *[None] * (width - len(head.cells if head else []))])
+    body = rows.where("number > 0")
+    at = lambda i, of="cells": F.get(F.col(of), F.lit(i))
+    whole = [F.bool_and(F.coalesce(at(i).rlike(r"^[+-]?\d{1,18}$"), F.lit(True))).alias(f"w{i}") for i in range(width)]
+    found = body.agg(*(F.collect_set(at(i, "kinds")).alias(f"k{i}") for i in range(width)), *whole).first() if width else None
+    kinds = {"n": lambda i: "long" if found[f"w{i}"] else "double", "d": lambda i: "timestamp_ntz", "b": lambda i: "boolean"}
+    casts = [kinds.get(found[f"k{i}"][0], lambda i: "string")(i) if len(found[f"k{i}"]) == 1 else "string" for i in range(width)]
+    return body.select(*(at(i).cast(kind).alias(name) for i, (name, kind) in enumerate(zip(names, casts, strict=True))))
+
+
+#: Rows of a sheet that are handed on at once.
+SHEET_ROWS = 1_000
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -6,6 +6,7 @@ unknown, or whose parser fails, gives one fallback element, so that no document
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -348,37 +349,103 @@ def _word_item(e, style: str, text: str, formats: dict, counts: dict) -> dict:
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _sheet_rows(content: bytes) -> Iterator[tuple[int, str | None, list[tuple[int, list[str]]]]]:
-    """(place from 1, name, rows as (number, cells)) of each sheet; blank cells are empty texts."""
+_OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Built-in number formats of dates and times (fixed values of the file format).
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58)
+
+
+def _date_styles(z: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """The cell styles whose number format is that of a date or a time."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    # letters of dates outside of quoted text, colours, conditions and escaped characters
+    own = {int(f.get("numFmtId")): re.search("[ymdhs]", re.sub(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", f.get("formatCode") or ""), re.I) is not None for f in root.iter(f"{_SHEET}numFmt")}
+    cells = root.find(f"{_SHEET}cellXfs")
+    return {i for i, x in enumerate(cells if cells is not None else []) if own.get(n := int(x.get("numFmtId") or 0), n in DATE_FORMATS)}
+
+
+def _moment(serial: str, since_1904: bool) -> str:
+    """A date's serial number as text; days before March 1900 count from a day later, as that calendar has a day too many."""
+    days = float(serial)
+    start = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 31 if days < 60 else 30)
+    return str(start + datetime.timedelta(milliseconds=round(days * 86_400_000)))
+
+
+def _sheet_files(z: zipfile.ZipFile, names: set[str]) -> list[tuple[str, str]]:
+    """(name, file) of the workbook's sheets in the order of its tabs."""
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target") or ""
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    tabs = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"))
+    if not targets:  # a workbook without relations: sheets by their numbers
+        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        return [(tabs[i].get("name") if i < len(tabs) else "", f) for i, f in enumerate(files)]
+    found = [(t.get("name"), targets.get(t.get(f"{_OFFICE}id"))) for t in tabs]
+    return [(name, file) for name, file in found if file in names and "worksheets/" in file]
+
+
+def _sheet_rows(content: bytes, sheet: str | int | None = None) -> Iterator[tuple[int, str | None, Iterator[tuple[int, list[tuple[str, str]]]]]]:
+    """(place from 1, name, rows as (number, cells)) of each sheet, or of one.
+
+    A cell is its text and its kind: n(umber), d(ate), b(oolean), s (text); a blank one is an
+    empty text. Rows are read from the file as they are asked for.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared = [
-            "".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_SHEET}si")
-        ] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for page, name in enumerate(sheets, 1):
-            rows, last = [], 0
-            for row in ElementTree.fromstring(z.read(name)).iter(f"{_SHEET}row"):
-                cells: list[str] = []
-                for c in row.findall(f"{_SHEET}c"):
-                    at = 0
-                    for ch in re.match(r"[A-Z]+", c.get("r") or "A")[0]:
-                        at = 26 * at + ord(ch) - 64
-                    v, kind = c.find(f"{_SHEET}v"), c.get("t")
-                    text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if kind == "inlineStr" else v.text if v is not None else ""
-                    cells += [""] * (at - len(cells))
-                    cells[at - 1] = (shared[int(text)] if kind == "s" and text else text or "").strip()
-                last = int(row.get("r") or last + 1)
-                rows.append((last, cells))
-            yield page, titles[page - 1] if page <= len(titles) else None, rows
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_SHEET}si")]
+        dates = _date_styles(z, names)
+        settings = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_SHEET}workbookPr")
+        since_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+
+        def cell(c) -> tuple[str, str]:
+            v, kind = c.find(f"{_SHEET}v"), c.get("t") or "n"
+            if kind == "inlineStr":
+                return "".join(t.text or "" for t in c.iter(f"{_SHEET}t")).strip(), "s"
+            text = (v.text or "").strip() if v is not None else ""
+            if not text or kind in ("str", "e"):
+                return text, "s"
+            if kind == "s":
+                return shared[int(text)].strip(), "s"
+            if kind == "b":
+                return ("True" if text == "1" else "False"), "b"
+            if kind == "d":
+                return text.replace("T", " "), "d"
+            return (_moment(text, since_1904), "d") if int(c.get("s") or 0) in dates else (text, "n")
+
+        def rows(file: str) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+            last = 0
+            with z.open(file) as opened:
+                for _, row in ElementTree.iterparse(opened):
+                    if row.tag != f"{_SHEET}row":
+                        continue
+                    cells: list[tuple[str, str]] = []
+                    for c in row.findall(f"{_SHEET}c"):
+                        at = 0
+                        for ch in re.match(r"[A-Z]*", c.get("r") or "")[0]:
+                            at = 26 * at + ord(ch) - 64
+                        at = at or len(cells) + 1
+                        cells += [("", "s")] * (at - len(cells))
+                        cells[at - 1] = cell(c)
+                    last = int(row.get("r") or last + 1)
+                    row.clear()
+                    yield last, cells
+
+        for page, (name, file) in enumerate(_sheet_files(z, names), 1):
+            if sheet is None or sheet == name or sheet == page - 1 and not isinstance(sheet, bool):
+                yield page, name, rows(file)
 
 
 def xlsx_elements(content: bytes) -> Iterator[dict]:
     """A table for each block of rows between blank rows, sheet by sheet (page_number from 1)."""
     for page, title, rows in _sheet_rows(content):
         block, last = [], 0
-        for number, cells in rows:
+        for number, told in rows:
+            cells = [text for text, _ in told]
             if block and (number > last + 1 or not any(cells)):
                 yield _sheet_table(block, title, page)
                 block = []
@@ -389,30 +456,24 @@ def xlsx_elements(content: bytes) -> Iterator[dict]:
             yield _sheet_table(block, title, page)
 
 
-def sheet_cells(content: bytes, sheet: str | int) -> tuple[list[str], list[tuple[str | None, ...]]]:
-    """The header and the rows of a sheet, named or by place from 0; a ValueError if there is none.
-
-    Columns without a name are called Unnamed: n, repeated names get .1, .2 and so on.
-    """
-    for page, title, rows in _sheet_rows(content):
-        if sheet in (title, page - 1):
-            table = [cells for _, cells in rows if any(cells)]
-            width = max(map(len, table), default=0)
-            filled = [[c or None for c in cells] + [None] * (width - len(cells)) for cells in table]
-            header, seen = [], {}
-            for i, name in enumerate(filled[0] if filled else []):
-                name = name or f"Unnamed: {i}"
-                seen[name] = seen.get(name, -1) + 1
-                header.append(f"{name}.{seen[name]}" if seen[name] else name)
-            return header, [tuple(r) for r in filled[1:]]
+def sheet_cells(content: bytes, sheet: str | int) -> Iterator[list[tuple[str, str]]]:
+    """The rows of a sheet, named or by place from 0, that aren't blank; a ValueError if there is no such sheet."""
+    for _, _, rows in _sheet_rows(content, sheet):
+        for _, cells in rows:
+            if any(text for text, _ in cells):
+                yield cells
+        return
     raise ValueError(f"no sheet {sheet!r}")
 
 
-def number_or_none(text: str) -> float | None:
-    try:
-        return float(text)
-    except ValueError:
-        return None
+def column_names(header: list[str]) -> list[str]:
+    """Names of a table's columns: those without one are called Unnamed: n, repeated names get .1, .2 and so on."""
+    out, seen = [], {}
+    for i, name in enumerate(header):
+        name = name or f"Unnamed: {i}"
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return out
 
 
 def _sheet_table(block: list[list[str]], title: str | None, page: int) -> dict:

@@ -143,3 +143,89 @@ def test_filters_reach_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = plan.select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in text and "GreaterThan(o_orderdate" in text
+
+
+@pytest.mark.parametrize("engine", ["frame"])
+def test_filters_on_values_of_other_types(spark, engine):
+    """As pandas has it: equality across types is false, an order across types leaves the filter out."""
+    import pandas as pd
+
+    data = {"n": [1, 2, 3], "s": ["5", "x", None], "b": [True, False, True], "f": [1.0, 2.5, 2.0]}
+    frame = pd.DataFrame(data)
+    rows = spark.createDataFrame(list(zip(range(3), *data.values(), strict=True)), "i long, n long, s string, b boolean, f double")
+    cases = [("s", 5), ("n", "x"), ("n", "2"), ("b", 1), ("b", "True"), ("f", 2), ("n", 2.0), ("f", "2.5"), ("s", "x")]
+    for column, value in cases:
+        for op, plain in (("equals", frame[column] == value), ("not_equals", frame[column] != value)):
+            kept, skipped = sqo.apply_filters(rows, [{"column": column, "operator": op, "value": value}])
+            assert sorted(r.i for r in kept.collect()) == [i for i, k in enumerate(plain) if k] and not skipped, (column, op, value)
+    for column, value in [("n", ["x", 1]), ("s", ["x", 5]), ("s", [5, 6]), ("f", ["a", 2]), ("b", [1, "q"])]:
+        for op, plain in (("in", frame[column].isin(value)), ("not in", ~frame[column].isin(value))):
+            kept, skipped = sqo.apply_filters(rows, [{"column": column, "operator": op, "value": value}])
+            assert sorted(r.i for r in kept.collect()) == [i for i, k in enumerate(plain) if k] and not skipped, (column, op, value)
+    for column, op, value in [("s", ">", 5), ("n", "<=", "x"), ("n", "between", ["a", "b"]), ("n", "between", [1, "b"]), ("s", "<", 1.5)]:
+        kept, skipped = sqo.apply_filters(rows, [{"column": column, "operator": op, "value": value}])
+        assert kept.count() == 3 and len(skipped) == 1
+    kept, skipped = sqo.apply_filters(rows, [{"column": "n", "operator": ">=", "value": "2020-01-01", "is_date": True}])
+    assert kept.count() == 3 and "no dates" in skipped[0]
+
+
+def test_any_all_first_and_last(spark):
+    rows = spark.createDataFrame([(1, "a", "", 3), (1, "b", None, 1), (2, "c", "x", 2), (2, None, "y", 5)], "g long, s string, t string, at long")
+    got = lambda f, column, **more: [r[1] for r in sqo.group_aggregate(rows, "g", column, f, **more).collect()]
+    assert got("any", "t") == [False, True] and got("all", "t") == [False, True]
+    assert got("first", "s", order="at") == ["b", "c"] and got("last", "s", order="at") == ["a", "c"]
+    query = {"operation_type": "group_by_aggregate", "group_by_columns": ["g"], "aggregation_column": "s", "aggregation_function": "last", "order_column": "at"}
+    assert [r.s for r in sqo.compile_query(rows, query).collect()] == ["a", "c"]
+
+
+def workbook(path, sheets, files=None, styles="", date1904=False):
+    """A workbook whose tabs are ``sheets`` (name, rows as XML), stored in the files given."""
+    import zipfile
+
+    s, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    files = files or [f"sheet{i}.xml" for i in range(1, len(sheets) + 1)]
+    with zipfile.ZipFile(path, "w") as z:
+        tabs = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, (n, _) in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{s}" xmlns:r="{r}"><workbookPr date1904="{int(date1904)}"/><sheets>{tabs}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/{f}"/>' for i, f in enumerate(files, 1)) + "</Relationships>")
+        if styles:
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{s}">{styles}</styleSheet>')
+        for (_, rows), f in zip(sheets, files, strict=True):
+            z.writestr(f"xl/worksheets/{f}", f'<worksheet xmlns="{s}"><sheetData>{rows}</sheetData></worksheet>')
+
+
+def test_sheets_by_their_relations(spark, tmp_path):
+    text = lambda ref, v: f'<c r="{ref}" t="str"><v>{v}</v></c>'
+    rows = lambda name, n: f'<row r="1">{text("A1", "what")}{text("B1", "n")}</row><row r="3">{text("A3", name)}<c r="B3"><v>{n}</v></c></row>'
+    path = str(tmp_path / "tabs.xlsx")  # tabs in another order than the files, one file left over from a deleted sheet
+    workbook(path, [("Totals", rows("total", 1)), ("Raw", rows("raw", 2))], ["sheet2.xml", "sheet7.xml"])
+    from millrace.sources import files, parsers
+
+    assert [tuple(r) for r in files.read_excel(spark, path, "Totals").collect()] == [("total", 1)]
+    assert [tuple(r) for r in files.read_excel(spark, path, "Raw").collect()] == [("raw", 2)]
+    assert [tuple(r) for r in files.read_excel(spark, path, 1).collect()] == [("raw", 2)]
+    with pytest.raises(ValueError, match="no sheet"):
+        files.read_excel(spark, path, "Sheet1")
+    with open(path, "rb") as f:
+        assert [e["caption"] for e in parsers.xlsx_elements(f.read())] == ["Sheet: Totals"] * 2 + ["Sheet: Raw"] * 2
+
+
+def test_dates_and_truth_values_of_sheets(spark, tmp_path):
+    import datetime as dt
+
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="[$-409]d\\-mmm\\-yy;@"/><numFmt numFmtId="171" formatCode="0.00&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs>'
+    head = "".join(f'<c r="{c}1" t="str"><v>{n}</v></c>' for c, n in zip("ABCDE", ["day", "own", "size", "ok", "mixed"], strict=True))
+    body = '<row r="2"><c r="A2" s="1"><v>45292</v></c><c r="B2" s="2"><v>36526.5</v></c><c r="C2" s="3"><v>1.5</v></c><c r="D2" t="b"><v>1</v></c><c r="E2" s="1"><v>45292</v></c></row>'
+    body += '<row r="3"><c r="A3" s="1"><v>45300</v></c><c r="C3" s="3"><v>2</v></c><c r="D3" t="b"><v>0</v></c><c r="E3" t="str"><v>late</v></c></row>'
+    path = str(tmp_path / "dates.xlsx")
+    workbook(path, [("Sheet1", f'<row r="1">{head}</row>{body}')], styles=styles)
+    from millrace.sources import files
+
+    rows = files.read_excel(spark, path)
+    assert dict(rows.dtypes) == {"day": "timestamp_ntz", "own": "timestamp_ntz", "size": "double", "ok": "boolean", "mixed": "string"}
+    assert [tuple(r) for r in rows.collect()] == [(dt.datetime(2024, 1, 1), dt.datetime(2000, 1, 1, 12), 1.5, True, "2024-01-01 00:00:00"), (dt.datetime(2024, 1, 9), None, 2.0, False, "late")]
+    late = {"operation_type": "get_unique_values", "column_name": "day", "filters": [{"column": "day", "operator": ">=", "value": "2024-01-05", "is_date": True}]}
+    assert sqo.respond_sheet(spark, path, late)["result"] == dt.datetime(2024, 1, 9)
+    early = str(tmp_path / "early.xlsx")
+    workbook(early, [("Sheet1", '<row r="1"><c r="A1" t="str"><v>day</v></c></row><row r="2"><c r="A2" s="1"><v>0</v></c></row>')], styles=styles, date1904=True)
+    assert files.read_excel(spark, early).first().day == dt.datetime(1904, 1, 1)
