@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,37 +93,61 @@ def group_numbers(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
     return np.cumsum(both) - both, np.searchsorted(cuts, ends_b)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray]:
     """(pair of ids as a * n_b + b, in order; how many links have it) over all groups of a text.
 
-    Tokens that come again within a group are counted, not paired again.
+    ``of_a`` and ``of_b`` tell how many tokens a group has. In long groups tokens that come again
+    are counted, not paired again.
     """
+    a, b, times_a, times_b = a.astype(np.int64), b.astype(np.int64), None, None
+    if (of_a * of_b).max() > PAIRED_PLAINLY:
+        (a, of_a, times_a), (b, of_b, times_b) = (_distinct(x, of, n_b) for x, of in ((a, of_a), (b, of_b)))
+    first, many = np.cumsum(of_b) - of_b, np.repeat(of_b, of_a)
+    left = np.repeat(np.arange(len(a)), many)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.repeat(first, of_a), many)
+    pairs = a[left] * n_b + b[right]
+    if times_a is None:
+        return np.unique(pairs, return_counts=True)
+    links = times_a[left] * times_b[right]
+    pairs, at = np.unique(pairs, return_inverse=True)
+    out = np.zeros(len(pairs), np.int64)
+    np.add.at(out, at, links)
+    return pairs, out
 
-    def distinct(ids, groups, base):
-        keys, n = np.unique(groups * base + ids, return_counts=True)
-        return keys % base, keys // base, n
 
-    xa, ga, ca = distinct(a.astype(np.int64), in_a.astype(np.int64), int(a.max()) + 1)
-    xb, gb, cb = distinct(b.astype(np.int64), in_b.astype(np.int64), n_b)
-    first = np.searchsorted(gb, ga)
-    many = np.searchsorted(gb, ga, "right") - first
-    left = np.repeat(np.arange(len(xa)), many)
-    right = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-    pairs, links = xa[left] * n_b + xb[right], ca[left] * cb[right]
-    order = np.argsort(pairs, kind="stable")
-    pairs, links = pairs[order], links[order]
-    starts = np.flatnonzero(np.diff(pairs, prepend=-1))
-    return pairs[starts], np.add.reduceat(links, starts) if len(starts) else links
+#: Groups of more links than this have their repeated tokens counted first.
+PAIRED_PLAINLY = 64
 
 
-def align_step(path_a: str, path_b: str, pattern: str, text: str, outs: Sequence[str]) -> Step:
-    """New columns ``outs``: ids of A, of B, tokens of A and of B in each group, pairs, links of each pair."""
+def _distinct(ids: np.ndarray, of: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of each group, how many a group has, and how often each comes."""
+    base = max(int(ids.max()) + 1, n_b)
+    keys, times = np.unique(np.repeat(np.arange(len(of)), of) * base + ids, return_counts=True)
+    return keys % base, np.bincount(keys // base, minlength=len(of)), times
+
+
+def spelled(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, names_a: list[str], names_b: list[str]) -> str:
+    """Groups as text: ``a1,a2|b1;a3|b2,b3``; most are one token each, the others are written over."""
+    at, bt = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+    out = [f"{names_a[i]}|{names_b[j]}" for i, j in zip(a[at].tolist(), b[bt].tolist(), strict=True)]
+    for k in np.flatnonzero((of_a > 1) | (of_b > 1)).tolist():
+        i, j = a[at[k] : at[k] + of_a[k]].tolist(), b[bt[k] : bt[k] + of_b[k]].tolist()
+        out[k] = f"{','.join([names_a[x] for x in i])}|{','.join([names_b[y] for y in j])}"
+    return ";".join(out)
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def align_step(path_a: str, path_b: str, pattern: str, text: str, groups: str, pairs: str, links: str) -> Step:
+    """New columns: the counts of tokens, groups and links, the groups as text, the pairs of ids and the links of each."""
 
     def make():
         (encode_a, bytes_a), (encode_b, bytes_b) = byte_level_encoder(path_a, pattern), piece_encoder(path_b)
         held = [pa.array(x, pa.large_binary()) for x in (bytes_a, bytes_b)]
         sizes = [np.array([len(x) if x is not None else 0 for x in y]) for y in (bytes_a, bytes_b)]
         lacking = [np.array([x is None for x in y]) for y in (bytes_a, bytes_b)]
+        names = [[str(i) for i in range(len(y))] for y in (bytes_a, bytes_b)]
 
         def joined(side: int, ids: np.ndarray) -> bytes | None:
             if lacking[side][ids].any():
@@ -134,45 +158,33 @@ def align_step(path_a: str, path_b: str, pattern: str, text: str, outs: Sequence
 
         def work(texts):
             texts = [t or "" for t in texts.to_pylist()]
-            columns: list[list] = [[] for _ in range(6)]
+            counts, spelt, lists = [], [], ([], [])
             for t, a, b in zip(texts, encode_a([" " + t if t else "" for t in texts]), encode_b(texts), strict=True):
-                made = [np.zeros(0, np.int64)] * 6
+                row, said, found = (0, 0, 0, 0), "", (np.zeros(0, np.int64),) * 2
                 if t and a and b:
-                    whole, a, b = (" " + t).encode(), np.array(a), np.array(b)
-                    if joined(0, a) == whole == joined(1, b):
-                        in_a, in_b = group_numbers(np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]))
-                        made = [a, b, np.bincount(in_a), np.bincount(in_b), *linked_pairs(a, b, in_a, in_b, len(bytes_b))]
-                for column, values in zip(columns, made, strict=True):
+                    whole, x, y = (" " + t).encode(), np.array(a), np.array(b)
+                    if joined(0, x) == whole == joined(1, y):
+                        in_a, in_b = group_numbers(np.cumsum(sizes[0][x]), np.cumsum(sizes[1][y]))
+                        of_a, of_b = np.bincount(in_a), np.bincount(in_b)
+                        found = linked_pairs(x, y, of_a, of_b, len(bytes_b))
+                        row = len(a), len(b), len(of_a), int((of_a * of_b).sum())
+                        said = spelled(x, y, of_a, of_b, *names)
+                counts.append(row)
+                spelt.append(said)
+                for column, values in zip(lists, found, strict=True):
                     column.append(values)
-            return [_lists(c, k) for c, k in zip(columns, (pa.int32(),) * 4 + (pa.int64(), pa.int64()), strict=True)]
+            told = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 4
+            return [*told, pa.array(spelt, pa.string()), *(_lists(c) for c in lists)]
 
         return work
 
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    return Step([text], make, [T.StructField(n, k) for n, k in zip(outs, (ints, ints, ints, ints, longs, longs), strict=True)], arrays=True)
+    longs = T.ArrayType(T.LongType())
+    return Step([text], make, [*(T.StructField(n, T.LongType()) for n in COUNTS), T.StructField(groups, T.StringType()), T.StructField(pairs, longs), T.StructField(links, longs)], arrays=True)
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *(len(r) for r in rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
-
-
-def spelled(a: str, b: str, of_a: str, of_b: str, out: str) -> Step:
-    """Groups as text: ``a1,a2|b1;a3|b2,b3``; '' without tokens."""
-
-    def make():
-        def work(*columns):
-            for ids_a, ids_b, na, nb in zip(*columns, strict=True):
-                i = j = 0
-                groups = []
-                for p, q in zip(na, nb, strict=True):
-                    groups.append(f"{','.join(map(str, ids_a[i : i + p]))}|{','.join(map(str, ids_b[j : j + q]))}")
-                    i, j = i + p, j + q
-                yield (";".join(groups),)
-
-        return work
-
-    return Step([a, b, of_a, of_b], make, [T.StructField(out, T.StringType())])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
 
 
 def pair_documents(aligned: DataFrame, pairs: str = "pairs") -> DataFrame:
@@ -254,24 +266,23 @@ def scored(aligned: DataFrame, counts: DataFrame, pairs: str, links: str, n_best
     return out.unionByName(looked.where(F.col(k1).isNull())).drop(k1, k2, rest_pairs, rest_links)
 
 
-def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, pattern: str, text: str = "text", drop: Sequence[str] = (), table_pairs: int = TABLE_PAIRS) -> DataFrame:
+def align_tokenizers(
+    docs: DataFrame, path_a: str, path_b: str, pattern: str, text: str = "text", drop: Sequence[str] = (), told: Callable[[Column], Column] | None = None, table_pairs: int = TABLE_PAIRS
+) -> DataFrame:
     """``docs`` with how the tokens of " " + text by A line up with those of text by B.
 
     New columns: ``n_a``, ``n_b``, ``n_groups``, ``n_links``; ``groups`` as text (ids of A,
-    ``|``, ids of B; groups are separated by ``;``); ``n_best`` and ``count_sum`` over links,
-    from the number of documents that hold a pair of ids linked. Texts that are null, empty or
-    not given back by the joined bytes of their tokens have no tokens: zeros and ''. Very long
-    texts are aligned whole; within a group, distinct ids are paired, so that a run of one token
-    costs one pair. Repeated rows count as documents of their own; ties for an A id's best pair
-    all are best. An empty table gives an empty one. Columns named as the new ones are
-    replaced, other columns stay.
+    ``|``, ids of B; groups are separated by ``;``), or what ``told`` makes of it; ``n_best`` and
+    ``count_sum`` over links, from the number of documents that hold a pair of ids linked. Texts
+    that are null, empty or not given back by the joined bytes of their tokens have no tokens:
+    zeros and ''. Very long texts are aligned whole; in long groups distinct ids are paired, so
+    that a run of one token costs one pair. Repeated rows count as documents of their own; ties
+    for an A id's best pair all are best. An empty table gives an empty one. Columns named as the
+    new ones are replaced, other columns stay.
     """
-    names = [f"{n}_{uuid.uuid4().hex}" for n in ("ids_a", "ids_b", "of_a", "of_b", "pairs", "links")]
-    ids_a, ids_b, of_a, of_b, pairs, links = names
+    pairs, links = (f"{n}_{uuid.uuid4().hex}" for n in ("pairs", "links"))
     n_b = len(piece_encoder(path_b)[1])
-    rows = append_steps(docs, align_step(path_a, path_b, pattern, text, names), spelled(ids_a, ids_b, of_a, of_b, "groups"), drop=drop)
-    sizes = {"n_a": F.size(ids_a), "n_b": F.size(ids_b), "n_groups": F.size(of_a), "n_links": F.aggregate(links, F.lit(0).cast("long"), lambda x, y: x + y)}
-    rows = rows.withColumns({n: c.cast("long") for n, c in sizes.items()}).drop(ids_a, ids_b, of_a, of_b)
-    rows = stored(rows, "alignment")
+    rows = append_steps(docs, align_step(path_a, path_b, pattern, text, "groups", pairs, links), drop=drop)
+    rows = stored(rows.withColumn("groups", told(F.col("groups"))) if told else rows, "alignment")
     counts = stored(pair_table(rows, n_b, pairs), "alignment-counts")
     return scored(rows, counts, pairs, links, "n_best", "count_sum", table_pairs).drop(pairs, links)

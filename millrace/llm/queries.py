@@ -92,10 +92,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, paths = table(spark, sf_dir, "documents").select("doc_id", "text"), map(public_tokenizers.path, (ALIGNED_A, ALIGNED_B))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    return alignment.align_tokenizers(docs, *paths, public_tokenizers.PATTERN, drop=["text"]).select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
-    )
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    out = alignment.align_tokenizers(docs, *paths, public_tokenizers.PATTERN, drop=["text"], told=digest)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
