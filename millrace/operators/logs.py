@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from . import order
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -115,10 +118,11 @@ def flat_answer_evaluation(rows: DataFrame, json: str = "evaluation") -> DataFra
 
 def describe(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles (exact, by linear interpolation) and max of a column's numbers."""
-    c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    c, named = F.col(f"`{column}`"), {b: f"by{i}_quartiles" for i, b in enumerate(by)}
+    out = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    quartiles = order.quantiles(df, column, [0.25, 0.5, 0.75], list(by), ["p25", "p50", "p75"]).withColumnsRenamed(named)
+    same = reduce(lambda x, y: x & y, [out[b].eqNullSafe(quartiles[n]) for b, n in named.items()], F.lit(True))
+    return out.join(quartiles, same, "left").select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
 from ..scratch import written
+from .order import placed
 
 #: BM25 and rank-fusion constants (fixed values).
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -240,12 +241,16 @@ def rrf(hits: DataFrame, key: str = "id", by: list[str] = (), k: int = RRF_K) ->
     return hits.groupBy(*by, key).agg(F.sum(1.0 / (k + F.col("place"))).alias("score"))
 
 
-def rrf_by_content(hits: DataFrame, by: list[str] = (), k: int = RRF_K) -> DataFrame:
-    """Fusion where equal contents are one: rows (source_type, content, score), places by score."""
+def rrf_by_content(hits: DataFrame, by: list[str] = (), k: int = RRF_K, contents: bool = True) -> DataFrame:
+    """Fusion where equal contents are one: rows (source_type, content, score), places by score.
+
+    Places are given without a task that holds a source, on digests; ``contents`` are joined at the end.
+    """
     keyed = hits.withColumn("content_hash", F.md5("content"))
-    place = F.row_number().over(Window.partitionBy(*by, "source_type").orderBy(F.desc_nulls_last("score"), "content_hash"))
-    placed = keyed.withColumn("place", place)
-    return placed.groupBy(*by, "content_hash").agg(F.sum(1.0 / (k + F.col("place"))).alias("score"), F.min("content").alias("content"))
+    narrow = keyed.select(*by, "source_type", "content_hash", "score")
+    places = placed(narrow, [*by, "source_type"], [(F.col("score"), True), (F.col("content_hash"), False)])
+    fused = places.groupBy(*by, "content_hash").agg(F.sum(1.0 / (k + F.col("place"))).alias("score"))
+    return fused.join(keyed.groupBy(*by, "content_hash").agg(F.min("content").alias("content")), [*by, "content_hash"]) if contents else fused
 
 
 def hydrated(hits: DataFrame, store: DataFrame, key: str = "id", missing: str | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import order as ranks
+
 #: Spellings of the predicates (fixed values of the language).
 SPELLINGS = {
     "equals": "eq", "==": "eq",
@@ -72,8 +74,10 @@ def _predicate(c: Column, op: str, value, kind: T.DataType) -> Column:
     if op == "between" and len(many) != 2:
         raise QueryError("between takes two bounds")
     own = _kind(kind)
+    if isinstance(kind, T.BooleanType) and op not in ("contains", "not_contains", "null", "not_null"):
+        c = c.cast("int")  # truth values are the numbers 0 and 1
     if op in ("in", "not_in"):
-        many = [v for v in many if v is None or _comparable(own, v)]
+        many = [int(v) if isinstance(v, bool) else v for v in many if v is None or _comparable(own, v)]
         # a null in the list stands for nulls, as it does where a list holds one
         nothing, many = None in many, [v for v in many if v is not None]
         member = F.coalesce(c.isin(many), F.lit(False)) if many else F.lit(False)
@@ -83,6 +87,7 @@ def _predicate(c: Column, op: str, value, kind: T.DataType) -> Column:
         return F.lit(op == "ne")
     if op in ("gt", "ge", "lt", "le", "between") and not all(_comparable(own, v) for v in (many if op == "between" else [value])):
         raise QueryError(f"{value!r} has no order with values of type {kind.simpleString()}")
+    value, many = int(value) if isinstance(value, bool) else value, [int(v) if isinstance(v, bool) else v for v in many or []]
     makers = {
         "eq": lambda: c == F.lit(value),
         "ne": lambda: ~c.eqNullSafe(F.lit(value)),
@@ -253,6 +258,10 @@ def group_aggregate(df: DataFrame, keys: list[str] | str, column: str, function:
     _known(df, [*keys, column])
     if function not in AGGREGATES:
         raise QueryError(f"no aggregate {function!r}; there are {sorted(AGGREGATES)}")
+    if function in ("median", "quantile"):  # without a group's values in one task
+        kept = df.dropna(subset=keys) if keys else df
+        out = ranks.quantiles(kept, column, [0.5], keys, [name or (column if keys else function)])
+        return out.orderBy(*keys) if keys else out
     value = _aggregate(df, column, function, order)
     if not keys:
         return df.agg(value.alias(name or function))

@@ -232,7 +232,7 @@ def rrf_by_content_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     a = docs.where("source <> 'src0'").select(F.col("text").alias("content"), F.col("n_chars").cast("double").alias("score"))
     b = docs.where("lang = 'en'").select(F.col("text").alias("content"), (-F.col("doc_id")).cast("double").alias("score"))
-    return r.rrf_by_content(r.union_sources(a=a, b=b)).select("content_hash", F.round("score", 9).alias("score"))
+    return r.rrf_by_content(r.union_sources(a=a, b=b), contents=False).select("content_hash", F.round("score", 9).alias("score"))
 
 
 def _store(spark, sf_dir):

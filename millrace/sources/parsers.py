@@ -476,6 +476,13 @@ def column_names(header: list[str]) -> list[str]:
     return out
 
 
+def number_or_none(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
 def _sheet_table(block: list[list[str]], title: str | None, page: int) -> dict:
     caption = f"Sheet: {title}" if title else None
     return {"element_type": "table", "markdown_representation": pipe_table(block), "caption": caption, "page_number": page}
