@@ -10,16 +10,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import release_memory, stored
 
 #: What stands between terms, which are runs of ASCII letters and of characters beyond ASCII.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A share is 1 + floor(SCALE * (count + SMOOTH) / (total + SMOOTH * kept terms)).
 SCALE, SMOOTH = 1_000_000_000, 2
+#: Documents whose words are summed at once within a task.
+SUMMED_DOCS = 2_048
 #: The table of sources is broadcast if it has no more rows than this, else joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -35,15 +40,37 @@ class TermVectors:
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of a term and documents that have it.
 
-    The term null stands for the document itself, so that each source has a row. A text's
-    words are sorted, null first, so that each first occurrence can be told without a shuffle.
+    The term null stands for the document itself, so that each source has a row. Words are
+    split in the JVM and summed in Arrow batches, some documents at a time, before rows are made of them.
     """
-    found = F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER), BETWEEN), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER), BETWEEN), "")
     names = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
-    words = docs.select(*names, F.sort_array(F.concat(F.array(F.lit(None).cast("string")), found)).alias("w"))
-    told = F.expr("transform(w, (term, i) -> struct(term, if(i = 0, 0, 1) as one, if(i <= 1 or term <> w[i - 1], 1, 0) as first))")
-    rows = words.select("lang", "source", F.inline(told))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("one").alias("n"), F.sum("first").alias("docs"))
+    schema = T._parse_datatype_string("lang string, source string, term string, n long, docs long")
+
+    def summed(langs: pa.Array, sources: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        n = len(langs)
+        codes = [c.cast(pa.string()).dictionary_encode() for c in (langs, sources)]
+        many = max(1, len(codes[1].dictionary))
+        of = codes[0].indices.to_numpy().astype(np.int64) * many + codes[1].indices.to_numpy()
+        group, of = np.unique(of, return_inverse=True)
+        coded = lists.flatten().cast(pa.string()).dictionary_encode()
+        keys = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+        keys, times = np.unique(keys, return_counts=True)
+        both, at = np.unique((keys // n) * len(group) + of[keys % n], return_inverse=True)
+        term, g = both // max(1, len(group)), np.concatenate([both % max(1, len(group)), np.arange(len(group))])
+        sums = [np.concatenate([np.bincount(at, w, len(both)).astype(np.int64), last]) for w, last in ((times, np.zeros(len(group), np.int64)), (None, np.bincount(of, minlength=len(group))))]
+        terms = pa.concat_arrays([coded.dictionary.take(pa.array(term)), pa.nulls(len(group), pa.string())])
+        columns = [codes[0].dictionary.take(pa.array(group[g] // many)), codes[1].dictionary.take(pa.array(group[g] % many)), terms, pa.array(sums[0]), pa.array(sums[1])]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SUMMED_DOCS):
+                yield summed(*batch.slice(at, SUMMED_DOCS).columns)
+        release_memory()
+
+    rows = docs.select(*names, words.alias("words")).mapInArrow(run, schema)
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def term_vectors(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 10) -> TermVectors:
