@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graph as g
-from ..scratch import written
+from ..scratch import scratch_folder, written
 from ..session import table
+from ..sources import keyed
 from . import Catalogue
 
 catalogue = Catalogue()
@@ -76,6 +77,27 @@ def kg_node_upsert(spark, sf_dir):
     return g.upserted_nodes(nodes, changes, "ord")
 
 
+@catalogue.add("kg_store_upsert", f"""WITH {_EDGES}, changed AS (SELECT id_prop, text, CASE WHEN label = 'NATION' THEN 'COUNTRY' ELSE label END AS label FROM nodes WHERE label IN ('NATION', 'REGION'))
+SELECT n.id_prop AS id, coalesce(c.label, n.label) AS kind FROM nodes n LEFT JOIN changed c USING (id_prop) UNION ALL SELECT md5('new'), 'NEW'
+UNION ALL SELECT relation_id, k FROM edges UNION ALL SELECT md5('new edge'), 'NEW'""")
+def kg_store_upsert(spark, sf_dir):
+    """Nodes and edges in stored tables: put in, changed, put again as after a failure; then read back."""
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    stored_nodes = keyed.KeyedTable.create(spark, scratch_folder(spark, "nodes"), nodes.schema, ["id_prop"], 16)
+    stored_edges = keyed.KeyedTable.create(spark, scratch_folder(spark, "edges"), edges.schema, ["relation_id"], 16)
+    again = nodes.where("label in ('NATION', 'REGION')")
+    late = again.withColumn("label", F.when(F.col("label") == "NATION", "COUNTRY").otherwise(F.col("label"))).withColumn("ord", F.lit(2))
+    new = spark.range(1).select(F.md5(F.lit("new")).alias("id_prop"), F.lit("new").alias("text"), F.lit("NEW").alias("label"), F.lit(1).alias("ord"))
+    changes = again.withColumn("label", F.lit("EARLY")).withColumn("ord", F.lit(1)).unionByName(late).unionByName(new)
+    more = spark.range(2).select(F.md5(F.lit("new edge")).alias("relation_id"), F.lit("a").alias(g.SOURCE), F.lit("b").alias(g.TARGET), F.lit("NEW").alias("relation_type"))
+    for _ in range(2):
+        stored_nodes.insert(nodes, 1)
+        stored_nodes.upsert(changes, 2, "ord")
+        stored_edges.insert(edges, 1)
+        stored_edges.insert(edges.withColumn("relation_type", F.lit("IGNORED")).unionByName(more), 2)
+    return stored_nodes.read().select(F.col("id_prop").alias("id"), F.col("label").alias("kind")).unionByName(stored_edges.read().select(F.col("relation_id").alias("id"), F.col("relation_type").alias("kind")))
+
+
 @catalogue.add("kg_edge_insert_ignore", f"WITH {_EDGES} SELECT relation_id, k AS relation_type FROM edges UNION ALL SELECT md5('new'), 'NEW'")
 def kg_edge_insert_ignore(spark, sf_dir):
     edges = _edges(spark, sf_dir)

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import logs, tasks
 from ..scratch import scratch_folder
 from ..session import table
-from ..sources import files
+from ..sources import files, keyed
 from ..streaming import ingest
 from . import Catalogue
 
@@ -293,6 +293,26 @@ def task_complete(spark, sf_dir):
     return tasks.completed(kept, rows.where("id % 4 = 0")).select("id", "status", "error")
 
 
+@catalogue.add("task_store_roundtrip", f"""WITH {_TASKS}, made AS (SELECT * FROM tasks WHERE id % 7 <> 0)
+SELECT id, CASE WHEN id % 5 = 0 THEN 'patched' ELSE title END AS title, CASE WHEN id % 4 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN NULL ELSE due_date END AS due_date,
+  CASE WHEN id % 10 = 0 THEN NULL WHEN id % 5 = 0 THEN due_date - to_minutes(15) ELSE reminder_time END AS reminder_time FROM made""")
+def task_store_roundtrip(spark, sf_dir):
+    """Tasks created in a stored table, patched, completed and deleted, each change put twice; then read back."""
+    rows = tasks.with_defaults(_tasks(spark, sf_dir))
+    store = keyed.KeyedTable.create(spark, scratch_folder(spark, "tasks"), rows.schema, ["id"], 16)
+    even = F.col("id") % 2 == 0
+    patches = rows.where("id % 5 = 0").select(
+        "id", F.when(even, F.array(F.lit("title"), F.lit("due_date"))).otherwise(F.array(F.lit("title"), F.lit("reminder_offset_minutes"))).alias("set_fields"),
+        F.lit("patched").alias("title"), F.lit(None).cast("timestamp_ntz").alias("due_date"), F.lit(15).alias("reminder_offset_minutes"),
+    )
+    for _ in range(2):
+        store.insert(rows, 1)
+        store.apply(patches, 2, tasks.patched)
+        store.apply(rows.where("id % 4 = 0").select("id"), 3, lambda old, ids: tasks.completed(old, ids).drop("error"))
+        store.delete(rows.where("id % 7 = 0"), 4)
+    return store.read().select("id", "title", "status", "due_date", "reminder_time")
+
+
 @catalogue.add("due_jobs", f"WITH {_TASKS}, j AS (SELECT id, 'reminder' AS job, reminder_time AS run_at FROM tasks WHERE status = 'pending' UNION ALL SELECT id, 'execution', due_date FROM tasks WHERE status = 'pending') SELECT * FROM j WHERE run_at <= TIMESTAMP '1997-01-01'")
 def due_jobs(spark, sf_dir):
     return tasks.due_jobs(tasks.with_defaults(_tasks(spark, sf_dir)), F.lit("1997-01-01").cast("timestamp_ntz"))
@@ -351,6 +371,18 @@ def result_cache(spark, sf_dir):
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))
 
 
+# Requests for kinds of events by user; a user's cache holds two results for five days.
+_CACHE_ENTRIES = 2
+
+
+@catalogue.add("result_cache_bounded")
+def result_cache_bounded(spark, sf_dir):
+    """Requests by user and kind of event, and how many a small cache of each user's serves."""
+    served = ingest.bounded_cache(_stream(spark, sf_dir), "user_id", "event_type", "ts", _CACHE_ENTRIES, _CACHE_DAYS * 86_400)
+    out = _drained(served, "append", spark, scratch_folder(spark, "stream"), served.schema)
+    return out.groupBy("by", "key").agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))
+
+
 @catalogue.add("stream_log_append", "SELECT strftime(ts, '%Y%m%d') AS date, event_id, event_type FROM events")
 def stream_log_append(spark, sf_dir):
     folder = scratch_folder(spark, "stream")

@@ -100,15 +100,17 @@ def markdown_elements(content: str) -> Iterator[dict]:
 IGNORED = {"script", "style", "nav", "footer", "header", "aside", "form", "meta", "link", "button", "input", "noscript", "iframe", "canvas", "svg", "path"}
 #: Tags that hold blocks, so that text before and after them stays apart (fixed values).
 CONTAINERS = {"div", "section", "article", "main", "body", "figure", "figcaption", "details", "summary"}
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol table pre blockquote hr".split())
+#: Tags that never have content (fixed values of the language).
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Tags that are elements of their own.
+_BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "table", "pre", "blockquote", "hr"}
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "holds_block")
 
     def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.tag, self.attrs, self.children, self.parent, self.holds_block = tag, attrs, [], parent, False
 
     def find(self, tag: str):
         stack = [self]
@@ -145,6 +147,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
+        self.open: dict[str, int] = {}  # how many of a tag are open
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCKS or tag in CONTAINERS:  # a block ends an open paragraph, and with it what is open inside
@@ -153,15 +156,24 @@ class _Tree(HTMLParser):
             self._end(tag, ("ul", "ol", "table"))
         node = _Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
+        if tag in _BLOCKS:
+            above = self.at
+            while above is not None and not above.holds_block:
+                above.holds_block, above = True, above.parent
         if tag not in _VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def _end(self, tag, within=()):
+        if not self.open.get(tag):
+            return
         node = self.at
         while node is not None and node.tag != tag and node.tag not in within:
             node = node.parent
         if node is not None and node.tag == tag and node.parent is not None:
-            self.at = node.parent
+            while self.at is not node.parent:
+                self.open[self.at.tag] -= 1
+                self.at = self.at.parent
 
     def handle_endtag(self, tag):
         self._end(tag)
@@ -199,7 +211,7 @@ def _blocks(node: _Node) -> Iterator[dict]:
         elif child.tag in _BLOCKS:
             yield from flush()
             yield from _block(child)
-        elif any(c for c in child.all(tuple(_BLOCKS))) or child.tag in CONTAINERS:
+        elif child.tag in CONTAINERS or child.holds_block:
             yield from flush()
             stack.append(_Node("br", {}, None))
             stack += reversed(child.children)
@@ -234,15 +246,28 @@ def _block(node: _Node) -> Iterator[dict]:
 
 
 def _items(node: _Node, level: int) -> Iterator[dict]:
-    number = int(node.attrs["start"]) if str(node.attrs.get("start") or "").isdigit() else 1
-    for child in node.children:
-        if isinstance(child, _Node) and child.tag == "li":
-            if text := _squeezed(child.text(skip=("ul", "ol"))):
-                yield {"element_type": "list_item", "text": text, "level": level, "ordered": node.tag == "ol", "item_number": str(number) if node.tag == "ol" else None}
-            number += 1
-            for inner in child.children:
-                if isinstance(inner, _Node) and inner.tag in ("ul", "ol"):
-                    yield from _items(inner, level + 1)
+    """The items of a list and of the lists in them, however deep, in reading order."""
+
+    def begun(of: _Node, level: int) -> list:
+        return [of, iter(of.children), int(of.attrs["start"]) if str(of.attrs.get("start") or "").isdigit() else 1, level]
+
+    stack = [begun(node, level)]
+    waiting: list[list] = [[]]  # lists within the item that was last told
+    while stack:
+        if waiting[-1]:
+            stack.append(begun(waiting[-1].pop(0), stack[-1][3] + 1))
+            waiting.append([])
+            continue
+        own, children, number, deep = stack[-1]
+        child = next((c for c in children if isinstance(c, _Node) and c.tag == "li"), None)
+        if child is None:
+            stack.pop()
+            waiting.pop()
+            continue
+        if text := _squeezed(child.text(skip=("ul", "ol"))):
+            yield {"element_type": "list_item", "text": text, "level": deep, "ordered": own.tag == "ol", "item_number": str(number) if own.tag == "ol" else None}
+        stack[-1][2] = number + 1
+        waiting[-1] = [c for c in child.children if isinstance(c, _Node) and c.tag in ("ul", "ol")]
 
 
 def _table_rows(table: _Node) -> list[list[str]]:

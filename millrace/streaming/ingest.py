@@ -52,7 +52,9 @@ def cached_requests(requests: DataFrame, key: str, stamp: str, seconds: int = 30
 
     A request without a live entry is a miss and makes one. An entry's state is dropped by a
     timer once event time has passed its end, so that what is kept are the keys of one
-    period. Requests of a batch are taken in the order of their stamps.
+    period. Requests of a batch are taken in the order of their stamps. Rows that come later than
+    ``late`` behind the newest row of an earlier batch are left out; a stream whose files are
+    not in the order of time needs a ``late`` that covers them.
     """
     span = seconds * 1000
     keyed = requests.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("at")).withWatermark("at", late)
@@ -78,6 +80,47 @@ def cached_requests(requests: DataFrame, key: str, stamp: str, seconds: int = 30
     return keyed.groupBy("key").applyInPandasWithState(work, "key string, at timestamp, hit boolean", "made long", "append", "EventTimeTimeout")
 
 
+def bounded_cache(requests: DataFrame, by: str, key: str, stamp: str, entries: int = 100, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """Requests (by, key, at, hit) of caches, one for each value of ``by``, that hold ``entries`` results at most.
+
+    A result is kept for ``seconds`` after it was made; where one is to be made in a full cache, the
+    entry that was asked for least recently leaves (of equal ones the lesser key). A hit doesn't make
+    an entry last longer. State is bounded by ``entries`` for each cache, and goes when all of it has
+    ended. Requests of a batch are taken in the order of stamp and key; late rows as in ``cached_requests``.
+    """
+    span = seconds * 1000
+    rows = requests.select(F.col(by).cast("string").alias("by"), F.col(key).cast("string").alias("key"), F.col(stamp).alias("at")).withWatermark("at", late)
+
+    def work(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held: dict[str, tuple[int, int]] = {}  # key: when it was asked for last, when it was made
+        if state.exists:
+            held = {k: (used, made) for k, used, made in zip(*state.get, strict=True)}
+        asked = sorted((int(t.timestamp() * 1000), k) for part in batches for t, k in zip(part["at"], part["key"], strict=True))
+        hits = []
+        for at, k in asked:
+            held = {x: v for x, v in held.items() if at < v[1] + span}
+            hits.append(k in held)
+            if k in held:
+                held[k] = (at, held[k][1])
+                continue
+            if len(held) >= entries:
+                del held[min(held, key=lambda x: (held[x][0], x))]
+            held[k] = (at, at)
+        end = max((made + span for _, made in held.values()), default=0)
+        if end > state.getCurrentWatermarkMs():
+            state.update((list(held), [u for u, _ in held.values()], [m for _, m in held.values()]))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"by": [keys[0]] * len(asked), "key": [k for _, k in asked], "at": pd.to_datetime([t for t, _ in asked], unit="ms"), "hit": hits})
+
+    kept = "keys array<string>, used array<long>, made array<long>"
+    return rows.groupBy("by").applyInPandasWithState(work, "by string, key string, at timestamp, hit boolean", kept, "append", "EventTimeTimeout")
+
+
 def due_timers(tasks: DataFrame, stamp: str = "run_at", key: str = "id", seen: str = "seen_at") -> DataFrame:
     """Jobs (id, job, run_at) once event time has passed their time; a later row of a job replaces it, a null time cancels it."""
 

@@ -235,3 +235,17 @@ def test_cached_requests_follow_a_plain_cache(spark, tmp_path):
         expected.append((k, t, hit))
     got = [(r.key, r.s, r.hit) for r in spark.read.parquet(str(tmp_path / "out")).select("key", F.col("at").cast("long").alias("s"), "hit").collect()]
     assert sorted(got) == sorted(expected)
+
+
+@pytest.mark.parametrize(("page", "n"), [("<div>" * 20_000 + "x" + "</div>" * 20_000, 1), ("".join(f"<ul><li>a{i}" for i in range(20_000)) + "</li></ul>" * 20_000, 20_000), ("<font>" * 20_000 + "<p>y</p>" * 20_000, 20_000)])
+def test_deep_pages_are_read_in_linear_time(page, n):
+    import time
+
+    began = time.process_time()
+    assert len(list(parsers.html_elements(page))) == n
+    assert time.process_time() - began < 20
+
+
+def test_lists_within_lists_keep_their_numbers_and_order():
+    got = list(parsers.html_elements("<ol start=3><li>a<ul><li>b</li><li>c</li></ul><ol><li>d</ol></li><li>e</li></ol>"))
+    assert [(e["text"], e["level"], e["item_number"]) for e in got] == [("a", 0, "3"), ("b", 1, None), ("c", 1, None), ("d", 1, "1"), ("e", 0, "4")]
