@@ -281,6 +281,10 @@ def top_rows(df: DataFrame, columns: list[str] | str, by: str, order: str = "des
     return df.orderBy(first, *(ties or [])).limit(n).select(*columns)
 
 
+#: Literals, quoted names and comments of a statement, which stay as they are; and what is read otherwise.
+_APART = re.compile(r"""(?P<apart>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|\bgroup_concat\s*\(""", re.I | re.S)
+
+
 def sql_query(df: DataFrame, text: str) -> DataFrame:
     """A Spark SQL statement over the table ``df``; group_concat is read as string_agg.
 
@@ -289,7 +293,7 @@ def sql_query(df: DataFrame, text: str) -> DataFrame:
     """
     if not text:
         raise QueryError("there is no statement")
-    text = re.sub(r"\bgroup_concat\s*\(", "string_agg(", text.strip().rstrip(";"), flags=re.I)
+    text = _APART.sub(lambda m: m["apart"] or "string_agg(", text.strip().rstrip(";"))
     view = f"df_{uuid.uuid4().hex}"
     own = f"df AS (SELECT * FROM {view})"
     if started := re.match(r"with(\s+recursive)?\s", text, flags=re.I):

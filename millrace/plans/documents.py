@@ -157,6 +157,14 @@ def html_elements(spark, sf_dir):
     return rows.groupBy("page_id", "element_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@catalogue.add("parse_files", "SELECT CAST(page_id AS VARCHAR) AS key, '| name | value |' || chr(10) || '| --- | --- |' || chr(10) || '| id | ' || page_id || ' |' || chr(10) || '| url | ' || url || ' |' AS markdown, 'page ' || page_id AS caption FROM pages WHERE html LIKE '%</article>%'")
+def parse_files(spark, sf_dir):
+    """The parsers as a table function, called from SQL."""
+    parsers.register_function(spark)
+    pages = _html(spark, sf_dir).select("page_id", "content")
+    return spark.sql("SELECT key, markdown_representation AS markdown, caption FROM parse_files(TABLE(SELECT page_id, content, '.html' FROM {pages})) WHERE element_type = 'table'", pages=pages)
+
+
 @catalogue.add("html_tables", "SELECT page_id, '| name | value |' || chr(10) || '| --- | --- |' || chr(10) || '| id | ' || page_id || ' |' || chr(10) || '| url | ' || url || ' |' AS markdown, 'page ' || page_id AS caption FROM pages WHERE html LIKE '%</article>%'")
 def html_tables(spark, sf_dir):
     rows = parsers.parsed(_html(spark, sf_dir).withColumn("file_type", F.lit(".html")), "page_id", "content", "file_type")

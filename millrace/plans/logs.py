@@ -356,6 +356,14 @@ def stream_windows(spark, sf_dir):
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@catalogue.add("stream_windows_closed", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
+def stream_windows_closed(spark, sf_dir):
+    """Daily counts, told once when the watermark has passed their end, so that their state can go."""
+    counts = ingest.windowed_counts(_stream(spark, sf_dir), "ts", "event_type")
+    rows = _drained(counts, "append", spark, scratch_folder(spark, "stream"), counts.schema)
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 # A user's request of a kind of event is served for five days; each entry begins with a miss.
 _CACHE_DAYS = 5
 

@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -572,3 +572,22 @@ def parsed(files: DataFrame, key: str, content: str, extension: str) -> DataFram
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return files.select(F.col(key), F.col(content), F.col(extension)).mapInArrow(run, schema)
+
+
+def register_function(spark: SparkSession, name: str = "parse_files") -> None:
+    """The parsers as a table function: ``SELECT * FROM parse_files(TABLE(SELECT id, content, extension ...))``.
+
+    The table has three columns: a key of any type, which is given as text, a file's content (text or bytes) and its
+    extension. Rows are (key, idx, element fields), as ``parsed`` gives them. Parsers that are
+    registered later need the function registered anew.
+    """
+    registry = dict(REGISTRY)
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("idx", T.IntegerType()), *ELEMENT.fields])
+
+    class ParseFiles:
+        def eval(self, row: Row):
+            key, content, extension = row
+            for place, element in enumerate(elements_of(extension, bytes(content) if isinstance(content, (bytes, bytearray)) else content, registry)):
+                yield (None if key is None else str(key), place, *(element.get(n) for n in _FIELDS))
+
+    spark.udtf.register(name, F.udtf(ParseFiles, returnType=schema))

@@ -57,3 +57,16 @@ def test_cache_of_events_equals_a_plain_one(spark):
     got = {(r.by, r.key): (r.requests, r.hits) for r in logs.result_cache_bounded(spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: (n, want[k]) for k, n in asked.items()}
     assert 0 < sum(want.values()) < sum(asked.values())
+
+
+def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    batches = [[(day, "a"), (day + dt.timedelta(hours=3), "a")], [(day + dt.timedelta(days=2, hours=2), "a")], [(day + dt.timedelta(days=2, hours=3), "a")], [(day + dt.timedelta(hours=5), "a"), (day + dt.timedelta(days=2), "a")], [(day + dt.timedelta(days=9), "a")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = ingest.windowed_counts(stream, "ts", "kind")
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"epoch={epoch}"))
+    counts.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    # rows are late by the watermark of the batch before: that of the first day, after two batches of the third; the ninth day isn't closed
+    assert sorted((r.start, r.n) for r in spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect()) == [(day, 2), (day + dt.timedelta(days=2), 3)]

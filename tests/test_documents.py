@@ -249,3 +249,13 @@ def test_deep_pages_are_read_in_linear_time(page, n):
 def test_lists_within_lists_keep_their_numbers_and_order():
     got = list(parsers.html_elements("<ol start=3><li>a<ul><li>b</li><li>c</li></ul><ol><li>d</ol></li><li>e</li></ol>"))
     assert [(e["text"], e["level"], e["item_number"]) for e in got] == [("a", 0, "3"), ("b", 1, None), ("c", 1, None), ("d", 1, "1"), ("e", 0, "4")]
+
+
+def test_parsers_as_a_table_function(spark):
+    rows = [(1, "# Title\n\ntext", ".md"), (2, "<p>one</p><p>two</p>", ".html"), (3, None, ".txt"), (None, "plain", ".txt"), (5, "?", ".none")]
+    files = spark.createDataFrame(rows, "id long, content string, ext string")
+    parsers.register_function(spark, "parse_some")
+    got = spark.sql("SELECT * FROM parse_some(TABLE({files}))", files=files)
+    want = parsers.parsed(files, "id", "content", "ext").withColumnRenamed("id", "key")
+    plain = lambda df: sorted(str(tuple(None if v is None else str(v) for v in r)) for r in df.collect())
+    assert got.columns == want.columns and plain(got) == plain(want)

@@ -229,3 +229,9 @@ def test_dates_and_truth_values_of_sheets(spark, tmp_path):
     early = str(tmp_path / "early.xlsx")
     workbook(early, [("Sheet1", '<row r="1"><c r="A1" t="str"><v>day</v></c></row><row r="2"><c r="A2" s="1"><v>0</v></c></row>')], styles=styles, date1904=True)
     assert files.read_excel(spark, early).first().day == dt.datetime(1904, 1, 1)
+
+
+def test_group_concat_in_literals_stays(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "k long, s string")
+    row = sqo.sql_query(df, "SELECT 'group_concat(' AS a, 'it''s group_concat (' AS b, GROUP_CONCAT (s, '-') AS c /* group_concat( */ FROM df -- group_concat(").first()
+    assert (row.a, row.b.replace("'", ""), sorted(row.c.split("-"))) == ("group_concat(", "its group_concat (", ["a", "b"])
