@@ -156,4 +156,4 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0)
 FROM d LEFT JOIN cuts USING (k)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op6_jaccard": OP6, "op7_shards": OP7, "op8_embeddings": OP8, "op12_divergence": OP12}
+ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op6_jaccard": OP6, "op7_shards": OP7, "op8_embeddings": OP8, "op12_divergence": OP12, "op13_suffix_dedup": OP13}
