@@ -12,6 +12,9 @@ from millrace.llm import bpe, decontaminate, jaccard, language, pii
 from millrace.llm.common import remove_path, scratch_path, table, tidied
 from millrace.llm.queries import ENCODING, ids_digest
 
+#: Rows of an Arrow batch where the session has Spark's own number (10,000): whole texts, of which tasks, sockets and workers hold several batches.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A document whose best language has a smaller share than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
 
@@ -30,6 +33,12 @@ class _Apart:
         return df.select(*((F.length("text").cast("long") if c == "n_chars" else F.col(n)).alias(c) for c, n in self.names.items()))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Each stage begins with it, as its tasks run after it has returned; a number that the session was given stays."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of which some language is recognised.
 
@@ -37,6 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     between languages are recognised; repeated rows and rows with null ids are judged alike,
     but a null id is never learned from. Without any labelled row no language is recognised.
     """
+    _small_batches(spark)
     model = language.fit(docs.where(~language.held_out("doc_id")))
     apart = _Apart(docs, "text")
     judged = language.identify(apart.docs, model)
@@ -50,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others go; rows that agree in id and text are one document. Texts without words are near
     duplicates of nothing. Long texts are compared whole; an empty table stays empty.
     """
+    _small_batches(spark)
     return jaccard.first_of_groups(docs)
 
 
@@ -59,6 +70,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are, long ones are matched whole, and repeated rows are
     treated alike; items that tie for a window count once. An empty table stays empty.
     """
+    _small_batches(spark)
     apart = _Apart(docs, "text")
     return apart.back(decontaminate.decontaminated(apart.docs, table(spark, sf_dir, "benchmark")))
 
@@ -70,6 +82,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     treated alike; where spans tie for a place the longest is replaced. An empty table stays
     empty.
     """
+    _small_batches(spark)
     apart = _Apart(docs, "text")
     return apart.back(pii.without_personal_data(apart.docs))
 
@@ -80,6 +93,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids; long ones are encoded whole; repeated rows are encoded
     alike, and no two encodings tie. An empty table gives an empty one.
     """
+    _small_batches(spark)
     path = public_tokenizers.path(ENCODING)
     encoded = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     return encoded.select(
