@@ -32,6 +32,8 @@ SAMPLE_ROWS, TRIED_QUERIES = 20_000, 200
 CODED_TOGETHER, CODE_VALUES = 4, 256
 #: Neighbours that the measured recall is of.
 TRIED_NEIGHBOURS = 10
+#: Short lists of all queries of a block that are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Rows that are coded or compared at once.
 SLICE = 4_096
 
@@ -213,8 +215,8 @@ class VectorIndex:
         some = rows.where(F.col("cell").isin(list(by_cell))) if len(by_cell) <= 1_000 else rows.join(F.broadcast(probed), "cell", "left_semi")
         listed = some.select("cell", "key", "code", "square").mapInArrow(run, spec)
         place = F.row_number().over(Window.partitionBy("asked").orderBy("told", "key"))
-        # no more rows than queries of a block times the short list
-        listed = F.broadcast(listed.withColumn("place", place).where(F.col("place") <= short).select("asked", "cell", "key"))
+        listed = listed.withColumn("place", place).where(F.col("place") <= short).select("asked", "cell", "key")
+        listed = F.broadcast(listed) if len(asked) * short <= BROADCAST_ROWS else listed
         told = spark.createDataFrame([(i, q, unit[i].tolist()) for i, (q, _) in enumerate(asked)], T.StructType([T.StructField("asked", T.IntegerType()), T.StructField("q", query_kind), T.StructField("unit", T.ArrayType(T.DoubleType()))]))
         pairs = some.select("cell", "key", "vector").join(listed, ["cell", "key"]).join(F.broadcast(told), "asked")
         distance = F.greatest(F.round(vectors.squared_l2(vectors.normalized(F.col("vector")), F.col("unit")), 12), F.lit(0.0))

@@ -62,14 +62,6 @@ def vector_index_search(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"), F.coalesce("true", F.lit(False)).alias("among_ten"))
 
 
-@catalogue.add("vector_index_all_cells", f"WITH {_SQL_VECTORS} SELECT query_id, vec_id, round({_D2}, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, vec_id) AS place FROM u, q WHERE label IN (1, 2) QUALIFY place <= 5")
-def vector_index_all_cells(spark, sf_dir):
-    """A filtered search that reads every cell with a short list as long as the filtered table must be the exact one."""
-    index, corpus, queries = _vector_index(spark, sf_dir)
-    found = index.search(queries, 5, {"label": {"$in": [1, 2]}}, probes=len(index.model.centres), short=corpus.count())
-    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
-
-
 @catalogue.add("l2_normalize", f"WITH {_SQL_VECTORS} SELECT vec_id, unnest(range(64)) AS place, round(unnest(u), 6) AS value FROM u")
 def l2_normalize(spark, sf_dir):
     u = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.normalized(F.col("embedding"))).alias("place", "value"))
@@ -141,13 +133,6 @@ def bm25_topk_batch(spark, sf_dir):
     return _keyword_hits(spark, sf_dir, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@catalogue.add("bm25_scores", f"WITH {_BM25} SELECT query_id, count(*) AS n, round(sum(score), 4) AS total FROM s GROUP BY query_id")
-def bm25_scores(spark, sf_dir):
-    """Scores of all documents that share a term with a question, by question."""
-    scores = r.bm25_scores(table(spark, sf_dir, "documents"), _queries(spark, sf_dir))
-    return scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
-
-
 @catalogue.add("bm25_filtered", f"WITH {_BM25} SELECT query_id, id, round(round(score, 9), 6) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM s JOIN documents ON doc_id = id WHERE lang = 'de' AND n_chars >= 200) WHERE place <= 5")
 def bm25_filtered(spark, sf_dir):
     """The best documents of those that a metadata filter leaves, by the whole corpus's statistics."""
