@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Step, append_steps, joined_by, maybe_among, release_memory, stored
+from .common import Step, append_steps, joined_by, release_memory, stored
 from .token_counts import strict_spaces
 
 #: Pairs in the broadcast table (16 bytes each); counts of the others are joined.
