@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from heapq import nsmallest
 from itertools import islice
@@ -154,18 +155,33 @@ def tokens(text: Column) -> Column:
 
 
 class Bm25Index:
-    """Postings (id, term, tf), document lengths (id, dl) and terms (term, df) of a corpus."""
+    """Postings (id, term, tf, dl), document lengths (id, dl) and terms (term, df) of a corpus."""
 
     def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame):
         self.postings, self.lengths, self.terms = postings, lengths, terms
 
     @classmethod
     def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Bm25Index:
-        """The three tables of the documents whose text isn't blank."""
+        """The three tables of the documents whose text isn't blank.
+
+        Texts are read and split once; each one's terms are counted where it is read, and written
+        to the shared folder. Only where ids come more than once are counts summed by a shuffle.
+        """
         kept = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
-        postings = kept.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        lengths = kept.select("id", F.size("words").cast("long").alias("dl"))
-        return cls(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        spec = T.StructType([T.StructField("id", kept.schema["id"].dataType), *(T.StructField(n, k) for n, k in (("term", T.StringType()), ("tf", T.LongType()), ("dl", T.LongType())))])
+        rows = written(kept.mapInArrow(_counted, spec), "bm25-postings")
+        lengths, postings = rows.where("term = ''").select("id", "dl"), rows.where("term <> ''")
+        if lengths.groupBy("id", "dl").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+            postings = postings.groupBy("id", "term", "dl").agg(F.sum("tf").alias("tf")).select("id", "term", "tf", "dl")
+        return cls(postings, lengths, written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-terms"))
+
+    def with_df(self) -> DataFrame:
+        """Postings with their term's number of documents.
+
+        Many terms are dealt with the postings, which are looked up in hashed parts of the terms instead of being sorted.
+        """
+        few = self.terms.count() <= BROADCAST_TERMS
+        return self.postings.join(F.broadcast(self.terms) if few else self.terms.hint("shuffle_hash"), "term")
 
     def write(self, path: str) -> None:
         """The index as three Parquet tables; postings are clustered by term for look-ups."""
@@ -181,10 +197,25 @@ class Bm25Index:
         """(query_key, id, score) as ``bm25_scores`` gives it, from the index: no document's text is read."""
         wanted, terms = _wanted(queries, query_key, query_text)
         stats = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        counted = self.postings.join(terms, "term").join(self.lengths, "id")
+        counted = self.postings.join(terms, "term")
         return _scored(counted, self.terms.join(terms, "term"), stats, wanted, query_key)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, term, tf, dl) of rows (id, words); a row of the term '' has a document's length alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            ids, lists = batch.slice(at, SLICE).columns
+            n, sizes = len(ids), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().cast(pa.string()).dictionary_encode()
+            keys = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes)
+            keys, counts = np.unique(keys, return_counts=True)
+            place = np.concatenate([np.arange(n), keys % n])
+            terms = pa.concat_arrays([pa.array([""] * n, pa.string()), coded.dictionary.take(pa.array(keys // n))])
+            tf = np.concatenate([np.zeros(n, np.int64), counts.astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), terms, pa.array(tf), pa.array(sizes[place])], names=["id", "term", "tf", "dl"])
+
+
 def _wanted(queries: DataFrame, query_key: str, query_text: str) -> tuple[DataFrame, DataFrame]:
     """The queries' (query_key, term), and all their terms, which are broadcast up to a number."""
     wanted = queries.select(F.col(query_key), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))

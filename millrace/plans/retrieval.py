@@ -109,8 +109,7 @@ def _keyword_hits(spark, sf_dir, k):
 @catalogue.add("bm25_index", f"WITH {_BM25} SELECT term, doc_id AS id, tf, CAST(dl AS BIGINT) AS dl, df FROM p JOIN f USING (term)")
 def bm25_index(spark, sf_dir):
     """Every posting, with its document's length and its term's number of documents."""
-    index = r.Bm25Index.build(table(spark, sf_dir, "documents"))
-    return index.postings.join(index.lengths, "id").join(index.terms, "term").select("term", "id", "tf", "dl", "df")
+    return r.Bm25Index.build(table(spark, sf_dir, "documents")).with_df().select("term", "id", "tf", "dl", "df")
 
 
 @catalogue.add("bm25_index_search", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM b WHERE place <= 5")

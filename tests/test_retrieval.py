@@ -236,3 +236,18 @@ def test_calculator(spark, text, value):
 def test_bad_expressions(spark, text):
     with pytest.raises(scalars.ExpressionError):
         scalars.calculate(text)
+
+
+def test_bm25_index_counts_without_dealing_texts_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b b A c"), (1, "a b d d"), (2, "B"), (None, "a a"), (3, "--"), (4, " "), (5, None)], "doc_id long, text string")
+    want = {("a", 1, 2, 4), ("b", 1, 3, 4), ("c", 1, 1, 4), ("d", 1, 2, 4), ("b", 2, 1, 1), ("a", None, 2, 2)}
+    for limit in (100_000, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_TERMS", limit)
+        index = retrieval.Bm25Index.build(docs)
+        got = [tuple(r) for r in index.with_df().select("term", "id", "tf", "dl", "df").collect()]
+        assert len(got) == len(want) and set(got) == {(*p, sum(p[0] == q[0] for q in want)) for p in want}
+        assert sorted(r.dl for r in index.lengths.collect()) == [0, 1, 2, 4, 4]
+    once = retrieval.Bm25Index.build(docs.where("doc_id is null or doc_id > 1"))
+    plan = once.with_df()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and once.postings.count() == 2
+    assert "Exchange" not in once.postings._jdf.queryExecution().executedPlan().toString()
