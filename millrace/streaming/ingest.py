@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,37 +49,61 @@ def first_seen(rows: DataFrame, stamp: str, keys: list[str], late: str = "1 hour
     return rows.withWatermark(stamp, late).dropDuplicatesWithinWatermark(keys)
 
 
+#: Groups that keys are dealt to. Python is called once for each group with rows or an ended timer, not for each key.
+GROUPS = 1_024
+
+
+def _group(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("grp")
+
+
 def cached_requests(requests: DataFrame, key: str, stamp: str, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
     """Requests (key, stamp, hit): whether a result for the key, kept for ``seconds`` after it was made, still served.
 
-    A request without a live entry is a miss and makes one. An entry's state is dropped by a
-    timer once event time has passed its end, so that what is kept are the keys of one
-    period. Requests of a batch are taken in the order of their stamps. Rows that come later than
+    A request without a live entry is a miss and makes one. Entries are dropped once event time
+    has passed their end, when their group is asked for or by a timer when all of it has ended, so that
+    what is kept are the keys of one period, in ``GROUPS`` rows. Requests of a batch are taken in the order of
+    their stamps; one without a stamp has a null ``hit``. Rows that come later than
     ``late`` behind the newest row of an earlier batch are left out; a stream whose files are
     not in the order of time needs a ``late`` that covers them.
     """
-    span = seconds * 1000
-    keyed = requests.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("at")).withWatermark("at", late)
+    span = seconds * 1_000_000
+    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("seen")).withWatermark("seen", late)
+    rows = rows.select(_group("key"), "key", "seen", F.unix_micros(F.col("seen").cast("timestamp")).alias("at"))
 
     def work(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        made = state.get[0] if state.exists else None
-        stamps = sorted(int(t.timestamp() * 1000) for rows in batches for t in rows["at"])
-        hits = []
-        for t in stamps:
-            hits.append(made is not None and t < made + span)
-            made = made if hits[-1] else t
-        if made is not None:
-            if made + span > state.getCurrentWatermarkMs():
-                state.update((made,))
-                state.setTimeoutTimestamp(made + span)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame({"key": [keys[0]] * len(stamps), "at": pd.to_datetime(stamps, unit="ms"), "hit": hits})
+        made = dict(zip(*state.get, strict=True)) if state.exists else {}
+        asked = pd.concat([rows[["key", "at"]] for rows in batches])
+        bare = asked["key"][asked["at"].isna()]
+        if len(bare):
+            yield pd.DataFrame({"key": bare, "at": None, "hit": None})
+            asked = asked.dropna(subset=["at"])
+        codes, names = pd.factorize(asked["key"], use_na_sentinel=False)
+        at = asked["at"].to_numpy(np.int64)
+        order = np.lexsort((at, codes))
+        codes, at, stamps = codes[order], at[order], at[order].tolist()
+        ends, hit = np.searchsorted(codes, np.arange(len(names)), "right").tolist(), np.ones(len(at), bool)
+        i = 0
+        for name, end in zip((None if pd.isna(n) else n for n in names), ends, strict=True):
+            if name in made:
+                i = bisect_left(stamps, made[name] + span, i, end)
+            while i < end:
+                hit[i], made[name] = False, stamps[i]
+                i = bisect_left(stamps, stamps[i] + span, i + 1, end)
+        now = state.getCurrentWatermarkMs() * 1000
+        made = {k: m for k, m in made.items() if m + span > now}
+        if made:
+            state.update((list(made), list(made.values())))
+            state.setTimeoutTimestamp(-(-(max(made.values()) + span) // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": asked["key"].to_numpy()[order], "at": at, "hit": hit})
 
-    return keyed.groupBy("key").applyInPandasWithState(work, "key string, at timestamp, hit boolean", "made long", "append", "EventTimeTimeout")
+    out = rows.groupBy("grp").applyInPandasWithState(work, "key string, at long, hit boolean", "keys array<string>, made array<long>", "append", "EventTimeTimeout")
+    return out.select("key", F.timestamp_micros("at").alias("at"), "hit")
 
 
 def bounded_cache(requests: DataFrame, by: str, key: str, stamp: str, entries: int = 100, seconds: int = 300, late: str = "0 seconds") -> DataFrame:

@@ -70,3 +70,22 @@ def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
     counts.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     # rows are late by the watermark of the batch before: that of the first day, after two batches of the third; the ninth day isn't closed
     assert sorted((r.start, r.n) for r in spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect()) == [(day, 2), (day + dt.timedelta(days=2), 3)]
+
+
+def test_keys_share_calls_of_python_and_rows_without_a_stamp_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "GROUPS", 2)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s, micros=0: start + dt.timedelta(seconds=s, microseconds=micros)
+    first = [(f"k{i}", at(i)) for i in range(50)] + [("k0", at(300)), ("k1", at(300)), (None, at(5)), (None, at(6)), ("k2", None), ("m", at(100, 900)), ("m", at(400, 100)), ("m", at(400, 950))]
+    batches = [first, [("k0", at(599)), ("k0", at(600)), ("k49", at(3_000))], [("k49", at(3_200))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    served = ingest.cached_requests(stream, "key", "ts", 300)
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"epoch={epoch}"))
+    run = served.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {(r.key, r.at): r.hit for r in spark.read.schema(served.schema).parquet(str(tmp_path / "out")).collect()}
+    miss = {(f"k{i}", at(i)) for i in range(50)} | {(None, at(5)), ("k0", at(300)), ("k0", at(600)), ("k49", at(3_000)), ("m", at(100, 900)), ("m", at(400, 950))}
+    assert got == {(k, t): None if t is None else (k, t) not in miss for rows in batches for k, t in rows}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 2
