@@ -421,7 +421,7 @@ def stream_ingest(spark, sf_dir):
 @catalogue.add("stream_due_timer", "SELECT event_id AS id, 'reminder' AS job FROM events WHERE event_id % 50 = 0 AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
 def stream_due_timer(spark, sf_dir):
     jobs = _stream(spark, sf_dir).select(
-        F.when(F.col("event_id") % 50 == 0, F.col("event_id")).otherwise(-1).alias("id"), F.lit("reminder").alias("job"),
+        F.when(F.col("event_id") % 50 == 0, F.col("event_id")).alias("id"), F.lit("reminder").alias("job"),  # others only move the time on
         F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("run_at"), F.col("ts").alias("seen_at"),
     )
     fired = ingest.due_timers(jobs)

@@ -148,29 +148,36 @@ def bounded_cache(requests: DataFrame, by: str, key: str, stamp: str, entries: i
 
 
 def due_timers(tasks: DataFrame, stamp: str = "run_at", key: str = "id", seen: str = "seen_at") -> DataFrame:
-    """Jobs (id, job, run_at) once event time has passed their time; a later row of a job replaces it, a null time cancels it."""
+    """Jobs (id, job, run_at) once event time has passed their time; a later row of a job replaces it, a null time cancels it.
+
+    Rows of a batch are taken in the order of ``seen``, of equal ones a null or earlier time first. A row without
+    a key only moves event time on, and goes no further. Waiting jobs are kept in ``GROUPS`` rows.
+    """
+    # the filter isn't deterministic, so that Spark doesn't move it before the watermark, which all rows must pass
+    rows = tasks.withWatermark(seen, "0 seconds").where(F.col(key).isNotNull() | (F.spark_partition_id() < 0))
+    millis = lambda name: F.unix_millis(F.col(name).cast("timestamp"))
+    rows = rows.select(_group(key, "job"), F.col(key).cast("long").alias("id"), "job", F.col(seen).alias("seen"), millis(seen).alias("told"), millis(stamp).alias("due"))
 
     def work(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (when,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [keys[0]], "job": [keys[1]], "fired_for": [pd.Timestamp(when, unit="ms")]})
-            return
-        for rows in batches:
-            for moment in rows[stamp].tolist():
-                if moment is None or pd.isna(moment):
-                    if state.exists:
-                        state.remove()
+        waiting = {(i, job): due for i, job, due in zip(*state.get, strict=True)} if state.exists else {}
+        if not state.hasTimedOut:
+            asked = pd.concat([rows[["id", "job", "told", "due"]] for rows in batches]).sort_values(["told", "due"], na_position="first")
+            for i, job, due in zip(asked["id"].tolist(), asked["job"].tolist(), asked["due"].tolist(), strict=True):
+                if pd.isna(due):
+                    waiting.pop((i, job), None)
                 else:
-                    state.update((int(pd.Timestamp(moment).timestamp() * 1000),))
-        if state.exists:
-            (when,) = state.get
-            now = state.getCurrentWatermarkMs()
-            if when <= now:
-                state.remove()
-                yield pd.DataFrame({"id": [keys[0]], "job": [keys[1]], "fired_for": [pd.Timestamp(when, unit="ms")]})
-            else:
-                state.setTimeoutTimestamp(when)
-
-    grouped = tasks.withWatermark(seen, "0 seconds").groupBy(key, "job")
-    return grouped.applyInPandasWithState(work, "id long, job string, fired_for timestamp", "run_at long", "append", "EventTimeTimeout")
+                    waiting[i, job] = int(due)
+        now = state.getCurrentWatermarkMs()
+        fired = [(*k, due) for k, due in waiting.items() if due <= now]
+        waiting = {k: due for k, due in waiting.items() if due > now}
+        if waiting:
+            state.update(([i for i, _ in waiting], [job for _, job in waiting], list(waiting.values())))
+            state.setTimeoutTimestamp(min(waiting.values()))
+        elif state.exists:
+            state.remove()
+        if fired:
+            yield pd.DataFrame(fired, columns=["id", "job", "fired_for"])
+
+    kept = "ids array<long>, jobs array<string>, due array<long>"
+    out = rows.groupBy("grp").applyInPandasWithState(work, "id long, job string, fired_for long", kept, "append", "EventTimeTimeout")
+    return out.select("id", "job", F.timestamp_millis("fired_for").alias("fired_for"))

@@ -89,3 +89,21 @@ def test_keys_share_calls_of_python_and_rows_without_a_stamp_stay(spark, tmp_pat
     miss = {(f"k{i}", at(i)) for i in range(50)} | {(None, at(5)), ("k0", at(300)), ("k0", at(600)), ("k49", at(3_000)), ("m", at(100, 900)), ("m", at(400, 950))}
     assert got == {(k, t): None if t is None else (k, t) not in miss for rows in batches for k, t in rows}
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 2
+
+
+def test_timers_fire_once_and_rows_without_a_key_only_move_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "GROUPS", 2)
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    first = [(i, "j", at(10 + i), at(0)) for i in range(40)] + [(1, "k", at(70), at(0)), (2, "k", at(30), at(2)), (2, "k", at(5), at(1)), (3, "k", at(9), at(1)), (3, "k", None, at(3)), (4, None, at(8), at(0))]
+    batches = [first, [(None, "j", None, at(30))] * 3_000, [(39, "j", None, at(31)), (38, "j", at(90), at(32))], [(None, None, at(1), at(60))], [(None, "j", None, at(80))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id long, job string, run_at timestamp, seen_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, job string, run_at timestamp, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fired = ingest.due_timers(stream)
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"epoch={epoch}"))
+    run = fired.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted(((r.id, r.job, r.fired_for) for r in spark.read.schema(fired.schema).parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted([(i, "j", at(10 + i)) for i in range(38)] + [(1, "k", at(70)), (2, "k", at(30)), (4, None, at(8))], key=str)
+    plan = run._jsq.explainInternal(False)
+    assert plan.index("SPARK_PARTITION_ID") < plan.index("EventTimeWatermark")  # the filter stands over the watermark
