@@ -28,6 +28,8 @@ from .retrieval import BROADCAST_TERMS, K1, MAX_QUERIES, B, tokens
 
 #: Documents of a block at most; places within a block are 16-bit numbers.
 BLOCK_DOCS = 1_024
+#: Blocks of so many bytes are sorted together by term before they are written; bounds what a task holds.
+RUN_BYTES = 16 << 20
 #: One block in so many is searched first, for a k-th score to begin with.
 FIRST_SHARE = 16
 #: Digits to which scores are told; equal ones go by id.
@@ -62,7 +64,8 @@ class BlockIndex:
         return cls(rows.mapInArrow(_blocks(shared, to_arrow_type(kind)), spec))
 
     def write(self, path: str) -> None:
-        self.blocks.sortWithinPartitions("term", "block").write.parquet(path)
+        """The index as Parquet; a task's rows come in runs that are each sorted by term."""
+        self.blocks.write.parquet(path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> BlockIndex:
@@ -144,20 +147,31 @@ def _best(hits: DataFrame, k: int, query_key: str) -> DataFrame:
 
 
 def _blocks(shared, kind: pa.DataType) -> Callable:
-    """Makes an index's rows from rows (id, words)."""
+    """Makes an index's rows from rows (id, words), in runs of some blocks by term and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         only = None if shared.value is None else pa.array(shared.value, pa.string())
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_DOCS):
                 part = batch.slice(at, BLOCK_DOCS)
-                yield _block(part.column(0), part.column(1), (task << 32) + made, only, kind)
+                held.append(_block(part.column(0), part.column(1), (task << 32) + made, only, kind))
                 made += 1
+                if sum(b.nbytes for b in held) >= RUN_BYTES:
+                    yield from _by_term(held)
+                    held = []
+        if held:
+            yield from _by_term(held)
 
     return run
 
 
+def _by_term(blocks: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    rows = pa.Table.from_batches(blocks).sort_by([("term", "ascending"), ("block", "ascending")])
+    return rows.combine_chunks().to_batches(max_chunksize=10_000)
+
+
 def _block(ids: pa.Array, lists: pa.Array, number: int, only: pa.Array | None, kind: pa.DataType) -> pa.RecordBatch:
     n = len(ids)
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)

@@ -232,3 +232,18 @@ def test_segment_words_query_equals_a_plain_lattice(spark):
         assert math.isclose(sum(logs.get(w, unknown) for w in words), plain("".join(words)), rel_tol=1e-9)
         assert r.n_right <= min(r.n_words, r.n_found)
     assert sum(r.n_right for r in rows) > 0
+
+
+@pytest.mark.parametrize("run_bytes", [1, 1 << 25])
+def test_index_is_written_without_a_sort_of_whole_tasks(spark, corpus, tmp_path, monkeypatch, run_bytes):
+    monkeypatch.setattr(keywords, "BLOCK_DOCS", 64)
+    monkeypatch.setattr(keywords, "RUN_BYTES", run_bytes)
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1)
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "sortWithinPartitions", lambda *_: pytest.fail("a task's rows are sorted whole"))
+        keywords.BlockIndex.build(docs).write(str(tmp_path / "i"))
+    rows = [(r.term, r.block) for r in spark.read.parquet(str(tmp_path / "i")).coalesce(1).select("term", "block").collect()]
+    falls = sum(a > b for a, b in zip(rows, rows[1:], strict=False))
+    assert falls == (len({b for _, b in rows}) - 1 if run_bytes == 1 else 0)  # a run for each block, or one for all
+    hits = keywords.BlockIndex.read(spark, str(tmp_path / "i")).search(spark.createDataFrame([(0, "w1 w250")], "query_id long, text string"), 5).collect()
+    assert [(r.id, round(r.score, 6)) for r in sorted(hits, key=lambda r: r.place)] == [(i, round(s, 6)) for i, s in plain_bm25(corpus, "w1 w250", 5)]
