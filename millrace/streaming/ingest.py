@@ -111,40 +111,54 @@ def bounded_cache(requests: DataFrame, by: str, key: str, stamp: str, entries: i
 
     A result is kept for ``seconds`` after it was made; where one is to be made in a full cache, the
     entry that was asked for least recently leaves (of equal ones the lesser key). A hit doesn't make
-    an entry last longer. State is bounded by ``entries`` for each cache, and goes when all of it has
-    ended. Requests of a batch are taken in the order of stamp and key; late rows as in ``cached_requests``.
+    an entry last longer. State is bounded by ``entries`` for each cache, in ``GROUPS`` rows, and goes when all of
+    a group has ended. Requests of a batch are taken in the order of stamp and key; late rows and ones without a
+    stamp as in ``cached_requests``.
     """
     span = seconds * 1000
-    rows = requests.select(F.col(by).cast("string").alias("by"), F.col(key).cast("string").alias("key"), F.col(stamp).alias("at")).withWatermark("at", late)
+    rows = requests.select(F.col(by).cast("string").alias("by"), F.col(key).cast("string").alias("key"), F.col(stamp).alias("seen")).withWatermark("seen", late)
+    rows = rows.select(_group("by"), "by", "key", "seen", F.unix_millis(F.col("seen").cast("timestamp")).alias("at"))
 
     def work(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held: dict[str, tuple[int, int]] = {}  # key: when it was asked for last, when it was made
-        if state.exists:
-            held = {k: (used, made) for k, used, made in zip(*state.get, strict=True)}
-        asked = sorted((int(t.timestamp() * 1000), k) for part in batches for t, k in zip(part["at"], part["key"], strict=True))
-        hits = []
-        for at, k in asked:
-            held = {x: v for x, v in held.items() if at < v[1] + span}
-            hits.append(k in held)
-            if k in held:
-                held[k] = (at, held[k][1])
-                continue
-            if len(held) >= entries:
-                del held[min(held, key=lambda x: (held[x][0], x))]
-            held[k] = (at, at)
-        end = max((made + span for _, made in held.values()), default=0)
-        if end > state.getCurrentWatermarkMs():
-            state.update((list(held), [u for u, _ in held.values()], [m for _, m in held.values()]))
-            state.setTimeoutTimestamp(end)
+        caches: dict[str, dict[str, tuple[int, int]]] = {}  # by, key: when it was asked for last, when it was made
+        for name, k, used, made in zip(*state.get, strict=True) if state.exists else ():
+            caches.setdefault(name, {})[k] = (used, made)
+        asked: dict[str, list] = {}
+        for part in batches:
+            bare = part["at"].isna()
+            if bare.any():
+                yield part.loc[bare, ["by", "key"]].assign(at=None, hit=None)
+                part = part[~bare]
+            for name, at, k in zip(part["by"].tolist(), part["at"].astype("int64").tolist(), part["key"].tolist(), strict=True):
+                asked.setdefault(name, []).append((at, k))
+        out = []
+        for name, own in asked.items():
+            held = caches.get(name, {})
+            for at, k in sorted(own):
+                held = {x: v for x, v in held.items() if at < v[1] + span}
+                out.append((name, k, at, k in held))
+                if k in held:
+                    held[k] = (at, held[k][1])
+                    continue
+                if len(held) >= entries:
+                    del held[min(held, key=lambda x: (held[x][0], x))]
+                held[k] = (at, at)
+            caches[name] = held
+        now = state.getCurrentWatermarkMs()
+        kept = [(name, k, used, made) for name, held in caches.items() for k, (used, made) in held.items() if made + span > now]
+        if kept:
+            state.update(tuple(list(c) for c in zip(*kept, strict=True)))
+            state.setTimeoutTimestamp(max(made for *_, made in kept) + span)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"by": [keys[0]] * len(asked), "key": [k for _, k in asked], "at": pd.to_datetime([t for t, _ in asked], unit="ms"), "hit": hits})
+        yield pd.DataFrame(out, columns=["by", "key", "at", "hit"])
 
-    kept = "keys array<string>, used array<long>, made array<long>"
-    return rows.groupBy("by").applyInPandasWithState(work, "by string, key string, at timestamp, hit boolean", kept, "append", "EventTimeTimeout")
+    kept = "bys array<string>, keys array<string>, used array<long>, made array<long>"
+    out = rows.groupBy("grp").applyInPandasWithState(work, "by string, key string, at long, hit boolean", kept, "append", "EventTimeTimeout")
+    return out.select("by", "key", F.timestamp_millis("at").alias("at"), "hit")
 
 
 def due_timers(tasks: DataFrame, stamp: str = "run_at", key: str = "id", seen: str = "seen_at") -> DataFrame:

@@ -107,3 +107,20 @@ def test_timers_fire_once_and_rows_without_a_key_only_move_time(spark, tmp_path,
     assert got == sorted([(i, "j", at(10 + i)) for i in range(38)] + [(1, "k", at(70)), (2, "k", at(30)), (4, None, at(8))], key=str)
     plan = run._jsq.explainInternal(False)
     assert plan.index("SPARK_PARTITION_ID") < plan.index("EventTimeWatermark")  # the filter stands over the watermark
+
+
+def test_bounded_caches_share_calls_of_python(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "GROUPS", 2)
+    start, rng = dt.datetime(2024, 1, 1), random.Random(8)
+    rows = sorted(((f"b{rng.randint(0, 19)}", f"k{rng.randint(0, 3)}", start + dt.timedelta(seconds=rng.randint(0, 2_000))) for _ in range(400)), key=lambda r: r[2])
+    for part in (rows[:150] + [("b1", "k1", None)], rows[150:]):
+        spark.createDataFrame(part, "by string, key string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("by string, key string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    served = ingest.bounded_cache(stream, "by", "key", "at", 2, 300, "1 day")
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"epoch={epoch}"))
+    run = served.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = [(r.by, r.key, r.at, r.hit) for r in spark.read.schema(served.schema).parquet(str(tmp_path / "out")).collect()]
+    assert [r for r in got if r[2] is None] == [("b1", "k1", None, None)]
+    assert sorted(r for r in got if r[2]) == plain_cache(rows, 2, 300)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 2
